@@ -42,3 +42,375 @@ def score_all_modes(spark, sf_dir):
 @register("mode_comparison")
 def mode_comparison(spark, sf_dir):
     return MET.mode_comparison(_verdicts(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ 2.2 prep
+from flowscore.functions import cleaning as C  # noqa: E402
+from flowscore.functions import voting as V  # noqa: E402
+from flowscore.operators import fitting as FIT  # noqa: E402
+from flowscore.operators import prep as P  # noqa: E402
+from flowscore.operators.prep import q  # noqa: E402
+
+FEATURES = FX.FLOW_FEATURES
+
+
+@register("trim_columns")
+def trim_columns(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    padded = f.toDF(*[f"  {c} " if i % 2 == 0 else f"{c}\t" for i, c in enumerate(f.columns)])
+    return P.trim_columns(padded)
+
+
+@register("binarize_label")
+def binarize_label(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    return f.select("flow_id", "label", C.binarize_label("label", "Benign").alias("y"))
+
+
+@register("numeric_label")
+def numeric_label(spark, sf_dir):
+    lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lab.select("doc_id", C.numeric_label("toxic").alias("y"))
+
+
+@register("label_counts")
+def label_counts(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    y = C.binarize_label("label", "Benign")
+    return f.agg(F.count_if(y == 0).alias("benign"), F.count_if(y == 1).alias("malicious"))
+
+
+@register("score_unlabeled")
+def score_unlabeled(spark, sf_dir):
+    return S.score_table(FX.flows(spark, sf_dir).drop("label"), _bundle(), flow_rate=None)
+
+
+@register("clean_inf")
+def clean_inf(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    return f.select("flow_id", *[C.clean_inf(c).alias(c) for c in FEATURES])
+
+
+@register("required_columns")
+def required_columns(spark, sf_dir):
+    return P.required_report(FX.flows(spark, sf_dir), _bundle().all_features)
+
+
+@register("encoder_fit")
+def encoder_fit(spark, sf_dir):
+    return FIT.encoder_table(FX.flows(spark, sf_dir), ["protocol", "label"])
+
+
+@register("encode_categorical")
+def encode_categorical(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    enc = FIT.fit_encoders(f, ["protocol", "label"])
+    return f.select("flow_id", C.encode_categorical("protocol", enc["protocol"]).alias("protocol_code"),
+                    C.encode_categorical("label", enc["label"]).alias("label_code"))
+
+
+@register("project_features")
+def project_features(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    return f.select("flow_id", *[C.to_feature(C.clean_inf(c)).alias(c) for c in FEATURES])
+
+
+@register("fill_missing")
+def fill_missing(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    return f.select("flow_id", *[C.fill_missing(C.to_feature(C.clean_inf(c))).alias(c) for c in FEATURES])
+
+
+def _filled(spark, sf_dir):
+    return fill_missing(spark, sf_dir)
+
+
+@register("scaler_fit")
+def scaler_fit(spark, sf_dir):
+    t = FIT.scaler_table(_filled(spark, sf_dir), FEATURES)
+    return t.select("feature", F.bround("mean", 6).alias("mean"), F.bround("scale", 6).alias("scale"))
+
+
+def _scaled_bundle(spark, sf_dir):
+    return _bundle().with_(scaler=FIT.fit_scaler(_filled(spark, sf_dir), FEATURES))
+
+
+@register("standard_scale")
+def standard_scale(spark, sf_dir):
+    b = _scaled_bundle(spark, sf_dir)
+    filled = _filled(spark, sf_dir)
+    return filled.select("flow_id", *[F.bround(C.standard_scale(c, *b.scaler[c]), 6).alias(c) for c in FEATURES])
+
+
+@register("preprocess")
+def preprocess(spark, sf_dir):
+    b = _scaled_bundle(spark, sf_dir)
+    x = P.preprocess(FX.flows(spark, sf_dir), b, keep=["flow_id"])
+    return x.select("flow_id", "y", *[F.bround(c, 6).alias(c) for c in FEATURES])
+
+
+@register("prediction_output")
+def prediction_output(spark, sf_dir):
+    return S.score_table(FX.flows(spark, sf_dir), _bundle(), flow_rate=1000)
+
+
+@register("feature_subsets")
+def feature_subsets(spark, sf_dir):
+    b = _bundle()
+    x = P.preprocess(FX.flows(spark, sf_dir), b, keep=["flow_id"])
+    return x.select("flow_id", *[F.col(c).alias(f"fdm_{c}") for c in b.fdm.features],
+                    *[F.col(c).alias(f"ham_{c}") for c in b.ham.features])
+
+
+@register("single_row_source")
+def single_row_source(spark, sf_dir):
+    """Every row through the literal-row path: required check, only the
+    features kept, in sorted order."""
+    b = _bundle()
+    f = FX.flows(spark, sf_dir)
+    P.check_required(f.columns, b.all_features)
+    return f.select(*b.all_features)
+
+
+# ------------------------------------------------------------ 2.3 routing
+from flowscore.functions.routing import flow_to_mode as _f2m, select_mode as _sel  # noqa: E402
+
+
+@register("flow_to_mode")
+def flow_to_mode(spark, sf_dir):
+    j = FX.job_requests(spark, sf_dir)
+    return j.select("job_id", "flow_rate", _f2m("flow_rate").alias("mode"))
+
+
+def _hourly(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ev.groupBy(F.window("ts", "1 hour").start.alias("window_start")).agg(F.count(F.lit(1)).alias("rate"))
+
+
+@register("select_mode")
+def select_mode(spark, sf_dir):
+    h = _hourly(spark, sf_dir)
+    return h.select("window_start", "rate", _sel("rate", 10, 20).alias("mode"))
+
+
+@register("windowed_rate_mode")
+def windowed_rate_mode(spark, sf_dir):
+    """Measured rate -> mode: events per hour, joined back to every event.
+    The hourly table is small; AQE broadcasts it once its runtime size is
+    known to be under the threshold and otherwise keeps a shuffle join."""
+    from flowscore.operators.routing import rate_mode
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rate_mode(ev, "ts", "1 hour", 10, 20).select("event_id", "window_start", "rate", "mode")
+
+
+@register("all_modes_long")
+def all_modes_long(spark, sf_dir):
+    v = _verdicts(spark, sf_dir)
+    long = S.long_verdicts(v, ["flow_id"], with_y=False)
+    return long.select("flow_id", "mode", "pred_binary", V.label3_text(F.col("pred_3label")).alias("pred_3label"))
+
+
+@register("routed_predict")
+def routed_predict(spark, sf_dir):
+    """Each row scored by the mode its own measured rate selects (flows per
+    day of ``seen_at``, thresholds 20 / 30)."""
+    from flowscore.operators.routing import rate_mode, routed
+    f = rate_mode(FX.flows(spark, sf_dir), "seen_at", "1 day", 20, 30)
+    v = S.verdicts(f, _bundle())
+    r = routed(v, "mode")
+    return r.select("flow_id", F.col("rate").alias("flow_rate"), "mode", "pred_binary",
+                    V.label3_text(F.col("pred_3label")).alias("pred_3label"))
+
+
+# ------------------------------------------------------------- 2.4 voting
+def _members(b):
+    return [m.name for m in b.members]
+
+
+@register("member_votes")
+def member_votes(spark, sf_dir):
+    b = _bundle()
+    v = _verdicts(spark, sf_dir)
+    return v.select("flow_id", *[F.col(f"_v_{n}").alias(f"vote_{n}") for n in _members(b)])
+
+
+@register("weighted_vote")
+def weighted_vote(spark, sf_dir):
+    v = _verdicts(spark, sf_dir)
+    return v.select("flow_id", F.col("_vd_FDM").alias("vd_fdm"), F.col("_vd_HAM").alias("vd_ham"))
+
+
+@register("hard_vote")
+def hard_vote(spark, sf_dir):
+    v = _verdicts(spark, sf_dir)
+    return v.select("flow_id", F.col("_hv_FDM").alias("hv_fdm"), F.col("_hv_HAM").alias("hv_ham"))
+
+
+@register("vote_threshold")
+def vote_threshold(spark, sf_dir):
+    b = _bundle()
+    v = _verdicts(spark, sf_dir)
+    return v.select("flow_id", F.col("_vd_HAM").alias("vd_ham"), F.lit(b.ham.threshold).alias("max_vote_index"),
+                    V.vote_threshold(F.col("_vd_HAM"), b.ham.threshold).alias("pred_binary"))
+
+
+def _one(mode):
+    def fn(spark, sf_dir):
+        v = _verdicts(spark, sf_dir, modes=(mode,))
+        return v.select("flow_id", F.col(f"_bin_{mode}").alias("pred_binary"))
+    return fn
+
+
+register("fdm_binary")(_one("FDM"))
+register("ham_binary")(_one("HAM"))
+register("dfdm_binary")(_one("DFDM"))
+
+
+@register("dfdm_early_exit")
+def dfdm_early_exit(spark, sf_dir):
+    from flowscore.operators.cascade import early_exit
+    b = _bundle()
+    x = P.preprocess(FX.flows(spark, sf_dir), b, keep=["flow_id"])
+    return early_exit(x, b).select("flow_id", "pred_binary", "exit_member")
+
+
+@register("cascade_survivors")
+def cascade_survivors(spark, sf_dir):
+    from flowscore.operators.cascade import cascade_table, early_exit
+    b = _bundle()
+    x = P.preprocess(FX.flows(spark, sf_dir), b, keep=["flow_id"])
+    return cascade_table(early_exit(x, b), b)
+
+
+@register("three_label")
+def three_label(spark, sf_dir):
+    v = _verdicts(spark, sf_dir, modes=("HAM", "FDM"))
+    return v.select("flow_id",
+                    F.col("_mean_FDM").alias("mean_p_fdm"), F.col("_std_FDM").alias("std_p_fdm"),
+                    F.col("_l3_FDM").alias("label3_fdm"),
+                    F.col("_mean_HAM").alias("mean_p_ham"), F.col("_std_HAM").alias("std_p_ham"),
+                    F.col("_l3_HAM").alias("label3_ham"))
+
+
+def _three(mode):
+    def fn(spark, sf_dir):
+        v = _verdicts(spark, sf_dir, modes=(mode,))
+        return v.select("flow_id", V.label3_text(F.col(f"_l3_{mode}")).alias("pred_3label"))
+    return fn
+
+
+register("fdm_three_label")(_three("FDM"))
+register("ham_three_label")(_three("HAM"))
+register("dfdm_three_label")(_three("DFDM"))
+
+
+@register("predict_one_mode")
+def predict_one_mode(spark, sf_dir):
+    s = S.score_table(FX.flows(spark, sf_dir), _bundle(), flow_rate=0)
+    return s.select("flow_id", "pred_binary", "pred_3label", "mode")
+
+
+@register("chunked_score")
+def chunked_score(spark, sf_dir):
+    return S.score_chunked(FX.flows(spark, sf_dir), _bundle(), flow_rate=5000)
+
+
+@register("union_chunks")
+def union_chunks(spark, sf_dir):
+    """Score hash-chunks of the table separately, then union them by name:
+    the result equals whole-table scoring."""
+    f = FX.flows(spark, sf_dir)
+    chunk = F.pmod(F.xxhash64("flow_id"), F.lit(3))
+    parts = [S.score_table(f.where(chunk == i), _bundle(), flow_rate=None) for i in range(3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("single_row_verdict")
+def single_row_verdict(spark, sf_dir):
+    v = _verdicts(spark, sf_dir)
+    long = S.long_verdicts(v, ["flow_id"])
+    return long.select(
+        "flow_id", "mode", V.binary_text(F.col("pred_binary")).alias("binary_text"),
+        F.when(F.col("mode") != "DFDM", V.label3_text(F.col("pred_3label"))).alias("label3_text"),
+        F.when(F.col("pred_binary") == F.col("y"), F.lit("correct")).otherwise(F.lit("wrong")).alias("correct"))
+
+
+# ------------------------------------------------------------ 2.6 metrics
+@register("member_accuracies")
+def member_accuracies(spark, sf_dir):
+    b = _bundle()
+    v = _verdicts(spark, sf_dir)
+    groups = [("FDM/DFDM", b.fdm.members), ("HAM", b.ham.members)]
+    names = _members(b)
+    agg = v.agg(F.count(F.lit(1)).alias("n"),
+                *[F.count_if(F.col(f"_v_{n}") == F.col("_y")).alias(f"ok_{n}") for n in names])
+    rows = F.array(*[F.struct(F.lit(g).alias("mode"), F.lit(n).alias("member"),
+                              F.when(F.col("n") > 0, F.col(f"ok_{n}").cast("double") / F.col("n").cast("double"))
+                              .otherwise(F.lit(0.0)).alias("accuracy"))
+                     for g, ms in groups for n in ms])
+    return agg.select(F.inline(rows))
+
+
+def _counts(spark, sf_dir, modes=("HAM", "FDM", "DFDM"), **kw):
+    return MET.mode_counts(_verdicts(spark, sf_dir), modes, **kw)
+
+
+@register("confusion_counts")
+def confusion_counts(spark, sf_dir):
+    return _counts(spark, sf_dir).select("mode", "tp", "tn", "fp", "fn")
+
+
+@register("binary_metrics")
+def binary_metrics(spark, sf_dir):
+    return MET.with_binary_metrics(_counts(spark, sf_dir)).select(
+        "mode", "total", "accuracy", "precision", "sensitivity", "f1")
+
+
+@register("confident_accuracy")
+def confident_accuracy(spark, sf_dir):
+    c = MET.with_three_label_metrics(_counts(spark, sf_dir, ("HAM", "FDM")))
+    return c.select("mode", "n_confident", "confident_accuracy")
+
+
+@register("three_label_metrics")
+def three_label_metrics(spark, sf_dir):
+    c = MET.with_three_label_metrics(_counts(spark, sf_dir, ("HAM", "FDM")))
+    return c.select("mode", "confident_accuracy", "warning_rate", "benign_precision", "benign_recall",
+                    "malicious_precision", "malicious_recall", "attacks_let_through")
+
+
+@register("attacks_let_through")
+def attacks_let_through(spark, sf_dir):
+    c = MET.with_three_label_metrics(_counts(spark, sf_dir, ("HAM", "FDM")))
+    return c.select("mode", "attacks_let_through")
+
+
+@register("warning_breakdown")
+def warning_breakdown(spark, sf_dir):
+    return _counts(spark, sf_dir, ("HAM", "FDM")).select(
+        "mode", "n_benign", "n_warning", "n_malicious", "warn_actually_benign", "warn_actually_malicious")
+
+
+@register("mode_summary")
+def mode_summary(spark, sf_dir):
+    return MET.mode_summary(_verdicts(spark, sf_dir))
+
+
+@register("evaluate_all_modes")
+def evaluate_all_modes(spark, sf_dir):
+    return MET.evaluate_all_modes(_verdicts(spark, sf_dir))
+
+
+@register("metrics_by_label")
+def metrics_by_label(spark, sf_dir):
+    c = _counts(spark, sf_dir, group_cols=["label"])
+    return c.select("label", "mode", "n", "tp", "tn", "fp", "fn", "n_warning")
+
+
+@register("metrics_rollup")
+def metrics_rollup(spark, sf_dir):
+    c = _counts(spark, sf_dir, group_cols=["protocol", "label"], rollup=True)
+    return c.select("protocol", "label", "grouping_level", "mode", "n", "tp", "tn", "fp", "fn")

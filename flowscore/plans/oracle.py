@@ -29,3 +29,190 @@ SELECT mode, {rank(('HAM', 'FDM', 'DFDM'))} AS position,
   CASE WHEN mode <> 'DFDM' THEN attacks_let_through END AS attacks_missed
 FROM (SELECT *, {THREE_METRICS_COLS} FROM bm2) t
 ORDER BY position""")
+
+# ------------------------------------------------------------------ 2.2 prep
+from flowscore.plans.oracle_base import FEATURES, FLOWS_SQL, clean  # noqa: E402
+
+_F = f"flows AS ({FLOWS_SQL})"
+_Y = "CASE WHEN label IS NOT DISTINCT FROM 'Benign' THEN 0 ELSE 1 END"
+
+
+def _noinf(c: str) -> str:
+    return f"CASE WHEN isinf(CAST({c} AS DOUBLE)) THEN NULL ELSE {c} END"
+
+
+ORACLE["trim_columns"] = with_ctes(_F, body=f"SELECT {FLOW_COLS} FROM flows")
+ORACLE["binarize_label"] = with_ctes(_F, body=f"SELECT flow_id, label, {_Y} AS y FROM flows")
+ORACLE["numeric_label"] = "SELECT doc_id, CAST(toxic AS INTEGER) AS y FROM labels"
+ORACLE["label_counts"] = with_ctes(_F, body=f"""
+SELECT CAST(count_if({_Y} = 0) AS BIGINT) AS benign, CAST(count_if({_Y} = 1) AS BIGINT) AS malicious FROM flows""")
+ORACLE["score_unlabeled"] = with_ctes(SCORED_CTES, body=f"""
+SELECT {FLOW_COLS.replace(' label,', '')},
+  b_ham AS pred_binary_HAM, {l3_text('l3_ham')} AS pred_3label_HAM, 'HAM' AS mode_HAM,
+  b_fdm AS pred_binary_FDM, {l3_text('l3_fdm')} AS pred_3label_FDM, 'FDM' AS mode_FDM,
+  b_dfdm AS pred_binary_DFDM, {l3_text('l3_dfdm')} AS pred_3label_DFDM, 'DFDM' AS mode_DFDM
+FROM scored""")
+ORACLE["clean_inf"] = with_ctes(_F, body="SELECT flow_id, " + ", ".join(
+    f"{_noinf(c)} AS {c}" for c in FEATURES) + " FROM flows")
+ORACLE["required_columns"] = with_ctes(_F, body=" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, TRUE AS present,
+       CAST(count_if(CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS n_null,
+       CAST(count_if(isnan(CAST({c} AS DOUBLE))) AS BIGINT) AS n_nan,
+       CAST(count_if(isinf(CAST({c} AS DOUBLE))) AS BIGINT) AS n_inf FROM flows""" for c in FEATURES))
+_ENC = """
+enc AS (
+  SELECT col AS "column", cls AS class, CAST(dense_rank() OVER (PARTITION BY col ORDER BY cls) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT 'protocol' AS col, protocol AS cls FROM flows WHERE protocol IS NOT NULL
+        UNION SELECT DISTINCT 'label', label FROM flows WHERE label IS NOT NULL) d)
+"""
+ORACLE["encoder_fit"] = with_ctes(_F, _ENC, body='SELECT "column", class, code FROM enc')
+ORACLE["encode_categorical"] = with_ctes(_F, _ENC, body="""
+SELECT f.flow_id, COALESCE(ep.code, 0) AS protocol_code, COALESCE(el.code, 0) AS label_code
+FROM flows f
+LEFT JOIN (SELECT class, code FROM enc WHERE "column" = 'protocol') ep ON COALESCE(f.protocol, 'nan') = ep.class
+LEFT JOIN (SELECT class, code FROM enc WHERE "column" = 'label') el ON COALESCE(f.label, 'nan') = el.class""")
+ORACLE["project_features"] = with_ctes(_F, body="SELECT flow_id, " + ", ".join(
+    f"CAST({_noinf(c)} AS DOUBLE) AS {c}" for c in FEATURES) + " FROM flows")
+ORACLE["fill_missing"] = with_ctes(_F, body="SELECT flow_id, " + ", ".join(
+    f"{clean(c)} AS {c}" for c in FEATURES) + " FROM flows")
+_FILLED = "filled AS (SELECT flow_id, label, " + ", ".join(f"{clean(c)} AS {c}" for c in FEATURES) + " FROM flows)"
+_SCALER = "sc AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in FEATURES) + " FROM filled)"
+ORACLE["scaler_fit"] = with_ctes(_F, _FILLED, _SCALER, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round_even(m_{c}, 6) AS mean, round_even(s_{c}, 6) AS scale FROM sc"
+    for c in FEATURES))
+ORACLE["standard_scale"] = with_ctes(_F, _FILLED, _SCALER, body="SELECT flow_id, " + ", ".join(
+    f"round_even(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in FEATURES) + " FROM filled, sc")
+ORACLE["preprocess"] = with_ctes(_F, _FILLED, _SCALER, body=f"SELECT flow_id, {_Y} AS y, " + ", ".join(
+    f"round_even(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in FEATURES) + " FROM filled, sc")
+ORACLE["prediction_output"] = with_ctes(SCORED_CTES, body=f"""
+SELECT {FLOW_COLS}, b_fdm AS pred_binary, {l3_text('l3_fdm')} AS pred_3label, 'FDM' AS mode FROM scored""")
+_FDM_F = ("flow_iat_mean", "fwd_packet_length_max", "init_bwd_win_bytes", "init_fwd_win_bytes")
+ORACLE["feature_subsets"] = with_ctes(_F, body="SELECT flow_id, " + ", ".join(
+    [f"{clean(c)} AS fdm_{c}" for c in _FDM_F] + [f"{clean(c)} AS ham_{c}" for c in FEATURES]) + " FROM flows")
+ORACLE["single_row_source"] = with_ctes(_F, body="SELECT " + ", ".join(FEATURES) + " FROM flows")
+
+# ------------------------------------------------------------------ 2.3 routing
+_JOBS = """
+jobs AS (
+  SELECT o_orderkey AS job_id,
+    CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE 'pending' END AS status,
+    CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 5000 ELSE 777 END AS flow_rate,
+    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'label' END AS label_col,
+    CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Benign' END AS benign_label,
+    concat('flows_', CAST(o_orderkey AS VARCHAR),
+           CASE o_orderkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.CSV' ELSE '.txt' END) AS input_filename,
+    o_orderdate AS created_at
+  FROM orders)
+"""
+
+
+def _mode(rate: str, high, extreme) -> str:
+    return (f"CASE WHEN {rate} IS NULL THEN NULL WHEN {rate} >= {extreme} THEN 'DFDM' "
+            f"WHEN {rate} >= {high} THEN 'FDM' ELSE 'HAM' END")
+
+
+ORACLE["flow_to_mode"] = with_ctes(_JOBS, body=f"SELECT job_id, flow_rate, {_mode('flow_rate', 1000, 5000)} AS mode FROM jobs")
+_HOURLY = "hourly AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS rate FROM events GROUP BY 1)"
+ORACLE["select_mode"] = with_ctes(_HOURLY, body=f"SELECT window_start, rate, {_mode('rate', 10, 20)} AS mode FROM hourly")
+ORACLE["windowed_rate_mode"] = with_ctes(_HOURLY, body=f"""
+SELECT e.event_id, h.window_start, h.rate, {_mode('h.rate', 10, 20)} AS mode
+FROM events e JOIN hourly h ON date_trunc('hour', e.ts) = h.window_start""")
+ORACLE["all_modes_long"] = with_ctes(SCORED_CTES, LONG_CTE, body=f"""
+SELECT flow_id, mode, b AS pred_binary, {l3_text('l3')} AS pred_3label FROM long""")
+ORACLE["routed_predict"] = with_ctes(SCORED_CTES, body=f"""
+, daily AS (SELECT date_trunc('day', seen_at) AS d, count(*) AS rate FROM flows GROUP BY 1),
+r AS (SELECT s.*, daily.rate, {_mode('daily.rate', 20, 30)} AS mode FROM scored s JOIN daily ON date_trunc('day', s.seen_at) = daily.d)
+SELECT flow_id, rate AS flow_rate, mode,
+  CASE mode WHEN 'HAM' THEN b_ham WHEN 'FDM' THEN b_fdm ELSE b_dfdm END AS pred_binary,
+  {l3_text("CASE mode WHEN 'HAM' THEN l3_ham WHEN 'FDM' THEN l3_fdm ELSE l3_dfdm END")} AS pred_3label
+FROM r""").replace("\n\n, daily", ", daily")
+
+# ------------------------------------------------------------------ 2.4 voting
+ORACLE["member_votes"] = with_ctes(SCORED_CTES, body="""
+SELECT flow_id, v1 AS vote_m1, v2 AS vote_m2, v3 AS vote_m3, v4 AS vote_m4, v5 AS vote_m5 FROM scored""")
+ORACLE["weighted_vote"] = with_ctes(SCORED_CTES, body="SELECT flow_id, vd_fdm, vd_ham FROM scored")
+ORACLE["hard_vote"] = with_ctes(SCORED_CTES, body="SELECT flow_id, hv_fdm, hv_ham FROM scored")
+ORACLE["vote_threshold"] = with_ctes(SCORED_CTES, body="""
+SELECT flow_id, vd_ham, CAST(2.75 AS DOUBLE) AS max_vote_index, b_ham AS pred_binary FROM scored""")
+ORACLE["fdm_binary"] = with_ctes(SCORED_CTES, body="SELECT flow_id, b_fdm AS pred_binary FROM scored")
+ORACLE["ham_binary"] = with_ctes(SCORED_CTES, body="SELECT flow_id, b_ham AS pred_binary FROM scored")
+ORACLE["dfdm_binary"] = with_ctes(SCORED_CTES, body="SELECT flow_id, b_dfdm AS pred_binary FROM scored")
+_EE = """
+ee AS (SELECT flow_id, CASE WHEN v1 = 1 THEN 1 WHEN v2 = 1 THEN 2 WHEN v3 = 1 THEN 3 WHEN v4 = 1 THEN 4 END AS stage
+       FROM scored)
+"""
+ORACLE["dfdm_early_exit"] = with_ctes(SCORED_CTES, _EE, body="""
+SELECT flow_id, CASE WHEN stage IS NULL THEN 0 ELSE 1 END AS pred_binary, 'm' || CAST(stage AS VARCHAR) AS exit_member
+FROM ee""")
+ORACLE["cascade_survivors"] = with_ctes(SCORED_CTES, _EE, """
+c AS (SELECT count(*) AS n, count_if(stage = 1) AS f1, count_if(stage = 2) AS f2, count_if(stage = 3) AS f3,
+             count_if(stage = 4) AS f4 FROM ee)""", body="""
+SELECT 1 AS stage, 'm1' AS member, CAST(n AS BIGINT) AS evaluated, CAST(f1 AS BIGINT) AS flagged FROM c
+UNION ALL SELECT 2, 'm2', CAST(n - f1 AS BIGINT), CAST(f2 AS BIGINT) FROM c
+UNION ALL SELECT 3, 'm3', CAST(n - f1 - f2 AS BIGINT), CAST(f3 AS BIGINT) FROM c
+UNION ALL SELECT 4, 'm4', CAST(n - f1 - f2 - f3 AS BIGINT), CAST(f4 AS BIGINT) FROM c""")
+ORACLE["three_label"] = with_ctes(SCORED_CTES, body="""
+SELECT flow_id, mean_fdm AS mean_p_fdm, std_fdm AS std_p_fdm, l3_fdm AS label3_fdm,
+  mean_ham AS mean_p_ham, std_ham AS std_p_ham, l3_ham AS label3_ham FROM scored""")
+for _m in ("fdm", "ham", "dfdm"):
+    ORACLE[f"{_m}_three_label"] = with_ctes(SCORED_CTES, body=f"SELECT flow_id, {l3_text('l3_' + _m)} AS pred_3label FROM scored")
+ORACLE["predict_one_mode"] = with_ctes(SCORED_CTES, body=f"""
+SELECT flow_id, b_ham AS pred_binary, {l3_text('l3_ham')} AS pred_3label, 'HAM' AS mode FROM scored""")
+ORACLE["chunked_score"] = with_ctes(SCORED_CTES, body=f"""
+SELECT {FLOW_COLS}, b_dfdm AS pred_binary, {l3_text('l3_dfdm')} AS pred_3label, 'DFDM' AS mode FROM scored""")
+ORACLE["union_chunks"] = ORACLE["score_all_modes"]
+ORACLE["single_row_verdict"] = with_ctes(SCORED_CTES, LONG_CTE, body=f"""
+SELECT flow_id, mode, CASE b WHEN 0 THEN 'Benign' WHEN 1 THEN 'Malicious' END AS binary_text,
+  CASE WHEN mode <> 'DFDM' THEN {l3_text('l3')} END AS label3_text,
+  CASE WHEN b = y THEN 'correct' ELSE 'wrong' END AS correct
+FROM long""")
+
+# ------------------------------------------------------------------ 2.6 metrics
+ORACLE["member_accuracies"] = with_ctes(SCORED_CTES, """
+a AS (SELECT count(*) AS n, count_if(v1 = y) AS k1, count_if(v2 = y) AS k2, count_if(v3 = y) AS k3,
+             count_if(v4 = y) AS k4, count_if(v5 = y) AS k5 FROM scored)""", body=" UNION ALL ".join(
+    f"SELECT '{g}' AS mode, 'm{i}' AS member, "
+    f"CASE WHEN n > 0 THEN CAST(k{i} AS DOUBLE) / CAST(n AS DOUBLE) ELSE 0.0 END AS accuracy FROM a"
+    for g, ms in (("FDM/DFDM", (1, 2, 3, 4)), ("HAM", (1, 2, 3, 4, 5))) for i in ms))
+
+ORACLE["confusion_counts"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_BY_MODE,
+                                       body="SELECT mode, tp, tn, fp, fn FROM counts")
+ORACLE["binary_metrics"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_BY_MODE, BINARY_METRICS_CTE, body="""
+SELECT mode, tp + tn + fp + fn AS total, accuracy, precision, sensitivity, f1 FROM bm2""")
+_COUNTS_2 = f"counts AS (SELECT mode, {COUNTS_SELECT} FROM long WHERE mode <> 'DFDM' GROUP BY mode)"
+_TL = f"tl AS (SELECT *, {THREE_METRICS_COLS} FROM counts)"
+ORACLE["confident_accuracy"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_2, _TL,
+                                         body="SELECT mode, n_confident, confident_accuracy FROM tl")
+ORACLE["three_label_metrics"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_2, _TL, body="""
+SELECT mode, confident_accuracy, warning_rate, benign_precision, benign_recall, malicious_precision,
+  malicious_recall, attacks_let_through FROM tl""")
+ORACLE["attacks_let_through"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_2, _TL,
+                                          body="SELECT mode, attacks_let_through FROM tl")
+ORACLE["warning_breakdown"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_2, body="""
+SELECT mode, n_benign, n_warning, n_malicious, warn_actually_benign, warn_actually_malicious FROM counts""")
+ORACLE["mode_summary"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_BY_MODE, body=f"""
+SELECT mode, {rank(('HAM', 'FDM', 'DFDM'))} AS position, n, n_pred_malicious AS n_malicious_binary,
+  n - n_pred_malicious AS n_benign_binary,
+  round_even(CASE WHEN n <> 0 THEN CAST(n_pred_malicious AS DOUBLE) / CAST(n AS DOUBLE) ELSE 0.0 END * 100.0, 2) AS attack_pct,
+  CASE WHEN mode <> 'DFDM' THEN n_benign END AS n_benign_3l,
+  CASE WHEN mode <> 'DFDM' THEN n_warning END AS n_warning_3l,
+  CASE WHEN mode <> 'DFDM' THEN n_malicious END AS n_malicious_3l,
+  CASE WHEN mode <> 'DFDM' THEN round_even(CASE WHEN n <> 0 THEN CAST(n_warning AS DOUBLE) / CAST(n AS DOUBLE)
+       ELSE 0.0 END * 100.0, 2) END AS warn_rate_pct
+FROM counts ORDER BY position""")
+ORACLE["evaluate_all_modes"] = with_ctes(SCORED_CTES, LONG_CTE, _COUNTS_BY_MODE, BINARY_METRICS_CTE, body=f"""
+SELECT mode, {rank(('FDM', 'DFDM', 'HAM'))} AS position, accuracy, precision, sensitivity, f1, tp, tn, fp, fn
+FROM bm2 ORDER BY position""")
+ORACLE["metrics_by_label"] = with_ctes(SCORED_CTES, LONG_CTE, body=f"""
+SELECT label, mode, {COUNTS_SELECT.split(',')[0]}, CAST(count_if(y = 1 AND b = 1) AS BIGINT) AS tp,
+  CAST(count_if(y = 0 AND b = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND b = 1) AS BIGINT) AS fp,
+  CAST(count_if(y = 1 AND b = 0) AS BIGINT) AS fn, CAST(count_if(l3 = 1) AS BIGINT) AS n_warning
+FROM long GROUP BY label, mode""")
+ORACLE["metrics_rollup"] = with_ctes(SCORED_CTES, LONG_CTE, body="""
+SELECT protocol, label, CAST(GROUPING(protocol, label) AS INTEGER) AS grouping_level, mode,
+  CAST(count(*) AS BIGINT) AS n, CAST(count_if(y = 1 AND b = 1) AS BIGINT) AS tp,
+  CAST(count_if(y = 0 AND b = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND b = 1) AS BIGINT) AS fp,
+  CAST(count_if(y = 1 AND b = 0) AS BIGINT) AS fn
+FROM long GROUP BY mode, ROLLUP (protocol, label)""")
