@@ -414,3 +414,86 @@ def metrics_by_label(spark, sf_dir):
 def metrics_rollup(spark, sf_dir):
     c = _counts(spark, sf_dir, group_cols=["protocol", "label"], rollup=True)
     return c.select("protocol", "label", "grouping_level", "mode", "n", "tp", "tn", "fp", "fn")
+
+
+# ---------------------------------------------------------- 2.7 telemetry
+from flowscore.operators import telemetry as TEL  # noqa: E402
+
+PATH_PAIRS = [("binary", "click", "view"), ("3-label", "error", "purchase")]
+
+
+@register("stage_rollup")
+def stage_rollup(spark, sf_dir):
+    return TEL.stage_rollup(FX.telemetry_samples(spark, sf_dir))
+
+
+@register("stage_summary")
+def stage_summary(spark, sf_dir):
+    return TEL.stage_summary(TEL.stage_rollup(FX.telemetry_samples(spark, sf_dir)), exclude_prefix="sign")
+
+
+def _r6(df, cols):
+    return df.select(*[F.bround(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("path_timing")
+def path_timing(spark, sf_dir):
+    t = TEL.path_timing(FX.path_runs(spark, sf_dir))
+    return _r6(t, {"mean_sec", "std_sec", "per_sample_us", "per_sample_std_us", "total_ms", "throughput_sps"})
+
+
+@register("path_delta")
+def path_delta(spark, sf_dir):
+    d = TEL.path_delta(TEL.path_timing(FX.path_runs(spark, sf_dir)), PATH_PAIRS)
+    return _r6(d, {"first_us", "second_us", "delta_us", "delta_pct"})
+
+
+@register("efficiency_table")
+def efficiency_table(spark, sf_dir):
+    return TEL.efficiency_table(TEL.path_timing(FX.path_runs(spark, sf_dir)),
+                                TEL.stage_rollup(FX.telemetry_samples(spark, sf_dir)))
+
+
+# --------------------------------------------------------------- 2.9 jobs
+from flowscore.operators import jobs as JOB  # noqa: E402
+
+
+def _manifest(spark, sf_dir):
+    """Accepted requests with defaults applied: the job table."""
+    r = JOB.with_defaults(JOB.validate(FX.job_requests(spark, sf_dir)))
+    return r.where("accepted")
+
+
+@register("job_validate")
+def job_validate(spark, sf_dir):
+    return JOB.validate(FX.job_requests(spark, sf_dir)).select("job_id", "accepted", "reject_reason")
+
+
+@register("job_defaults")
+def job_defaults(spark, sf_dir):
+    return _manifest(spark, sf_dir).select("job_id", F.col("initial_status").alias("status"), "flow_rate",
+                                           "label_col", "benign_label", "input_filename")
+
+
+@register("job_score")
+def job_score(spark, sf_dir):
+    v = S.verdicts(FX.flows(spark, sf_dir, keep_order_key=True), _bundle())
+    s = JOB.score_jobs(v, _manifest(spark, sf_dir), key="order_key")
+    return s.select("job_id", "flow_id", "mode", "pred_binary",
+                    V.label3_text(F.col("pred_3label")).alias("pred_3label"), "y")
+
+
+@register("job_status_codes")
+def job_status_codes(spark, sf_dir):
+    req = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("request_id"))
+    return JOB.status_codes(req, _manifest(spark, sf_dir))
+
+
+@register("job_latest_status")
+def job_latest_status(spark, sf_dir):
+    return JOB.latest_status(JOB.lifecycle_events(_manifest(spark, sf_dir)))
+
+
+@register("job_rollup")
+def job_rollup(spark, sf_dir):
+    return _manifest(spark, sf_dir).groupBy("status", "flow_rate").agg(F.count(F.lit(1)).alias("n_jobs"))

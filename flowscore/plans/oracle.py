@@ -216,3 +216,104 @@ SELECT protocol, label, CAST(GROUPING(protocol, label) AS INTEGER) AS grouping_l
   CAST(count_if(y = 0 AND b = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND b = 1) AS BIGINT) AS fp,
   CAST(count_if(y = 1 AND b = 0) AS BIGINT) AS fn
 FROM long GROUP BY mode, ROLLUP (protocol, label)""")
+
+# ------------------------------------------------------------------ 2.7 telemetry
+_SAMPLES = """
+samples AS (SELECT event_type AS stage, ts, value AS mem_mb, CAST(user_id % 100 AS DOUBLE) AS cpu_pct,
+                   CAST(event_id % 16 + 1 AS INTEGER) AS threads FROM events)
+"""
+_ROLLUP = """
+rollup_t AS (
+  SELECT stage, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 AS elapsed_sec,
+    arg_min(mem_mb, ts) AS start_mem_mb, arg_max(mem_mb, ts) AS end_mem_mb,
+    max(mem_mb) AS peak_mem_mb, min(mem_mb) AS min_mem_mb,
+    COALESCE(avg(cpu_pct), 0.0) AS avg_cpu_pct, COALESCE(max(cpu_pct), 0.0) AS max_cpu_pct,
+    avg(CAST(threads AS DOUBLE)) AS avg_threads, max(threads) AS max_threads,
+    CAST(count(*) AS BIGINT) AS n_poll_samples,
+    arg_max(mem_mb, ts) - arg_min(mem_mb, ts) AS mem_delta_mb,
+    max(mem_mb) - arg_min(mem_mb, ts) AS peak_increase_mb
+  FROM samples GROUP BY stage)
+"""
+ORACLE["stage_rollup"] = with_ctes(_SAMPLES, _ROLLUP, body="SELECT * FROM rollup_t")
+ORACLE["stage_summary"] = with_ctes(_SAMPLES, _ROLLUP, body="""
+SELECT stage, round_even(elapsed_sec, 3) AS time_s, round_even(mem_delta_mb, 2) AS mem_delta_mb,
+  round_even(peak_increase_mb, 2) AS peak_delta_mb, round_even(peak_mem_mb, 2) AS peak_mem_mb,
+  round_even(avg_cpu_pct, 1) AS avg_cpu_pct, round_even(max_cpu_pct, 1) AS max_cpu_pct, max_threads,
+  n_poll_samples AS poll_samples
+FROM rollup_t WHERE NOT starts_with(stage, 'sign') AND n_poll_samples >= 2""")
+_TIMING = """
+timing AS (
+  SELECT path, mean_sec, std_sec, mean_sec / CAST(n_samples AS DOUBLE) * 1e6 AS per_sample_us,
+    std_sec / CAST(n_samples AS DOUBLE) * 1e6 AS per_sample_std_us, mean_sec * 1000.0 AS total_ms,
+    CASE WHEN mean_sec > 0 THEN CAST(n_samples AS DOUBLE) / mean_sec ELSE 0.0 END AS throughput_sps,
+    n_samples, n_repeats
+  FROM (SELECT event_type AS path, avg(value) AS mean_sec, stddev_pop(value) AS std_sec,
+               CAST(1000 AS BIGINT) AS n_samples, CAST(count(*) AS BIGINT) AS n_repeats
+        FROM events GROUP BY event_type) t)
+"""
+ORACLE["path_timing"] = with_ctes(_TIMING, body="""
+SELECT path, round_even(mean_sec, 6) AS mean_sec, round_even(std_sec, 6) AS std_sec,
+  round_even(per_sample_us, 6) AS per_sample_us, round_even(per_sample_std_us, 6) AS per_sample_std_us,
+  round_even(total_ms, 6) AS total_ms, round_even(throughput_sps, 6) AS throughput_sps, n_samples, n_repeats
+FROM timing""")
+ORACLE["path_delta"] = with_ctes(_TIMING, """
+pairs AS (SELECT * FROM (VALUES ('binary', 'click', 'view'), ('3-label', 'error', 'purchase'))
+          AS p(tag, first_path, second_path))""", body="""
+SELECT p.tag, p.first_path, p.second_path, round_even(a.per_sample_us, 6) AS first_us,
+  round_even(b.per_sample_us, 6) AS second_us, round_even(b.per_sample_us - a.per_sample_us, 6) AS delta_us,
+  round_even((b.per_sample_us / a.per_sample_us - 1.0) * 100.0, 6) AS delta_pct
+FROM pairs p JOIN timing a ON a.path = p.first_path JOIN timing b ON b.path = p.second_path""")
+ORACLE["efficiency_table"] = with_ctes(_SAMPLES, _ROLLUP, _TIMING, body="""
+SELECT t.path,
+  round_even(t.throughput_sps / greatest(abs(r.mem_delta_mb), 0.1), 1) AS samples_per_sec_per_mb,
+  round_even(t.throughput_sps / greatest(r.avg_cpu_pct, 0.1), 0) AS samples_per_sec_per_cpu_pct,
+  round_even(t.per_sample_us * greatest(abs(r.mem_delta_mb), 0.1), 4) AS us_x_peak_mb
+FROM timing t JOIN rollup_t r ON r.stage = t.path""")
+
+# ------------------------------------------------------------------ 2.9 jobs
+_VALID = """
+valid AS (
+  SELECT *, CASE WHEN NOT (flow_rate IS NULL OR flow_rate IN (0, 1000, 5000))
+                   THEN 'flow_rate must be one of [0, 1000, 5000] or omitted for all modes'
+                 WHEN NOT ends_with(lower(input_filename), '.csv') THEN 'file must be a .csv' END AS reject_reason
+  FROM jobs),
+manifest AS (
+  SELECT job_id, status, flow_rate, NULLIF(label_col, '') AS label_col,
+    COALESCE(NULLIF(benign_label, ''), 'Benign') AS benign_label, input_filename, created_at
+  FROM valid WHERE reject_reason IS NULL)
+"""
+ORACLE["job_validate"] = with_ctes(_JOBS, _VALID, body="""
+SELECT job_id, reject_reason IS NULL AS accepted, reject_reason FROM valid""")
+ORACLE["job_defaults"] = with_ctes(_JOBS, _VALID, body="""
+SELECT job_id, 'pending' AS status, flow_rate, label_col, benign_label, input_filename FROM manifest""")
+ORACLE["job_score"] = with_ctes(SCORED_CTES, _JOBS, _VALID, body=f"""
+, jm AS (
+  SELECT m.job_id, s.flow_id, s.label, m.label_col, m.benign_label, md.mode,
+    s.b_ham, s.b_fdm, s.b_dfdm, s.l3_ham, s.l3_fdm, s.l3_dfdm
+  FROM scored s JOIN manifest m ON s.order_key = m.job_id
+  JOIN (SELECT 'HAM' AS mode UNION ALL SELECT 'FDM' UNION ALL SELECT 'DFDM') md
+    ON md.mode = COALESCE({_mode('m.flow_rate', 1000, 5000)}, md.mode))
+SELECT job_id, flow_id, mode,
+  CASE mode WHEN 'HAM' THEN b_ham WHEN 'FDM' THEN b_fdm ELSE b_dfdm END AS pred_binary,
+  {l3_text("CASE mode WHEN 'HAM' THEN l3_ham WHEN 'FDM' THEN l3_fdm ELSE l3_dfdm END")} AS pred_3label,
+  CASE WHEN label_col IS NULL THEN NULL WHEN label IS NOT DISTINCT FROM benign_label THEN 0 ELSE 1 END AS y
+FROM jm""").replace("\n\n, jm", ", jm")
+ORACLE["job_status_codes"] = with_ctes(_JOBS, _VALID, body="""
+SELECT e.event_id AS request_id, m.status,
+  CASE WHEN m.status IS NULL THEN 404 WHEN m.status IN ('pending', 'running') THEN 202
+       WHEN m.status = 'failed' THEN 500 ELSE 200 END AS code
+FROM events e LEFT JOIN manifest m ON m.job_id = e.event_id""")
+ORACLE["job_latest_status"] = with_ctes(_JOBS.replace(
+    "o_orderdate AS created_at", "o_orderdate AS created_at, concat('Traceback: ', repeat(o_orderpriority, 200)) AS error_text"),
+    _VALID.replace("input_filename, created_at", "input_filename, created_at, error_text"), """
+log AS (
+  SELECT job_id, 'pending' AS event_status, created_at AS ts, CAST(NULL AS VARCHAR) AS error_message FROM manifest
+  UNION ALL SELECT job_id, 'running', created_at + INTERVAL 1 HOUR, NULL FROM manifest WHERE status IN ('done', 'failed')
+  UNION ALL SELECT job_id, status, created_at + INTERVAL 2 HOUR,
+    CASE WHEN status = 'failed' THEN right(error_text, 2000) END FROM manifest WHERE status IN ('done', 'failed'))""",
+    body="""
+SELECT job_id, arg_max(event_status, ts) AS status, max(ts) AS updated_at, arg_max(error_message, ts) AS error_message,
+  CAST(count(*) AS BIGINT) AS n_events
+FROM log GROUP BY job_id""")
+ORACLE["job_rollup"] = with_ctes(_JOBS, _VALID, body="""
+SELECT status, flow_rate, CAST(count(*) AS BIGINT) AS n_jobs FROM manifest GROUP BY status, flow_rate""")
