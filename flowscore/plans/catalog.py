@@ -497,3 +497,70 @@ def job_latest_status(spark, sf_dir):
 @register("job_rollup")
 def job_rollup(spark, sf_dir):
     return _manifest(spark, sf_dir).groupBy("status", "flow_rate").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+# ------------------------------------------------------- 2.8 batch forms
+from flowscore.operators import arrival as ARR  # noqa: E402
+
+IDLE_GAP_UNKEYED = 300.0  # 5 minutes between events of the whole stream
+IDLE_GAP_BY_USER = 6 * 3600.0  # 6 hours between events of one user
+BATCH_ROWS = 5
+
+
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+
+
+@register("count_batches")
+def count_batches(spark, sf_dir):
+    n = ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS)
+    return n.select("event_id", "arrival_pos", "batch_num", "pos_in_batch")
+
+
+@register("idle_batches")
+def idle_batches(spark, sf_dir):
+    n = ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
+    return n.select("event_id", "burst", "pos_in_burst")
+
+
+def _micro(spark, sf_dir):
+    return ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS,
+                               gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
+
+
+def _micro_by_user(spark, sf_dir):
+    return ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], key_cols=["user_id"],
+                               batch_size=BATCH_ROWS, gap_seconds=IDLE_GAP_BY_USER, ts_col="ts")
+
+
+@register("micro_batches")
+def micro_batches(spark, sf_dir):
+    return _micro(spark, sf_dir).select("event_id", "burst", "batch_num", "pos_in_batch")
+
+
+@register("micro_batches_by_user")
+def micro_batches_by_user(spark, sf_dir):
+    return _micro_by_user(spark, sf_dir).select("user_id", "event_id", "burst", "batch_num", "pos_in_batch")
+
+
+@register("batch_progress")
+def batch_progress(spark, sf_dir):
+    return ARR.batch_progress(_micro(spark, sf_dir))
+
+
+@register("leftover_rows")
+def leftover_rows(spark, sf_dir):
+    return ARR.leftover_rows(_micro_by_user(spark, sf_dir), BATCH_ROWS, ["user_id"]).select(
+        "user_id", "event_id", "batch_num")
+
+
+TAIL_ROWS_SEEN = 1000
+
+
+@register("tail_new_rows")
+def tail_new_rows(spark, sf_dir):
+    """Rows not yet seen: arrival position (by seen_at, flow_id) beyond the
+    ``rows_seen`` already dispatched."""
+    f = FX.flows(spark, sf_dir)
+    n = ARR.number_arrivals(f, ["seen_at", "flow_id"])
+    return n.where(F.col("arrival_pos") > TAIL_ROWS_SEEN).select("flow_id", "arrival_pos")

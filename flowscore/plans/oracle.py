@@ -317,3 +317,47 @@ SELECT job_id, arg_max(event_status, ts) AS status, max(ts) AS updated_at, arg_m
 FROM log GROUP BY job_id""")
 ORACLE["job_rollup"] = with_ctes(_JOBS, _VALID, body="""
 SELECT status, flow_rate, CAST(count(*) AS BIGINT) AS n_jobs FROM manifest GROUP BY status, flow_rate""")
+
+# ------------------------------------------------------------------ 2.8 batch forms
+
+
+def _batches(key: str | None, gap_us: int | None, n: int | None) -> str:
+    part = f"PARTITION BY {key} " if key else ""
+    pk = f"{key}, " if key else ""
+    w = f"({part}ORDER BY t, event_id)"
+    gap = "0" if gap_us is None else f"CASE WHEN t - lag(t) OVER {w} >= {gap_us} THEN 1 ELSE 0 END"
+    chunk = f"(pos_in_burst - 1) // {n}" if n else "0"
+    inb = f"((pos_in_burst - 1) % {n}) + 1" if n else "pos_in_burst"
+    return f"""
+ord AS (SELECT event_id, user_id, ts, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, row_number() OVER {w} AS arrival_pos,
+             CASE WHEN lag(t) OVER {w} IS NULL THEN 1 ELSE {gap} END AS flag FROM ord),
+b AS (SELECT *, CAST(sum(flag) OVER ({part}ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                     AS BIGINT) AS burst FROM g),
+c AS (SELECT *, row_number() OVER (PARTITION BY {pk}burst ORDER BY t, event_id) AS pos_in_burst FROM b),
+nb AS (SELECT *, dense_rank() OVER ({part}ORDER BY burst, {chunk}) AS batch_num,
+              CAST({inb} AS BIGINT) AS pos_in_batch FROM c)
+"""
+
+
+ORACLE["count_batches"] = with_ctes(_batches(None, None, 5), body="""
+SELECT event_id, arrival_pos, batch_num, pos_in_batch FROM nb""")
+ORACLE["idle_batches"] = with_ctes(_batches(None, 300_000_000, None), body="""
+SELECT event_id, burst, pos_in_burst FROM nb""")
+ORACLE["micro_batches"] = with_ctes(_batches(None, 300_000_000, 5), body="""
+SELECT event_id, burst, batch_num, pos_in_batch FROM nb""")
+ORACLE["micro_batches_by_user"] = with_ctes(_batches("user_id", 6 * 3600 * 1_000_000, 5), body="""
+SELECT user_id, event_id, burst, batch_num, pos_in_batch FROM nb""")
+ORACLE["batch_progress"] = with_ctes(_batches(None, 300_000_000, 5), body="""
+SELECT batch_num, CAST(count(*) AS BIGINT) AS n_rows, max(arrival_pos) AS rows_seen FROM nb GROUP BY batch_num""")
+ORACLE["leftover_rows"] = with_ctes(_batches("user_id", 6 * 3600 * 1_000_000, 5), """
+sizes AS (SELECT user_id, batch_num, count(*) AS n_rows FROM nb GROUP BY user_id, batch_num),
+lastb AS (SELECT user_id, max(batch_num) AS batch_num FROM nb GROUP BY user_id)""", body="""
+SELECT nb.user_id, nb.event_id, nb.batch_num FROM nb
+JOIN lastb l ON l.user_id = nb.user_id AND l.batch_num = nb.batch_num
+JOIN sizes s ON s.user_id = nb.user_id AND s.batch_num = nb.batch_num
+WHERE s.n_rows < 5""")
+ORACLE["tail_new_rows"] = with_ctes(_F, body="""
+SELECT flow_id, arrival_pos FROM (
+  SELECT flow_id, row_number() OVER (ORDER BY seen_at, flow_id) AS arrival_pos FROM flows) t
+WHERE arrival_pos > 1000""")
