@@ -213,11 +213,12 @@ def _summaries(key_cols, ts_col, n, gap):
     return fn
 
 
-def _fold(summaries: list, n: int, gap: int | None) -> dict[int, State | None]:
+def _fold(summaries: list, n: int, gap: int | None, initial: State | None = None):
     """Entry state of every partition, folding the per-partition summaries
-    in partition (= range) order. Bounded by the number of partitions."""
+    in partition (= range) order. Bounded by the number of partitions.
+    Returns (entry states by partition id, exit state after the last one)."""
     entry: dict[int, State | None] = {}
-    st: State | None = None
+    st: State | None = initial
     for s in sorted(summaries, key=lambda r: r["pid"]):
         entry[s["pid"]] = st
         fk = _key_tuple(s["first_key"])
@@ -238,7 +239,7 @@ def _fold(summaries: list, n: int, gap: int | None) -> dict[int, State | None]:
             bt = st.b_open + _ceil_div(P + s["f1"] - st.open_start, n)
             st = State(fk, fresh.last_ts, P + s["rows"], st.burst + fresh.burst - 1, P + fresh.open_start,
                        bt + (fresh.b_open - s["b_f1"]))
-    return entry
+    return entry, st
 
 
 def _apply(key_cols, ts_col, n, gap, entry, out_cols):
@@ -262,12 +263,16 @@ def _apply(key_cols, ts_col, n, gap, entry, out_cols):
 
 def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str] = (),
                     batch_size: int | None = None, gap_seconds: float | None = None,
-                    ts_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                    ts_col: str | None = None, num_partitions: int | None = None,
+                    initial: State | None = None, exit_state: list | None = None) -> DataFrame:
     """Adds ``arrival_pos``, ``burst``, ``pos_in_burst``, ``batch_num`` and
     ``pos_in_batch`` (all 1-based, per key). ``order_cols`` must make the
     order total within a key (end with a unique id). ``ts_col`` (timestamp)
     measures gaps when ``gap_seconds`` is set; ``batch_size`` None means only
-    gaps cut batches."""
+    gaps cut batches.
+
+    ``initial`` continues an earlier numbering (stream form, one key); when
+    ``exit_state`` is a list, the state after the last row is appended to it."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(batch_size) if batch_size else UNBOUNDED
@@ -281,7 +286,9 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
     with_pid = stable.select("*", F.spark_partition_id().alias("__pid"))
 
     summ = with_pid.mapInPandas(_summaries(list(key_cols), ts_col, n, gap), SUMMARY_SCHEMA).collect()
-    entry = _fold([r.asDict() for r in summ], n, gap)
+    entry, last = _fold([r.asDict() for r in summ], n, gap, initial)
+    if exit_state is not None:
+        exit_state.append(last)
 
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
     out_cols = [*df.columns, *OUT_FIELDS]

@@ -564,3 +564,95 @@ def tail_new_rows(spark, sf_dir):
     f = FX.flows(spark, sf_dir)
     n = ARR.number_arrivals(f, ["seen_at", "flow_id"])
     return n.where(F.col("arrival_pos") > TAIL_ROWS_SEEN).select("flow_id", "arrival_pos")
+
+
+# ------------------------------------------------------ 2.1 sources/sinks
+from flowscore.session import scratch_path  # noqa: E402
+from flowscore.sources import csv_io as CSV  # noqa: E402
+
+FLOW_TYPES = {
+    "flow_id": "string", "protocol": "string", "avg_packet_size": "double", "flow_iat_mean": "double",
+    "fwd_packet_length_max": "double", "fwd_packets_length_total": "double", "init_fwd_win_bytes": "bigint",
+    "init_bwd_win_bytes": "bigint", "label": "string", "seen_at": "timestamp_ntz",
+}
+
+
+@register("scan_flows")
+def scan_flows(spark, sf_dir):
+    """The flow table written as CSV (padded header names) and scanned back."""
+    path = scratch_path(spark, "flows-csv")
+    f = FX.flows(spark, sf_dir)
+    CSV.write_csv(f.toDF(*[f" {c} " for c in f.columns]), path)
+    return CSV.read_flows_csv(spark, path, FLOW_TYPES)
+
+
+@register("sink_roundtrip")
+def sink_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "predictions-csv")
+    CSV.write_csv(S.score_table(FX.flows(spark, sf_dir), _bundle(), flow_rate=None), path)
+    types = dict(FLOW_TYPES)
+    for m in ("HAM", "FDM", "DFDM"):
+        types[f"pred_binary_{m}"] = "int"
+    return CSV.read_flows_csv(spark, path, types)
+
+
+@register("archive_by_batch")
+def archive_by_batch(spark, sf_dir):
+    """Predictions archived per arrival batch (4096 rows in (seen_at, flow_id)
+    order), read back with the batch number from the folder names."""
+    from flowscore.constants import CHUNK_ROWS
+    f = ARR.number_arrivals(FX.flows(spark, sf_dir), ["seen_at", "flow_id"], batch_size=CHUNK_ROWS)
+    scored = S.verdicts(f.drop("arrival_pos", "burst", "pos_in_burst", "pos_in_batch"), _bundle())
+    out = scored.select("flow_id", "batch_num", *S.prediction_columns(("HAM", "FDM", "DFDM")))
+    path = scratch_path(spark, "archive")
+    CSV.write_by_batch(out, path, "batch_num", fmt="parquet")
+    return spark.read.parquet(path).select("flow_id", F.col("batch_num").cast("bigint").alias("batch_num"),
+                                           *[c for c in out.columns if c not in ("flow_id", "batch_num")])
+
+
+# ------------------------------------------------------------ 2.8 streams
+from flowscore.streaming import stream as STR  # noqa: E402
+
+
+def _landed_flows(spark, sf_dir):
+    f = FX.flows(spark, sf_dir)
+    landing = scratch_path(spark, "landing-flows")
+    STR.land_in_time_order(f, "seen_at", landing, rows_per_file=15_000)
+    return f.schema, landing
+
+
+def _landed_events(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    landing = scratch_path(spark, "landing-events")
+    STR.land_in_time_order(ev, "ts", landing, rows_per_file=2_500)
+    return ev.schema, landing
+
+
+@register("stream_score")
+def stream_score(spark, sf_dir):
+    schema, landing = _landed_flows(spark, sf_dir)
+    out = scratch_path(spark, "stream-score-out")
+    STR.stream_score(spark, landing, schema, _bundle(), out, scratch_path(spark, "stream-score-ckpt"))
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@register("stream_mode_counts")
+def stream_mode_counts(spark, sf_dir):
+    schema, landing = _landed_flows(spark, sf_dir)
+    return STR.stream_mode_counts(spark, landing, schema, _bundle(), scratch_path(spark, "stream-counts-out"),
+                                  scratch_path(spark, "stream-counts-ckpt"))
+
+
+@register("stream_rate_mode")
+def stream_rate_mode(spark, sf_dir):
+    schema, landing = _landed_events(spark, sf_dir)
+    return STR.stream_rate_mode(spark, landing, schema, "ts", "1 hour", "1 hour", 10, 20,
+                                scratch_path(spark, "stream-rate-out"), scratch_path(spark, "stream-rate-ckpt"))
+
+
+@register("stream_micro_batches")
+def stream_micro_batches(spark, sf_dir):
+    schema, landing = _landed_events(spark, sf_dir)
+    n = STR.stream_micro_batches(spark, landing, schema, ["ts", "event_id"], "ts", BATCH_ROWS, IDLE_GAP_UNKEYED,
+                                 scratch_path(spark, "stream-batches-out"), scratch_path(spark, "stream-batches-ckpt"))
+    return n.select("event_id", "burst", "batch_num", "pos_in_batch")

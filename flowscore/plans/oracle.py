@@ -361,3 +361,20 @@ ORACLE["tail_new_rows"] = with_ctes(_F, body="""
 SELECT flow_id, arrival_pos FROM (
   SELECT flow_id, row_number() OVER (ORDER BY seen_at, flow_id) AS arrival_pos FROM flows) t
 WHERE arrival_pos > 1000""")
+
+# ------------------------------------------------------------------ 2.1 sources/sinks
+ORACLE["scan_flows"] = with_ctes(_F, body=f"SELECT {FLOW_COLS} FROM flows")
+ORACLE["sink_roundtrip"] = ORACLE["score_all_modes"]
+ORACLE["archive_by_batch"] = with_ctes(SCORED_CTES, body=f"""
+SELECT flow_id, CAST((row_number() OVER (ORDER BY seen_at, flow_id) - 1) // 4096 + 1 AS BIGINT) AS batch_num,
+  b_ham AS pred_binary_HAM, {l3_text('l3_ham')} AS pred_3label_HAM, 'HAM' AS mode_HAM,
+  b_fdm AS pred_binary_FDM, {l3_text('l3_fdm')} AS pred_3label_FDM, 'FDM' AS mode_FDM,
+  b_dfdm AS pred_binary_DFDM, {l3_text('l3_dfdm')} AS pred_3label_DFDM, 'DFDM' AS mode_DFDM
+FROM scored""")
+
+# ------------------------------------------------------------------ 2.8 streams
+ORACLE["stream_score"] = ORACLE["score_all_modes"]
+ORACLE["stream_mode_counts"] = with_ctes(SCORED_CTES, LONG_CTE, body=f"""
+SELECT mode, {l3_text('l3')} AS pred_3label, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY mode, l3""")
+ORACLE["stream_rate_mode"] = with_ctes(_HOURLY, body=f"SELECT window_start, rate, {_mode('rate', 10, 20)} AS mode FROM hourly")
+ORACLE["stream_micro_batches"] = ORACLE["micro_batches"]
