@@ -656,3 +656,65 @@ def stream_micro_batches(spark, sf_dir):
     n = STR.stream_micro_batches(spark, landing, schema, ["ts", "event_id"], "ts", BATCH_ROWS, IDLE_GAP_UNKEYED,
                                  scratch_path(spark, "stream-batches-out"), scratch_path(spark, "stream-batches-ckpt"))
     return n.select("event_id", "burst", "batch_num", "pos_in_batch")
+
+
+# ------------------------------------------------------------ 2.5 members
+from flowscore.operators import members as MEM  # noqa: E402
+
+
+def _train_frame(spark, sf_dir):
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=["flow_id"])
+    return x.withColumn("split", MEM.split_column("flow_id"))
+
+
+def _member_output(x, prob):
+    return x.select("flow_id", "split", F.bround(prob, 6).alias("p1"),
+                    V.member_vote(prob).alias("vote"), "y")
+
+
+@register("train_test_split")
+def train_test_split(spark, sf_dir):
+    return _train_frame(spark, sf_dir).select("flow_id", "split")
+
+
+@register("member_random_forest")
+def member_random_forest(spark, sf_dir):
+    x = _train_frame(spark, sf_dir)
+    model = MEM.fit_random_forest(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
+    s = MEM.ml_probability(model, x, "prob")
+    return _member_output(s, F.col("prob"))
+
+
+@register("member_bagging")
+def member_bagging(spark, sf_dir):
+    x = _train_frame(spark, sf_dir)
+    model = MEM.fit_bagging(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
+    s = MEM.ml_probability(model, x, "prob")
+    return _member_output(s, F.col("prob"))
+
+
+@register("member_gbt")
+def member_gbt(spark, sf_dir):
+    x = _train_frame(spark, sf_dir)
+    model = MEM.fit_gbt(x.where("split = 'train'"), FEATURES, max_iter=100, max_depth=3)
+    s = MEM.ml_probability(model, x, "prob")
+    return _member_output(s, F.col("prob"))
+
+
+@register("member_adaboost")
+def member_adaboost(spark, sf_dir):
+    x = _train_frame(spark, sf_dir)
+    stumps = MEM.fit_adaboost(x.where("split = 'train'"), FEATURES, rounds=100)
+    return _member_output(x, F.expr(MEM.adaboost_sql(stumps)).cast("double"))
+
+
+@register("class_weights")
+def class_weights(spark, sf_dir):
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    return FIT.class_weights(x, "y").withColumnRenamed("class", "y")
+
+
+@register("threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    from flowscore.operators.sweep import threshold_sweep as sweep
+    return sweep(_verdicts(spark, sf_dir), "_vd_HAM")

@@ -378,3 +378,16 @@ ORACLE["stream_mode_counts"] = with_ctes(SCORED_CTES, LONG_CTE, body=f"""
 SELECT mode, {l3_text('l3')} AS pred_3label, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY mode, l3""")
 ORACLE["stream_rate_mode"] = with_ctes(_HOURLY, body=f"SELECT window_start, rate, {_mode('rate', 10, 20)} AS mode FROM hourly")
 ORACLE["stream_micro_batches"] = ORACLE["micro_batches"]
+
+# ------------------------------------------------------------------ 2.5 / 2.13 fits
+ORACLE["class_weights"] = with_ctes(SCORED_CTES, body="""
+SELECT y, CAST(count(*) AS BIGINT) AS n_class,
+  CAST(sum(count(*)) OVER () AS DOUBLE) / (2.0 * CAST(count(*) AS DOUBLE)) AS weight
+FROM scored GROUP BY y""")
+ORACLE["threshold_sweep"] = with_ctes(SCORED_CTES, """
+g AS (SELECT vd_ham AS threshold, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM scored GROUP BY vd_ham),
+s AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)""", body="""
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(P - tp AS BIGINT) AS fn,
+  CAST(N - fp AS BIGINT) AS tn, CAST(tp + N - fp AS DOUBLE) / CAST(P + N AS DOUBLE) AS accuracy FROM s""")
