@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.constants import EVAL_ORDER, MODES
+from flowscore.functions import sqltext as ST
 from flowscore.operators.prep import q
 
 COUNT_FIELDS = (
@@ -23,32 +24,29 @@ COUNT_FIELDS = (
 )
 
 
-def _mode_aggs(mode: str, y: Column) -> list[Column]:
-    b = F.col(f"_bin_{mode}")
-    l3 = F.col(f"_l3_{mode}")
-    conf = l3 != 1
-    yb = F.when(l3 == 2, 1).otherwise(0)
+def _mode_aggs(mode: str, y: str) -> list[str]:
+    b, l3 = f"_bin_{mode}", f"_l3_{mode}"
     exprs = {
-        "n": F.count(F.lit(1)),
-        "tp": F.count_if((y == 1) & (b == 1)),
-        "tn": F.count_if((y == 0) & (b == 0)),
-        "fp": F.count_if((y == 0) & (b == 1)),
-        "fn": F.count_if((y == 1) & (b == 0)),
-        "n_pred_malicious": F.count_if(b == 1),
-        "n_y0": F.count_if(y == 0),
-        "n_y1": F.count_if(y == 1),
-        "n_benign": F.count_if(l3 == 0),
-        "n_warning": F.count_if(l3 == 1),
-        "n_malicious": F.count_if(l3 == 2),
-        "ben_tp": F.count_if((y == 0) & (l3 == 0)),
-        "ben_fp": F.count_if((y == 1) & (l3 == 0)),
-        "mal_tp": F.count_if((y == 1) & (l3 == 2)),
-        "warn_actually_benign": F.count_if((y == 0) & (l3 == 1)),
-        "warn_actually_malicious": F.count_if((y == 1) & (l3 == 1)),
-        "n_confident": F.count_if(conf),
-        "n_confident_correct": F.count_if(conf & (y == yb)),
+        "n": "count(1)",
+        "tp": f"count_if({y} = 1 AND {b} = 1)",
+        "tn": f"count_if({y} = 0 AND {b} = 0)",
+        "fp": f"count_if({y} = 0 AND {b} = 1)",
+        "fn": f"count_if({y} = 1 AND {b} = 0)",
+        "n_pred_malicious": f"count_if({b} = 1)",
+        "n_y0": f"count_if({y} = 0)",
+        "n_y1": f"count_if({y} = 1)",
+        "n_benign": f"count_if({l3} = 0)",
+        "n_warning": f"count_if({l3} = 1)",
+        "n_malicious": f"count_if({l3} = 2)",
+        "ben_tp": f"count_if({y} = 0 AND {l3} = 0)",
+        "ben_fp": f"count_if({y} = 1 AND {l3} = 0)",
+        "mal_tp": f"count_if({y} = 1 AND {l3} = 2)",
+        "warn_actually_benign": f"count_if({y} = 0 AND {l3} = 1)",
+        "warn_actually_malicious": f"count_if({y} = 1 AND {l3} = 1)",
+        "n_confident": f"count_if({l3} <> 1)",
+        "n_confident_correct": f"count_if({l3} <> 1 AND {y} = CASE WHEN {l3} = 2 THEN 1 ELSE 0 END)",
     }
-    return [exprs[k].cast("bigint").alias(f"{k}__{mode}") for k in COUNT_FIELDS]
+    return [f"CAST({exprs[k]} AS BIGINT) AS {k}__{mode}" for k in COUNT_FIELDS]
 
 
 def mode_counts(v: DataFrame, modes: Sequence[str] = MODES, group_cols: Sequence[str] = (),
@@ -58,23 +56,23 @@ def mode_counts(v: DataFrame, modes: Sequence[str] = MODES, group_cols: Sequence
     With ``rollup`` the groups are a ROLLUP over ``group_cols`` and a
     ``grouping_level`` column (Spark's grouping_id) tells subtotals apart.
     """
-    yc = F.col(y) if y in v.columns else F.lit(None).cast("int")
-    aggs = [a for m in modes for a in _mode_aggs(m, yc)]
+    src = v if y in v.columns else v.withColumn(y, F.lit(None).cast("int"))
+    aggs = [F.expr(a) for m in modes for a in _mode_aggs(m, y)]
+    gcols = [q(c) for c in group_cols]
     if rollup:
-        agg = v.rollup(*[q(c) for c in group_cols]).agg(
-            *aggs, F.grouping_id(*[q(c) for c in group_cols]).cast("int").alias("grouping_level"))
+        agg = src.rollup(*gcols).agg(
+            *aggs, F.expr("CAST(grouping_id() AS INT)").alias("grouping_level"))
         keys = list(group_cols) + ["grouping_level"]
     elif group_cols:
-        agg = v.groupBy(*[q(c) for c in group_cols]).agg(*aggs)
+        agg = src.groupBy(*gcols).agg(*aggs)
         keys = list(group_cols)
     else:
-        agg = v.agg(*aggs)
+        agg = src.agg(*aggs)
         keys = []
-    rows = F.array(*[
-        F.struct(F.lit(m).alias("mode"), *[F.col(f"{k}__{m}").alias(k) for k in COUNT_FIELDS])
-        for m in modes
-    ])
-    return agg.select(*[q(k) for k in keys], F.inline(rows))
+    structs = ", ".join(
+        "named_struct('mode', '" + m + "', " + ", ".join(f"'{k}', {k}__{m}" for k in COUNT_FIELDS) + ")"
+        for m in modes)
+    return agg.selectExpr(*[ST.ident(k) for k in keys], f"inline(array({structs}))")
 
 
 def _ratio(num: Column, den: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from flowscore.constants import BENIGN_LABEL
 from flowscore.functions import cleaning as C
+from flowscore.functions import sqltext as ST
 from flowscore.sources.bundle import EnsembleBundle
 
 
@@ -80,16 +81,39 @@ def required_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def feature_exprs(sources: Mapping[str, Column], bundle: EnsembleBundle) -> dict[str, Column]:
-    """Cleaned feature Columns in sorted feature order.
+def feature_sql(sources: Mapping[str, str], bundle: EnsembleBundle) -> dict[str, str]:
+    """Cleaned feature expressions (SQL text) in sorted feature order.
 
-    ``sources`` maps every input column name to the Column that reads it.
+    ``sources`` maps every input column name to the SQL text that reads it.
+    Order: inf -> missing, categorical encoding, cast to double, missing -> 0,
+    then scaling.
     """
     feats = bundle.all_features
     check_required(list(sources), feats)
     encoders = bundle.encoders or {}
     scaler = bundle.scaler or {}
     out = {}
+    for f in feats:
+        x = sources[f]
+        if f in encoders:
+            x = ST.encode(x, encoders[f])
+        else:
+            x = ST.clean_inf(x)
+        x = ST.fill_missing(ST.to_feature(x))
+        if f in scaler:
+            mean, scale = scaler[f]
+            x = ST.standard_scale(x, mean, scale)
+        out[f] = x
+    return out
+
+
+def feature_exprs(sources: Mapping[str, Column], bundle: EnsembleBundle) -> dict[str, Column]:
+    """Column form of :func:`feature_sql` for callers holding Columns."""
+    feats = bundle.all_features
+    check_required(list(sources), feats)
+    encoders = bundle.encoders or {}
+    scaler = bundle.scaler or {}
+    out = {}
     for f in feats:
         c = C.clean_inf(sources[f]) if f not in encoders else sources[f]
         if f in encoders:
@@ -102,21 +126,32 @@ def feature_exprs(sources: Mapping[str, Column], bundle: EnsembleBundle) -> dict
     return out
 
 
+def label_sql(df: DataFrame, label_col: str | None, benign_label: str = BENIGN_LABEL,
+              source: str | None = None) -> str | None:
+    """SQL-text twin of :func:`label_expr`."""
+    if not label_col or label_col not in df.columns:
+        return None
+    src = ST.ident(label_col) if source is None else source
+    if isinstance(df.schema[label_col].dataType, T.StringType):
+        return ST.binarize_label(src, benign_label)
+    return ST.numeric_label(src)
+
+
 def preprocess(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = None,
                benign_label: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(X, y) as one table: ``keep`` columns, ``y`` (if labelled) and the
-    features in sorted order, cleaned and scaled."""
+    features in sorted order, cleaned and scaled. One projection."""
     df = trim_columns(df)
     label_col = bundle.label_col if label_col is None else label_col
     benign_label = bundle.benign_label if benign_label is None else benign_label
-    y = label_expr(df, label_col, benign_label)
-    sources = {c: q(c) for c in df.columns if c != label_col}
-    feats = feature_exprs(sources, bundle)
-    cols = [q(k) for k in keep]
+    y = label_sql(df, label_col, benign_label)
+    sources = {c: ST.ident(c) for c in df.columns if c != label_col}
+    feats = feature_sql(sources, bundle)
+    cols = [ST.ident(k) for k in keep]
     if y is not None:
-        cols.append(y.alias("y"))
-    cols += [c.alias(f) for f, c in feats.items()]
-    return df.select(*cols)
+        cols.append(f"{y} AS y")
+    cols += [f"{x} AS {ST.ident(f)}" for f, x in feats.items()]
+    return df.selectExpr(*cols)
 
 
 def encode_with_table(df: DataFrame, column: str, classes: DataFrame, out: str) -> DataFrame:

@@ -15,21 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.constants import MODES
-from flowscore.functions import voting as V
+from flowscore.functions import sqltext as ST
 from flowscore.functions.routing import mode_for_rate
-from flowscore.operators.prep import feature_exprs, label_expr, q, trim_columns
+from flowscore.operators.prep import feature_sql, label_sql, q, trim_columns
 from flowscore.sources.bundle import EnsembleBundle
 
 DIAG = "diag"
 
 
-def _member_prob(bundle: EnsembleBundle, name: str, calibrated: bool) -> Column:
+def _member_prob(bundle: EnsembleBundle, name: str, calibrated: bool) -> str:
     m = bundle.member(name)
     if m.expr is None:
         # fitted Spark ML members are scored by flowscore.operators.members
-        return F.col(f"_mlp_{name}")
+        return f"_mlp_{name}"
     text = m.calibrated_expr if (calibrated and m.calibrated_expr) else m.expr
-    return F.expr(text).cast("double")
+    return f"CAST(({text}) AS DOUBLE)"
 
 
 def _member_names(bundle: EnsembleBundle) -> list[str]:
@@ -45,20 +45,21 @@ def verdicts(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = None
     """Original columns plus, per mode m: ``_bin_m`` (0/1) and ``_l3_m`` (0/1/2);
     diagnostics ``_p_*``/``_c_*``/``_v_*`` (member probabilities and votes),
     ``_vd_m``, ``_hv_m``, ``_mean_m``, ``_std_m``; and ``_y`` when labelled.
-    Columns the caller does not select are pruned by Catalyst."""
+    Columns the caller does not select are pruned by Catalyst; the whole
+    chain collapses into one projection (one codegen stage, no shuffle)."""
     df = trim_columns(df)
     label_col = bundle.label_col if label_col is None else label_col
     benign_label = bundle.benign_label if benign_label is None else benign_label
     names = df.columns
     hidden = [f"__o{i}" for i in range(len(names))]
-    staged = df.select(*[q(n).alias(h) for n, h in zip(names, hidden)])
-    src = {n: F.col(h) for n, h in zip(names, hidden)}
+    src = dict(zip(names, hidden))
 
-    y = label_expr(df, label_col, benign_label, source=src.get(label_col or ""))
+    y = label_sql(df, label_col, benign_label, source=src.get(label_col or ""))
     feat_src = {k: v for k, v in src.items() if k != label_col}
-    feats = feature_exprs(feat_src, bundle)
-    step = staged.select("*", *([y.alias("_y")] if y is not None else []),
-                         *[c.alias(f) for f, c in feats.items()])
+    feats = feature_sql(feat_src, bundle)
+    step = df.selectExpr(*[f"{ST.ident(n)} AS {h}" for n, h in zip(names, hidden)],
+                         *([f"{y} AS _y"] if y is not None else []),
+                         *[f"{x} AS {ST.ident(f)}" for f, x in feats.items()])
 
     need_ml = [n for n in _member_names(bundle) if bundle.member(n).expr is None]
     if need_ml:
@@ -66,39 +67,39 @@ def verdicts(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = None
         step = add_ml_probabilities(step, bundle, need_ml)
 
     members = _member_names(bundle)
-    probs = {n: _member_prob(bundle, n, False) for n in members}
-    step = step.select("*", *[p.alias(f"_p_{n}") for n, p in probs.items()],
-                       *[_member_prob(bundle, n, True).alias(f"_c_{n}") for n in members])
-    step = step.select("*", *[V.member_vote(F.col(f"_p_{n}")).alias(f"_v_{n}") for n in members])
+    keep = [c for c in step.columns if c.startswith("__o") or c == "_y"]
+    step = step.selectExpr(*keep,
+                           *[f"{_member_prob(bundle, n, False)} AS _p_{n}" for n in members],
+                           *[f"{_member_prob(bundle, n, True)} AS _c_{n}" for n in members])
+    step = step.selectExpr("*", *[f"{ST.member_vote('_p_' + n)} AS _v_{n}" for n in members])
 
-    cols: list[Column] = []
+    stats: list[str] = []
     for mode in ("HAM", "FDM"):
         if mode not in modes and not (mode == "FDM" and "DFDM" in modes):
             continue
         vt = bundle.voter(mode)
-        votes = [F.col(f"_v_{n}") for n in vt.members]
-        vd = V.weighted_vote(votes, [vt.weight(n) for n in vt.members])
-        cs = [F.col(f"_c_{n}") for n in vt.members]
-        mean = V.mean_of(cs)
-        cols += [vd.alias(f"_vd_{mode}"), V.hard_vote(votes).alias(f"_hv_{mode}"),
-                 mean.alias(f"_mean_{mode}"), V.std_pop_of(cs).alias(f"_std_{mode}")]
-    step = step.select("*", *cols)
-
-    out: list[Column] = []
+        votes = [f"_v_{n}" for n in vt.members]
+        stats += [f"{ST.weighted_vote(votes, [vt.weight(n) for n in vt.members])} AS _vd_{mode}",
+                  f"{ST.hard_vote(votes)} AS _hv_{mode}",
+                  f"{ST.mean_of(['_c_' + n for n in vt.members])} AS _mean_{mode}"]
+    step = step.selectExpr("*", *stats)
+    stds = [f"{ST.std_pop_of(['_c_' + n for n in bundle.voter(m).members], '_mean_' + m)} AS _std_{m}"
+            for m in ("HAM", "FDM") if f"_mean_{m}" in step.columns]
+    step = step.selectExpr("*", *stds)
+
+    out: list[str] = []
     for mode in modes:
         if mode == "DFDM":
-            b = F.when(F.col("_hv_FDM") > F.lit(0.0), F.lit(1)).otherwise(F.lit(0)).cast("int")
-            out += [b.alias("_bin_DFDM"), V.defensive_three_label(b).alias("_l3_DFDM")]
+            out += ["CAST(CASE WHEN _hv_FDM > CAST(0.0 AS DOUBLE) THEN 1 ELSE 0 END AS INT) AS _bin_DFDM",
+                    "CAST(CASE WHEN _hv_FDM > CAST(0.0 AS DOUBLE) THEN 2 ELSE 0 END AS INT) AS _l3_DFDM"]
         else:
             vt = bundle.voter(mode)
-            out += [V.vote_threshold(F.col(f"_vd_{mode}"), vt.threshold).alias(f"_bin_{mode}"),
-                    V.three_label(F.col(f"_mean_{mode}"), F.col(f"_std_{mode}"),
-                                  vt.disagreement_threshold).alias(f"_l3_{mode}")]
-    step = step.select("*", *out)
-    # originals back under their own names, features dropped
-    keep = [F.col(h).alias(n) for n, h in zip(names, hidden)]
-    internal = [F.col(c) for c in step.columns if c.startswith("_") and not c.startswith("__o")]
-    return step.select(*keep, *internal)
+            out += [f"{ST.vote_threshold('_vd_' + mode, vt.threshold)} AS _bin_{mode}",
+                    f"{ST.three_label('_mean_' + mode, '_std_' + mode, vt.disagreement_threshold)} AS _l3_{mode}"]
+    step = step.selectExpr("*", *out)
+    # originals back under their own names
+    internal = [c for c in step.columns if c.startswith("_") and not c.startswith("__o")]
+    return step.selectExpr(*[f"{h} AS {ST.ident(n)}" for n, h in zip(names, hidden)], *internal)
 
 
 def modes_for(rate: int | None, bundle: EnsembleBundle) -> list[str]:
@@ -112,10 +113,9 @@ def prediction_columns(modes: Sequence[str]) -> list[Column]:
     cols = []
     for m in modes:
         sfx = "" if len(modes) == 1 else f"_{m}"
-        cols += [F.col(f"_bin_{m}").alias(f"pred_binary{sfx}"),
-                 V.label3_text(F.col(f"_l3_{m}")).alias(f"pred_3label{sfx}"),
-                 F.lit(m).alias(f"mode{sfx}")]
-    return cols
+        cols += [f"_bin_{m} AS pred_binary{sfx}", f"{ST.label3_text('_l3_' + m)} AS pred_3label{sfx}",
+                 f"'{m}' AS mode{sfx}"]
+    return [F.expr(c) for c in cols]
 
 
 def score_table(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None = None,
@@ -124,7 +124,8 @@ def score_table(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None = N
     given, followed by the prediction columns of one mode (by rate) or all."""
     modes = modes_for(flow_rate, bundle)
     v = verdicts(df, bundle, label_col, benign_label, modes)
-    return v.select(*[q(c) for c in trim_columns(df).columns], *prediction_columns(modes))
+    names = [c.strip() for c in df.columns]
+    return v.select(*[q(c) for c in names], *prediction_columns(modes))
 
 
 def score_chunked(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None,
@@ -141,15 +142,9 @@ def long_verdicts(v: DataFrame, key_cols: Sequence[str], modes: Sequence[str] =
     """One row per (input row, mode): key columns, ``mode``, ``pred_binary``,
     ``pred_3label`` (code) and ``y``. Uses ``stack`` (a generator in the same
     stage), no shuffle."""
-    parts = []
-    for m in modes:
-        parts += [F.lit(m), F.col(f"_bin_{m}"), F.col(f"_l3_{m}")]
-    stacked = F.inline(F.array(*[
-        F.struct(F.lit(m).alias("mode"), F.col(f"_bin_{m}").alias("pred_binary"),
-                 F.col(f"_l3_{m}").alias("pred_3label"))
-        for m in modes
-    ]))
-    cols = [q(k) for k in key_cols]
+    structs = ", ".join(f"named_struct('mode', '{m}', 'pred_binary', _bin_{m}, 'pred_3label', _l3_{m})"
+                        for m in modes)
+    cols = [ST.ident(k) for k in key_cols]
     if with_y:
-        cols.append(F.col("_y").alias("y"))
-    return v.select(*cols, stacked)
+        cols.append("_y AS y")
+    return v.selectExpr(*cols, f"inline(array({structs}))")

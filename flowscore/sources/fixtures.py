@@ -6,7 +6,7 @@ scales with the scan and Catalyst prunes the columns it does not need.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscore.sources.tables import read_table
@@ -21,10 +21,6 @@ FLOW_FEATURES = (
 )
 
 
-def _mod(c: str, m: int) -> Column:
-    return F.col(c) % F.lit(m)
-
-
 def flows(spark: SparkSession, sf_dir: str, keep_order_key: bool = False) -> DataFrame:
     """Flow rows derived from ``lineitem`` (FIXTURES.md F3).
 
@@ -33,35 +29,27 @@ def flows(spark: SparkSession, sf_dir: str, keep_order_key: bool = False) -> Dat
     adds ``order_key``: the job (order) the flow belongs to.
     """
     li = read_table(spark, sf_dir, "lineitem")
-    inf = F.lit(float("inf"))
-    nan = F.lit(float("nan"))
-    extra = [F.col("l_orderkey").alias("order_key")] if keep_order_key else []
-    return li.select(
-        F.concat_ws(
-            "-",
-            F.col("l_orderkey").cast("string"),
-            F.col("l_partkey").cast("string"),
-            F.col("l_suppkey").cast("string"),
-            F.col("l_linenumber").cast("string"),
-        ).alias("flow_id"),
-        F.when(F.col("l_linestatus") == "F", F.lit("6")).otherwise(F.lit("17")).alias("protocol"),
-        F.when(_mod("l_orderkey", 17) == 0, F.lit(None).cast("double"))
-        .when(_mod("l_orderkey", 19) == 0, inf)
-        .when(_mod("l_orderkey", 23) == 0, nan)
-        .otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
-        .alias("avg_packet_size"),
-        F.col("l_discount").alias("flow_iat_mean"),
-        F.col("l_quantity").alias("fwd_packet_length_max"),
-        F.col("l_extendedprice").alias("fwd_packets_length_total"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_partkey")).otherwise(F.lit(-1)).alias("init_fwd_win_bytes"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_suppkey")).otherwise(F.lit(-1)).alias("init_bwd_win_bytes"),
-        F.when(_mod("l_orderkey", 101) == 0, F.lit(None).cast("string"))
-        .when((F.col("l_quantity") >= 30) & (F.col("l_discount") >= 0.05), F.concat(F.lit("DrDoS_"), F.col("l_returnflag")))
-        .otherwise(F.lit("Benign"))
-        .alias("label"),
-        F.col("l_shipdate").alias("seen_at"),
-        *extra,
-    )
+    cols = [
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), "
+        "CAST(l_linenumber AS STRING)) AS flow_id",
+        "CASE WHEN l_linestatus = 'F' THEN '6' ELSE '17' END AS protocol",
+        "CASE WHEN l_orderkey % 17 = 0 THEN CAST(NULL AS DOUBLE) "
+        "WHEN l_orderkey % 19 = 0 THEN CAST('Infinity' AS DOUBLE) "
+        "WHEN l_orderkey % 23 = 0 THEN CAST('NaN' AS DOUBLE) "
+        "ELSE l_extendedprice / l_quantity END AS avg_packet_size",
+        "l_discount AS flow_iat_mean",
+        "l_quantity AS fwd_packet_length_max",
+        "l_extendedprice AS fwd_packets_length_total",
+        "CASE WHEN l_linestatus = 'F' THEN l_partkey ELSE -1 END AS init_fwd_win_bytes",
+        "CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE -1 END AS init_bwd_win_bytes",
+        "CASE WHEN l_orderkey % 101 = 0 THEN CAST(NULL AS STRING) "
+        "WHEN l_quantity >= 30 AND l_discount >= 0.05 THEN concat('DrDoS_', l_returnflag) "
+        "ELSE 'Benign' END AS label",
+        "l_shipdate AS seen_at",
+    ]
+    if keep_order_key:
+        cols.append("l_orderkey AS order_key")
+    return li.selectExpr(*cols)
 
 
 def telemetry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
