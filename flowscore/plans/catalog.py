@@ -718,3 +718,11 @@ def class_weights(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     from flowscore.operators.sweep import threshold_sweep as sweep
     return sweep(_verdicts(spark, sf_dir), "_vd_HAM")
+
+
+@register("member_extra_trees")
+def member_extra_trees(spark, sf_dir):
+    from flowscore.operators.extra_trees import fit_extra_trees, forest_probability
+    x = _train_frame(spark, sf_dir)
+    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100, max_depth=8)
+    return _member_output(x, forest_probability(forest))

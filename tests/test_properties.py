@@ -179,3 +179,16 @@ def test_adaboost_member_beats_majority(spark):
     acc = t.select(F.avg(((p > 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
     maj = t.select(F.avg("y")).first()[0]
     assert acc > max(maj, 1 - maj)
+
+
+def test_extra_trees_member_beats_majority(spark):
+    from flowscore.operators.extra_trees import fit_extra_trees, forest_probability
+    from flowscore.plans.catalog import _train_frame, FEATURES
+    x = _train_frame(spark, SF_SMALL).cache()
+    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=8, max_depth=4)
+    t = x.where("split = 'test'").withColumn("p", forest_probability(forest))
+    acc = t.select(F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
+    maj = t.select(F.avg("y")).first()[0]
+    assert acc > max(maj, 1 - maj)
+    again = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=8, max_depth=4)
+    assert (again.thr == forest.thr).all() and (again.feat == forest.feat).all()
