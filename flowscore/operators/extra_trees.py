@@ -196,6 +196,20 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str = "y",
     return Forest(features, feat, thr, value, max_depth)
 
 
+def save_forest(spark, forest: Forest, path: str) -> None:
+    """One JSON row through Spark's writer (works on any shared file system)."""
+    import json
+    spark.createDataFrame([(json.dumps(forest.to_dict()),)], "forest string").coalesce(1) \
+        .write.mode("overwrite").json(path)
+
+
+def load_forest(spark, path: str) -> Forest:
+    import json
+    d = json.loads(spark.read.schema("forest string").json(path).first()["forest"])
+    return Forest(d["features"], np.array(d["feat"], dtype=np.int64), np.array(d["thr"], dtype=np.float64),
+                  np.array(d["value"], dtype=np.float64), int(d["depth"]))
+
+
 def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = None) -> Column:
     """Class-1 probability: mean of the trees' leaf shares (Arrow-batched)."""
     feat, thr, value, depth = forest.feat, forest.thr, forest.value, forest.depth

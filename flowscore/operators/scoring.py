@@ -61,10 +61,16 @@ def verdicts(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = None
                          *([f"{y} AS _y"] if y is not None else []),
                          *[f"{x} AS {ST.ident(f)}" for f, x in feats.items()])
 
-    need_ml = [n for n in _member_names(bundle) if bundle.member(n).expr is None]
+    need_ml = [n for n in _member_names(bundle) if bundle.member(n).model_path is not None]
     if need_ml:
         from flowscore.operators.members import add_ml_probabilities
         step = add_ml_probabilities(step, bundle, need_ml)
+    need_forest = [n for n in _member_names(bundle) if bundle.member(n).forest_path is not None]
+    if need_forest:
+        from flowscore.operators.extra_trees import forest_probability, load_forest
+        step = step.withColumns({f"_mlp_{n}": forest_probability(load_forest(step.sparkSession,
+                                                                             bundle.member(n).forest_path))
+                                 for n in need_forest})
 
     members = _member_names(bundle)
     keep = [c for c in step.columns if c.startswith("__o") or c == "_y"]

@@ -726,3 +726,33 @@ def member_extra_trees(spark, sf_dir):
     x = _train_frame(spark, sf_dir)
     forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100, max_depth=8)
     return _member_output(x, forest_probability(forest))
+
+
+# ------------------------------------------------- fitted bundle (S7/S8)
+from flowscore.operators import ensemble as ENS  # noqa: E402
+
+
+@register("bundle_summary")
+def bundle_summary(spark, sf_dir):
+    """The fixture voters re-weighted by each member's accuracy on the table."""
+    b = ENS.weighted_by_accuracy(_bundle(), FX.flows(spark, sf_dir))
+    s = ENS.summary(b, spark)
+    return s.select("voter", "member", F.bround("weight", 9).alias("weight"),
+                    F.bround("max_vote_index", 9).alias("max_vote_index"), "disagreement_threshold", "n_features")
+
+
+@register("fitted_ensemble")
+def fitted_ensemble(spark, sf_dir):
+    """Fit every member kind on the training split (20 estimators each),
+    save and reload the bundle, score the whole table in all modes and
+    compare the modes."""
+    from flowscore.sources.bundle import load_bundle, save_bundle
+    x = _train_frame(spark, sf_dir)
+    d = scratch_path(spark, "bundle")
+    b = ENS.fit_bundle(x.where("split = 'train'").select(*FEATURES, "y"), FEATURES, d, estimators=20, max_depth=6)
+    b = b.with_(label_col="label")
+    b = ENS.weighted_by_accuracy(b, FX.flows(spark, sf_dir).where(MEM.split_column("flow_id") == "train"))
+    local = d if not d.startswith("file:") else d[len("file:"):]
+    save_bundle(b, local)
+    loaded = load_bundle(local)
+    return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), loaded))

@@ -391,3 +391,14 @@ s AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PR
              sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)""", body="""
 SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(P - tp AS BIGINT) AS fn,
   CAST(N - fp AS BIGINT) AS tn, CAST(tp + N - fp AS DOUBLE) / CAST(P + N AS DOUBLE) AS accuracy FROM s""")
+
+ORACLE["bundle_summary"] = with_ctes(SCORED_CTES, """
+a AS (SELECT count(*) AS n, count_if(v1 = y) AS k1, count_if(v2 = y) AS k2, count_if(v3 = y) AS k3,
+             count_if(v4 = y) AS k4, count_if(v5 = y) AS k5 FROM scored),
+w AS (SELECT CAST(k1 AS DOUBLE) / n AS w1, CAST(k2 AS DOUBLE) / n AS w2, CAST(k3 AS DOUBLE) / n AS w3,
+             CAST(k4 AS DOUBLE) / n AS w4, CAST(k5 AS DOUBLE) / n AS w5 FROM a),
+t AS (SELECT *, (w1 + w2 + w3 + w4) / 2.0 AS t_fdm, (w1 + w2 + w3 + w4 + w5) / 2.0 AS t_ham FROM w)""",
+    body=" UNION ALL ".join(
+        f"SELECT '{v}' AS voter, 'm{i}' AS member, round_even(w{i}, 9) AS weight, round_even(t_{v.lower()}, 9) "
+        f"AS max_vote_index, CAST(0.3 AS DOUBLE) AS disagreement_threshold, {nf} AS n_features FROM t"
+        for v, ms, nf in (("FDM", (1, 2, 3, 4), 4), ("HAM", (1, 2, 3, 4, 5), 6)) for i in ms))

@@ -4,8 +4,8 @@ A bundle is plain data (JSON-serialisable) plus, optionally, fitted
 ``pyspark.ml`` models saved next to it. Nothing is ever unpickled.
 
 * A *member* yields a class-1 probability per row, either as a SQL
-  expression over the cleaned feature columns or as a fitted Spark ML
-  classification model. ``calibrated_expr`` is the probability used by the
+  expression over the cleaned feature columns, a fitted Spark ML
+  classification pipeline, or a fitted extra-trees node table. ``calibrated_expr`` is the probability used by the
   three-label path (the reference keeps raw and calibrated members apart);
   it defaults to the raw one.
 * A *voter* (FDM or HAM) is an ordered list of members, the features they
@@ -30,10 +30,12 @@ class Member:
     expr: str | None = None
     calibrated_expr: str | None = None
     model_path: str | None = None  # saved pyspark.ml model (PipelineModel)
+    forest_path: str | None = None  # saved extra-trees node arrays
 
     def __post_init__(self):
-        if (self.expr is None) == (self.model_path is None):
-            raise ValueError(f"member {self.name}: give exactly one of expr / model_path")
+        given = [x for x in (self.expr, self.model_path, self.forest_path) if x is not None]
+        if len(given) != 1:
+            raise ValueError(f"member {self.name}: give exactly one of expr / model_path / forest_path")
 
 
 @dataclass(frozen=True)
