@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.operators.prep import q
+from flowscore.session import ensure_checkpoint_dir
 from flowscore.sources.bundle import EnsembleBundle
 
 
@@ -110,6 +111,7 @@ def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", ro
 
     Returns the stumps: feature, threshold, polarity (+1: predict 1 when
     x >= threshold) and weight alpha."""
+    ensure_checkpoint_dir(train.sparkSession)
     edges = _edges(train, features, bins)
     data = train.select(*[q(f) for f in features], F.col(label).cast("int").alias("__y"),
                         *[_bin_expr(f, edges[f]).alias(f"__bin_{i}") for i, f in enumerate(features)])
