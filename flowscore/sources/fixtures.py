@@ -97,6 +97,6 @@ def job_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("label")).alias("label_col"),
         F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("Benign")).alias("benign_label"),
         F.concat(F.lit("flows_"), k.cast("string"), suffix).alias("input_filename"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").alias("created_at"),
         F.concat(F.lit("Traceback: "), F.repeat(F.col("o_orderpriority"), 200)).alias("error_text"),
     )

@@ -93,7 +93,8 @@ def stream_rate_mode(spark: SparkSession, landing: str, schema: T.StructType, ts
     ev = _reader(spark, landing, schema).withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     w = ev.withWatermark(ts_col, delay).groupBy(F.window(ts_col, width).alias("w")).agg(
         F.count(F.lit(1)).alias("rate"))
-    w = w.select(F.col("w.start").alias("window_start"), "rate")
+    # back to wall-clock time (timestamp_ntz) so the result does not depend on the session zone
+    w = w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rate")
 
     def per_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
