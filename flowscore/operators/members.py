@@ -169,3 +169,21 @@ def adaboost_sql(stumps: Sequence[dict]) -> str:
     terms = " + ".join(f"{s['alpha']!r} * ({_stump_sql(s['feature'], s['threshold'], s['polarity'])})"
                        for s in stumps) or "0.0"
     return f"(({terms}) / {total!r})"
+
+
+# --------------------------------------------------------------- calibration
+
+def platt_calibration(df: DataFrame, score: str, label: str = "y", seed: int = 42) -> tuple[float, float]:
+    """Platt scaling: logistic regression of y on the raw member score,
+    fitted with Spark ML (distributed L-BFGS). Returns (a, b) for
+    ``1 / (1 + exp(-(a * score + b)))``."""
+    from pyspark.ml.classification import LogisticRegression
+    data = VectorAssembler(inputCols=[score], outputCol="__cal_vec").transform(
+        df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias("__cal_y")))
+    lr = LogisticRegression(featuresCol="__cal_vec", labelCol="__cal_y", regParam=0.0, maxIter=100)
+    m = lr.fit(data)
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def calibrated_sql(raw_expr: str, a: float, b: float) -> str:
+    return f"(1.0D / (1.0D + exp(-({a!r} * ({raw_expr}) + {b!r}))))"

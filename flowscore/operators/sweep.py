@@ -25,3 +25,29 @@ def threshold_sweep(v: DataFrame, vd_col: str, y_col: str = "_y") -> DataFrame:
                     (F.col("N") - F.col("fp")).cast("bigint").alias("tn"),
                     ((F.col("tp") + F.col("N") - F.col("fp")).cast("double")
                      / (F.col("P") + F.col("N")).cast("double")).alias("accuracy"))
+
+
+# Fixed value: penalty per unit of warning rate (declared by the reference, never read there).
+WARNING_PENALTY = 0.05
+
+
+def disagreement_sweep(v: DataFrame, mode: str = "FDM", y_col: str = "_y", penalty: float = WARNING_PENALTY,
+                       decimals: int = 2) -> DataFrame:
+    """Candidate disagreement thresholds (the row std rounded to ``decimals``):
+    for each, the warning rate, the confident accuracy of the rows left and
+    the score ``confident_accuracy - penalty * warning_rate``. One grouped
+    count by (std bin, correct), then running sums over the few bins."""
+    std_bin = F.bround(F.col(f"_std_{mode}"), decimals)
+    pred = F.when(F.col(f"_mean_{mode}") >= 0.5, 1).otherwise(0)
+    g = v.groupBy(std_bin.alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pred == F.col(y_col)).alias("ok"))
+    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
+    tot = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = g.select("threshold", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("conf_n"),
+                 F.coalesce(F.sum("ok").over(below), F.lit(0)).alias("conf_ok"), F.sum("n").over(tot).alias("total"))
+    conf_acc = F.when(F.col("conf_n") > 0, F.col("conf_ok").cast("double") / F.col("conf_n").cast("double")) \
+        .otherwise(F.lit(0.0))
+    warn = (F.col("total") - F.col("conf_n")).cast("double") / F.col("total").cast("double")
+    return s.select("threshold", F.col("conf_n").cast("bigint").alias("n_confident"),
+                    F.bround(warn, 9).alias("warning_rate"), F.bround(conf_acc, 9).alias("confident_accuracy"),
+                    F.bround(conf_acc - F.lit(penalty) * warn, 9).alias("score"))

@@ -756,3 +756,41 @@ def fitted_ensemble(spark, sf_dir):
     save_bundle(b, local)
     loaded = load_bundle(local)
     return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), loaded))
+
+
+# ---------------------------------------------- 2.13 diagnostics and fits
+from flowscore.operators import selection as SEL  # noqa: E402
+from flowscore.operators import sweep as SW  # noqa: E402
+
+
+@register("disagreement_sweep")
+def disagreement_sweep(spark, sf_dir):
+    return SW.disagreement_sweep(_verdicts(spark, sf_dir, modes=("HAM", "FDM")), "FDM")
+
+
+@register("mutual_information")
+def mutual_information(spark, sf_dir):
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    return SEL.mutual_information(x, FEATURES, "y")
+
+
+@register("shapley_weights")
+def shapley_weights(spark, sf_dir):
+    b = _bundle()
+    return SEL.shapley_weights(_verdicts(spark, sf_dir), list(b.ham.members))
+
+
+@register("calibrated_members")
+def calibrated_members(spark, sf_dir):
+    """Platt-calibrate every fixture member on the training split, then the
+    three-label comparison with the calibrated probabilities."""
+    b = _bundle()
+    x = _train_frame(spark, sf_dir)
+    members = []
+    train = x.where("split = 'train'")
+    for m in b.members:
+        score = F.expr(f"CAST(({m.expr}) AS DOUBLE)")
+        a, c = MEM.platt_calibration(train.withColumn("__s", score), "__s")
+        members.append(m.__class__(m.name, expr=m.expr, calibrated_expr=MEM.calibrated_sql(m.expr, a, c)))
+    cal = b.with_(members=tuple(members))
+    return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), cal))

@@ -402,3 +402,36 @@ t AS (SELECT *, (w1 + w2 + w3 + w4) / 2.0 AS t_fdm, (w1 + w2 + w3 + w4 + w5) / 2
         f"SELECT '{v}' AS voter, 'm{i}' AS member, round_even(w{i}, 9) AS weight, round_even(t_{v.lower()}, 9) "
         f"AS max_vote_index, CAST(0.3 AS DOUBLE) AS disagreement_threshold, {nf} AS n_features FROM t"
         for v, ms, nf in (("FDM", (1, 2, 3, 4), 4), ("HAM", (1, 2, 3, 4, 5), 6)) for i in ms))
+
+ORACLE["disagreement_sweep"] = with_ctes(SCORED_CTES, """
+g AS (SELECT round_even(std_fdm, 2) AS threshold, count(*) AS n,
+             count_if(CASE WHEN mean_fdm >= 0.5 THEN 1 ELSE 0 END = y) AS ok FROM scored GROUP BY 1),
+s AS (SELECT threshold,
+        COALESCE(sum(n) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS conf_n,
+        COALESCE(sum(ok) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS conf_ok,
+        sum(n) OVER () AS total FROM g),
+m AS (SELECT threshold, conf_n,
+        CAST(total - conf_n AS DOUBLE) / CAST(total AS DOUBLE) AS warn,
+        CASE WHEN conf_n > 0 THEN CAST(conf_ok AS DOUBLE) / CAST(conf_n AS DOUBLE) ELSE 0.0 END AS acc FROM s)""",
+    body="""
+SELECT threshold, CAST(conf_n AS BIGINT) AS n_confident, round_even(warn, 9) AS warning_rate,
+  round_even(acc, 9) AS confident_accuracy, round_even(acc - 0.05 * warn, 9) AS score FROM m""")
+
+
+def _mi_sql() -> str:
+    parts = []
+    for f in FEATURES:
+        parts.append(f"""SELECT '{f}' AS feature, y,
+  CASE WHEN mx_{f} > mn_{f} THEN least(CAST(floor((x_{f} - mn_{f}) / (mx_{f} - mn_{f}) * 10.0) AS BIGINT), 9)
+       ELSE 0 END AS bin FROM xs, mm""")
+    mm = "mm AS (SELECT " + ", ".join(f"min(x_{f}) AS mn_{f}, max(x_{f}) AS mx_{f}" for f in FEATURES) + " FROM xs)"
+    return with_ctes(SCORED_CTES.split("ps AS (")[0].rstrip().rstrip(","), mm,
+                     "long_b AS (" + " UNION ALL ".join(parts) + ")", """
+c AS (SELECT feature, bin, y, CAST(count(*) AS DOUBLE) AS n FROM long_b GROUP BY feature, bin, y),
+c2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS nb,
+              sum(n) OVER (PARTITION BY feature, y) AS ny FROM c)""", body="""
+SELECT feature, round_even(sum(n / total * ln(n * total / (nb * ny))), 6) AS mutual_information
+FROM c2 GROUP BY feature""")
+
+
+ORACLE["mutual_information"] = _mi_sql()

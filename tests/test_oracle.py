@@ -7,6 +7,7 @@ from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
 SLOW = {"member_random_forest", "member_bagging", "member_gbt", "member_adaboost", "member_extra_trees",
+        "calibrated_members",
         "fitted_ensemble"}
 KEYS = sorted(k for k in E.oracle_sql() if k not in SLOW)
 
