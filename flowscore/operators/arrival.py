@@ -242,7 +242,7 @@ def _fold(summaries: list, n: int, gap: int | None, initial: State | None = None
     return entry, st
 
 
-def _apply(key_cols, ts_col, n, gap, entry, out_cols):
+def _apply(key_cols, ts_col, n, gap, entry_bc, out_cols):
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         st = None
         started = False
@@ -250,7 +250,7 @@ def _apply(key_cols, ts_col, n, gap, entry, out_cols):
             if len(pdf) == 0:
                 continue
             if not started:
-                st = entry.get(int(pdf["__pid"].iloc[0]))
+                st = entry_bc.value.get(int(pdf["__pid"].iloc[0]))
                 started = True
             keys, ts = _chunk_arrays(pdf, key_cols, ts_col)
             out, st, _, _ = _scan(keys, ts, st, n, gap)
@@ -261,6 +261,23 @@ def _apply(key_cols, ts_col, n, gap, entry, out_cols):
     return fn
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def target_partitions(df: DataFrame) -> int:
+    """Range partitions for the numbering: the optimizer's size estimate of
+    the input divided by ~256 MB, and at least ``spark.sql.shuffle.partitions``.
+    (An explicit count is needed: AQE may merge range partitions but never
+    splits them.)"""
+    spark = df.sparkSession
+    floor_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return floor_
+    return max(floor_, min(1_000_000, -(-size // TARGET_PARTITION_BYTES)))
+
+
 def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str] = (),
                     batch_size: int | None = None, gap_seconds: float | None = None,
                     ts_col: str | None = None, num_partitions: int | None = None,
@@ -280,7 +297,7 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
     if gap is not None and ts_col is None:
         raise ValueError("gap_seconds needs ts_col")
     sort_cols = [*key_cols, *order_cols]
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or target_partitions(df)
     ranged = df.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
     stable = ranged.checkpoint(eager=True)
     with_pid = stable.select("*", F.spark_partition_id().alias("__pid"))
@@ -289,10 +306,12 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
     entry, last = _fold([r.asDict() for r in summ], n, gap, initial)
     if exit_state is not None:
         exit_state.append(last)
+    # one small state per partition: shipped once per executor, not per task
+    entry_bc = spark.sparkContext.broadcast(entry)
 
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
     out_cols = [*df.columns, *OUT_FIELDS]
-    return with_pid.mapInPandas(_apply(list(key_cols), ts_col, n, gap, entry, out_cols), out_schema)
+    return with_pid.mapInPandas(_apply(list(key_cols), ts_col, n, gap, entry_bc, out_cols), out_schema)
 
 
 def batch_progress(numbered: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
