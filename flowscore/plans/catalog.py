@@ -794,3 +794,12 @@ def calibrated_members(spark, sf_dir):
         members.append(m.__class__(m.name, expr=m.expr, calibrated_expr=MEM.calibrated_sql(m.expr, a, c)))
     cal = b.with_(members=tuple(members))
     return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), cal))
+
+
+@register("stream_micro_batches_by_user")
+def stream_micro_batches_by_user(spark, sf_dir):
+    schema, landing = _landed_events(spark, sf_dir)
+    n = STR.stream_micro_batches_keyed(spark, landing, schema, "user_id", ["ts", "event_id"], "ts", BATCH_ROWS,
+                                       IDLE_GAP_BY_USER, scratch_path(spark, "stream-user-out"),
+                                       scratch_path(spark, "stream-user-ckpt"))
+    return n.select("user_id", "event_id", "burst", "batch_num", "pos_in_batch")

@@ -435,3 +435,4 @@ FROM c2 GROUP BY feature""")
 
 
 ORACLE["mutual_information"] = _mi_sql()
+ORACLE["stream_micro_batches_by_user"] = ORACLE["micro_batches_by_user"]

@@ -13,6 +13,9 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,3 +145,46 @@ def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType
 
     _run(_reader(spark, landing, schema).writeStream.foreachBatch(per_batch), checkpoint)
     return spark.read.parquet(out)
+
+
+def stream_micro_batches_keyed(spark: SparkSession, landing: str, schema: T.StructType, key: str,
+                               order_cols, ts_col: str, batch_size: int, gap_seconds: float, out: str,
+                               checkpoint: str) -> DataFrame:
+    """Per-key count-or-idle numbering over a stream with per-key state
+    (``applyInPandasWithState``): the state is the scan's carry (last time,
+    rows, bursts, open burst start, batches before it), so each key resumes
+    exactly where its previous rows stopped. A key's rows of one trigger are
+    one group, bounded by the trigger size (``maxFilesPerTrigger``)."""
+    n = int(batch_size)
+    gap = int(round(gap_seconds * 1_000_000))
+    out_fields = [T.StructField(f.name, f.dataType) for f in schema.fields] + \
+        [T.StructField(k, T.LongType()) for k in ARR.OUT_FIELDS]
+    out_schema = T.StructType(out_fields)
+    state_schema = "last_ts long, pos long, burst long, open_start long, b_open long"
+    cols = [f.name for f in schema.fields]
+
+    def fn(k, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        if len(pdf) == 0:
+            return
+        pdf = pdf.sort_values(list(order_cols), kind="mergesort").reset_index(drop=True)
+        st = None
+        if state.exists:
+            last_ts, pos, burst, open_start, b_open = state.get
+            st = ARR.State((k[0],), last_ts, pos, burst, open_start, b_open)
+        keys, ts = ARR._chunk_arrays(pdf, [key], ts_col)
+        res, new_st, _, _ = ARR._scan(keys, ts, st, n, gap)
+        state.update((new_st.last_ts, new_st.pos, new_st.burst, new_st.open_start, new_st.b_open))
+        outp = pdf[cols].copy()
+        for f in ARR.OUT_FIELDS:
+            outp[f] = res[f].astype(np.int64)
+        yield outp
+
+    src = _reader(spark, landing, schema)
+    numbered = src.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout")
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
+
+    _run(numbered.writeStream.outputMode("append").foreachBatch(per_batch), checkpoint)
+    return spark.read.parquet(out)
