@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.operators.prep import q
@@ -40,15 +40,17 @@ def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict:
 def encoder_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, class, code): sorted distinct non-null string values, code =
     position in that order. Distinct is a hash aggregate (partial per task);
-    the ranking window runs per column over the distinct values only."""
+    positions come from the range-partitioned arrival numbering, so even a
+    column with a huge vocabulary is never ranked inside one task."""
     parts = [df.select(F.lit(c).alias("column"), q(c).cast("string").alias("class")).where(F.col("class").isNotNull())
              for c in columns]
     vals = parts[0]
     for p in parts[1:]:
         vals = vals.unionByName(p)
     vals = vals.distinct()
-    w = Window.partitionBy("column").orderBy("class")
-    return vals.select("column", "class", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
+    from flowscore.operators.arrival import number_arrivals
+    numbered = number_arrivals(vals, ["class"], key_cols=["column"])
+    return numbered.select("column", "class", (F.col("arrival_pos") - 1).cast("int").alias("code"))
 
 
 def fit_encoders(df: DataFrame, columns: Sequence[str]) -> dict:
