@@ -752,9 +752,8 @@ def fitted_ensemble(spark, sf_dir):
     b = ENS.fit_bundle(x.where("split = 'train'").select(*FEATURES, "y"), FEATURES, d, estimators=20, max_depth=6)
     b = b.with_(label_col="label")
     b = ENS.weighted_by_accuracy(b, FX.flows(spark, sf_dir).where(MEM.split_column("flow_id") == "train"))
-    local = d if not d.startswith("file:") else d[len("file:"):]
-    save_bundle(b, local)
-    loaded = load_bundle(local)
+    save_bundle(b, d, spark=spark)
+    loaded = load_bundle(d, spark=spark)
     return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), loaded))
 
 

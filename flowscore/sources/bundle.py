@@ -94,10 +94,19 @@ class EnsembleBundle:
 BUNDLE_FILE_PATTERN = "*_bundle.json"
 
 
-def save_bundle(bundle: EnsembleBundle, directory: str, prefix: str = "flowscore") -> str:
-    os.makedirs(directory, exist_ok=True)
-    path = os.path.join(directory, f"{prefix}_bundle.json")
-    doc = {
+def _is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def _local(path: str) -> str:
+    for pre in ("file://", "file:"):
+        if path.startswith(pre):
+            return path[len(pre):]
+    return path
+
+
+def _doc(bundle: EnsembleBundle) -> dict:
+    return {
         "members": [asdict(m) for m in bundle.members],
         "fdm": asdict(bundle.fdm),
         "ham": asdict(bundle.ham),
@@ -108,26 +117,51 @@ def save_bundle(bundle: EnsembleBundle, directory: str, prefix: str = "flowscore
         "flow_threshold_high": bundle.flow_threshold_high,
         "flow_threshold_extreme": bundle.flow_threshold_extreme,
     }
-    with open(path, "w") as fh:
-        json.dump(doc, fh, indent=1, sort_keys=True)
+
+
+def save_bundle(bundle: EnsembleBundle, directory: str, prefix: str = "flowscore", spark=None) -> str:
+    """Write the bundle JSON. Local paths use plain files; other file systems
+    (``hdfs://``, object stores) go through Spark's writer (pass ``spark``)."""
+    if spark is None or _is_local(directory):
+        d = _local(directory)
+        os.makedirs(d, exist_ok=True)
+        path = os.path.join(d, f"{prefix}_bundle.json")
+        with open(path, "w") as fh:
+            json.dump(_doc(bundle), fh, indent=1, sort_keys=True)
+        return path
+    path = f"{directory.rstrip('/')}/{prefix}_bundle.json"
+    spark.createDataFrame([(json.dumps(_doc(bundle), sort_keys=True),)], "doc string").coalesce(1) \
+        .write.mode("overwrite").text(path)
     return path
 
 
-def find_bundle_file(directory: str) -> str:
+def find_bundle_file(directory: str, spark=None) -> str:
     """Exactly one bundle file must match; none or several is an error."""
-    hits = sorted(glob.glob(os.path.join(directory, BUNDLE_FILE_PATTERN)))
+    if spark is None or _is_local(directory):
+        d = _local(directory)
+        hits = sorted(glob.glob(os.path.join(d, BUNDLE_FILE_PATTERN)))
+        listing = sorted(os.listdir(d)) if os.path.isdir(d) else []
+    else:
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(directory)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{BUNDLE_FILE_PATTERN}")) or []
+        hits = sorted(str(st.getPath()) for st in found)
+        listing = [str(st.getPath().getName()) for st in (fs.listStatus(root) if fs.exists(root) else [])]
     if not hits:
-        listing = sorted(os.listdir(directory)) if os.path.isdir(directory) else []
-        raise FileNotFoundError(
-            f"no {BUNDLE_FILE_PATTERN} file in {directory}; it holds: {listing}")
+        raise FileNotFoundError(f"no {BUNDLE_FILE_PATTERN} file in {directory}; it holds: {listing}")
     if len(hits) > 1:
         raise ValueError(f"several bundle files in {directory}: {hits}")
     return hits[0]
 
 
-def load_bundle(directory: str) -> EnsembleBundle:
-    with open(find_bundle_file(directory)) as fh:
-        doc = json.load(fh)
+def load_bundle(directory: str, spark=None) -> EnsembleBundle:
+    path = find_bundle_file(directory, spark)
+    if spark is None or _is_local(directory):
+        with open(path) as fh:
+            doc = json.load(fh)
+    else:
+        doc = json.loads("".join(r[0] for r in spark.read.text(path).collect()))
 
     def voter(d):
         d = dict(d)

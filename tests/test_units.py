@@ -170,3 +170,12 @@ def test_default_vote_threshold_is_half_total_weight():
     b = B.fixture_bundle()
     assert b.fdm.threshold == 2.25 and b.ham.threshold == 2.75
     assert b.all_features == tuple(sorted(b.all_features))
+
+
+def test_bundle_roundtrip_through_spark_io(spark, tmp_path, monkeypatch):
+    """The non-local branch (Hadoop file systems) exercised on a file: URI."""
+    monkeypatch.setattr(B, "_is_local", lambda p: False)
+    b = B.fixture_bundle()
+    d = f"file://{tmp_path}/remote-bundle"
+    B.save_bundle(b, d, spark=spark)
+    assert B.load_bundle(d, spark=spark) == b
