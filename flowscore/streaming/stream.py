@@ -52,21 +52,29 @@ def _reader(spark: SparkSession, path: str, schema: T.StructType, files_per_trig
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _run(writer, checkpoint: str):
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(writer, checkpoint: str, processing_time: str | None = None):
+    """``processing_time`` None: drain what is there (availableNow) and return.
+    Otherwise poll every ``processing_time`` (the watcher's poll interval,
+    e.g. "1 second") and return the running query."""
+    w = writer.option("checkpointLocation", checkpoint)
+    if processing_time is not None:
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return q
 
 
 def stream_score(spark: SparkSession, landing: str, schema: T.StructType, bundle: EnsembleBundle,
-                 out: str, checkpoint: str, flow_rate: int | None = None) -> None:
+                 out: str, checkpoint: str, flow_rate: int | None = None, processing_time: str | None = None):
     """Score every arriving batch of flow rows and archive each batch's
-    predictions under ``out/batch_id=<id>``."""
+    predictions under ``out/batch_id=<id>``. With ``processing_time`` the
+    query keeps polling and the running query is returned."""
     def per_batch(batch: DataFrame, batch_id: int):
         S.score_table(batch, bundle, flow_rate).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(_reader(spark, landing, schema).writeStream.foreachBatch(per_batch), checkpoint)
+    return _run(_reader(spark, landing, schema).writeStream.foreachBatch(per_batch), checkpoint, processing_time)
 
 
 def stream_mode_counts(spark: SparkSession, landing: str, schema: T.StructType, bundle: EnsembleBundle,

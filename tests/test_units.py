@@ -179,3 +179,26 @@ def test_bundle_roundtrip_through_spark_io(spark, tmp_path, monkeypatch):
     d = f"file://{tmp_path}/remote-bundle"
     B.save_bundle(b, d, spark=spark)
     assert B.load_bundle(d, spark=spark) == b
+
+
+def test_encode_with_table_matches_literal_map(spark):
+    df = spark.createDataFrame([("6",), ("17",), ("99",), (None,)], "p string")
+    classes = spark.createDataFrame([("17", 0), ("6", 1)], "value string, code int")
+    got = {r["p"]: r["code_p"] for r in P.encode_with_table(df, "p", classes, "code_p").collect()}
+    assert got == {"6": 1, "17": 0, "99": 0, None: 0}
+
+
+def test_stream_polls_with_processing_time(spark, tmp_path):
+    import time
+    from flowscore.session import scratch_path
+    from flowscore.sources import fixtures as FX
+    from flowscore.streaming import stream as STR
+    f = FX.flows(spark, "/root/testdata/sf0.001").limit(50)
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("poll-in", "poll-out", "poll-ckpt"))
+    f.coalesce(1).write.parquet(landing)
+    q = STR.stream_score(spark, landing, f.schema, B.fixture_bundle(), out, ckpt, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == 50
