@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.constants import (
-    BENIGN_LABEL, MODES, STATUS_ABSENT, STATUS_DONE, STATUS_FAILED, STATUS_WAITING, TRACE_KEEP_CHARS,
+    BENIGN_LABEL, FLOW_THRESHOLD_EXTREME, FLOW_THRESHOLD_HIGH, MODES, STATUS_ABSENT, STATUS_DONE, STATUS_FAILED, STATUS_WAITING, TRACE_KEEP_CHARS,
     VALID_FLOW_RATES,
 )
-from flowscore.functions.routing import select_mode
+from flowscore.functions import sqltext as ST
 
 # Request rejection messages.
 RATE_REJECT = "flow_rate must be one of [0, 1000, 5000] or omitted for all modes"
@@ -24,19 +24,20 @@ def validate(requests: DataFrame) -> DataFrame:
     """Adds ``reject_reason`` (first failing rule, null when accepted) and
     ``accepted``: the rate must be null or one of 0 / 1000 / 5000, then the
     file name must end in .csv (any case)."""
-    rate_ok = F.col("flow_rate").isNull() | F.col("flow_rate").isin(*VALID_FLOW_RATES)
-    name_ok = F.lower(F.col("input_filename")).endswith(".csv")
-    reason = F.when(~rate_ok, F.lit(RATE_REJECT)).when(~name_ok, F.lit(FILE_REJECT))
-    return requests.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
+    rates = ", ".join(str(r) for r in VALID_FLOW_RATES)
+    reason = (f"CASE WHEN NOT (flow_rate IS NULL OR flow_rate IN ({rates})) THEN {ST.lit_str(RATE_REJECT)} "
+              f"WHEN NOT endswith(lower(input_filename), '.csv') THEN {ST.lit_str(FILE_REJECT)} END")
+    return requests.selectExpr("*", f"{reason} AS reject_reason").selectExpr(
+        "*", "reject_reason IS NULL AS accepted")
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
     """Empty label column -> null (unlabelled), empty benign label -> Benign,
     new jobs start as pending."""
     return requests.withColumns({
-        "label_col": F.nullif(F.col("label_col"), F.lit("")),
-        "benign_label": F.coalesce(F.nullif(F.col("benign_label"), F.lit("")), F.lit(BENIGN_LABEL)),
-        "initial_status": F.lit("pending"),
+        "label_col": F.expr("nullif(label_col, '')"),
+        "benign_label": F.expr(f"coalesce(nullif(benign_label, ''), {ST.lit_str(BENIGN_LABEL)})"),
+        "initial_status": F.expr("'pending'"),
     })
 
 
@@ -47,19 +48,18 @@ def score_jobs(verdicts: DataFrame, jobs: DataFrame, key: str, label: str = "lab
     job key; the manifest joins on it (equi-join; AQE picks broadcast or
     sort-merge from measured sizes)."""
     j = verdicts.join(jobs.withColumnRenamed("job_id", key), on=key, how="inner")
-    mode = select_mode("flow_rate")
-    modes = F.when(mode.isNull(), F.array(*[F.lit(m) for m in MODES])).otherwise(F.array(mode))
-    j = j.withColumn("mode", F.explode(modes))
-    m = F.col("mode")
+    mode = ST.select_mode("flow_rate", FLOW_THRESHOLD_HIGH, FLOW_THRESHOLD_EXTREME)
+    all_modes = ", ".join(f"'{m}'" for m in MODES)
+    j = j.selectExpr("*", f"explode(CASE WHEN flow_rate IS NULL THEN array({all_modes}) ELSE array({mode}) END) AS mode")
 
     def pick(prefix):
-        return (F.when(m == "HAM", F.col(f"{prefix}_HAM")).when(m == "FDM", F.col(f"{prefix}_FDM"))
-                .otherwise(F.col(f"{prefix}_DFDM")))
+        return f"CASE mode WHEN 'HAM' THEN {prefix}_HAM WHEN 'FDM' THEN {prefix}_FDM ELSE {prefix}_DFDM END"
 
-    y = (F.when(F.col("label_col").isNull(), F.lit(None).cast("int"))
-         .when(F.col(label).eqNullSafe(F.col("benign_label")), F.lit(0)).otherwise(F.lit(1)))
-    return j.select(F.col(key).alias("job_id"), "*", pick("_bin").alias("pred_binary"),
-                    pick("_l3").alias("pred_3label"), y.cast("int").alias("y")).drop(key)
+    y = (f"CAST(CASE WHEN label_col IS NULL THEN NULL WHEN {ST.ident(label)} <=> benign_label THEN 0 "
+         f"ELSE 1 END AS INT)")
+    out = j.selectExpr(f"{ST.ident(key)} AS job_id", "*", f"{pick('_bin')} AS pred_binary",
+                       f"{pick('_l3')} AS pred_3label", f"{y} AS y")
+    return out.drop(key)
 
 
 def status_codes(requested: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -50,14 +50,18 @@ def _mode_aggs(mode: str, y: str) -> list[str]:
 
 
 def mode_counts(v: DataFrame, modes: Sequence[str] = MODES, group_cols: Sequence[str] = (),
-                rollup: bool = False, y: str = "_y") -> DataFrame:
-    """Long table: group columns, ``mode`` and every count in COUNT_FIELDS.
+                rollup: bool = False, y: str = "_y", fields: Sequence[str] = COUNT_FIELDS) -> DataFrame:
+    """Long table: group columns, ``mode`` and the requested counts
+    (``fields``, default all of COUNT_FIELDS).
 
     With ``rollup`` the groups are a ROLLUP over ``group_cols`` and a
     ``grouping_level`` column (Spark's grouping_id) tells subtotals apart.
+    Only the requested counters are aggregated (a ROLLUP multiplies every
+    aggregate by the number of grouping sets).
     """
+    fields = [k for k in COUNT_FIELDS if k in set(fields)]
     src = v if y in v.columns else v.withColumn(y, F.lit(None).cast("int"))
-    aggs = [F.expr(a) for m in modes for a in _mode_aggs(m, y)]
+    aggs = [F.expr(a) for m in modes for a in _mode_aggs(m, y) if a.rsplit(" AS ", 1)[1].split("__")[0] in fields]
     gcols = [q(c) for c in group_cols]
     if rollup:
         agg = src.rollup(*gcols).agg(
@@ -70,55 +74,54 @@ def mode_counts(v: DataFrame, modes: Sequence[str] = MODES, group_cols: Sequence
         agg = src.agg(*aggs)
         keys = []
     structs = ", ".join(
-        "named_struct('mode', '" + m + "', " + ", ".join(f"'{k}', {k}__{m}" for k in COUNT_FIELDS) + ")"
+        "named_struct('mode', '" + m + "', " + ", ".join(f"'{k}', {k}__{m}" for k in fields) + ")"
         for m in modes)
     return agg.selectExpr(*[ST.ident(k) for k in keys], f"inline(array({structs}))")
 
 
+def _r(num: str, den: str) -> str:
+    return f"CASE WHEN ({den}) <> 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+
+
+BINARY_SQL = {
+    "total": "tp + tn + fp + fn",
+    "accuracy": _r("tp + tn", "tp + tn + fp + fn"),
+    "precision": _r("tp", "tp + fp"),
+    "sensitivity": _r("tp", "tp + fn"),
+}
+F1_SQL = ("CASE WHEN precision + sensitivity <> 0 THEN CAST(2.0 AS DOUBLE) * precision * sensitivity / "
+          "(precision + sensitivity) ELSE CAST(0.0 AS DOUBLE) END")
+THREE_SQL = {
+    "confident_accuracy": _r("n_confident_correct", "n_confident"),
+    "warning_rate": _r("n_warning", "n"),
+    "benign_precision": "CAST(ben_tp AS DOUBLE) / CAST(greatest(n_benign, 1) AS DOUBLE)",
+    "benign_recall": "CAST(ben_tp AS DOUBLE) / CAST(greatest(n_y0, 1) AS DOUBLE)",
+    "malicious_precision": "CAST(mal_tp AS DOUBLE) / CAST(greatest(n_malicious, 1) AS DOUBLE)",
+    "malicious_recall": "CAST(mal_tp AS DOUBLE) / CAST(greatest(n_y1, 1) AS DOUBLE)",
+    "attacks_let_through": "ben_fp",
+}
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
 def with_binary_metrics(c: DataFrame) -> DataFrame:
     """accuracy, precision, sensitivity, F1 -- each 0.0 when its denominator is 0."""
-    tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
-    prec = _ratio(tp, tp + fp)
-    rec = _ratio(tp, tp + fn)
-    c = c.withColumns({
-        "total": tp + tn + fp + fn,
-        "accuracy": _ratio(tp + tn, tp + tn + fp + fn),
-        "precision": prec,
-        "sensitivity": rec,
-    })
-    p, r = F.col("precision"), F.col("sensitivity")
-    return c.withColumn("f1", F.when((p + r) != 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)))
+    c = c.selectExpr("*", *[f"{e} AS {k}" for k, e in BINARY_SQL.items()])
+    return c.selectExpr("*", f"{F1_SQL} AS f1")
 
 
-def _floor1(c: Column) -> Column:
-    return F.greatest(c, F.lit(1)).cast("double")
-
-
-def with_three_label_metrics(c: DataFrame) -> DataFrame:
+def with_three_label_metrics(c: DataFrame, which: Sequence[str] | None = None) -> DataFrame:
     """ConfidentAccuracy, WarningRate, benign/malicious precision & recall
     (denominators floored at 1) and AttacksLetThrough (true attacks labelled
-    Benign; Warnings are not counted as misses)."""
-    return c.withColumns({
-        "confident_accuracy": _ratio(F.col("n_confident_correct"), F.col("n_confident")),
-        "warning_rate": _ratio(F.col("n_warning"), F.col("n")),
-        "benign_precision": F.col("ben_tp").cast("double") / _floor1(F.col("n_benign")),
-        "benign_recall": F.col("ben_tp").cast("double") / _floor1(F.col("n_y0")),
-        "malicious_precision": F.col("mal_tp").cast("double") / _floor1(F.col("n_malicious")),
-        "malicious_recall": F.col("mal_tp").cast("double") / _floor1(F.col("n_y1")),
-        "attacks_let_through": F.col("ben_fp"),
-    })
-
-
-def mode_rank(order: Sequence[str]) -> Column:
-    expr = None
-    for i, m in enumerate(order):
-        expr = (F.when(F.col("mode") == m, F.lit(i + 1)) if expr is None
-                else expr.when(F.col("mode") == m, F.lit(i + 1)))
-    return expr.cast("int")
+    Benign; Warnings are not counted as misses). ``which`` limits the set."""
+    keep = THREE_SQL if which is None else {k: THREE_SQL[k] for k in which}
+    return c.selectExpr("*", *[f"{e} AS {k}" for k, e in keep.items()])
+
+
+def mode_rank(order: Sequence[str]) -> str:
+    return "CAST(CASE mode " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(order)) + " END AS INT)"
 
 
 def mode_comparison(v: DataFrame, labelled: bool = True) -> DataFrame:
@@ -126,40 +129,42 @@ def mode_comparison(v: DataFrame, labelled: bool = True) -> DataFrame:
     Malicious% (2 dp), binary metrics (6 dp), and for HAM/FDM the confident
     accuracy (6 dp), warning rate % (3 dp) and attacks missed. Rounding is
     half-even like Python's ``round``. Metrics only for labelled input."""
-    c = with_three_label_metrics(with_binary_metrics(mode_counts(v, MODES)))
-    not_dfdm = F.col("mode") != "DFDM"
-    cols = [F.col("mode"), mode_rank(MODES).alias("position"),
-            F.bround(_ratio(F.col("n_pred_malicious"), F.col("n")) * F.lit(100.0), 2).alias("malicious_pct")]
+    need = ["n", "n_pred_malicious", "tp", "tn", "fp", "fn", "n_warning", "ben_fp", "n_confident",
+            "n_confident_correct"]
+    c = with_three_label_metrics(with_binary_metrics(mode_counts(v, MODES, fields=need)),
+                                 ["confident_accuracy", "warning_rate", "attacks_let_through"])
+    cols = ["mode", f"{mode_rank(MODES)} AS position",
+            f"bround({_r('n_pred_malicious', 'n')} * CAST(100.0 AS DOUBLE), 2) AS malicious_pct"]
     if labelled:
-        cols += [F.bround(F.col(k), 6).alias(k) for k in ("accuracy", "precision", "sensitivity", "f1")]
+        cols += [f"bround({k}, 6) AS {k}" for k in ("accuracy", "precision", "sensitivity", "f1")]
         cols += [
-            F.when(not_dfdm, F.bround(F.col("confident_accuracy"), 6)).alias("conf_acc"),
-            F.when(not_dfdm, F.bround(F.col("warning_rate") * F.lit(100.0), 3)).alias("warn_rate_pct"),
-            F.when(not_dfdm, F.col("attacks_let_through")).alias("attacks_missed"),
+            "CASE WHEN mode <> 'DFDM' THEN bround(confident_accuracy, 6) END AS conf_acc",
+            "CASE WHEN mode <> 'DFDM' THEN bround(warning_rate * CAST(100.0 AS DOUBLE), 3) END AS warn_rate_pct",
+            "CASE WHEN mode <> 'DFDM' THEN attacks_let_through END AS attacks_missed",
         ]
-    return c.select(*cols).orderBy("position")
+    return c.selectExpr(*cols).orderBy("position")
 
 
 def evaluate_all_modes(v: DataFrame) -> DataFrame:
     """Binary evaluation of every mode, in FDM, DFDM, HAM order."""
-    c = with_binary_metrics(mode_counts(v, EVAL_ORDER))
-    return c.select("mode", mode_rank(EVAL_ORDER).alias("position"), "accuracy", "precision", "sensitivity",
-                    "f1", "tp", "tn", "fp", "fn").orderBy("position")
+    c = with_binary_metrics(mode_counts(v, EVAL_ORDER, fields=["tp", "tn", "fp", "fn"]))
+    return c.selectExpr("mode", f"{mode_rank(EVAL_ORDER)} AS position", "accuracy", "precision", "sensitivity",
+                        "f1", "tp", "tn", "fp", "fn").orderBy("position")
 
 
 def mode_summary(v: DataFrame) -> DataFrame:
     """Per-mode run summary: rows, malicious count and share, three-label
     counts and warning rate (three-label columns are null for DFDM, which
     has no warning zone)."""
-    c = mode_counts(v, MODES)
-    nd = F.col("mode") != "DFDM"
-    return c.select(
-        "mode", mode_rank(MODES).alias("position"), "n",
-        F.col("n_pred_malicious").alias("n_malicious_binary"),
-        (F.col("n") - F.col("n_pred_malicious")).alias("n_benign_binary"),
-        F.bround(_ratio(F.col("n_pred_malicious"), F.col("n")) * F.lit(100.0), 2).alias("attack_pct"),
-        F.when(nd, F.col("n_benign")).alias("n_benign_3l"),
-        F.when(nd, F.col("n_warning")).alias("n_warning_3l"),
-        F.when(nd, F.col("n_malicious")).alias("n_malicious_3l"),
-        F.when(nd, F.bround(_ratio(F.col("n_warning"), F.col("n")) * F.lit(100.0), 2)).alias("warn_rate_pct"),
+    c = mode_counts(v, MODES, fields=["n", "n_pred_malicious", "n_benign", "n_warning", "n_malicious"])
+    nd = "mode <> 'DFDM'"
+    return c.selectExpr(
+        "mode", f"{mode_rank(MODES)} AS position", "n",
+        "n_pred_malicious AS n_malicious_binary",
+        "n - n_pred_malicious AS n_benign_binary",
+        f"bround({_r('n_pred_malicious', 'n')} * CAST(100.0 AS DOUBLE), 2) AS attack_pct",
+        f"CASE WHEN {nd} THEN n_benign END AS n_benign_3l",
+        f"CASE WHEN {nd} THEN n_warning END AS n_warning_3l",
+        f"CASE WHEN {nd} THEN n_malicious END AS n_malicious_3l",
+        f"CASE WHEN {nd} THEN bround({_r('n_warning', 'n')} * CAST(100.0 AS DOUBLE), 2) END AS warn_rate_pct",
     ).orderBy("position")

@@ -360,7 +360,7 @@ def _counts(spark, sf_dir, modes=("HAM", "FDM", "DFDM"), **kw):
 
 @register("confusion_counts")
 def confusion_counts(spark, sf_dir):
-    return _counts(spark, sf_dir).select("mode", "tp", "tn", "fp", "fn")
+    return _counts(spark, sf_dir, fields=["tp", "tn", "fp", "fn"]).select("mode", "tp", "tn", "fp", "fn")
 
 
 @register("binary_metrics")
@@ -406,13 +406,13 @@ def evaluate_all_modes(spark, sf_dir):
 
 @register("metrics_by_label")
 def metrics_by_label(spark, sf_dir):
-    c = _counts(spark, sf_dir, group_cols=["label"])
+    c = _counts(spark, sf_dir, group_cols=["label"], fields=["n", "tp", "tn", "fp", "fn", "n_warning"])
     return c.select("label", "mode", "n", "tp", "tn", "fp", "fn", "n_warning")
 
 
 @register("metrics_rollup")
 def metrics_rollup(spark, sf_dir):
-    c = _counts(spark, sf_dir, group_cols=["protocol", "label"], rollup=True)
+    c = _counts(spark, sf_dir, group_cols=["protocol", "label"], rollup=True, fields=["n", "tp", "tn", "fp", "fn"])
     return c.select("protocol", "label", "grouping_level", "mode", "n", "tp", "tn", "fp", "fn")
 
 

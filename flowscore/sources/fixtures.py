@@ -7,7 +7,6 @@ scales with the scan and Catalyst prunes the columns it does not need.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowscore.sources.tables import read_table
 
@@ -55,48 +54,34 @@ def flows(spark: SparkSession, sf_dir: str, keep_order_key: bool = False) -> Dat
 def telemetry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource samples (FIXTURES.md F5) from ``events``."""
     ev = read_table(spark, sf_dir, "events")
-    return ev.select(
-        F.col("event_type").alias("stage"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("value").alias("mem_mb"),
-        (F.col("user_id") % 100).cast("double").alias("cpu_pct"),
-        ((F.col("event_id") % 16) + 1).cast("int").alias("threads"),
+    return ev.selectExpr(
+        "event_type AS stage",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "value AS mem_mb",
+        "CAST(user_id % 100 AS DOUBLE) AS cpu_pct",
+        "CAST(event_id % 16 + 1 AS INT) AS threads",
     )
 
 
 def path_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed prediction runs (path, run, elapsed_sec, n) from ``events``."""
     ev = read_table(spark, sf_dir, "events")
-    return ev.select(
-        F.col("event_type").alias("path"),
-        F.col("event_id").alias("run"),
-        F.col("value").alias("elapsed_sec"),
-        F.lit(1000).cast("bigint").alias("n"),
-    )
+    return ev.selectExpr("event_type AS path", "event_id AS run", "value AS elapsed_sec",
+                         "CAST(1000 AS BIGINT) AS n")
 
 
 def job_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job requests (FIXTURES.md F4) from ``orders``."""
     o = read_table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    rate = (
-        F.when(k % 5 == 0, F.lit(None).cast("int"))
-        .when(k % 5 == 1, F.lit(0))
-        .when(k % 5 == 2, F.lit(1000))
-        .when(k % 5 == 3, F.lit(5000))
-        .otherwise(F.lit(777))
-    )
-    suffix = F.when(k % 3 == 0, F.lit(".csv")).when(k % 3 == 1, F.lit(".CSV")).otherwise(F.lit(".txt"))
-    return o.select(
-        k.alias("job_id"),
-        F.when(F.col("o_orderstatus") == "F", F.lit("failed"))
-        .when(F.col("o_orderstatus") == "O", F.lit("done"))
-        .otherwise(F.lit("pending"))
-        .alias("status"),
-        rate.alias("flow_rate"),
-        F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("label")).alias("label_col"),
-        F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("Benign")).alias("benign_label"),
-        F.concat(F.lit("flows_"), k.cast("string"), suffix).alias("input_filename"),
-        F.col("o_orderdate").alias("created_at"),
-        F.concat(F.lit("Traceback: "), F.repeat(F.col("o_orderpriority"), 200)).alias("error_text"),
+    return o.selectExpr(
+        "o_orderkey AS job_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE 'pending' END AS status",
+        "CAST(CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 5000 ELSE 777 END "
+        "AS INT) AS flow_rate",
+        "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'label' END AS label_col",
+        "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Benign' END AS benign_label",
+        "concat('flows_', CAST(o_orderkey AS STRING), "
+        "CASE o_orderkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.CSV' ELSE '.txt' END) AS input_filename",
+        "o_orderdate AS created_at",
+        "concat('Traceback: ', repeat(o_orderpriority, 200)) AS error_text",
     )
