@@ -49,7 +49,6 @@ from flowscore.functions import cleaning as C  # noqa: E402
 from flowscore.functions import voting as V  # noqa: E402
 from flowscore.operators import fitting as FIT  # noqa: E402
 from flowscore.operators import prep as P  # noqa: E402
-from flowscore.operators.prep import q  # noqa: E402
 
 FEATURES = FX.FLOW_FEATURES
 

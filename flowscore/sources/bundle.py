@@ -206,3 +206,25 @@ def fixture_bundle() -> EnsembleBundle:
                  "init_bwd_win_bytes", "init_fwd_win_bytes"),
                 weights, None, 0.3)
     return EnsembleBundle(members=members, fdm=fdm, ham=ham, label_col="label")
+
+
+def member_sizes(bundle: EnsembleBundle, spark) -> dict[str, int]:
+    """Stored size in bytes of every member (saved model or forest folder;
+    the expression length for expression members), per voter use: the
+    per-voter model footprint is the sum over its members."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for m in bundle.members:
+        path = m.model_path or m.forest_path
+        if path is None:
+            out[m.name] = len((m.expr or "").encode()) + len((m.calibrated_expr or "").encode())
+            continue
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        out[m.name] = int(p.getFileSystem(conf).getContentSummary(p).getLength())
+    return out
+
+
+def voter_sizes(bundle: EnsembleBundle, spark) -> dict[str, int]:
+    sizes = member_sizes(bundle, spark)
+    return {vt.name: sum(sizes[m] for m in vt.members) for vt in (bundle.fdm, bundle.ham)}

@@ -202,3 +202,17 @@ def test_stream_polls_with_processing_time(spark, tmp_path):
     finally:
         q.stop()
     assert spark.read.parquet(out).count() == 50
+
+
+def test_member_and_voter_sizes(spark, tmp_path):
+    from flowscore.operators.extra_trees import fit_extra_trees, save_forest
+    b = B.fixture_bundle()
+    sizes = B.member_sizes(b, spark)
+    assert set(sizes) == {"m1", "m2", "m3", "m4", "m5"} and all(v > 0 for v in sizes.values())
+    v = B.voter_sizes(b, spark)
+    assert v["HAM"] == v["FDM"] + sizes["m5"]
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "x double, y long")
+    forest = fit_extra_trees(df, ["x"], n_estimators=2, max_depth=2)
+    save_forest(spark, forest, f"file://{tmp_path}/forest")
+    fb = b.with_(members=b.members + (B.Member("et", forest_path=f"file://{tmp_path}/forest"),))
+    assert B.member_sizes(fb, spark)["et"] > 0
