@@ -98,3 +98,16 @@ def latest_status(log: DataFrame) -> DataFrame:
         F.max_by("error_message", "ts").alias("error_message"),
         F.count(F.lit(1)).alias("n_events"),
     )
+
+
+def write_job_outputs(scored: DataFrame, path: str, row_key: str = "flow_id", fmt: str = "csv") -> None:
+    """Per-job predictions under ``path/job_id=<id>/`` (dynamic overwrite, so
+    re-running a job replaces only its folder). Range partitioning on
+    (job_id, row key) keeps a small job in one file and splits a job holding a
+    third of all rows over many tasks instead of funnelling it into one."""
+    w = scored.repartitionByRange("job_id", row_key).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("job_id")
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        w.parquet(path)

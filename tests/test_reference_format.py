@@ -50,3 +50,26 @@ def test_reference_csv_end_to_end(spark, tmp_path):
     assert one.columns[-3:] == ["pred_binary", "pred_3label", "mode"]
     cmp = {r["mode"]: r for r in MET.mode_comparison(S.verdicts(df, _bundle())).collect()}
     assert cmp["DFDM"]["accuracy"] == 1.0 and cmp["DFDM"]["conf_acc"] is None
+
+
+def test_flow_consistency_checks(spark, tmp_path):
+    from flowscore.operators.consistency import consistency_report, flow_checks
+    p = tmp_path / "flows.csv"
+    p.write_text(HEADER + "\n" + "\n".join(ROWS) + "\n")
+    df = CSV.read_flows_csv(spark, f"file://{p}", TYPES)
+    checked = flow_checks(df).select("id_ok", "duration_ok", "iat_ok").collect()
+    assert [tuple(r) for r in checked] == [(True, True, True), (True, True, False), (True, True, False),
+                                          (True, True, False)]
+    rep = consistency_report(flow_checks(df)).first()
+    assert (rep["n"], rep["bad_flow_id"], rep["bad_duration"], rep["bad_iat"]) == (4, 0, 0, 3)
+
+
+def test_job_outputs_per_folder(spark, tmp_path):
+    from flowscore.operators.jobs import write_job_outputs
+    rows = [(j, f"f{i}", i % 2) for j in (1, 2) for i in range(5)] + [(3, "g", 1)]
+    df = spark.createDataFrame(rows, "job_id long, flow_id string, pred_binary int")
+    out = f"file://{tmp_path}/jobs"
+    write_job_outputs(df, out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 11
+    assert sorted(r[0] for r in back.select("job_id").distinct().collect()) == [1, 2, 3]
