@@ -109,25 +109,50 @@ def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", ro
                  learning_rate: float = 1.0, checkpoint_every: int = 10) -> list[dict]:
     """Discrete AdaBoost (SAMME, two classes) over decision stumps.
 
+    The binned training table is checkpointed (lineage cut). A row's weight
+    is ``exp(lw - shift)`` with log-weight ``lw = sum_t alpha_t * miss_t``:
+    the stumps of the last ``checkpoint_every`` rounds are a flat expression,
+    older ones are folded into a stored column when the table is
+    re-checkpointed; ``shift`` bounds the largest log-weight (carried from the
+    previous round) so ``exp`` never overflows. Each round is ONE grouped
+    aggregate of (feature, bin) -> weighted class sums.
+
     Returns the stumps: feature, threshold, polarity (+1: predict 1 when
     x >= threshold) and weight alpha."""
     ensure_checkpoint_dir(train.sparkSession)
     edges = _edges(train, features, bins)
-    data = train.select(*[q(f) for f in features], F.col(label).cast("int").alias("__y"),
+    base = train.select(*[q(f) for f in features], F.col(label).cast("int").alias("__y"),
                         *[_bin_expr(f, edges[f]).alias(f"__bin_{i}") for i, f in enumerate(features)])
-    n = data.count()
-    data = data.withColumn("__w", F.lit(1.0 / max(n, 1)))
+    par = train.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < par:  # every round rescans this table: spread it once
+        base = base.repartition(par)
+    base = base.withColumn("__lwb", F.lit(0.0)).checkpoint(eager=True)
     stumps: list[dict] = []
+    recent: list[dict] = []
+    shift = 0.0
     stack = F.inline(F.array(*[F.struct(F.lit(i).alias("fi"), F.col(f"__bin_{i}").alias("bin"))
                                for i in range(len(features))]))
+    def lw_expr():
+        terms = " + ".join(f"{s['alpha']!r} * CAST(({_stump_sql(s['feature'], s['threshold'], s['polarity'])}) "
+                           f"<> __y AS DOUBLE)" for s in recent)
+        return F.expr(f"__lwb + ({terms})" if terms else "__lwb")
+
     for r in range(rounds):
-        table = data.select("__y", "__w", stack).groupBy("fi", "bin").agg(
+        if recent and r % checkpoint_every == 0:
+            base = base.withColumn("__lwb", lw_expr()).checkpoint(eager=True)
+            recent = []
+        lw = lw_expr()
+        data = base.select("__y", lw.alias("__lw"), stack).withColumn("__w", F.exp(F.col("__lw") - F.lit(shift)))
+        table = data.groupBy("fi", "bin").agg(
             F.sum(F.when(F.col("__y") == 1, F.col("__w")).otherwise(0.0)).alias("w1"),
-            F.sum(F.when(F.col("__y") == 1, 0.0).otherwise(F.col("__w"))).alias("w0")).collect()
-        total1 = total0 = 0.0
+            F.sum(F.when(F.col("__y") == 1, 0.0).otherwise(F.col("__w"))).alias("w0"),
+            F.max("__lw").alias("lw_max")).collect()
         per: dict[int, dict[int, tuple[float, float]]] = {}
         for row in table:
             per.setdefault(row["fi"], {})[row["bin"]] = (row["w1"], row["w0"])
+        if not per:
+            break
+        lw_max = max(row["lw_max"] for row in table)
         fi0 = next(iter(per))
         total1 = sum(v[0] for v in per[fi0].values())
         total0 = sum(v[1] for v in per[fi0].values())
@@ -146,17 +171,16 @@ def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", ro
                     if best is None or err < best[0] - 1e-15:
                         best = (err, f, e[k], pol)
         tot = total1 + total0
-        err = best[0] / tot if tot > 0 else 0.5
+        if best is None or tot <= 0:
+            break
+        err = best[0] / tot
         if err >= 0.5:
             break
         err = max(err, 1e-10)
         alpha = learning_rate * math.log((1.0 - err) / err)
         stumps.append({"feature": best[1], "threshold": best[2], "polarity": best[3], "alpha": alpha})
-        pred = F.expr(_stump_sql(best[1], best[2], best[3]))
-        miss = (pred != F.col("__y")).cast("double")
-        data = data.withColumn("__w", F.col("__w") * F.exp(F.lit(alpha) * miss))
-        if (r + 1) % checkpoint_every == 0:
-            data = data.checkpoint(eager=True)
+        recent.append(stumps[-1])
+        shift = lw_max + alpha  # bound on next round's largest log-weight
         if err <= 1e-10:
             break
     return stumps
