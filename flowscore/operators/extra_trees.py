@@ -64,11 +64,12 @@ def _level_nodes(level: int) -> tuple[int, int]:
     return 1 << level, 1 << (level + 1)
 
 
-def _stats_pass(features, label, feat, thr, depth, open_mask, level):
+def _stats_pass(features, label, arrays_bc, depth, level):
     fcount = len(features)
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lo, hi = _level_nodes(level)
+        feat, thr, open_mask = arrays_bc.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -88,9 +89,10 @@ def _stats_pass(features, label, feat, thr, depth, open_mask, level):
     return fn
 
 
-def _split_pass(features, label, feat, thr, cand_f, cand_t, level):
+def _split_pass(features, label, arrays_bc, level):
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lo, hi = _level_nodes(level)
+        feat, thr, cand_f, cand_t = arrays_bc.value
         k = cand_f.shape[2]
         for pdf in it:
             if len(pdf) == 0:
@@ -137,6 +139,7 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str = "y",
     open_mask[:, 1] = True
     data = train.select(*[q(f).cast("double").alias(f) for f in features], q(label).cast("long").alias(label))
     data = data.persist()
+    sc = train.sparkSession.sparkContext
     stats_schema = ("tree long, node long, n long, n1 long, "
                     + ", ".join(f"mn{j} double" for j in range(fcount)) + ", "
                     + ", ".join(f"mx{j} double" for j in range(fcount)))
@@ -144,7 +147,9 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str = "y",
         for level in range(max_depth + 1):
             if not open_mask.any():
                 break
-            stats = data.mapInPandas(_stats_pass(features, label, feat, thr, max_depth, open_mask, level), stats_schema)
+            # node arrays go to executors once per level as a broadcast, not inside every task
+            bc = sc.broadcast((feat.copy(), thr.copy(), open_mask.copy()))
+            stats = data.mapInPandas(_stats_pass(features, label, bc, max_depth, level), stats_schema)
             stats = stats.groupBy("tree", "node").agg(
                 F.sum("n").alias("n"), F.sum("n1").alias("n1"),
                 *[F.min(f"mn{j}").alias(f"mn{j}") for j in range(fcount)],
@@ -172,9 +177,12 @@ def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str = "y",
                 any_cand = True
             if not any_cand:
                 break
-            counts = data.mapInPandas(_split_pass(features, label, feat, thr, cand_f, cand_t, level),
+            bc2 = sc.broadcast((feat.copy(), thr.copy(), cand_f, cand_t))
+            counts = data.mapInPandas(_split_pass(features, label, bc2, level),
                                       "tree long, node long, cand int, side long, y long, n long")
             counts = counts.groupBy("tree", "node", "cand", "side", "y").agg(F.sum("n").alias("n")).collect()
+            bc.unpersist()
+            bc2.unpersist()
             tab: dict = {}
             for r in counts:
                 tab.setdefault((r["tree"], r["node"], r["cand"]), np.zeros((2, 2)))[r["side"], r["y"]] += r["n"]
@@ -211,11 +219,15 @@ def load_forest(spark, path: str) -> Forest:
 
 
 def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = None) -> Column:
-    """Class-1 probability: mean of the trees' leaf shares (Arrow-batched)."""
-    feat, thr, value, depth = forest.feat, forest.thr, forest.value, forest.depth
+    """Class-1 probability: mean of the trees' leaf shares (Arrow-batched).
+    The node arrays are a broadcast variable (fetched once per executor)."""
+    from pyspark.sql import SparkSession
+    bc = SparkSession.getActiveSession().sparkContext.broadcast((forest.feat, forest.thr, forest.value))
+    depth = forest.depth
 
     @pandas_udf("double")
     def _score(*xs: pd.Series) -> pd.Series:
+        feat, thr, value = bc.value
         X = np.column_stack([x.to_numpy(dtype=np.float64) for x in xs])
         node = _route(X, feat, thr, depth)
         leaf = np.take_along_axis(value, node, axis=1)
