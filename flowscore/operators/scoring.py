@@ -24,12 +24,15 @@ DIAG = "diag"
 
 
 def _member_prob(bundle: EnsembleBundle, name: str, calibrated: bool) -> str:
+    """Raw (vote) or calibrated (three-label) probability of a member. For
+    fitted members the raw score is the column ``_mlp_<name>``, which a
+    ``calibrated_expr`` may refer to (e.g. a Platt map of it)."""
     m = bundle.member(name)
+    if calibrated and m.calibrated_expr:
+        return f"CAST(({m.calibrated_expr}) AS DOUBLE)"
     if m.expr is None:
-        # fitted Spark ML members are scored by flowscore.operators.members
         return f"_mlp_{name}"
-    text = m.calibrated_expr if (calibrated and m.calibrated_expr) else m.expr
-    return f"CAST(({text}) AS DOUBLE)"
+    return f"CAST(({m.expr}) AS DOUBLE)"
 
 
 def _member_names(bundle: EnsembleBundle) -> list[str]:
