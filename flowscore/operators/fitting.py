@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscore.operators.prep import q
@@ -68,6 +68,7 @@ def fit_encoders(df: DataFrame, columns: Sequence[str]) -> dict:
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """Balanced class weights n / (2 * n_class) per class, as a small table."""
     counts = df.groupBy(q(y).alias("class")).agg(F.count(F.lit(1)).alias("n_class"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "class", "n_class", (F.col("n").cast("double") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
+    # total over the per-class table (one row per class), no join needed
+    n = F.sum("n_class").over(Window.partitionBy())
+    return counts.select("class", "n_class",
+                         (n.cast("double") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
