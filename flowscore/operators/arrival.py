@@ -22,9 +22,11 @@ in one task. The distributed form used here:
    reports one small summary row (first/last key and time, and how its
    first key segment would change given earlier rows);
 3. the driver folds the summaries (one row per partition, a bounded list)
-   into the exact state entering every partition;
+   into the exact state entering every partition and broadcasts them;
 4. pass 2: every partition is rescanned from its true entry state.
 
+The partition count follows the optimizer's size estimate (~256 MB each).
+
 Both passes stream Arrow batches through ``mapInPandas`` with vectorised
 numpy; no task ever holds more than one Arrow batch plus a few scalars.
 """

@@ -20,9 +20,6 @@ from flowscore.functions.routing import mode_for_rate
 from flowscore.operators.prep import feature_sql, label_sql, q, trim_columns
 from flowscore.sources.bundle import EnsembleBundle
 
-DIAG = "diag"
-
-
 def _member_prob(bundle: EnsembleBundle, name: str, calibrated: bool) -> str:
     """Raw (vote) or calibrated (three-label) probability of a member. For
     fitted members the raw score is the column ``_mlp_<name>``, which a
@@ -149,8 +146,8 @@ def score_chunked(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None,
 def long_verdicts(v: DataFrame, key_cols: Sequence[str], modes: Sequence[str] = MODES,
                   with_y: bool = True) -> DataFrame:
     """One row per (input row, mode): key columns, ``mode``, ``pred_binary``,
-    ``pred_3label`` (code) and ``y``. Uses ``stack`` (a generator in the same
-    stage), no shuffle."""
+    ``pred_3label`` (code) and ``y``. An ``inline`` generator in the same
+    stage, no shuffle."""
     structs = ", ".join(f"named_struct('mode', '{m}', 'pred_binary', _bin_{m}, 'pred_3label', _l3_{m})"
                         for m in modes)
     cols = [ST.ident(k) for k in key_cols]
