@@ -252,7 +252,8 @@ def _apply(key_cols, ts_col, n, gap, entry_bc, out_cols):
             if len(pdf) == 0:
                 continue
             if not started:
-                st = entry_bc.value.get(int(pdf["__pid"].iloc[0]))
+                t = entry_bc.value.get(int(pdf["__pid"].iloc[0]))
+                st = State(*t) if t is not None else None
                 started = True
             keys, ts = _chunk_arrays(pdf, key_cols, ts_col)
             out, st, _, _ = _scan(keys, ts, st, n, gap)
@@ -309,7 +310,10 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
     if exit_state is not None:
         exit_state.append(last)
     # one small state per partition: shipped once per executor, not per task
-    entry_bc = spark.sparkContext.broadcast(entry)
+    # (plain tuples: broadcast values are unpickled without this package)
+    entry_bc = spark.sparkContext.broadcast(
+        {pid: (None if st is None else (st.key, st.last_ts, st.pos, st.burst, st.open_start, st.b_open))
+         for pid, st in entry.items()})
 
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
     out_cols = [*df.columns, *OUT_FIELDS]
