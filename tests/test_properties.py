@@ -192,3 +192,25 @@ def test_extra_trees_member_beats_majority(spark):
     assert acc > max(maj, 1 - maj)
     again = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=8, max_depth=4)
     assert (again.thr == forest.thr).all() and (again.feat == forest.feat).all()
+
+
+def test_hot_key_is_split_across_partitions(spark):
+    """One key holds a third of the rows: range partitioning on (key, order)
+    spreads it, so no partition is much larger than the average, and the
+    numbering still equals the brute-force one."""
+    rnd = random.Random(7)
+    rows, t = [], 0
+    for i in range(3000):
+        t += rnd.choice([1, 2, 50]) * 1_000_000
+        rows.append((i, 0 if i % 3 == 0 else rnd.randint(1, 200), t))
+    pdf = pd.DataFrame(rows, columns=["event_id", "k", "t"])
+    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_micros("t"))
+    out = ARR.number_arrivals(df, ["ts", "event_id"], key_cols=["k"], batch_size=5, gap_seconds=30.0,
+                              ts_col="ts", num_partitions=8)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) <= 2 * len(rows) / 8
+    hot_parts = out.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot_parts >= 2
+    want = _brute(pdf, "k", 5, 30_000_000)
+    got = {r["event_id"]: (r["burst"], r["batch_num"]) for r in out.collect()}
+    assert got == want
