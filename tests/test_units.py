@@ -216,3 +216,10 @@ def test_member_and_voter_sizes(spark, tmp_path):
     save_forest(spark, forest, f"file://{tmp_path}/forest")
     fb = b.with_(members=b.members + (B.Member("et", forest_path=f"file://{tmp_path}/forest"),))
     assert B.member_sizes(fb, spark)["et"] > 0
+
+
+def test_mode_comparison_unlabelled(spark):
+    v = S.verdicts(_flow_rows(spark).drop("label"), B.fixture_bundle())
+    out = MET.mode_comparison(v)
+    assert out.columns == ["mode", "position", "malicious_pct"]
+    assert [r["mode"] for r in out.collect()] == ["HAM", "FDM", "DFDM"]
