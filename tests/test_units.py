@@ -223,3 +223,12 @@ def test_mode_comparison_unlabelled(spark):
     out = MET.mode_comparison(v)
     assert out.columns == ["mode", "position", "malicious_pct"]
     assert [r["mode"] for r in out.collect()] == ["HAM", "FDM", "DFDM"]
+
+
+def test_target_partitions_follow_input_size(spark, monkeypatch):
+    from flowscore.operators import arrival as ARR
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    floor_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ARR.target_partitions(df) == floor_  # ~1 MB input: the configured floor
+    monkeypatch.setattr(ARR, "TARGET_PARTITION_BYTES", 16 * 1024)
+    assert ARR.target_partitions(df) > floor_  # same input, smaller target: more partitions
