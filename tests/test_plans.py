@@ -38,3 +38,16 @@ def test_rate_join_is_measured_not_forced(spark):
     p = _plan(spark, "windowed_rate_mode")
     assert "partial_count" in p
     assert "BroadcastHashJoin" in p or "SortMergeJoin" in p
+
+
+def test_filter_after_scoring_reaches_the_scan(spark):
+    from flowscore.operators import scoring as S
+    from flowscore.session import scratch_path
+    from flowscore.sources import fixtures as FX
+    from flowscore.sources.bundle import fixture_bundle
+    p = scratch_path(spark, "flows-pq")
+    FX.flows(spark, SF_SMALL).write.parquet(p)
+    df = S.score_table(spark.read.parquet(p), fixture_bundle()).where("protocol = '6'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in plan.splitlines() if "FileScan" in ln][0]
+    assert "PushedFilters: [IsNotNull(protocol), EqualTo(protocol,6)]" in scan
