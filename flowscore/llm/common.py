@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,35 @@ def ascii_lower(text: Column) -> Column:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra input columns never clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+FILTER_BITS = 24
+
+
+def filter_of(ids: DataFrame):
+    """(slot column of doc_id, broadcast bitmap of the ids' slots).
+
+    At most 2**FILTER_BITS integers reach the driver and the bitmap is 2 MB,
+    whatever the data; it only spares rows a shuffle, an exact join follows.
+    A null doc_id has a slot too.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS)
+    slots = ids.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return slot, ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def in_filter(batch, wanted, inside: bool = True):
+    """The rows of a batch whose slot is (not) in the bitmap."""
+    bitmap, slot = wanted.value, batch.column("slot").to_numpy()
+    hit = ((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == int(inside)
+    return batch.take(pa.array(np.flatnonzero(hit)))
+
+
+def chosen(wanted, inside: bool = True):
+    """For mapInArrow: ``in_filter`` over all batches."""
+    def run(batches):
+        for b in batches:
+            yield in_filter(b, wanted, inside)
+    return run

@@ -54,7 +54,7 @@ def row_grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _item_seeds(k):
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches, "text"):
             h, at = tokens(b.column("text"))
             n = np.diff(at)
             out = []
@@ -74,7 +74,7 @@ def _item_seeds(k):
 def _doc_hits(sizes, bits, shared):
     def run(batches):
         bitmap = shared.value
-        for b in batches:
+        for b in T.slices(batches, "text"):
             h, at = tokens(b.column("text"))
             rows, seeds = [], []
             for size in sizes:
@@ -131,7 +131,7 @@ def tiling(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
 
 def _cover(k):
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches, "text"):
             ha, at = tokens(b.column("text"))
             hb, bt = tokens(b.column("item_text"))
             covered, n_tiles = [], []

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> operator module
 MODULES = {
+    "op1_suffix_dedup": "op1_suffix_dedup",
     "op2_quality_rules": "op2_quality_rules",
     "op4_decontaminate": "op4_decontaminate",
     "op8_ngram_join": "op8_ngram_join",

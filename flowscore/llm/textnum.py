@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - loads pa.compute
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -26,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POW
     if len(_POW) < n:
         p = np.full(max(n, 1 << 16), MULT, dtype=np.uint64)
@@ -57,7 +58,7 @@ def is_space(buf: np.ndarray) -> np.ndarray:
 
 
 def ascii_lower(buf: np.ndarray) -> np.ndarray:
-    return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf).astype(np.uint8)
+    return buf + (((buf >= 65) & (buf <= 90)).view(np.uint8) << 5)
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +98,18 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         j = int(np.searchsorted(starts, lo + step, side="left"))
         j = max(j, i + 1)
         hi = int(ends[j - 1])
-        p = _powers(hi - lo + 1)
+        p = powers(hi - lo + 1)
         acc = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         # multiply up to a common power instead of dividing: exact modulo 2**64
         out[i:j] = (acc[e] - acc[s]) * p[hi - lo - s]
-        out[i:j] = mix(out[i:j] * _inverse_power(hi - lo))
+        out[i:j] = mix(out[i:j] * inverse_power(hi - lo))
         i = j
     return out
 
 
-def _inverse_power(n: int) -> np.uint64:
+def inverse_power(n: int) -> np.uint64:
     return np.uint64(pow(pow(int(MULT), -1, 1 << 64), n, 1 << 64))
 
 
@@ -121,3 +122,21 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for d in range(k):
         h = mix(h * MULT + words[d: d + n] + np.uint64(d + 1))
     return h
+
+
+def slices(batches, column: str, limit: int = 4 << 20):
+    """Cut record batches so that a slice holds about ``limit`` bytes of ``column``.
+
+    Every row stays whole; a text longer than ``limit`` is a slice of its own.
+    The temporaries of a slice are some 20 times its bytes, so they stay small
+    whatever the batch size of the session.
+    """
+    for b in batches:
+        col = b.column(column)
+        size = pa.compute.binary_length(col.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False) if len(col) else np.zeros(0)
+        end = np.cumsum(size)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + limit, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
