@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_suffix_dedup": "op1_suffix_dedup",
     "op2_quality_rules": "op2_quality_rules",
+    "op3_warc": "op3_warc",
     "op4_decontaminate": "op4_decontaminate",
     "op8_ngram_join": "op8_ngram_join",
     "op9_line_dedup": "op9_line_dedup",
