@@ -18,10 +18,10 @@ compatible and its largest possible overlap, popcount(A and B) plus clashes,
 reaches the least overlap the smallest sizes need. Class pairs that survive
 with their own bitmaps are verified exactly on the whole sets.
 
-Groups of near copies are not expanded into all pairs: in the first rounds a
+Groups of near copies are not expanded into all pairs: in the first round a
 large bucket only proposes its medoid with every member; links found so far
-give components, and later rounds skip node pairs that lie in one component.
-The last round proposes all that is left, so no link between components is
+give components, and the second round skips node pairs that lie in one component,
+proposing all that is left, so no link between components is
 lost. A bucket above ``chunk`` classes is dealt out as pairs of chunks.
 
 Defined results: null, empty and blank texts have 0 shingles and are their own
@@ -38,20 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
-from flowscore.llm.common import pick, written
+from flowscore.llm.common import filter_of, in_filter, pick, written
 from flowscore.llm.components import components
 
 K, NUM, DEN = 4, 85, 100
 FREQUENT, MAX_FREQUENT = 200, 1 << 16  # order only: any set of frequent shingles gives the same links
 CHUNK, LEAF, FAN, WORDS = 2048, 32, 8, 16
-FILTER_BITS = 24
+SEEN = 1 << 18
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row."""
     buf, offs = T.text_buffer(col)
-    s, e, r = T.word_spans(T.ascii_lower(buf), offs)
-    h = T.span_hashes(T.ascii_lower(buf), s, e)
+    buf = T.ascii_lower(buf)
+    s, e, r = T.word_spans(buf, offs)
+    h = T.span_hashes(buf, s, e)
     at = np.searchsorted(r, np.arange(len(offs)))
     grams = T.gram_hashes(h, k)
     out = []
@@ -84,23 +85,98 @@ def _keys(u: np.ndarray) -> tuple[int, int]:
     return tuple(T.mix(both + np.uint64(len(u))).view(np.int64).tolist())
 
 
-def _scan(k, num, den, frequent):
-    """Per document: its class key, set size, prefix shingles and bitmap."""
+def _wide(u: np.ndarray) -> bytes:
+    """A bitmap of at least two bits per shingle, for the check of single pairs."""
+    size = max(64, 1 << int(2 * len(u) - 1).bit_length())
+    words = np.zeros(size // 64, np.uint64)
+    bit = T.mix(u ^ T.MIX1) & np.uint64(size - 1)
+    np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    return words.tobytes()
+
+
+def _head(u: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    return _ordered(u, often)[: len(u) - -(-num * len(u) // den) + 1].view(np.int64)
+
+
+def _lists(heads: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
+
+
+def _scan(k, num, den):
+    """Per document its class key and set size; for the first copy that a task
+    meets also the prefix shingles and bitmaps (a partial aggregation: at most
+    ``SEEN`` keys are remembered)."""
     def run(batches):
-        often = frequent.value if frequent is not None else np.zeros(0, np.uint64)
-        for b in batches:
+        seen: set = set()
+        none = np.zeros(0, np.int64)
+        for b in T.slices(batches, "text"):
             sets = shingle_sets(b.column("text"), k)
             n = np.array([len(u) for u in sets], np.int64)
             keys = [_keys(u) if len(u) else (None, None) for u in sets]
-            heads = [_ordered(u, often)[: len(u) - -(-num * len(u) // den) + 1].view(np.int64) if len(u) else u.view(np.int64) for u in sets]
+            if len(seen) > SEEN:
+                seen = set()
+            new = [len(u) > 0 and not (key in seen or seen.add(key)) for u, key in zip(sets, keys)]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array(n), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)),
-                                         pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64))),
-                pa.array([_bitmap(u) for u in sets], pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "bitmap"])
+                _lists([_head(u, none.view(np.uint64), num, den) if x else none for u, x in zip(sets, new)]),
+                pa.array([_bitmap(u) if x else None for u, x in zip(sets, new)], pa.binary()),
+                pa.array([_wide(u) if x else None for u, x in zip(sets, new)], pa.binary())],
+                names=["doc_id", "n", "k1", "k2", "prefix", "bitmap", "wide"])
     return run
 
 
+def _touched(frequent):
+    """The documents whose prefix holds a frequent shingle."""
+    def run(batches):
+        often = frequent.value.view(np.int64)
+        for b in batches:
+            p = b.column("prefix")
+            hit = np.isin(p.flatten().to_numpy(), often)
+            row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.unique(row[hit])))], names=["doc_id"])
+    return run
+
+
+def _reordered(k, num, den, wanted, frequent):
+    """(k1, n, prefix) under the order that puts frequent shingles last, for the wanted documents."""
+    def run(batches):
+        for b in T.slices(batches, "text"):
+            sets = shingle_sets(in_filter(b, wanted).column("text"), k)
+            keys = [_keys(u)[0] for u in sets if len(u)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys, pa.int64()), pa.array([len(u) for u in sets if len(u)], pa.int64()),
+                _lists([_head(u, frequent.value, num, den) for u in sets if len(u)])], names=["k1", "n", "prefix"])
+    return run
+
+
+def _shared_only(batches):
+    """Rows sorted by (token, k1): repeats go, then shingles that only one class has."""
+    held = None
+    for b in _with_end(batches):
+        if b is not None:
+            now = [b.column(c).to_numpy() for c in ("token", "k1", "n")]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if held is None:
+            return
+        if b is not None and len(held[0]) < 1 << 17:
+            continue
+        stop = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1], "left"))
+        token, k1, n = (x[:stop] for x in held)
+        held = [x[stop:] for x in held]
+        if stop:
+            new = np.append(True, (token[1:] != token[:-1]) | (k1[1:] != k1[:-1]))
+            token, k1, n = token[new], k1[new], n[new]
+            _, of, df = np.unique(token, return_inverse=True, return_counts=True)
+            ok = df[of] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (token, k1, n, df[of])], names=["token", "k1", "n", "df"])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 class _Bucket:
     """Members of one bucket, sorted by size: sizes, bitmaps, component."""
 
@@ -260,17 +336,31 @@ def _propose(num, den, star):
 
 
 def _sets_of(k, wanted):
-    """(k1, set) of the documents whose hashed id is in the fixed-size filter."""
+    """(doc_id, set) of the documents whose hashed id is in the fixed-size filter."""
     def run(batches):
-        bitmap = wanted.value
-        for b in batches:
-            slot = b.column("slot").to_numpy()
-            b = b.take(pa.array(np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)))
+        for b in T.slices(batches, "text"):
+            b = in_filter(b, wanted)
             sets = shingle_sets(b.column("text"), k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], names=["doc_id", "set"])
     return run
 
 
+def _wide_check(num, den):
+    """Pairs whose wide bitmaps still allow the overlap they need (the wider one is folded)."""
+    def run(batches):
+        for b in batches:
+            good = np.zeros(b.num_rows, bool)
+            na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+            need = _least_overlap(na, nb, num, den)
+            for i, (x, y) in enumerate(zip(b.column("wide_a"), b.column("wide_b"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                m = min(len(x), len(y))
+                x, y = np.bitwise_or.reduce(x.reshape(-1, m), 0), np.bitwise_or.reduce(y.reshape(-1, m), 0)
+                good[i] = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum())) >= need[i]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+    return run
+
+
 def _verify(num, den):
     def run(batches):
         for b in batches:
@@ -284,20 +374,20 @@ def _verify(num, den):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes that link, by their whole sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    wanted = written(ids.join(reps, "k1").select("k1", F.col("rep").alias("doc_id")), "join-wanted")
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS)
-    slots = wanted.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most 2**FILTER_BITS integers
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes that link: first by wide bitmaps, then by their whole sets."""
+    def side(c, *cols):
+        return [F.col("k1").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols]]
+
+    wide = pairs.join(classes.select(*side("b", "n", "wide")), "b").join(classes.select(*side("a", "n", "wide")), "a")
+    left = written(wide.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_wide_check(num, den), "a long, b long"), "join-left")
+    ids = left.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    wanted = written(ids.join(classes, "k1").select("k1", F.col("rep").alias("doc_id")), "join-wanted")
+    slot, bitmap = filter_of(wanted)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.withColumn("slot", slot).mapInArrow(_sets_of(k, spark.sparkContext.broadcast(bitmap)), f"doc_id {kind}, set binary")
+    sets = docs.withColumn("slot", slot).mapInArrow(_sets_of(k, bitmap), f"doc_id {kind}, set binary")
     sets = written(sets.join(wanted, "doc_id").dropDuplicates(["k1"]).select("k1", "set"), "join-sets")
-    both = pairs.join(sets.select(F.col("k1").alias("b"), F.col("set").alias("set_b")), "b").join(
-        sets.select(F.col("k1").alias("a"), F.col("set").alias("set_a")), "a")
+    both = left.join(sets.select(*side("b", "set")), "b").join(sets.select(*side("a", "set")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
 
 
@@ -307,19 +397,25 @@ def ngram_components(docs: DataFrame, *, k: int = K, num: int = NUM, den: int =
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, bitmap binary"
-    all_docs = written(docs.mapInArrow(_scan(k, num, den, None), scanned).drop("bitmap"), "join-docs")
-    often = all_docs.filter("n > 0").select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(
+    all_docs = written(docs.mapInArrow(_scan(k, num, den), f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, "
+                                       "bitmap binary, wide binary"), "join-docs")
+    some = all_docs.filter("n > 0")
+    often = some.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(
         F.col("df") > frequent).orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toArrow()["token"].to_numpy()
     order = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))  # at most MAX_FREQUENT values
-    reps = written(all_docs.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "join-reps")
-    classes = written(docs.mapInArrow(_scan(k, num, den, order), scanned).filter("n > 0").select("k1", "n", "prefix", "bitmap").dropDuplicates(
-        ["k1"]), "join-classes")
-    rows = classes.select("k1", "n", F.explode("prefix").alias("token"))
-    shared = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "join-shared")
-    member = written(rows.join(shared, "token"), "join-members")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"),
+                                                   F.max("wide").alias("wide")), "join-classes")
+    rows = some.select("doc_id", "k1", "n", "prefix")
+    if len(often):
+        touched = written(rows.select("doc_id", "prefix").mapInArrow(_touched(order), f"doc_id {kind}"), "join-touched")
+        slot, wanted = filter_of(touched)
+        rows = rows.join(touched, "doc_id", "left_anti").select("k1", "n", "prefix").unionByName(
+            docs.withColumn("slot", slot).mapInArrow(_reordered(k, num, den, wanted, order), "k1 long, n long, prefix array<long>"))
+    rows = rows.select(F.explode("prefix").alias("token"), "k1", "n")
+    member = written(rows.repartition("token").sortWithinPartitions("token", "k1").mapInArrow(
+        _shared_only, "token long, k1 long, n long, df long"), "join-members")
     links, comp = None, None
-    for step in ("star", "star", "all"):
+    for step in ("star", "all"):
         part = member if comp is None else member.filter(F.col("df") > LEAF).join(comp, member["k1"] == comp["id"], "left")
         part = part.withColumn("comp", F.coalesce("comp", "k1") if comp is not None else F.col("k1"))
         if comp is not None:  # buckets that lie in one component are done
@@ -332,9 +428,12 @@ def ngram_components(docs: DataFrame, *, k: int = K, num: int = NUM, den: int =
         part = part.join(classes.select("k1", "bitmap"), "k1").select("token", "part", "k1", "n", "comp", "bitmap")
         dealt = part.repartition("token", "part").sortWithinPartitions("token", "part", "n", "k1")
         pairs = written(dealt.mapInArrow(_propose(num, den, step == "star"), "a long, b long").distinct(), "join-pairs")
-        found = _verified(pairs, docs, reps, k, num, den)
-        links = written(found if links is None else found.unionByName(links).distinct(), "join-links")
-        comp = written(components(links, "join-stars"), "join-comp")
+        found = written(_verified(pairs, docs, classes, k, num, den).distinct(), "join-links")
+        if comp is None or not found.isEmpty():  # later rounds only find links between components
+            links = found if links is None else links.unionByName(found)
+            comp = components(links, "join-comp", rounds=None if step == "all" else 1)
+        elif step == "all":
+            comp = components(links, "join-comp")
     of = all_docs.select("doc_id", "n", "k1").join(comp.withColumnRenamed("id", "k1"), "k1", "left").select(
         "doc_id", "n", F.coalesce("comp", "k1").alias("comp"))
     first = written(of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("first")), "join-first")
