@@ -10,6 +10,9 @@ MODULES = {
     "op2_quality_rules": "op2_quality_rules",
     "op3_warc": "op3_warc",
     "op4_decontaminate": "op4_decontaminate",
+    "op5_site_bayes": "op5_site_bayes",
+    "op6_pitman_yor": "op6_pitman_yor",
+    "op7_license_scan": "op7_license_scan",
     "op8_ngram_join": "op8_ngram_join",
     "op9_line_dedup": "op9_line_dedup",
     "op10_mix_sources": "op10_mix_sources",
