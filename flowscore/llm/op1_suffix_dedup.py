@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from flowscore.llm import textnum as T
 from flowscore.llm.common import filter_of, chosen, pick, written
 
-LENGTH, GRAM, SPLIT, SHARD_BYTES, RANGES = 400, 32, 4096, 2 << 20, 64
+LENGTH, GRAM, SPLIT, SHARD_BYTES, RANGES = 400, 160, 4096, 1 << 20, 64
 SEEN = 1 << 17
 
 
@@ -78,7 +78,7 @@ def anchors_of(buf: np.ndarray, offs: np.ndarray, length: int):
 
 def _anchors(length):
     def run(batches):
-        for b in T.slices(batches, "text", 2 << 20):
+        for b in T.slices(batches, "text", 256 << 10):
             buf, offs = T.text_buffer(b.column("text"))
             row, a, z, h = anchors_of(buf, offs, length)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(a), pa.array(z), pa.array(h.view(np.int64))],
@@ -90,7 +90,7 @@ def _contexts(length):
     """One row per place of a shared anchor; the bytes only once per task and context."""
     def run(batches):
         seen: set = set()
-        for b in T.slices(batches, "text", 8 << 20):
+        for b in T.slices(batches, "text", 1 << 20):
             doc, a_s, h_s, s_s, ctx, n, body = [], [], [], [], [], [], []
             for i in range(b.num_rows):
                 text = b.column("text")[i].as_py()
@@ -108,7 +108,7 @@ def _contexts(length):
                     n.append(s["z"] - s["a"] + 1)
                     body.append(None if key in seen else part)
                     seen.add(key)
-                if sum(map(len, filter(None, body))) > 8 << 20:
+                if sum(map(len, filter(None, body))) > 2 << 20:
                     yield _context_batch(b, doc, a_s, h_s, s_s, ctx, n, body)
                     doc, a_s, h_s, s_s, ctx, n, body = [], [], [], [], [], [], []
             yield _context_batch(b, doc, a_s, h_s, s_s, ctx, n, body)
@@ -131,38 +131,40 @@ def suffix_array(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     sizes = np.array([len(x) for x in bodies])
     text = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64) + np.uint64(1)
     n = len(text)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    body = np.repeat(np.arange(len(bodies)), sizes)
-    pos = np.arange(n)
+    ends = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)
+    body = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
+    pos = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.uint64)
     for d in range(7):
         inside = pos + d < ends
         key = (key << np.uint64(9)) | np.where(inside, text[np.minimum(pos + d, n - 1)], np.uint64(0))
-    sa = np.lexsort((body, key))
+    del text, pos
+    sa = np.argsort(key)
     rank = np.empty(n, np.int64)
     rank[sa] = _groups(key[sa])
-    depth = 7
-    longest = int(sizes.max())
-    while depth < longest:
-        count = np.bincount(rank[sa], minlength=n)
-        open_at = np.flatnonzero(count[rank[sa]] > 1)  # places in the array of groups not yet sorted
-        if not len(open_at):
-            break
+    open_at = _not_single(rank[sa])
+    depth, last = 7, len(bodies)
+    while len(open_at):  # past its end a suffix ranks by its body, below all others, so every group splits in the end
         i = sa[open_at]
-        nxt = np.where(i + depth < ends[i], rank[np.minimum(i + depth, n - 1)] + 1, 0)
+        nxt = np.where(i + depth < ends[i], rank[np.minimum(i + depth, n - 1)] + last, body[i])
         pair = (rank[i].astype(np.uint64) << np.uint64(32)) | nxt.astype(np.uint64)
-        order = np.lexsort((body[i], pair))
-        sa[open_at] = i[order]
-        pair = pair[order]
+        order = np.argsort(pair)
+        i, pair = i[order], pair[order]
+        sa[open_at] = i
         new = np.append(True, pair[1:] != pair[:-1])
         lead = np.maximum.accumulate(np.where(new, open_at, 0))  # a group's rank is its first place
-        fresh = rank.copy()
-        fresh[i[order]] = lead
-        rank = fresh
+        rank[i] = lead
+        open_at = open_at[_not_single(lead)]
         depth *= 2
     return sa, np.cumsum(sizes) - sizes, ends, key
 
 
+def _not_single(sorted_ranks: np.ndarray) -> np.ndarray:
+    """Where groups of two or more stand."""
+    same = sorted_ranks[1:] == sorted_ranks[:-1]
+    return np.flatnonzero(np.append(False, same) | np.append(same, False))
+
+
 def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     new = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -354,7 +356,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, split: int = SPLIT)
 
 def _removed(with_text):
     def run(batches):
-        for b in T.slices(batches, "text", 8 << 20):
+        for b in T.slices(batches, "text", 1 << 20):
             rows = []
             for text, spans in zip(b.column("text"), b.column("spans")):
                 body = text.as_py()
