@@ -30,7 +30,7 @@ from flowscore.llm import textnum as T
 from flowscore.llm.common import pick, written
 
 #: Bounds of the model: labelled documents to fit on, features per target, least documents and G2 of a feature.
-FIT_DOCS, FEATURES, MIN_DOCS, MIN_G2, MIN_ODDS, CLIP = 20000, 20000, 4, 100.0, 4.0, 8.0
+FIT_DOCS, FEATURES, MIN_DOCS, MIN_G2, MIN_ODDS, CLIP = 20000, 20000, 4, 200.0, 4.0, 8.0
 TARGETS = ("low", "toxic")
 SHAPE, REPEAT = np.uint64(0x51AFE), np.uint64(0x4E9EA7)
 
