@@ -45,6 +45,7 @@ K, NUM, DEN = 4, 85, 100
 FREQUENT, MAX_FREQUENT = 200, 1 << 16  # order only: any set of frequent shingles gives the same links
 CHUNK, LEAF, FAN, WORDS = 2048, 32, 8, 16
 SEEN = 1 << 18
+SPREAD = 8
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -419,14 +420,18 @@ def ngram_components(docs: DataFrame, *, k: int = K, num: int = NUM, den: int =
         part = member if comp is None else member.filter(F.col("df") > LEAF).join(comp, member["k1"] == comp["id"], "left")
         part = part.withColumn("comp", F.coalesce("comp", "k1") if comp is not None else F.col("k1"))
         if comp is not None:  # buckets that lie in one component are done
-            mixed = written(part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token"), "join-mixed")
+            mixed = written(part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("k1").alias("lead")).filter(
+                "x <> y").select("token", "lead"), "join-mixed")
             part = part.join(mixed, "token")
         pieces = F.ceil(F.col("df") / chunk)
         mine = F.pmod(F.xxhash64("k1"), pieces)
         part = part.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1),
                                                              lambda c: F.least(c, mine) * 1000003 + F.greatest(c, mine))))
-        part = part.join(classes.select("k1", "bitmap"), "k1").select("token", "part", "k1", "n", "comp", "bitmap")
-        dealt = part.repartition("token", "part").sortWithinPartitions("token", "part", "n", "k1")
+        # near copies share many buckets: those with one smallest member meet in SPREAD tasks, where repeated pairs go
+        deal = F.xxhash64("token", "part") if comp is None else F.xxhash64("lead", F.pmod(F.xxhash64("token"), F.lit(SPREAD)), "part")
+        part = part.withColumn("deal", deal).join(classes.select("k1", "bitmap"), "k1").select(
+            "deal", "token", "part", "k1", "n", "comp", "bitmap")
+        dealt = part.repartition("deal").drop("deal").sortWithinPartitions("token", "part", "n", "k1")
         pairs = written(dealt.mapInArrow(_propose(num, den, step == "star"), "a long, b long").distinct(), "join-pairs")
         found = written(_verified(pairs, docs, classes, k, num, den).distinct(), "join-links")
         if comp is None or not found.isEmpty():  # later rounds only find links between components
