@@ -23,10 +23,10 @@ FILE_REJECT = "file must be a .csv"
 def validate(requests: DataFrame) -> DataFrame:
     """Adds ``reject_reason`` (first failing rule, null when accepted) and
     ``accepted``: the rate must be null or one of 0 / 1000 / 5000, then the
-    file name must end in .csv (any case)."""
+    file name must end in .csv (any case); a null name does not."""
     rates = ", ".join(str(r) for r in VALID_FLOW_RATES)
     reason = (f"CASE WHEN NOT (flow_rate IS NULL OR flow_rate IN ({rates})) THEN {ST.lit_str(RATE_REJECT)} "
-              f"WHEN NOT endswith(lower(input_filename), '.csv') THEN {ST.lit_str(FILE_REJECT)} END")
+              f"WHEN NOT endswith(lower(coalesce(input_filename, '')), '.csv') THEN {ST.lit_str(FILE_REJECT)} END")
     return requests.selectExpr("*", f"{reason} AS reject_reason").selectExpr(
         "*", "reject_reason IS NULL AS accepted")
 

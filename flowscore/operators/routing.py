@@ -22,12 +22,15 @@ def rate_mode(df: DataFrame, ts_col: str, width: str, high: float, extreme: floa
     not with the row count). It is joined back on the window start: AQE
     turns this into a broadcast join when the measured table is under the
     broadcast threshold and keeps a shuffle join (with skew splitting)
-    otherwise -- no unchecked broadcast.
+    otherwise -- no unchecked broadcast. Rows without a time have no window:
+    they stay, with null rate and mode.
     """
-    keyed = df.withColumn("window_start", F.window(ts_col, width).start)
-    rates = rate_table(df, ts_col, width)
-    return keyed.join(rates, on="window_start", how="left").withColumn(
-        "mode", select_mode("rate", high, extreme))
+    timed, untimed = df.where(F.col(ts_col).isNotNull()), df.where(F.col(ts_col).isNull())
+    keyed = timed.withColumn("window_start", F.window(ts_col, width).start)
+    rates = rate_table(timed, ts_col, width)
+    out = keyed.join(rates, on="window_start", how="left").withColumn("mode", select_mode("rate", high, extreme))
+    types = {f.name: f.dataType for f in out.schema}
+    return out.unionByName(untimed.withColumns({c: F.lit(None).cast(types[c]) for c in ("window_start", "rate", "mode")}))
 
 
 def routed(v: DataFrame, mode_col: str = "mode") -> DataFrame:

@@ -130,8 +130,7 @@ def score_table(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None = N
     given, followed by the prediction columns of one mode (by rate) or all."""
     modes = modes_for(flow_rate, bundle)
     v = verdicts(df, bundle, label_col, benign_label, modes)
-    names = [c.strip() for c in df.columns]
-    return v.select(*[q(c) for c in names], *prediction_columns(modes))
+    return v.select(*[q(c.strip()).alias(c) for c in df.columns], *prediction_columns(modes))
 
 
 def score_chunked(df: DataFrame, bundle: EnsembleBundle, flow_rate: int | None,

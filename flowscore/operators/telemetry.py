@@ -39,11 +39,11 @@ def stage_rollup(samples: DataFrame) -> DataFrame:
     })
 
 
-def stage_summary(rollup: DataFrame, exclude_prefix: str = "_infer_", min_samples: int = 2) -> DataFrame:
+def stage_summary(rollup: DataFrame, exclude_prefix: str = "_infer_") -> DataFrame:
     """Printable summary: drops stages named with ``exclude_prefix`` and
-    unfinished ones (fewer than ``min_samples`` samples: no elapsed time),
+    those without an elapsed time (a stage with one sample has 0.0 and stays),
     rounded half-even like Python's ``round``."""
-    r = rollup.where(~F.col("stage").startswith(exclude_prefix) & (F.col("n_poll_samples") >= min_samples))
+    r = rollup.where(~F.col("stage").startswith(exclude_prefix) & F.col("elapsed_sec").isNotNull())
     return r.select(
         "stage",
         F.bround("elapsed_sec", 3).alias("time_s"),

@@ -240,7 +240,7 @@ SELECT stage, round_even(elapsed_sec, 3) AS time_s, round_even(mem_delta_mb, 2)
   round_even(peak_increase_mb, 2) AS peak_delta_mb, round_even(peak_mem_mb, 2) AS peak_mem_mb,
   round_even(avg_cpu_pct, 1) AS avg_cpu_pct, round_even(max_cpu_pct, 1) AS max_cpu_pct, max_threads,
   n_poll_samples AS poll_samples
-FROM rollup_t WHERE NOT starts_with(stage, 'sign') AND n_poll_samples >= 2""")
+FROM rollup_t WHERE NOT starts_with(stage, 'sign') AND elapsed_sec IS NOT NULL""")
 _TIMING = """
 timing AS (
   SELECT path, mean_sec, std_sec, mean_sec / CAST(n_samples AS DOUBLE) * 1e6 AS per_sample_us,

@@ -50,10 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local
-    tests) fall back to a fresh scratch folder under /tmp."""
+    """Use the cluster's ``spark.checkpoint.dir``; only when unset on a local
+    master (tests) fall back to a fresh scratch folder under /tmp."""
     d = checkpoint_dir(spark)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowscore-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

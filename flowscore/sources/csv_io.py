@@ -18,6 +18,10 @@ from flowscore.constants import NA_TOKENS
 from flowscore.operators.prep import q, trim_columns
 
 
+#: Values go out unchanged: blanks kept, quotes doubled.
+_DIALECT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
+
 def null_na_tokens(c):
     return F.when(c.isin(*[t for t in NA_TOKENS if t]), F.lit(None)).otherwise(c)
 
@@ -27,7 +31,8 @@ def read_flows_csv(spark: SparkSession, path: str, types: Mapping[str, str] | No
     column names to Spark SQL types; unlisted columns stay text. Every row is
     kept; the scan is split by ``spark.sql.files.maxPartitionBytes``."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "") \
-        .option("emptyValue", "").csv(path)
+        .option("emptyValue", "") \
+        .option("escape", '"').csv(path)
     raw = trim_columns(raw)
     types = dict(types or {})
     cols = []
@@ -39,7 +44,7 @@ def read_flows_csv(spark: SparkSession, path: str, types: Mapping[str, str] | No
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, no index, overwrite; one file per task (no single-file funnel)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**_DIALECT).csv(path)
 
 
 def write_by_batch(df: DataFrame, path: str, batch_col: str = "batch_num", fmt: str = "csv") -> None:
@@ -50,7 +55,7 @@ def write_by_batch(df: DataFrame, path: str, batch_col: str = "batch_num", fmt:
     by one task: one file per batch instead of one per task and batch."""
     w = df.repartitionByRange(batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**_DIALECT).csv(path)
     else:
         w.parquet(path)
 
