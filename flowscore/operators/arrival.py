@@ -25,9 +25,14 @@ in one task. The distributed form used here:
    into the exact state entering every partition and broadcasts them;
 4. pass 2: every partition is rescanned from its true entry state.
 
-The partition count follows the optimizer's size estimate (~256 MB each).
+The partition count follows the file sizes of the scans (~256 MB each); pass
+only the columns that the result needs, since whole rows are dealt out.
 
-Both passes stream Arrow batches through ``mapInPandas`` with vectorised
+Keys are compared by one text column made in Spark (a null key is a key of
+its own, as in ``groupBy``), so every atomic key type works and values never
+pass through pandas. A row without a time never ends a burst by idleness.
+
+Both passes stream Arrow batches through ``mapInArrow`` with vectorised
 numpy; no task ever holds more than one Arrow batch plus a few scalars.
 """
 
@@ -38,7 +43,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +52,15 @@ from flowscore.session import ensure_checkpoint_dir
 
 UNBOUNDED = 1 << 62  # batch size used when only idle gaps cut batches
 
+NO_TIME = -(1 << 63)  # a null time in the scan
+KEY, PID = "__arrival_key", "__pid"
+
 OUT_FIELDS = ("arrival_pos", "burst", "pos_in_burst", "batch_num", "pos_in_batch")
 
 
 @dataclass
 class State:
-    key: tuple
+    key: str  # key text, see key_text
     last_ts: int
     pos: int  # rows of this key seen so far
     burst: int  # bursts of this key so far
@@ -63,19 +72,15 @@ def _ceil_div(a, n):
     return (a + n - 1) // n
 
 
-def _scan(keys: list[np.ndarray], ts: np.ndarray | None, st: State | None, n: int, gap: int | None):
+def _scan(key: np.ndarray, ts: np.ndarray | None, st: State | None, n: int, gap: int | None):
     """Vectorised scan of one sorted chunk from entry state ``st``.
 
     Returns (arrays dict, exit state, newkey, flag)."""
-    m = len(keys[0]) if keys else len(ts)
+    m = len(key)
     idx = np.arange(m)
     newkey = np.zeros(m, dtype=bool)
-    for k in keys:
-        newkey[1:] |= k[1:] != k[:-1]
-    if st is None:
-        newkey[0] = True
-    else:
-        newkey[0] = tuple(k[0] for k in keys) != st.key
+    newkey[1:] = key[1:] != key[:-1]
+    newkey[0] = st is None or key[0] != st.key
     cont = not newkey[0]  # first segment continues the entry state's key
 
     flag = newkey.copy()
@@ -83,7 +88,7 @@ def _scan(keys: list[np.ndarray], ts: np.ndarray | None, st: State | None, n: in
         prev = np.empty(m, dtype=np.int64)
         prev[1:] = ts[:-1]
         prev[0] = st.last_ts if cont else ts[0]
-        flag |= (ts - prev) >= gap
+        flag |= (ts != NO_TIME) & (prev != NO_TIME) & ((ts - prev) >= gap)
 
     seg_idx = np.maximum.accumulate(np.where(newkey, idx, -1))
     pos = np.where(seg_idx >= 0, idx - seg_idx, (st.pos if cont else 0) + idx)
@@ -119,26 +124,37 @@ def _scan(keys: list[np.ndarray], ts: np.ndarray | None, st: State | None, n: in
         "pos_in_batch": off % n + 1,
     }
     last = m - 1
-    exit_state = State(tuple(k[last] for k in keys), int(ts[last]) if ts is not None else 0,
+    exit_state = State(key[last], int(ts[last]) if ts is not None else 0,
                        int(pos[last]) + 1, int(burst_row[last]), int(start[last]), int(b_row[last]))
     return out, exit_state, newkey, flag
 
 
-def _pyval(v):
-    return v.item() if hasattr(v, "item") else v
+def key_text(df: DataFrame, key_cols: Sequence[str]) -> Column:
+    """One text per key, different for different keys: a JSON list of the
+    values' texts, nulls kept. -0.0 and 0.0 are one key, as in ``groupBy``."""
+    parts = []
+    for c in key_cols:
+        kind, value = df.schema[c].dataType, F.col(f"`{c}`")
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            raise TypeError(f"key column {c!r} must be of an atomic type")
+        if isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)  # its text would repeat when clocks go back
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0).cast(kind)
+        elif isinstance(kind, T.BinaryType):
+            value = F.hex(value)
+        parts.append(value.cast("string"))
+    return F.to_json(F.array(*parts)) if parts else F.lit("")
+
+
+def micros(times: pa.Array) -> np.ndarray:
+    """Microseconds of a date or timestamp array; ``NO_TIME`` for null."""
+    zone = getattr(times.type, "tz", None)
+    return times.cast(pa.timestamp("us", tz=zone)).cast(pa.int64()).fill_null(NO_TIME).to_numpy(zero_copy_only=False)
 
 
-def _chunk_arrays(pdf: pd.DataFrame, key_cols, ts_col):
-    keys = [pdf[c].to_numpy() for c in key_cols]
-    ts = None
-    if ts_col is not None:
-        t = pd.to_datetime(pdf[ts_col])
-        if getattr(t.dt, "tz", None) is not None:
-            t = t.dt.tz_convert(None)
-        ts = t.to_numpy().astype("datetime64[us]").astype(np.int64)
-    if not keys:
-        keys = [np.zeros(len(pdf), dtype=np.int8)]
-    return keys, ts
+def _arrays(batch: pa.RecordBatch, ts_col: str | None):
+    return (batch.column(KEY).to_numpy(zero_copy_only=False), None if ts_col is None else micros(batch.column(ts_col)))
 
 
 SUMMARY_SCHEMA = T.StructType([
@@ -158,18 +174,8 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def _key_str(key: tuple) -> str:
-    import json
-    return json.dumps([_pyval(k) for k in key], default=str)
-
-
-def _key_tuple(s: str) -> tuple:
-    import json
-    return tuple(json.loads(s))
-
-
-def _summaries(key_cols, ts_col, n, gap):
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summaries(ts_col, n, gap):
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st = None
         rows = 0
         pid = None
@@ -177,15 +183,15 @@ def _summaries(key_cols, ts_col, n, gap):
         multi = False
         f1 = b_f1 = -1
         in_first = True
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
             if pid is None:
-                pid = int(pdf["__pid"].iloc[0])
-            keys, ts = _chunk_arrays(pdf, key_cols, ts_col)
-            out, new_st, newkey, flag = _scan(keys, ts, st, n, gap)
+                pid = batch.column(PID)[0].as_py()
+            key, ts = _arrays(batch, ts_col)
+            out, new_st, newkey, flag = _scan(key, ts, st, n, gap)
             if st is None:
-                first_key = tuple(_pyval(k[0]) for k in keys)
+                first_key = key[0]
                 first_ts = int(ts[0]) if ts is not None else 0
                 nk = newkey.copy()
                 nk[0] = False
@@ -203,15 +209,16 @@ def _summaries(key_cols, ts_col, n, gap):
                 if nk.any():
                     in_first = False
                     multi = True
-            rows += len(pdf)
+            rows += batch.num_rows
             st = new_st
         if st is None:
             return
-        yield pd.DataFrame([{
-            "pid": pid, "rows": rows, "first_key": _key_str(first_key), "first_ts": first_ts,
-            "multi_seg": multi, "f1": f1, "b_f1": b_f1, "out_key": _key_str(st.key), "out_ts": st.last_ts,
+        row = {
+            "pid": pid, "rows": rows, "first_key": first_key, "first_ts": first_ts,
+            "multi_seg": multi, "f1": f1, "b_f1": b_f1, "out_key": st.key, "out_ts": st.last_ts,
             "out_pos": st.pos, "out_burst": st.burst, "out_open_start": st.open_start, "out_b_open": st.b_open,
-        }])
+        }
+        yield pa.RecordBatch.from_pandas(pd.DataFrame([row]).astype({"pid": "int32"}), preserve_index=False)
     return fn
 
 
@@ -223,14 +230,15 @@ def _fold(summaries: list, n: int, gap: int | None, initial: State | None = None
     st: State | None = initial
     for s in sorted(summaries, key=lambda r: r["pid"]):
         entry[s["pid"]] = st
-        fk = _key_tuple(s["first_key"])
-        fresh = State(_key_tuple(s["out_key"]), s["out_ts"], s["out_pos"], s["out_burst"],
+        fk = s["first_key"]
+        fresh = State(s["out_key"], s["out_ts"], s["out_pos"], s["out_burst"],
                       s["out_open_start"], s["out_b_open"])
         if st is None or st.key != fk or s["multi_seg"]:
             st = fresh
             continue
         P = st.pos
-        row0 = gap is not None and s["first_ts"] - st.last_ts >= gap
+        row0 = (gap is not None and NO_TIME not in (s["first_ts"], st.last_ts)
+                and s["first_ts"] - st.last_ts >= gap)
         if row0:
             b0 = st.b_open + _ceil_div(P - st.open_start, n)
             st = State(fk, fresh.last_ts, P + s["rows"], st.burst + fresh.burst, P + fresh.open_start,
@@ -244,23 +252,22 @@ def _fold(summaries: list, n: int, gap: int | None, initial: State | None = None
     return entry, st
 
 
-def _apply(key_cols, ts_col, n, gap, entry_bc, out_cols):
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _apply(ts_col, n, gap, entry_bc, cols):
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st = None
         started = False
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
             if not started:
-                t = entry_bc.value.get(int(pdf["__pid"].iloc[0]))
+                t = entry_bc.value.get(batch.column(PID)[0].as_py())
                 st = State(*t) if t is not None else None
                 started = True
-            keys, ts = _chunk_arrays(pdf, key_cols, ts_col)
-            out, st, _, _ = _scan(keys, ts, st, n, gap)
-            res = pdf.drop(columns=["__pid"])
-            for k in OUT_FIELDS:
-                res[k] = out[k].astype(np.int64)
-            yield res[out_cols]
+            key, ts = _arrays(batch, ts_col)
+            out, st, _, _ = _scan(key, ts, st, n, gap)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in cols], *[pa.array(out[k], pa.int64()) for k in OUT_FIELDS]],
+                names=[*cols, *OUT_FIELDS])
     return fn
 
 
@@ -268,17 +275,21 @@ TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
 def target_partitions(df: DataFrame) -> int:
-    """Range partitions for the numbering: the optimizer's size estimate of
-    the input divided by ~256 MB, and at least ``spark.sql.shuffle.partitions``.
-    (An explicit count is needed: AQE may merge range partitions but never
-    splits them.)"""
+    """Range partitions for the numbering: the file sizes of the scans (not
+    the estimate of a join, which is a product) divided by ~256 MB, and at
+    least ``spark.sql.shuffle.partitions``, which also holds where a leaf has
+    no size. (An explicit count is needed: AQE may merge range partitions but
+    never splits them.)"""
     spark = df.sparkSession
     floor_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    if any(s >= unknown for s in sizes):
         return floor_
-    return max(floor_, min(1_000_000, -(-size // TARGET_PARTITION_BYTES)))
+    size = min(sum(sizes), int(str(plan.stats().sizeInBytes())))  # a narrow projection is smaller than its scan
+    return max(floor_, -(-size // TARGET_PARTITION_BYTES))
 
 
 def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str] = (),
@@ -301,11 +312,12 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
         raise ValueError("gap_seconds needs ts_col")
     sort_cols = [*key_cols, *order_cols]
     parts = num_partitions or target_partitions(df)
-    ranged = df.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
-    stable = ranged.checkpoint(eager=True)
-    with_pid = stable.select("*", F.spark_partition_id().alias("__pid"))
+    ranged = df.withColumn(KEY, key_text(df, key_cols)).repartitionByRange(parts, *sort_cols)
+    stable = ranged.sortWithinPartitions(*sort_cols).checkpoint(eager=True)
+    with_pid = stable.withColumn(PID, F.spark_partition_id())
 
-    summ = with_pid.mapInPandas(_summaries(list(key_cols), ts_col, n, gap), SUMMARY_SCHEMA).collect()
+    needed = with_pid.select(KEY, PID, *([ts_col] if ts_col else []))
+    summ = needed.mapInArrow(_summaries(ts_col, n, gap), SUMMARY_SCHEMA).collect()
     entry, last = _fold([r.asDict() for r in summ], n, gap, initial)
     if exit_state is not None:
         exit_state.append(last)
@@ -316,8 +328,7 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
          for pid, st in entry.items()})
 
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
-    out_cols = [*df.columns, *OUT_FIELDS]
-    return with_pid.mapInPandas(_apply(list(key_cols), ts_col, n, gap, entry_bc, out_cols), out_schema)
+    return with_pid.mapInArrow(_apply(ts_col, n, gap, entry_bc, df.columns), out_schema)
 
 
 def batch_progress(numbered: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
@@ -331,7 +342,10 @@ def batch_progress(numbered: DataFrame, key_cols: Sequence[str] = ()) -> DataFra
 def leftover_rows(numbered: DataFrame, batch_size: int, key_cols: Sequence[str] = ()) -> DataFrame:
     """Rows still buffered at stop: the last batch of each key when it holds
     fewer than ``batch_size`` rows (the count trigger never fired for it)."""
-    last = numbered.groupBy(*key_cols).agg(F.max("batch_num").alias("batch_num"))
-    sizes = batch_progress(numbered, key_cols)
-    tail = last.join(sizes, [*key_cols, "batch_num"]).where(F.col("n_rows") < batch_size)
-    return numbered.join(tail.select(*key_cols, "batch_num"), [*key_cols, "batch_num"], "left_semi")
+    end = numbered.groupBy(*key_cols).agg(F.max(F.struct("batch_num", "pos_in_batch")).alias("end"))
+    tail = end.where(F.col("end.pos_in_batch") < batch_size).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key_cols)], F.col("end.batch_num").alias("__batch"))
+    same = F.col("batch_num") == F.col("__batch")
+    for i, k in enumerate(key_cols):
+        same = same & numbered[k].eqNullSafe(F.col(f"__k{i}"))
+    return numbered.join(tail, same, "left_semi")

@@ -1,8 +1,9 @@
 """Defensive mode with early exit, and the cascade survivor table.
 
-Member k only matters for rows no earlier member flagged. For expression
-members this is a CASE chain: generated code evaluates a later member only
-when every earlier one voted benign, which is the early exit. The answer
+Member k only matters for rows no earlier member flagged. Expression members
+and Spark ML members sit in CASE branches, which generated code evaluates
+only when every earlier member voted benign: that is the early exit. A forest
+member's UDF gets the open rows as a mask and routes only those. The answer
 equals the any-member vote.
 """
 
@@ -19,22 +20,36 @@ def early_exit(x: DataFrame, bundle: EnsembleBundle) -> DataFrame:
     """``x`` holds the cleaned features by name. Adds ``exit_stage`` (1-based
     position of the first member that flags the row, null if none),
     ``exit_member`` and ``pred_binary``."""
+    from flowscore.operators.extra_trees import forest_probability, load_forest
+    from flowscore.operators.members import add_ml_probabilities
     names = bundle.fdm.members
-    stage = None
-    member = None
+    out, chain = x, None  # chain: the CASE of the members since the last UDF
+
+    def settled(df, case):
+        return df if case is None else df.withColumn("exit_stage", case.cast("int"))
+
     for i, n in enumerate(names):
         m = bundle.member(n)
-        if m.expr is None:
-            raise ValueError("early exit needs expression members; use dfdm_binary for fitted models")
-        vote = member_vote(F.expr(m.expr).cast("double")) == 1
-        stage = F.when(vote, F.lit(i + 1)) if stage is None else stage.when(vote, F.lit(i + 1))
+        if m.expr is not None:
+            p = F.expr(m.expr).cast("double")
+        else:
+            out, chain = settled(out, chain), None
+            if m.model_path is not None:
+                out, p = add_ml_probabilities(out, bundle, [n]), F.col(f"_mlp_{n}")
+            else:
+                still = F.col("exit_stage").isNull() if i else None
+                p = forest_probability(load_forest(out.sparkSession, m.forest_path), only=still)
+        if chain is None and "exit_stage" in out.columns:
+            chain = F.when(F.col("exit_stage").isNotNull(), F.col("exit_stage"))
+        vote = member_vote(p) == 1
+        chain = F.when(vote, F.lit(i + 1)) if chain is None else chain.when(vote, F.lit(i + 1))
+    out = settled(out, chain).drop(*[f"_mlp_{n}" for n in names])
+    member = F
     for i, n in enumerate(names):
-        cond = F.col("exit_stage") == i + 1
-        member = F.when(cond, F.lit(n)) if member is None else member.when(cond, F.lit(n))
-    out = x.withColumn("exit_stage", stage.cast("int"))
+        member = member.when(F.col("exit_stage") == i + 1, F.lit(n))
     return out.withColumns({
         "exit_member": member,
-        "pred_binary": F.when(F.col("exit_stage").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("int"),
+        "pred_binary": F.col("exit_stage").isNotNull().cast("int"),
     })
 
 

@@ -218,9 +218,10 @@ def load_forest(spark, path: str) -> Forest:
                   np.array(d["value"], dtype=np.float64), int(d["depth"]))
 
 
-def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = None) -> Column:
+def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = None, only: Column | None = None) -> Column:
     """Class-1 probability: mean of the trees' leaf shares (Arrow-batched).
-    The node arrays are a broadcast variable (fetched once per executor)."""
+    The node arrays are a broadcast variable (fetched once per executor).
+    With ``only``, rows where it is not true are not routed and give null."""
     from pyspark.sql import SparkSession
     bc = SparkSession.getActiveSession().sparkContext.broadcast((forest.feat, forest.thr, forest.value))
     depth = forest.depth
@@ -233,5 +234,13 @@ def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = Non
         leaf = np.take_along_axis(value, node, axis=1)
         return pd.Series(leaf.mean(axis=0))
 
-    cols = cols or [q(f) for f in forest.features]
-    return _score(*[q(c) if isinstance(c, str) else c for c in cols])
+    @pandas_udf("double")
+    def _score_open(still: pd.Series, *xs: pd.Series) -> pd.Series:
+        feat, thr, value = bc.value
+        rows = np.flatnonzero(still.to_numpy(dtype=bool))
+        X = np.column_stack([x.to_numpy(dtype=np.float64)[rows] for x in xs])
+        leaf = np.take_along_axis(value, _route(X, feat, thr, depth), axis=1)
+        return pd.Series(leaf.mean(axis=0), index=rows).reindex(range(len(still)))
+
+    cols = [q(c) if isinstance(c, str) else c for c in cols or [q(f) for f in forest.features]]
+    return _score(*cols) if only is None else _score_open(F.coalesce(only, F.lit(False)), *cols)

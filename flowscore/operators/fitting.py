@@ -49,7 +49,9 @@ def encoder_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         vals = vals.unionByName(p)
     vals = vals.distinct()
     from flowscore.operators.arrival import number_arrivals
-    numbered = number_arrivals(vals, ["class"], key_cols=["column"])
+    # distinct values are few beside the rows: the shuffle's own count is enough
+    numbered = number_arrivals(vals, ["class"], key_cols=["column"],
+                               num_partitions=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return numbered.select("column", "class", (F.col("arrival_pos") - 1).cast("int").alias("code"))
 
 

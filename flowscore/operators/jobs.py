@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowscore.constants import (
     BENIGN_LABEL, FLOW_THRESHOLD_EXTREME, FLOW_THRESHOLD_HIGH, MODES, STATUS_ABSENT, STATUS_DONE, STATUS_FAILED, STATUS_WAITING, TRACE_KEEP_CHARS,
@@ -41,12 +42,27 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     })
 
 
-def score_jobs(verdicts: DataFrame, jobs: DataFrame, key: str, label: str = "label") -> DataFrame:
+def job_label(verdicts: DataFrame, jobs: DataFrame, key: str) -> str:
+    """y by the column that the job's manifest row names: text is compared
+    with the job's benign text, numbers are 0/1. A CASE over the table's own
+    columns; no name or an unknown one means unlabelled (null)."""
+    own = [f for f in verdicts.schema.fields if not f.name.startswith("_") and f.name != key and f.name not in jobs.columns]
+    branches = []
+    for f in own:
+        col = ST.ident(f.name)
+        value = (ST.numeric_label(col) if isinstance(f.dataType, T.NumericType) else
+                 f"CASE WHEN CAST({col} AS STRING) <=> benign_label THEN 0 ELSE 1 END")
+        branches.append(f"WHEN {ST.lit_str(f.name)} THEN {value}")
+    return f"CAST(CASE label_col {' '.join(branches)} END AS INT)" if branches else "CAST(NULL AS INT)"
+
+
+def score_jobs(verdicts: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
     """Score each job's rows with its own settings: its rate picks one mode
     (null -> all three, one row per mode), its label column and benign text
     decide y. ``verdicts`` carries ``_bin_*``/``_l3_*`` for every mode and the
     job key; the manifest joins on it (equi-join; AQE picks broadcast or
     sort-merge from measured sizes)."""
+    y = job_label(verdicts, jobs, key)
     j = verdicts.join(jobs.withColumnRenamed("job_id", key), on=key, how="inner")
     mode = ST.select_mode("flow_rate", FLOW_THRESHOLD_HIGH, FLOW_THRESHOLD_EXTREME)
     all_modes = ", ".join(f"'{m}'" for m in MODES)
@@ -55,8 +71,6 @@ def score_jobs(verdicts: DataFrame, jobs: DataFrame, key: str, label: str = "lab
     def pick(prefix):
         return f"CASE mode WHEN 'HAM' THEN {prefix}_HAM WHEN 'FDM' THEN {prefix}_FDM ELSE {prefix}_DFDM END"
 
-    y = (f"CAST(CASE WHEN label_col IS NULL THEN NULL WHEN {ST.ident(label)} <=> benign_label THEN 0 "
-         f"ELSE 1 END AS INT)")
     out = j.selectExpr(f"{ST.ident(key)} AS job_id", "*", f"{pick('_bin')} AS pred_binary",
                        f"{pick('_l3')} AS pred_3label", f"{y} AS y")
     return out.drop(key)

@@ -273,6 +273,29 @@ def dfdm_early_exit(spark, sf_dir):
     return early_exit(x, b).select("flow_id", "pred_binary", "exit_member")
 
 
+@register("dfdm_early_exit_fitted")
+def dfdm_early_exit_fitted(spark, sf_dir):
+    """Early exit with a saved forest between two expression members: the
+    forest routes only the rows that the first member left."""
+    import numpy as np
+
+    from flowscore.operators.cascade import early_exit
+    from flowscore.operators.extra_trees import Forest, save_forest
+    from flowscore.session import scratch_path
+    from flowscore.sources.bundle import Member, Voter
+    two = Forest(["fwd_packet_length_max", "flow_iat_mean"], np.array([[-1, 0, -1, -1], [-1, 1, -1, -1]]),
+                 np.array([[0, 29, 0, 0], [0, 0.045, 0, 0]]), np.array([[0, 0, 0.05, 0.9], [0, 0, 0.1, 0.7]]), 1)
+    path = scratch_path(spark, "early-exit-forest")
+    save_forest(spark, two, path)
+    b = _bundle()
+    members = (Member("high", expr="CASE WHEN fwd_packet_length_max > 45 THEN 0.9 ELSE 0.1 END"),
+               Member("forest", forest_path=path), Member("size", expr="CASE WHEN avg_packet_size > 2000 THEN 0.6 ELSE 0.3 END"))
+    b = b.with_(members=members, fdm=Voter("FDM", ("high", "forest", "size"), b.ham.features),
+                ham=Voter("HAM", ("high", "forest", "size"), b.ham.features))
+    x = P.preprocess(FX.flows(spark, sf_dir), b, keep=["flow_id"])
+    return early_exit(x, b).select("flow_id", "pred_binary", "exit_member")
+
+
 @register("cascade_survivors")
 def cascade_survivors(spark, sf_dir):
     from flowscore.operators.cascade import cascade_table, early_exit
@@ -510,25 +533,30 @@ def _events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
 
 
+def _event_times(spark, sf_dir, *keys):
+    """The columns that numbering needs: rows are dealt out whole."""
+    return _events(spark, sf_dir).select(*keys, "event_id", "ts")
+
+
 @register("count_batches")
 def count_batches(spark, sf_dir):
-    n = ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS)
+    n = ARR.number_arrivals(_event_times(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS)
     return n.select("event_id", "arrival_pos", "batch_num", "pos_in_batch")
 
 
 @register("idle_batches")
 def idle_batches(spark, sf_dir):
-    n = ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
+    n = ARR.number_arrivals(_event_times(spark, sf_dir), ["ts", "event_id"], gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
     return n.select("event_id", "burst", "pos_in_burst")
 
 
 def _micro(spark, sf_dir):
-    return ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS,
+    return ARR.number_arrivals(_event_times(spark, sf_dir), ["ts", "event_id"], batch_size=BATCH_ROWS,
                                gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
 
 
 def _micro_by_user(spark, sf_dir):
-    return ARR.number_arrivals(_events(spark, sf_dir), ["ts", "event_id"], key_cols=["user_id"],
+    return ARR.number_arrivals(_event_times(spark, sf_dir, "user_id"), ["ts", "event_id"], key_cols=["user_id"],
                                batch_size=BATCH_ROWS, gap_seconds=IDLE_GAP_BY_USER, ts_col="ts")
 
 
@@ -542,6 +570,22 @@ def micro_batches_by_user(spark, sf_dir):
     return _micro_by_user(spark, sf_dir).select("user_id", "event_id", "burst", "batch_num", "pos_in_batch")
 
 
+@register("micro_batches_by_type")
+def micro_batches_by_type(spark, sf_dir):
+    n = ARR.number_arrivals(_event_times(spark, sf_dir, "event_type"), ["ts", "event_id"], key_cols=["event_type"],
+                            batch_size=BATCH_ROWS, gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
+    return n.select("event_type", "event_id", "burst", "batch_num", "pos_in_batch")
+
+
+@register("micro_batches_by_day")
+def micro_batches_by_day(spark, sf_dir):
+    """A date key; every seventh event has none and they form a key of their own."""
+    day = F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("date")).alias("day")
+    n = ARR.number_arrivals(_events(spark, sf_dir).select(day, "event_id", "ts"), ["ts", "event_id"], key_cols=["day"],
+                            batch_size=BATCH_ROWS, gap_seconds=IDLE_GAP_UNKEYED, ts_col="ts")
+    return n.select(F.col("day").cast("string").alias("day"), "event_id", "burst", "batch_num", "pos_in_batch")
+
+
 @register("batch_progress")
 def batch_progress(spark, sf_dir):
     return ARR.batch_progress(_micro(spark, sf_dir))
@@ -560,7 +604,7 @@ TAIL_ROWS_SEEN = 1000
 def tail_new_rows(spark, sf_dir):
     """Rows not yet seen: arrival position (by seen_at, flow_id) beyond the
     ``rows_seen`` already dispatched."""
-    f = FX.flows(spark, sf_dir)
+    f = FX.flows(spark, sf_dir).select("flow_id", "seen_at")
     n = ARR.number_arrivals(f, ["seen_at", "flow_id"])
     return n.where(F.col("arrival_pos") > TAIL_ROWS_SEEN).select("flow_id", "arrival_pos")
 
@@ -645,7 +689,7 @@ def stream_mode_counts(spark, sf_dir):
 @register("stream_rate_mode")
 def stream_rate_mode(spark, sf_dir):
     schema, landing = _landed_events(spark, sf_dir)
-    return STR.stream_rate_mode(spark, landing, schema, "ts", "1 hour", "1 hour", 10, 20,
+    return STR.stream_rate_mode(spark, landing, schema, "ts", "1 hour", 10, 20,
                                 scratch_path(spark, "stream-rate-out"), scratch_path(spark, "stream-rate-ckpt"))
 
 

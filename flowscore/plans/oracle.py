@@ -99,8 +99,8 @@ jobs AS (
   SELECT o_orderkey AS job_id,
     CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE 'pending' END AS status,
     CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 5000 ELSE 777 END AS flow_rate,
-    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'label' END AS label_col,
-    CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Benign' END AS benign_label,
+    CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'label' WHEN 2 THEN 'protocol' ELSE 'attack' END AS label_col,
+    CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 4 = 2 THEN '6' ELSE 'Benign' END AS benign_label,
     concat('flows_', CAST(o_orderkey AS VARCHAR),
            CASE o_orderkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.CSV' ELSE '.txt' END) AS input_filename,
     o_orderdate AS created_at
@@ -146,6 +146,12 @@ ee AS (SELECT flow_id, CASE WHEN v1 = 1 THEN 1 WHEN v2 = 1 THEN 2 WHEN v3 = 1 TH
 ORACLE["dfdm_early_exit"] = with_ctes(SCORED_CTES, _EE, body="""
 SELECT flow_id, CASE WHEN stage IS NULL THEN 0 ELSE 1 END AS pred_binary, 'm' || CAST(stage AS VARCHAR) AS exit_member
 FROM ee""")
+ORACLE["dfdm_early_exit_fitted"] = with_ctes(SCORED_CTES, """
+fe AS (SELECT flow_id, CASE WHEN x_fwd_packet_length_max > 45 THEN 'high'
+  WHEN (CASE WHEN x_fwd_packet_length_max > 29 THEN 0.9 ELSE 0.05 END
+        + CASE WHEN x_flow_iat_mean > 0.045 THEN 0.7 ELSE 0.1 END) / 2 > 0.5 THEN 'forest'
+  WHEN x_avg_packet_size > 2000 THEN 'size' END AS exit_member FROM scored)""", body="""
+SELECT flow_id, CASE WHEN exit_member IS NULL THEN 0 ELSE 1 END AS pred_binary, exit_member FROM fe""")
 ORACLE["cascade_survivors"] = with_ctes(SCORED_CTES, _EE, """
 c AS (SELECT count(*) AS n, count_if(stage = 1) AS f1, count_if(stage = 2) AS f2, count_if(stage = 3) AS f3,
              count_if(stage = 4) AS f4 FROM ee)""", body="""
@@ -288,7 +294,7 @@ ORACLE["job_defaults"] = with_ctes(_JOBS, _VALID, body="""
 SELECT job_id, 'pending' AS status, flow_rate, label_col, benign_label, input_filename FROM manifest""")
 ORACLE["job_score"] = with_ctes(SCORED_CTES, _JOBS, _VALID, body=f"""
 , jm AS (
-  SELECT m.job_id, s.flow_id, s.label, m.label_col, m.benign_label, md.mode,
+  SELECT m.job_id, s.flow_id, s.label, s.protocol, m.label_col, m.benign_label, md.mode,
     s.b_ham, s.b_fdm, s.b_dfdm, s.l3_ham, s.l3_fdm, s.l3_dfdm
   FROM scored s JOIN manifest m ON s.order_key = m.job_id
   JOIN (SELECT 'HAM' AS mode UNION ALL SELECT 'FDM' UNION ALL SELECT 'DFDM') md
@@ -296,7 +302,8 @@ ORACLE["job_score"] = with_ctes(SCORED_CTES, _JOBS, _VALID, body=f"""
 SELECT job_id, flow_id, mode,
   CASE mode WHEN 'HAM' THEN b_ham WHEN 'FDM' THEN b_fdm ELSE b_dfdm END AS pred_binary,
   {l3_text("CASE mode WHEN 'HAM' THEN l3_ham WHEN 'FDM' THEN l3_fdm ELSE l3_dfdm END")} AS pred_3label,
-  CASE WHEN label_col IS NULL THEN NULL WHEN label IS NOT DISTINCT FROM benign_label THEN 0 ELSE 1 END AS y
+  CASE WHEN label_col IS NULL OR label_col = 'attack' THEN NULL
+    WHEN CASE label_col WHEN 'label' THEN label ELSE protocol END IS NOT DISTINCT FROM benign_label THEN 0 ELSE 1 END AS y
 FROM jm""").replace("\n\n, jm", ", jm")
 ORACLE["job_status_codes"] = with_ctes(_JOBS, _VALID, body="""
 SELECT e.event_id AS request_id, m.status,
@@ -329,7 +336,8 @@ def _batches(key: str | None, gap_us: int | None, n: int | None) -> str:
     chunk = f"(pos_in_burst - 1) // {n}" if n else "0"
     inb = f"((pos_in_burst - 1) % {n}) + 1" if n else "pos_in_burst"
     return f"""
-ord AS (SELECT event_id, user_id, ts, epoch_us(ts) AS t FROM events),
+ord AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day,
+               ts, epoch_us(ts) AS t FROM events),
 g AS (SELECT *, row_number() OVER {w} AS arrival_pos,
              CASE WHEN lag(t) OVER {w} IS NULL THEN 1 ELSE {gap} END AS flag FROM ord),
 b AS (SELECT *, CAST(sum(flag) OVER ({part}ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -348,6 +356,10 @@ ORACLE["micro_batches"] = with_ctes(_batches(None, 300_000_000, 5), body="""
 SELECT event_id, burst, batch_num, pos_in_batch FROM nb""")
 ORACLE["micro_batches_by_user"] = with_ctes(_batches("user_id", 6 * 3600 * 1_000_000, 5), body="""
 SELECT user_id, event_id, burst, batch_num, pos_in_batch FROM nb""")
+ORACLE["micro_batches_by_type"] = with_ctes(_batches("event_type", 300_000_000, 5), body="""
+SELECT event_type, event_id, burst, batch_num, pos_in_batch FROM nb""")
+ORACLE["micro_batches_by_day"] = with_ctes(_batches("day", 300_000_000, 5), body="""
+SELECT CAST(day AS VARCHAR) AS day, event_id, burst, batch_num, pos_in_batch FROM nb""")
 ORACLE["batch_progress"] = with_ctes(_batches(None, 300_000_000, 5), body="""
 SELECT batch_num, CAST(count(*) AS BIGINT) AS n_rows, max(arrival_pos) AS rows_seen FROM nb GROUP BY batch_num""")
 ORACLE["leftover_rows"] = with_ctes(_batches("user_id", 6 * 3600 * 1_000_000, 5), """

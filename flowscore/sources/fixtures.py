@@ -78,8 +78,8 @@ def job_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE 'pending' END AS status",
         "CAST(CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 5000 ELSE 777 END "
         "AS INT) AS flow_rate",
-        "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'label' END AS label_col",
-        "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Benign' END AS benign_label",
+        "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'label' WHEN 2 THEN 'protocol' ELSE 'attack' END AS label_col",
+        "CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 4 = 2 THEN '6' ELSE 'Benign' END AS benign_label",
         "concat('flows_', CAST(o_orderkey AS STRING), "
         "CASE o_orderkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.CSV' ELSE '.txt' END) AS input_filename",
         "o_orderdate AS created_at",

@@ -10,11 +10,11 @@ overwrite, so replaying a batch after a failure replaces its own output
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,8 @@ def land_in_time_order(df: DataFrame, ts_col: str, path: str, rows_per_file: int
     """Test-fixture helper: write ``df`` as parquet files whose modification
     order follows ``ts_col`` (one file per time slice, slices written one
     after another), the way a producer appends to a landing folder. Slice
-    bounds come from approximate quantiles; returns the number of slices."""
+    bounds come from approximate quantiles; rows without a time are in the
+    first slice; returns the number of slices."""
     n = df.count()
     k = max(2, math.ceil(n / rows_per_file))
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
@@ -44,12 +45,16 @@ def land_in_time_order(df: DataFrame, ts_col: str, path: str, rows_per_file: int
             cond = cond & (t >= F.lit(int(lo)))
         if hi is not None:
             cond = cond & (t < F.lit(int(hi)))
+        if i == 0:
+            cond = cond | t.isNull()
         df.where(cond).coalesce(1).write.mode("append").parquet(path)
     return k
 
 
-def _reader(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def _reader(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None):
+    """``files_per_trigger`` bounds a micro-batch; None takes all files that wait."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
 def _run(writer, checkpoint: str, processing_time: str | None = None):
@@ -67,57 +72,57 @@ def _run(writer, checkpoint: str, processing_time: str | None = None):
 
 
 def stream_score(spark: SparkSession, landing: str, schema: T.StructType, bundle: EnsembleBundle,
-                 out: str, checkpoint: str, flow_rate: int | None = None, processing_time: str | None = None):
+                 out: str, checkpoint: str, flow_rate: int | None = None, processing_time: str | None = None,
+                 files_per_trigger: int | None = None):
     """Score every arriving batch of flow rows and archive each batch's
     predictions under ``out/batch_id=<id>``. With ``processing_time`` the
     query keeps polling and the running query is returned."""
     def per_batch(batch: DataFrame, batch_id: int):
         S.score_table(batch, bundle, flow_rate).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return _run(_reader(spark, landing, schema).writeStream.foreachBatch(per_batch), checkpoint, processing_time)
+    return _run(_reader(spark, landing, schema, files_per_trigger).writeStream.foreachBatch(per_batch), checkpoint, processing_time)
 
 
-def stream_mode_counts(spark: SparkSession, landing: str, schema: T.StructType, bundle: EnsembleBundle,
-                       out: str, checkpoint: str) -> DataFrame:
-    """Running three-label counts per mode (a streaming aggregate in update
-    mode). Each batch's updated counts land in ``out/epoch=<id>``; the
-    current table is the latest count of every (mode, label)."""
-    v = S.verdicts(_reader(spark, landing, schema), bundle)
-    long = S.long_verdicts(v, [], with_y=False)
-    counts = long.groupBy("mode", label3_text(F.col("pred_3label")).alias("pred_3label")).agg(
-        F.count(F.lit(1)).alias("n"))
-
+def _additive(spark: SparkSession, source: DataFrame, counts, keys, total: str, out: str, checkpoint: str) -> DataFrame:
+    """Counts add up: each micro-batch writes its own counts under its batch
+    id and reading sums them. No state is kept, so no watermark is needed
+    and late rows count like all others."""
     def per_batch(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
+        counts(batch).write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
+
+    _run(source.writeStream.foreachBatch(per_batch), checkpoint)
+    return spark.read.parquet(out).groupBy(*keys).agg(F.sum(total).alias(total))
 
-    _run(counts.writeStream.outputMode("update").foreachBatch(per_batch), checkpoint)
-    hist = spark.read.parquet(out)
-    return hist.groupBy("mode", "pred_3label").agg(F.max_by("n", "epoch").alias("n"))
 
+def stream_mode_counts(spark: SparkSession, landing: str, schema: T.StructType, bundle: EnsembleBundle,
+                       out: str, checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Running three-label counts per mode."""
+    def counts(batch: DataFrame) -> DataFrame:
+        long = S.long_verdicts(S.verdicts(batch, bundle), [], with_y=False)
+        return long.groupBy("mode", label3_text(F.col("pred_3label")).alias("pred_3label")).agg(F.count(F.lit(1)).alias("n"))
 
-def stream_rate_mode(spark: SparkSession, landing: str, schema: T.StructType, ts_col: str, width: str,
-                     delay: str, high: float, extreme: float, out: str, checkpoint: str) -> DataFrame:
-    """Measured arrival rate per tumbling window (event time, watermark
-    ``delay``; rows later than the watermark are dropped by design) and the
-    mode it selects. Update mode, so windows still open when the input ends
-    are reported too."""
-    ev = _reader(spark, landing, schema).withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    w = ev.withWatermark(ts_col, delay).groupBy(F.window(ts_col, width).alias("w")).agg(
-        F.count(F.lit(1)).alias("rate"))
-    # back to wall-clock time (timestamp_ntz) so the result does not depend on the session zone
-    w = w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rate")
+    return _additive(spark, _reader(spark, landing, schema, files_per_trigger), counts, ["mode", "pred_3label"], "n",
+                     out, checkpoint)
 
-    def per_batch(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
 
-    _run(w.writeStream.outputMode("update").foreachBatch(per_batch), checkpoint)
-    hist = spark.read.parquet(out)
-    latest = hist.groupBy("window_start").agg(F.max_by("rate", "epoch").alias("rate"))
-    return latest.withColumn("mode", select_mode("rate", high, extreme))
+def stream_rate_mode(spark: SparkSession, landing: str, schema: T.StructType, ts_col: str, width: str, high: float,
+                     extreme: float, out: str, checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Measured arrival rate per tumbling window of event time and the mode
+    it selects; rows without a time are in no window."""
+    def counts(batch: DataFrame) -> DataFrame:
+        w = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).groupBy(F.window(ts_col, width).alias("w")).agg(
+            F.count(F.lit(1)).alias("rate"))
+        # back to wall-clock time (timestamp_ntz) so the result does not depend on the session zone
+        return w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rate")
+
+    rates = _additive(spark, _reader(spark, landing, schema, files_per_trigger), counts, ["window_start"], "rate",
+                      out, checkpoint)
+    return rates.withColumn("mode", select_mode("rate", high, extreme))
 
 
 def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType, order_cols, ts_col: str,
-                         batch_size: int, gap_seconds: float, out: str, checkpoint: str) -> DataFrame:
+                         batch_size: int, gap_seconds: float, out: str, checkpoint: str,
+                         files_per_trigger: int | None = 1) -> DataFrame:
     """Count-or-idle batch numbering over a stream (one arrival order).
 
     Each micro-batch is numbered with the distributed scan, continuing from
@@ -134,12 +139,12 @@ def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType
         if not rows or rows[0]["key"] is None:
             return None
         r = rows[0]
-        return ARR.State(tuple(json.loads(r["key"])), r["last_ts"], r["pos"], r["burst"], r["open_start"],
+        return ARR.State(r["key"], r["last_ts"], r["pos"], r["burst"], r["open_start"],
                          r["b_open"])
 
     def save(batch_id: int, st):
         row = (None, None, None, None, None, None) if st is None else (
-            json.dumps([ARR._pyval(k) for k in st.key]), st.last_ts, st.pos, st.burst, st.open_start, st.b_open)
+            st.key, st.last_ts, st.pos, st.burst, st.open_start, st.b_open)
         spark.createDataFrame([row], state_schema).coalesce(1).write.mode("overwrite").json(
             f"{state_dir}/{batch_id}")
 
@@ -151,13 +156,13 @@ def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType
         numbered.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
         save(batch_id, exit_state[0] if exit_state and exit_state[0] is not None else entry)
 
-    _run(_reader(spark, landing, schema).writeStream.foreachBatch(per_batch), checkpoint)
+    _run(_reader(spark, landing, schema, files_per_trigger).writeStream.foreachBatch(per_batch), checkpoint)
     return spark.read.parquet(out)
 
 
 def stream_micro_batches_keyed(spark: SparkSession, landing: str, schema: T.StructType, key: str,
                                order_cols, ts_col: str, batch_size: int, gap_seconds: float, out: str,
-                               checkpoint: str) -> DataFrame:
+                               checkpoint: str, files_per_trigger: int | None = 1) -> DataFrame:
     """Per-key count-or-idle numbering over a stream with per-key state
     (``applyInPandasWithState``): the state is the scan's carry (last time,
     rows, bursts, open burst start, batches before it), so each key resumes
@@ -179,16 +184,16 @@ def stream_micro_batches_keyed(spark: SparkSession, landing: str, schema: T.Stru
         st = None
         if state.exists:
             last_ts, pos, burst, open_start, b_open = state.get
-            st = ARR.State((k[0],), last_ts, pos, burst, open_start, b_open)
-        keys, ts = ARR._chunk_arrays(pdf, [key], ts_col)
-        res, new_st, _, _ = ARR._scan(keys, ts, st, n, gap)
+            st = ARR.State("", last_ts, pos, burst, open_start, b_open)
+        one_key = np.full(len(pdf), "", dtype=object)
+        res, new_st, _, _ = ARR._scan(one_key, ARR.micros(pa.Array.from_pandas(pdf[ts_col])), st, n, gap)
         state.update((new_st.last_ts, new_st.pos, new_st.burst, new_st.open_start, new_st.b_open))
         outp = pdf[cols].copy()
         for f in ARR.OUT_FIELDS:
             outp[f] = res[f].astype(np.int64)
         yield outp
 
-    src = _reader(spark, landing, schema)
+    src = _reader(spark, landing, schema, files_per_trigger)
     numbered = src.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout")
 
     def per_batch(batch: DataFrame, batch_id: int):
