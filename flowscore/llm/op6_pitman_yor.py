@@ -16,8 +16,8 @@ Spark does the work that grows: blocks of documents become word numbers plus
 one list of distinct words, the lists are dealt by word hash to shards that
 add up counts, sweeps run over the shards, and each shard answers each block
 with count and probability of its words. A frequent word is one entry per
-block. Only spelling counts meet the driver, of at most 4 * ``MAX_CODES`` codes
-(rarer ones count one level up), whatever the corpus.
+block. Only spelling counts meet the driver: every code that occurs, with no
+cap, so its memory has to hold the distinct strings of ``ORDER`` + 1 bytes.
 
 Defined results: null and empty texts are one end token; a null doc_id counts
 as the text "null"; repeated rows are scored and learned each; with no
@@ -42,7 +42,7 @@ from flowscore.llm.common import pick, written
 BURN, SAMPLES, SEED, FOLDS = 2, 3, 11, 10
 THETA = 1.0
 START, END, SYMBOLS = 256, 257, 258
-ORDER, MAX_CODES = 4, 1 << 20
+ORDER = 4
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 
 
@@ -165,16 +165,8 @@ class Speller:
         return p
 
     def sweep(self, rng, codes: np.ndarray, counts: np.ndarray) -> Speller:
-        """A new seating given this one; codes (sorted) with their customers, which are the tables of words.
-
-        The deepest level seats at most MAX_CODES codes, the most frequent
-        ones; customers of the others sit with the parent directly.
-        """
+        """A new seating given this one; codes (sorted) with their customers, which are the tables of words."""
         new, d = Speller(), self.d
-        few = np.sort(np.argsort(-counts, kind="stable")[:MAX_CODES])
-        rest = np.setdiff1d(np.arange(len(codes)), few)
-        extra = (codes[rest], counts[rest])
-        codes, counts = codes[few], counts[few]
         for l in range(ORDER, -1, -1):
             context, of = np.unique(codes // SYMBOLS, return_inverse=True)
             _, _, old, _, tables = self.levels[l]
@@ -182,9 +174,8 @@ class Speller:
             t = reseat(rng, counts, (THETA + d * _lookup(old, tables, context, 0.0)[of]) * base, d)
             total, seated = np.bincount(of, counts, len(context)), np.bincount(of, t, len(context))
             new.levels[l] = (codes, (counts - d * t) / (total[of] + THETA), context, (THETA + d * seated) / (total + THETA), seated)
-            up, where = np.unique(np.concatenate([codes, extra[0]]) % SYMBOLS ** max(1, l), return_inverse=True)
-            codes, counts = up, np.bincount(where, np.concatenate([t, extra[1]]), len(up)).astype(np.int64)
-            extra = (codes[:0], counts[:0])
+            up, where = np.unique(codes % SYMBOLS ** max(1, l), return_inverse=True)
+            codes, counts = up, np.bincount(where, t, len(up)).astype(np.int64)
         return new
 
 
@@ -359,16 +350,8 @@ def score_texts(docs: DataFrame, *, burn: int = BURN, samples: int = SAMPLES) ->
 
 
 def _spelling(state: DataFrame):
-    """(code, customers), sorted: the 4 * MAX_CODES most frequent codes, whatever the corpus; all others
-    are summed one level up (their oldest byte set to START), so no customer is lost."""
-    counts = state.select(F.inline("spelling")).groupBy("code").agg(F.sum("n").alias("n"))
-    if counts.count() > 4 * MAX_CODES:
-        counts = written(counts, "lm-codes")
-        least = counts.orderBy(F.desc("n"), "code").limit(4 * MAX_CODES).agg(F.min("n")).first()[0]
-        oldest = SYMBOLS ** ORDER
-        counts = counts.select(F.when(F.col("n") > least, F.col("code")).otherwise(F.col("code") % oldest + START * oldest).alias("code"), "n")
-        counts = counts.groupBy("code").agg(F.sum("n").alias("n"))
-    return counts.orderBy("code").toArrow()
+    """(code, customers) of every code, sorted."""
+    return state.select(F.inline("spelling")).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
 
 
 def query(spark, sf_dir: str) -> DataFrame:

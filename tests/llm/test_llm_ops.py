@@ -150,6 +150,18 @@ def test_spelling_probabilities_sum_to_one():
         assert s.probability(context * op6_pitman_yor.SYMBOLS + symbols).sum() == pytest.approx(1)
 
 
+def test_spelling_seats_every_code(spark, monkeypatch):
+    """No code is dropped or relabelled, however many there are."""
+    import numpy as np
+    monkeypatch.setattr(op6_pitman_yor, "MAX_CODES", 8, raising=False)
+    codes, n = np.unique(op6_pitman_yor.spelled(b" ".join(b"%d" % (i * 7919) for i in range(300)))[0], return_counts=True)
+    s = op6_pitman_yor.Speller().sweep(np.random.default_rng(1), codes, n)
+    assert s.levels[op6_pitman_yor.ORDER][0].tolist() == codes.tolist()
+    state = spark.createDataFrame([([(int(c), int(k)) for c, k in zip(codes, n)],)], "spelling array<struct<code: long, n: long>>")
+    got = op6_pitman_yor._spelling(state)
+    assert got["code"].to_pylist() == codes.tolist() and got["n"].to_pylist() == n.tolist()
+
+
 def test_license_inheritance(spark, empty):
     from pyspark.sql import functions as F
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code only"), (3, "a/b/y.py", "# Licensed under CC BY-NC 4.0.\n" + "code that does much more than that line\n" * 3),
