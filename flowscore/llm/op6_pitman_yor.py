@@ -1,32 +1,41 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The word restaurant seats every training token; its base distribution spells
-words byte by byte with restaurants for the ``ORDER`` bytes before; restaurants
-that agree on all but the oldest byte share a parent, up to one root over all
-bytes with a uniform base. A word's tables are the customers of the spelling restaurants,
-a restaurant's tables those of its parent. So no word has probability 0.
+Every word (and the border of a text) has a restaurant that seats the training
+tokens which follow it. These share one parent, the word restaurant; its base
+distribution spells words byte by byte with restaurants for the ``ORDER`` bytes
+before; those that agree on all but the oldest byte share a parent, up to one
+root over all bytes with a uniform base. A restaurant's tables are the customers
+of its parent, a word's tables those of the spelling restaurants. So no word has
+probability 0. The border is also the token that ends a text.
 
 Seating is sampled by blocked Gibbs: in each sweep every dish of a restaurant
 is cleared and its customers are seated again one by one (the later customers
 of a very frequent dish in growing blocks, binomially), given the tables of all
 others from the sweep before. After ``BURN`` sweeps, ``SAMPLES`` sweeps are
-kept and a word's probability is the mean of their predictive probabilities.
+kept and the probability of a word after another is the mean of their predictive
+probabilities.
 
 Spark does the work that grows: blocks of documents become word numbers plus
 one list of distinct words, the lists are dealt by word hash to shards that
-add up counts, sweeps run over the shards, and each shard answers each block
-with count and probability of its words. A frequent word is one entry per
-block. Only spelling counts meet the driver: every code that occurs, with no
+add up counts. Pairs of neighbours are dealt by the hash of both words, so the
+pairs of a frequent word spread over all shards, and a frequent pair is one
+entry per block. In a sweep the word shards tell each pair shard probability and
+tables of the words it asked for; it seats its pairs and tells back the tables
+by word and by context; the word shards add these up and seat them. At the end
+each pair shard answers each block with the probabilities of its pairs. Natural
+logarithms travel as 32-bit floats (relative error 6e-8 of each). Only spelling counts meet the driver: every code that occurs, with no
 cap, so its memory has to hold the distinct strings of ``ORDER`` + 1 bytes.
 
 Defined results: null and empty texts are one end token; a null doc_id counts
 as the text "null"; repeated rows are scored and learned each; with no
 training document every score is null and base_score uses N = V = 0; extra
 columns are ignored; an empty table gives an empty result. Texts are whole.
+More than 2**32 word numbers raise an error.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 
@@ -44,6 +53,8 @@ THETA = 1.0
 START, END, SYMBOLS = 256, 257, 258
 ORDER = 4
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+#: Number of the border of a text, beside those of the words (number in the shard << bits | shard).
+EDGE = (1 << 32) - 1
 
 
 def held_out(doc_id) -> bool:
@@ -59,6 +70,21 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _pack_steps(x: np.ndarray) -> bytes:
+    """Integers that mostly grow a little, as their differences."""
+    return _pack(np.diff(x.astype(np.int64), prepend=0))
+
+
+def _unpack_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=np.uint32)
+
+
+def _free(spark) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _blocks(bits):
     """Per block of documents: ids, token numbers, and per shard the distinct words with training counts."""
     def run(batches):
@@ -106,21 +132,25 @@ def _word_hashes(blob: bytes):
     return T.span_hashes(buf, s, e), s, e
 
 
-def _vocabulary(batches):
-    """Per shard the distinct words with summed counts; per block and shard, which of them it asked for."""
-    for shard, rows in _grouped(batches, "shard"):
-        parts = [_word_hashes(r["words"]) for r in rows]
-        uniq, first, at = np.unique(np.concatenate([h for h, _, _ in parts]), return_index=True, return_inverse=True)
-        count = np.zeros(len(uniq), np.int64)
-        np.add.at(count, at, np.concatenate([_unpack(r["counts"]) for r in rows]).astype(np.int64))
-        edge = np.concatenate([[0], np.cumsum([len(h) for h, _, _ in parts])])
-        of = np.searchsorted(edge, first, side="right") - 1
-        words = b" ".join(rows[p]["words"][parts[p][1][k]: parts[p][2][k]] for p, k in zip(of, first - edge[of]))
-        out = [[shard, None, words, count.tobytes(), None]]
-        out += [[shard, r["block"], None, None, _pack(at[lo:hi])] for r, lo, hi in zip(rows, edge[:-1], edge[1:])]
-        for lo in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[lo: lo + 64]], t) for c, t in enumerate(
-                (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "block", "words", "counts", "asked"])
+def _vocabulary(bits):
+    """Per shard the distinct words with summed counts; per block and shard, which of them it asked for, with their counts."""
+    def run(batches):
+        for shard, rows in _grouped(batches, "shard"):
+            parts = [_word_hashes(r["words"]) for r in rows]
+            uniq, first, at = np.unique(np.concatenate([h for h, _, _ in parts]), return_index=True, return_inverse=True)
+            if len(uniq) << bits > EDGE - (1 << bits):
+                raise ValueError("more than 2**32 word numbers")
+            count = np.zeros(len(uniq), np.int64)
+            np.add.at(count, at, np.concatenate([_unpack(r["counts"]) for r in rows]).astype(np.int64))
+            edge = np.concatenate([[0], np.cumsum([len(h) for h, _, _ in parts])])
+            of = np.searchsorted(edge, first, side="right") - 1
+            words = b" ".join(rows[p]["words"][parts[p][1][k]: parts[p][2][k]] for p, k in zip(of, first - edge[of]))
+            out = [[shard, None, words, count.tobytes(), None]]
+            out += [[shard, r["block"], None, _pack_long(count[at[lo:hi]]), _pack_steps(at[lo:hi])] for r, lo, hi in zip(rows, edge[:-1], edge[1:])]
+            for lo in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[lo: lo + 64]], t) for c, t in enumerate(
+                    (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "block", "words", "counts", "asked"])
+    return run
 
 
 def reseat(rng, count: np.ndarray, new_weight: np.ndarray, d: float) -> np.ndarray:
@@ -200,53 +230,181 @@ def spelled(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     return code, word
 
 
-def base_probability(speller: Speller, words: bytes, parts=None) -> np.ndarray:
+def base_log(speller: Speller, words: bytes, parts=None) -> np.ndarray:
     codes, word = spelled(words)
     code, at = np.unique(codes, return_inverse=True) if parts is None else parts
-    return np.exp(np.bincount(word, np.log(speller.probability(code))[at]))
+    return np.bincount(word, np.log(speller.probability(code))[at])
+
+
+def seated_log(count, tables, all_tables, d: float, base) -> np.ndarray:
+    """Log probability of dishes, times (customers of the restaurant + THETA); ``base`` is the log of the parent's."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count - d * tables), np.log(THETA + d * all_tables) + base)
+
+
+def _numbered(rows, bits):
+    """A block (shard -1) with the answers of the word shards: its distinct pairs by shard, shards, the pair and document of
+    each token (borders included), the counts of its words, their tokens and the sizes of its documents."""
+    own, told = rows[0], [r for r in rows if r["kind"] == 1]
+    assert own["kind"] == 0
+    word = np.concatenate([(_unpack_steps(r["asked"]).astype(np.uint64) << np.uint64(bits)) | np.uint64(r["shard"]) for r in told] + [
+        np.array([EDGE], np.uint64)])
+    count = np.concatenate([_unpack_long(r["counts"]) for r in told] or [np.zeros(0, np.int64)])
+    token, sizes = _unpack(own["tokens"]), _unpack(own["sizes"]).astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+    inner = np.ones(len(doc), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    after = np.full(len(doc), len(word) - 1)
+    after[inner] = token
+    before = np.append(len(word) - 1, after[:-1])  # the border after a text stands before the next one
+    key, pair = np.unique((word[before] << np.uint64(32)) | word[after], return_inverse=True)
+    shard = (T.mix(key) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return key[order], shard[order], rank[pair], doc, count, token, sizes
+
+
+def _asked_pairs(bits):
+    """Sorted by (block, kind, shard): per block and pair shard the distinct pairs with training counts."""
+    def run(batches):
+        for block, rows in _grouped(batches, "block"):
+            key, shard, pair, doc, *_ = _numbered(rows, bits)
+            count = np.bincount(pair[np.array(rows[0]["train"], bool)[doc]], minlength=len(key))
+            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            runs = list(zip(cut, np.append(cut[1:], len(key))))
+            first, then = key >> np.uint64(32), key & np.uint64(EDGE)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * len(cut)), pa.array(shard[cut]), pa.array([_pack_steps(first[lo:hi]) for lo, hi in runs]),
+                pa.array([_pack(then[lo:hi]) for lo, hi in runs]), pa.array([_pack(count[lo:hi]) for lo, hi in runs])],
+                names=["block", "shard", "u", "w", "n"])
+    return run
+
+
+ASK = pa.list_(pa.struct([("shard", pa.int64()), ("at", pa.binary())]))
+WHERE = pa.list_(pa.struct([("block", pa.string()), ("at", pa.binary())]))
+TOLD = pa.list_(pa.struct([("shard", pa.int64()), ("customers", pa.binary()), ("tables", pa.binary())]))
+
+
+def _pair_shards(bits):
+    """Per shard its distinct pairs as places in the list of their words (by word shard and number; the border comes last)
+    with summed counts, the words it asks of each word shard, and per block which pairs that asked for."""
+    def run(batches):
+        for shard, rows in _grouped(batches, "shard"):
+            parts = [(_unpack_steps(r["u"]).astype(np.uint64) << np.uint64(32)) | _unpack(r["w"]).astype(np.uint64) for r in rows]
+            key, at = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(at, np.concatenate([_unpack(r["n"]) for r in rows]), len(key)).astype(np.int64)
+            edge = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            first, then = key >> np.uint64(32), key & np.uint64(EDGE)
+            word = np.setdiff1d(np.concatenate([first, then]), np.array([EDGE], np.uint64))
+            of = (word & np.uint64((1 << bits) - 1)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            place = np.full(len(word) + 1, len(word))
+            place[order] = np.arange(len(word))
+            of, number = of[order], word[order] >> np.uint64(bits)
+            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([shard]), pa.array([_pack_steps(place[np.searchsorted(word, first)])]), pa.array([_pack(place[np.searchsorted(word, then)])]),
+                pa.array([_pack_long(n)]), pa.array([int((n == 1).sum())]), pa.array([int((n == 2).sum())]),
+                pa.array([[{"shard": int(of[lo]), "at": _pack_steps(number[lo:hi])} for lo, hi in zip(cut, np.append(cut[1:], len(of)))]], ASK),
+                pa.array([[{"block": r["block"], "at": _pack_steps(at[lo:hi])} for r, lo, hi in zip(rows, edge[:-1], edge[1:])]], WHERE)],
+                names=["shard", "u", "w", "n", "once", "twice", "ask", "blocks"])
+    return run
+
+
+def _tell(samples, last):
+    """Per pair shard that asked: log probability and tables as context of its words, for each sample; at last also their counts."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                count = np.frombuffer(r["counts"], np.int64)
+                logs, contexts = [], []
+                for (speller, customers, tables, d), state in zip(samples.value, r["states"]):
+                    c, t, as_context = [_unpack_long(state[k]) if state[k] else np.zeros(len(count), np.int64) for k in ("customers", "tables", "contexts")]
+                    logs.append((seated_log(c, t, tables, d, base_log(speller, r["words"])) - math.log(customers + THETA)).astype(np.float32))
+                    contexts.append(as_context)
+                asks = r["asks"] or []
+                at = [_unpack_steps(a["at"]) for a in asks]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([a["shard"] for a in asks], pa.int64()), pa.array([r["shard"]] * len(asks), pa.int64()),
+                    pa.array([[_pack(x[k].view(np.uint32)) for x in logs] for k in at], pa.list_(pa.binary())),
+                    pa.array([[_pack_long(x[k]) for x in contexts] for k in at], pa.list_(pa.binary())),
+                    pa.array([_pack_long(count[k]) if last else None for k in at], pa.binary())],
+                    names=["pairs", "shard", "logs", "contexts", "counts"])
+    return run
+
+
+def _heard(told, edge, sample):
+    """(log probability, tables as context) of the words of a pair shard, with the border's last."""
+    return (np.concatenate([_unpack(m["logs"][sample]).view(np.float32) for m in told] + [[edge[0]]]),
+            np.concatenate([_unpack_long(m["contexts"][sample]) for m in told] + [[edge[1]]]))
+
+
+def _seat_pairs(edge, d, sweep):
+    """Reseat the pairs of each shard; their tables by word and by context, for each word shard."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                u, w, n = _unpack_steps(r["u"]), _unpack(r["w"]), _unpack_long(r["n"])
+                log, contexts = _heard(r["told"] or [], edge, 0)
+                t = reseat(np.random.default_rng([SEED, sweep, r["shard"], 1]), n, (THETA + d * contexts[u]) * np.exp(log[w]), d)
+                word, context = (np.bincount(x, t, len(log)).astype(np.int64) for x in (w, u))
+                cut = np.cumsum([0] + [len(_unpack_steps(a["at"])) for a in r["ask"]])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r["shard"]]), pa.array([_pack_long(t)]), pa.array([int(word[-1])]), pa.array([int(context[-1])]),
+                    pa.array([[{"shard": a["shard"], "customers": _pack_long(word[lo:hi]), "tables": _pack_long(context[lo:hi])}
+                               for a, lo, hi in zip(r["ask"], cut[:-1], cut[1:])]], TOLD)],
+                    names=["shard", "tables", "edge_customers", "edge_tables", "told"])
+    return run
 
 
 def _sweep(speller, d, tables, sweep):
-    """Reseat the word restaurant of each shard; count the spellings of its tables."""
+    """Add up the customers of the word restaurant and reseat them in each shard; count the spellings of its tables."""
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words, count = b.column("words")[i].as_py(), np.frombuffer(b.column("counts")[i].as_py(), np.int64)
-                rng = np.random.default_rng([SEED, sweep, b.column("shard")[i].as_py()])
-                codes, word = spelled(words)
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                count, contexts = (np.zeros(len(r["counts"]) // 8, np.int64) for _ in range(2))
+                for ask, m in zip(r["asks"] or [], r["told"] or []):
+                    assert ask["shard"] == m["shard"]
+                    at = _unpack_steps(ask["at"])
+                    count[at] += _unpack_long(m["customers"])
+                    contexts[at] += _unpack_long(m["tables"])
+                codes, word = spelled(r["words"])
                 code, at = np.unique(codes, return_inverse=True)
-                t = reseat(rng, count, (THETA + d * tables) * base_probability(speller.value, words, (code, at)), d)
+                t = reseat(np.random.default_rng([SEED, sweep, r["shard"]]), count,
+                           (THETA + d * tables) * np.exp(base_log(speller.value, r["words"], (code, at))), d)
                 many = np.bincount(at, t[word], len(code)).astype(np.int64)
                 used = many > 0
                 yield pa.RecordBatch.from_arrays([
-                    b.column("shard").slice(i, 1), pa.array([t.tobytes()]), pa.array([int(t.sum())]),
+                    b.column("shard").slice(i, 1), *[pa.array([_pack_long(x)]) for x in (count, t, contexts)],
+                    *[pa.array([int(x.sum())]) for x in (count, t, count == 1, count == 2)],
                     pa.ListArray.from_arrays(pa.array([0, int(used.sum())], pa.int32()), pa.StructArray.from_arrays(
                         [pa.array(code[used]), pa.array(many[used])], names=["code", "n"]))],
-                    names=["shard", "tables", "total", "spelling"])
+                    names=["shard", "customers", "tables", "contexts", "n", "total", "once", "twice", "spelling"])
     return run
 
 
-def _answers(samples, d, n_all):
-    """Sorted by (shard, kind): first the shard's words and tables, then the blocks that asked."""
+def _answers(edges, d, ends):
+    """Per block that asked: log10 probabilities of its pairs, the mean of the samples."""
     def run(batches):
-        count = lp = None
-        kept: dict = {}
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                if r["kind"] == 0:
-                    kept = {"shard": r["shard"]}
-                    words, count = r["words"], np.frombuffer(r["counts"], np.int64)
-                    p = np.zeros(len(count))
-                    for (speller, total), t in zip(samples.value, r["tables"]):
-                        t = np.frombuffer(t, np.int64)
-                        p += (count - d * t + (THETA + d * total) * base_probability(speller, words)) / (n_all + THETA)
-                    lp = np.log10(p / len(samples.value)) if samples.value else np.full(len(count), np.nan)
-                else:
-                    assert kept["shard"] == r["shard"]
-                    at = _unpack(r["asked"])
-                    yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([r["shard"]]), pa.array([_pack_long(count[at])]),
-                                                      pa.array([lp[at].tobytes()])], names=["block", "shard", "counts", "lp"])
+                u, w, n = _unpack_steps(r["u"]), _unpack(r["w"]), _unpack_long(r["n"])
+                told = r["told"] or []
+                followed = np.concatenate([_unpack_long(m["counts"]) for m in told] + [[ends]])
+                lp = np.full(len(n), -np.inf)
+                for k, (edge, t) in enumerate(zip(edges, r["tables"])):
+                    log, contexts = _heard(told, edge, k)
+                    lp = np.logaddexp(lp, seated_log(n, _unpack_long(t), contexts[u], d, log[w]))
+                lp = ((lp - math.log(len(edges)) - np.log(followed[u] + THETA)) / math.log(10)).astype(np.float32)
+                for lo in range(0, len(r["blocks"]), 64):
+                    part = r["blocks"][lo: lo + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([a["block"] for a in part]), pa.array([r["shard"]] * len(part)),
+                                                      pa.array([_pack(lp[_unpack_steps(a["at"])].view(np.uint32)) for a in part])], names=["block", "shard", "lp"])
     return run
 
 
@@ -258,24 +416,22 @@ def _unpack_long(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _scores(n_all, vocabulary, end_count, end_lp):
-    """Sorted by (block, shard): the block (shard -1), then the answers of the shards in word order."""
+def _scores(bits, n_all, vocabulary, end_count):
+    """Sorted by (block, kind, shard): the block, then the answers of the word shards, then those of the pair shards."""
     def log_base(c):
         return np.log10((c + 0.1) / (n_all + 0.1 * (vocabulary + 1)))
 
     def run(batches):
         for _, rows in _grouped(batches, "block"):
-            own, answers = rows[0], rows[1:]
-            assert own["shard"] == -1
-            count = np.concatenate([_unpack_long(r["counts"]) for r in answers] or [np.zeros(0, np.int64)])
-            lp = np.concatenate([np.frombuffer(r["lp"], np.float64) for r in answers] or [np.zeros(0)])
-            token, sizes = _unpack(own["tokens"]), _unpack(own["sizes"]).astype(np.int64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            own = rows[0]
+            _, _, pair, doc, count, token, sizes = _numbered(rows, bits)
+            lp = np.concatenate([_unpack(r["lp"]).view(np.float32) for r in rows if r["kind"] == 2] or [np.full(len(pair), np.nan)]).astype(np.float64)
+            word_doc = np.repeat(np.arange(len(sizes)), sizes)
 
             def total(x):
-                return np.bincount(doc, x[token], minlength=len(sizes))
+                return np.bincount(word_doc, x[token], minlength=len(sizes))
 
-            base, score = total(log_base(count)) + log_base(end_count), total(lp) + end_lp
+            base, score = total(log_base(count)) + log_base(end_count), np.bincount(doc, lp[pair], len(sizes))
             yield pa.RecordBatch.from_arrays([
                 pa.array(own["ids"]), pa.array([not t for t in own["train"]]), pa.array(sizes + 1),
                 pa.array(total((count > 0).astype(float)).astype(np.int64) + int(end_count > 0)),
@@ -284,6 +440,19 @@ def _scores(n_all, vocabulary, end_count, end_lp):
     return run
 
 
+def _discount(once, twice) -> float:
+    return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
+
+
+def _listed(messages: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(shard, told): all messages to a shard in the order of their senders."""
+    return messages.groupBy(F.col(key).alias("to")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("told"))
+
+
+def _with(kept: DataFrame, messages: DataFrame) -> DataFrame:
+    return kept.join(messages, kept["shard"] == messages["to"], "left").drop("to")
+
+
 def score_texts(docs: DataFrame, *, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
@@ -294,7 +463,7 @@ def score_texts(docs: DataFrame, *, burn: int = BURN, samples: int = SAMPLES) ->
     blocks = written(docs.mapInArrow(_blocks(bits), f"block string, ids array<{kind}>, train array<boolean>, sizes binary, tokens binary, "
                                      "asked array<struct<shard: long, words: binary, counts: binary>>"), "lm-blocks")
     shards = written(blocks.select("block", F.inline("asked")).repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        _vocabulary, "shard long, block string, words binary, counts binary, asked binary"), "lm-shards")
+        _vocabulary(bits), "shard long, block string, words binary, counts binary, asked binary"), "lm-shards")
     vocab = shards.filter("block is null").select("shard", "words", "counts")
 
     def totals(batches):
@@ -308,45 +477,85 @@ def score_texts(docs: DataFrame, *, burn: int = BURN, samples: int = SAMPLES) ->
                                                                                  ("n", "v", "once", "twice")]).first()
     ends = blocks.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
     n_all, v_all = got["n"] + ends, got["v"] + int(ends > 0)
-    d = min(0.95, max(0.05, got["once"] / max(1, got["once"] + 2 * got["twice"])))
-    speller, tables, kept, end_p = Speller(), float(v_all), [], []
-    states = []
-    for sweep in range(burn + samples if ends else 0):
-        rng = np.random.default_rng([SEED, sweep])
-        state = written(vocab.mapInArrow(_sweep(spark.sparkContext.broadcast(speller), d, tables, sweep),
-                                         "shard long, tables binary, total long, spelling array<struct<code: long, n: long>>"), "lm-sweep")
-        end_h = float(base_probability(speller, b"")[0])
-        end_t = int(reseat(rng, np.array([ends]), np.array([(THETA + d * tables) * end_h]), d)[0])
-        spelling = _spelling(state)
+    null = F.lit(None)
+    own = ("ids", "train", "sizes", "tokens")
+    meet = blocks.select("block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("shard"), *own).unionByName(
+        shards.filter("block is not null").select("block", F.lit(1).alias("kind"), "shard", "asked", "counts"), allowMissingColumns=True)
+    if ends:
+        answers = written(_pair_answers(spark, meet, vocab, bits, ends, _discount(got["once"], got["twice"]), burn, samples), "lm-answers")
+        _free(spark)
+        meet = meet.unionByName(answers.select("block", F.lit(2).alias("kind"), "shard", "lp"), allowMissingColumns=True)
+    else:
+        meet = meet.withColumn("lp", null.cast("binary"))
+    return meet.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(
+        _scores(bits, n_all, v_all, ends), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+        "base_score double, score double")
+
+
+def _pair_answers(spark, meet: DataFrame, vocab: DataFrame, bits: int, ends: int, d: float, burn: int, samples: int) -> DataFrame:
+    """block, shard, lp: per block and pair shard the log10 probabilities of the block's pairs, in their order."""
+    asked = meet.drop("ids").repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(
+        _asked_pairs(bits), "block string, shard long, u binary, w binary, n binary")
+    pairs = written(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        _pair_shards(bits), "shard long, u binary, w binary, n binary, once long, twice long, ask array<struct<shard: long, at: binary>>, "
+        "blocks array<struct<block: string, at: binary>>"), "lm-pairs")
+    _free(spark)
+    asks = _listed(pairs.select(F.col("shard").alias("pairs"), F.inline("ask")).select("pairs", F.col("shard").alias("of"), "at"), "of",
+                   F.col("pairs").alias("shard"), "at").withColumnRenamed("told", "asks")
+    words = written(_with(vocab, asks), "lm-words")
+    seen = pairs.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    d_pair = _discount(seen["once"], seen["twice"])
+    message = "pairs long, shard long, logs array<binary>, contexts array<binary>, counts binary"
+    state_kind = "struct<customers: binary, tables: binary, contexts: binary>"
+    none = spark.createDataFrame([], f"shard long, s {state_kind}")
+    # the word restaurant: customers, tables; those of the border in it; tables of the border's own restaurant
+    speller, n, tables, edge_n, edge_t, edge_contexts = Speller(), 0.0, 0.0, 0, 0, 0
+
+    def edge_now():
+        log = seated_log(edge_n, edge_t, tables, d, base_log(speller, b"")[0]) - math.log(n + THETA)
+        return float(log), edge_contexts
+
+    def told(states, models, last):
+        out = words
+        for k, state in enumerate(states):
+            out = out.join(state.select("shard", F.col("s").alias(f"s{k}")), "shard", "left")
+        empty = F.struct(*[F.lit(None).cast("binary").alias(c) for c in ("customers", "tables", "contexts")])
+        out = out.select("shard", "words", "counts", "asks", F.array(*[F.coalesce(f"s{k}", empty) for k in range(len(states))]).alias("states"))
+        sent = out.mapInArrow(_tell(spark.sparkContext.broadcast(models), last), message)
+        return _listed(sent, "pairs", "shard", "logs", "contexts", "counts")
+
+    state, kept = none, []
+    for sweep in range(burn + samples):
+        seats = written(_with(pairs.select("shard", "u", "w", "n", "ask"), told([state], [(speller, n, tables, d)], False)).mapInArrow(
+            _seat_pairs(edge_now(), d_pair, sweep), "shard long, tables binary, edge_customers long, edge_tables long, "
+            "told array<struct<shard: long, customers: binary, tables: binary>>"), "lm-seats")
+        back = seats.select(F.col("shard").alias("pairs"), F.inline("told")).select("pairs", F.col("shard").alias("of"), "customers", "tables")
+        result = written(_with(words, _listed(back, "of", F.col("pairs").alias("shard"), "customers", "tables")).mapInArrow(
+            _sweep(spark.sparkContext.broadcast(speller), d, tables, sweep), "shard long, customers binary, tables binary, contexts binary, "
+            "n long, total long, once long, twice long, spelling array<struct<code: long, n: long>>"), "lm-sweep")
+        at_edge = seats.agg(F.sum("edge_customers").alias("n"), F.sum("edge_tables").alias("t")).first()
+        end_h = float(np.exp(base_log(speller, b"")[0]))
+        edge_n, edge_contexts = int(at_edge["n"]), int(at_edge["t"])
+        edge_t = int(reseat(np.random.default_rng([SEED, sweep]), np.array([edge_n]), np.array([(THETA + d * tables) * end_h]), d)[0])
+        spelling = _spelling(result)
         codes, counts = spelling["code"].to_numpy(), spelling["n"].to_numpy()
         empty = spelled(b"")[0][0]
         k = np.searchsorted(codes, empty)
-        codes, counts = np.insert(codes, k, empty), np.insert(counts, k, end_t)
-        tables = float((state.agg(F.sum("total")).first()[0] or 0) + end_t)
-        speller = speller.sweep(rng, codes, counts)
+        codes, counts = np.insert(codes, k, empty), np.insert(counts, k, edge_t)
+        sums = result.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "total", "once", "twice")]).first()
+        n, tables = float(sums["n"] + edge_n), float(sums["total"] + edge_t)
+        if sweep == 0:  # the tables of a first seating count contexts, as the word restaurant's customers do from here on
+            d = _discount(sums["once"], sums["twice"])
+        speller = speller.sweep(np.random.default_rng([SEED, sweep, 0, 2]), codes, counts)
+        _free(spark)
+        state = result.select("shard", F.struct("customers", "tables", "contexts").alias("s"))
         if sweep >= burn:
-            kept.append((speller, tables))
-            states.append(state.select("shard", F.col("tables").alias(f"t{sweep}")))
-            end_p.append((ends - d * end_t + (THETA + d * tables) * float(base_probability(speller, b"")[0])) / (n_all + THETA))
-    asked = vocab
-    for state in states:
-        asked = asked.join(state, "shard")
-    asked = asked.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("block"), "words", "counts",
-                         F.array(*[F.col(c) for c in asked.columns if c not in ("shard", "words", "counts")]).cast("array<binary>").alias("tables"),
-                         F.lit(None).cast("binary").alias("asked"))
-    asked = asked.unionByName(shards.filter("block is not null").select(
-        "shard", F.lit(1).alias("kind"), "block", "words", "counts", F.lit(None).cast("array<binary>").alias("tables"), "asked"))
-    answers = asked.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(
-        _answers(spark.sparkContext.broadcast(kept), d, n_all), "block string, shard long, counts binary, lp binary")
-    null = F.lit(None)
-    meet = blocks.select("block", F.lit(-1).cast("long").alias("shard"), "ids", "train", "sizes", "tokens", null.cast("binary").alias("counts"),
-                         null.cast("binary").alias("lp")).unionByName(answers.select(
-                             "block", "shard", null.cast(f"array<{kind}>").alias("ids"), null.cast("array<boolean>").alias("train"),
-                             null.cast("binary").alias("sizes"), null.cast("binary").alias("tokens"), "counts", "lp"))
-    end_lp = math.log10(sum(end_p) / len(end_p)) if end_p else float("nan")
-    return meet.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(
-        _scores(n_all, v_all, ends, end_lp), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double")
+            kept.append((state, (speller, n, tables, d), edge_now(), seats.select("shard", F.col("tables").alias(f"t{sweep}"))))
+    out = _with(pairs, told([x[0] for x in kept], [x[1] for x in kept], True))
+    for _, _, _, seats in kept:
+        out = out.join(seats, "shard")
+    out = out.select("shard", "u", "w", "n", "blocks", "told", F.array(*[c for c in out.columns if c.startswith("t") and c[1:].isdigit()]).alias("tables"))
+    return out.mapInArrow(_answers([x[2] for x in kept], d_pair, ends), "block string, shard long, lp binary")
 
 
 def _spelling(state: DataFrame):

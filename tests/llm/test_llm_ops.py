@@ -150,6 +150,38 @@ def test_spelling_probabilities_sum_to_one():
         assert s.probability(context * op6_pitman_yor.SYMBOLS + symbols).sum() == pytest.approx(1)
 
 
+def test_language_model_knows_word_order(spark):
+    """Held-out texts in the order of the training texts beat the same words in another order."""
+    import random
+    rnd = random.Random(5)
+    follow = {w: [rnd.randrange(40) for _ in range(2)] for w in range(40)}
+    rows = []
+    for i in range(400):
+        w = [rnd.randrange(40)]
+        for _ in range(40):
+            w.append(rnd.choice(follow[w[-1]]))
+        rows.append((str(i), " ".join(f"word{x}" for x in w)))
+    moved = [(i + "s", " ".join(rnd.sample(t.split(), 41))) for i, t in rows]
+    held = op6_pitman_yor.held_out
+    d = spark.createDataFrame([r for r in rows if not held(r[0])] + [("h%d" % k, t) for k, (_, t) in enumerate(moved + rows) if held("h%d" % k)],
+                              "doc_id string, text string")
+    got = {r.doc_id: r for r in op6_pitman_yor.score_texts(d).collect()}
+    pairs = [(got[f"h{k}"].score, got[f"h{k}"].base_score) for k in range(400, 800) if f"h{k}" in got]
+    shuffled = [got[f"h{k}"].score for k in range(400) if f"h{k}" in got]
+    assert min(s for s, _ in pairs) > max(shuffled) and all(s > b for s, b in pairs)
+
+
+def test_pair_probabilities_sum_to_one(spark):
+    """Held-out one-word texts: after the border, all words of the training texts and the rest of the spellings share 1."""
+    held = op6_pitman_yor.held_out
+    train = [str(i) for i in range(200) if not held(str(i))]
+    ask = [str(i) for i in range(1000, 1200) if held(str(i))][:2]
+    rows = [(i, "aa" if int(i) % 4 else "bb") for i in train] + [(ask[0], "aa"), (ask[1], "bb")]
+    got = {r.doc_id: r.score for r in op6_pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    ratio = 10 ** (got[ask[0]] - got[ask[1]])
+    assert 2.5 < ratio < 3.6 and 0.9 < 10 ** got[ask[0]] + 10 ** got[ask[1]] < 1
+
+
 def test_spelling_seats_every_code(spark, monkeypatch):
     """No code is dropped or relabelled, however many there are."""
     import numpy as np
