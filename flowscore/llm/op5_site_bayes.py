@@ -4,7 +4,10 @@ For each target (low quality, toxic) a document's evidence is the log odds of
 its strongest indicator: a word, a word shape or the share of words that repeat
 the one before, chosen by likelihood ratio from a bounded sample of labelled
 documents (``FIT_DOCS``, by hash of doc_id), or the log odds of having none.
-(A sum would add up chance differences of hundreds of ordinary words.) Sites come in
+(A sum would add up chance differences of hundreds of ordinary words.) A group of
+copies or near copies with the same labels counts as one document there, and the
+indicators are those that keep the share of false ones below ``FDR`` (Benjamini
+and Hochberg over all features), so the threshold follows the sample. Sites come in
 two levels, host and path. Grouped aggregates of labels and of the document
 probabilities (all documents, labelled or not) give each host a rate shrunk
 toward the global one and each path a rate shrunk toward its host; the
@@ -21,6 +24,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +33,10 @@ from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
 from flowscore.llm.common import pick, written
+from flowscore.llm.op8_ngram_join import ngram_components
 
-#: Bounds of the model: labelled documents to fit on, features per target, least documents and G2 of a feature.
-FIT_DOCS, FEATURES, MIN_DOCS, MIN_G2, MIN_ODDS, CLIP = 20000, 20000, 4, 200.0, 4.0, 8.0
+#: Bounds of the model: labelled documents to fit on, features per target, least documents of a feature, share of false indicators.
+FIT_DOCS, FEATURES, MIN_DOCS, FDR, MIN_ODDS, CLIP = 20000, 20000, 4, 0.01, 4.0, 8.0
 TARGETS = ("low", "toxic")
 SHAPE, REPEAT = np.uint64(0x51AFE), np.uint64(0x4E9EA7)
 
@@ -78,28 +84,46 @@ def _g2(n, k, n_all, k_all) -> Column:
     return 2 * (term(k, n * p) + term(n - k, n * (1 - p)) + term(k_rest, rest * p) + term(rest - k_rest, rest * (1 - p)))
 
 
+def significant(g2: np.ndarray, tests: int) -> np.ndarray:
+    """Which of the positive associations (largest G2 first) of ``tests`` features pass at ``FDR``."""
+    p = np.array([math.erfc(math.sqrt(max(x, 0.0) / 2)) / 2 for x in g2])
+    passed = np.flatnonzero(p * tests <= FDR * np.arange(1, len(p) + 1))
+    return np.arange(len(p)) <= (passed[-1] if len(passed) else -1)
+
+
+def _one_of_each(labelled: DataFrame) -> DataFrame:
+    """One row of each group of near copies with the same labels, texts without words being one group."""
+    rows = written(labelled.select(F.monotonically_increasing_id().alias("doc_id"), "text", *TARGETS), "site-rows")
+    groups = ngram_components(rows).select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("of"))
+    first = rows.select("doc_id", *TARGETS).join(groups, "doc_id").groupBy("of", *TARGETS).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return written(rows.join(first, "doc_id").select("text", *TARGETS), "site-distinct")
+
+
 def fit(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
     """Per target (indicators sorted, log odds, prior rate, log odds of none); ``labelled``: text, low, toxic of at most FIT_DOCS documents."""
     total = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
     none = (np.zeros(0, np.uint64), np.zeros(0))
     if not total["n"]:
         return {t: (*none, 0.0, 0.0) for t in TARGETS}
+    rates = {t: total[t] / total["n"] for t in TARGETS}
+    labelled = _one_of_each(labelled)
+    total = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     counts = written(labelled.select("text", *TARGETS).mapInArrow(_counts, "feature long, n long, low long, toxic long").groupBy("feature").agg(
         F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).filter(F.col("n") >= MIN_DOCS), "site-features")
-    model = {}
+    model, tests = {}, counts.count()
     for t in TARGETS:
         k_all, n_all = total[t], total["n"]
         if not 0 < k_all < n_all:
-            model[t] = (*none, k_all / n_all, 0.0)
+            model[t] = (*none, rates[t], 0.0)
             continue
         n, k = F.col("n").cast("double"), F.col(t).cast("double")
         odds = F.log((k + 0.5) / (k_all + 1.0)) - F.log((n - k + 0.5) / (n_all - k_all + 1.0))
         best = counts.select("feature", odds.alias("odds"), _g2(n, k, n_all, k_all).alias("g2")).filter(
-            (F.col("g2") >= MIN_G2) & (F.col("odds") >= MIN_ODDS)).orderBy(
-            F.desc("g2"), "feature").limit(FEATURES).select("feature", "odds").toArrow()
+            F.col("odds") >= MIN_ODDS).orderBy(F.desc("g2"), "feature").limit(FEATURES).toArrow()
+        best = best.filter(pa.array(significant(best["g2"].to_numpy(), tests)))
         key = best["feature"].to_numpy().view(np.uint64)
         order = np.argsort(key)
-        model[t] = (key[order], np.minimum(best["odds"].to_numpy()[order], CLIP), k_all / n_all, 0.0)
+        model[t] = (key[order], np.minimum(best["odds"].to_numpy()[order], CLIP), rates[t], 0.0)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
     bare = labelled.mapInArrow(_strongest(shared, TARGETS), "low long, toxic long, s_low double, s_toxic double").agg(*[
         F.sum(((F.col(f"s_{t}") < MIN_ODDS) & (F.col(t) == y)).cast("int")).alias(f"{t}{y}") for t in TARGETS for y in (0, 1)]).first()

@@ -123,6 +123,28 @@ def test_site_posteriors(spark, docs, empty):
     assert op5_site_bayes.classify(empty, y, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_site_indicators_of_few_labels(spark):
+    """399 labels: ten rare toxic words are found, words of a group of copies that happens to be toxic are not."""
+    from pyspark.sql import functions as F
+    rows, toxic = [], set()
+    for i in range(600):
+        w = [f"w{(i * 37 + k * (i % 11 + 7)) % 701}" for k in range(60)]
+        if i % 8 == 0:
+            toxic.add(i)
+            w[i % 60] = f"vile{i // 8 % 5}"
+        if 8 <= i % 40 < 11 and i % 8:  # near copies, labelled toxic
+            toxic.add(i)
+            w = [f"copied{k}" for k in range(60)] + [f"own{i}"]
+        if i % 40 == 13:  # clean texts with words of the copies
+            w[5], w[40] = "copied3", "copied44"
+        rows.append((i, " ".join(w), "s", "p"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    y = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(399)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in op5_site_bayes.classify(d, y, F.col("source"), F.col("lang")).collect()}
+    assert not any(got[i] for i in range(0, 600, 8))
+    assert all(got[i] for i in range(600) if i not in toxic)
+
+
 def test_language_model_counts(docs, empty):
     import collections
     import math
