@@ -16,6 +16,7 @@ MODULES = {
     "op8_ngram_join": "op8_ngram_join",
     "op9_line_dedup": "op9_line_dedup",
     "op10_mix_sources": "op10_mix_sources",
+    "op13_periodic_runs": "op13_periodic_runs",
 }
 
 _MODULES = {name: import_module(f"flowscore.llm.{module}") for name, module in MODULES.items()}
