@@ -16,6 +16,8 @@ MODULES = {
     "op8_ngram_join": "op8_ngram_join",
     "op9_line_dedup": "op9_line_dedup",
     "op10_mix_sources": "op10_mix_sources",
+    "op11_url_filter": "op11_url_filter",
+    "op12_embedding_whitening": "op12_embedding_whitening",
     "op13_periodic_runs": "op13_periodic_runs",
 }
 
