@@ -44,6 +44,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,9 @@ NO_TIME = -(1 << 63)  # a null time in the scan
 KEY, PID = "__arrival_key", "__pid"
 
 OUT_FIELDS = ("arrival_pos", "burst", "pos_in_burst", "batch_num", "pos_in_batch")
+NUMBERS = ("last_ts", "pos", "burst", "open_start", "b_open")  # of a State
+CARRIED = "__carried"  # struct of a carry row, null on data rows
+CARRY_SCHEMA = "key string, " + ", ".join(f"{c} long" for c in NUMBERS)
 
 
 @dataclass
@@ -72,49 +76,68 @@ def _ceil_div(a, n):
     return (a + n - 1) // n
 
 
-def _scan(key: np.ndarray, ts: np.ndarray | None, st: State | None, n: int, gap: int | None):
+def _scan(key: np.ndarray, ts: np.ndarray | None, st: State | None, n: int, gap: int | None,
+          carry: dict[str, np.ndarray] | None = None):
     """Vectorised scan of one sorted chunk from entry state ``st``.
 
-    Returns (arrays dict, exit state, newkey, flag)."""
+    A segment is a run of rows of one key. It continues ``st`` if that is the
+    chunk's first key, or the state of a carry row: with ``carry`` (the mask
+    ``is`` and a column per number of ``State``), the masked rows are no data,
+    each stands before its key's rows and holds where the key stopped.
+
+    Returns (arrays of the data rows, exit state, newkey of all rows, flag of
+    the data rows, exit numbers per segment)."""
     m = len(key)
-    idx = np.arange(m)
     newkey = np.zeros(m, dtype=bool)
     newkey[1:] = key[1:] != key[:-1]
     newkey[0] = st is None or key[0] != st.key
-    cont = not newkey[0]  # first segment continues the entry state's key
-
-    flag = newkey.copy()
-    if gap is not None:
-        prev = np.empty(m, dtype=np.int64)
+    first_at = np.flatnonzero(newkey) if newkey[0] else np.append(0, np.flatnonzero(newkey))
+    k = len(first_at)
+    seg = np.repeat(np.arange(k), np.diff(np.append(first_at, m)))
+    held = np.zeros(k, dtype=bool)  # segments that continue an earlier state
+    base = {c: np.zeros(k, dtype=np.int64) for c in NUMBERS}
+    if not newkey[0]:
+        held[0] = True
+        for c in NUMBERS:
+            base[c][0] = getattr(st, c)
+    if carry is not None:
+        told = carry["is"][first_at]
+        held |= told
+        for c in NUMBERS:
+            base[c][told] = carry[c][first_at[told]]
+        data = ~carry["is"]
+        seg, ts = seg[data], None if ts is None else ts[data]
+
+    rows = len(seg)
+    idx = np.arange(rows)
+    begin = np.searchsorted(seg, np.arange(k + 1))  # of each segment's data rows
+    head = idx == begin[seg]
+    pos = idx - begin[seg] + base["pos"][seg]
+    flag = head & ~held[seg]
+    if gap is not None and rows:
+        prev = np.empty(rows, dtype=np.int64)
         prev[1:] = ts[:-1]
-        prev[0] = st.last_ts if cont else ts[0]
+        prev[head] = np.where(held, base["last_ts"], NO_TIME)[seg[head]]
         flag |= (ts != NO_TIME) & (prev != NO_TIME) & ((ts - prev) >= gap)
 
-    seg_idx = np.maximum.accumulate(np.where(newkey, idx, -1))
-    pos = np.where(seg_idx >= 0, idx - seg_idx, (st.pos if cont else 0) + idx)
-
-    rec_idx = np.nonzero(flag)[0]  # burst records (rows that start a burst)
-    rec_pos = pos[rec_idx]
-    rec_new = newkey[rec_idx]
-    prev_start = np.empty(len(rec_idx), dtype=np.int64)
-    if len(rec_idx):
-        prev_start[1:] = rec_pos[:-1]
-        prev_start[0] = st.open_start if cont else 0
-    inc = np.where(rec_new, 0, _ceil_div(rec_pos - prev_start, n))
+    rec = np.flatnonzero(flag)  # rows that start a burst
+    rec_seg, rec_pos = seg[rec], pos[rec]
+    rec_first = np.searchsorted(rec_seg, rec_seg)  # the segment's first record
+    rec_head = rec_first == np.arange(len(rec))
+    before = np.empty(len(rec), dtype=np.int64)  # where the burst before it started
+    before[1:] = rec_pos[:-1]
+    before[rec_head] = base["open_start"][rec_seg[rec_head]]
+    inc = np.where(rec_head & ~held[rec_seg], 0, _ceil_div(rec_pos - before, n))
     csum = np.cumsum(inc)
-    rec_ord = np.arange(len(rec_idx))
-    reset = np.maximum.accumulate(np.where(rec_new, rec_ord, -1))
-    base_b = st.b_open if cont else 0
-    base_burst = st.burst if cont else 0
-    rec_b = np.where(reset >= 0, csum - csum[np.maximum(reset, 0)], csum + base_b)
-    rec_burst = np.where(reset >= 0, rec_ord - reset + 1, base_burst + rec_ord + 1)
-
-    row_rec = np.cumsum(flag) - 1  # -1: still inside the entry state's open burst
-    has = row_rec >= 0
-    rr = np.maximum(row_rec, 0)
-    start = np.where(has, rec_pos[rr] if len(rec_idx) else 0, st.open_start if cont else 0)
-    b_row = np.where(has, rec_b[rr] if len(rec_idx) else 0, base_b)
-    burst_row = np.where(has, rec_burst[rr] if len(rec_idx) else 0, base_burst)
+    rec_b = csum - (csum - inc)[rec_first] + base["b_open"][rec_seg]
+    rec_burst = np.arange(len(rec)) - rec_first + 1 + base["burst"][rec_seg]
+
+    at = np.cumsum(flag) - 1
+    inside = at >= 0
+    inside[inside] = rec_seg[at[inside]] == seg[inside]  # else still in the burst that the segment entered with
+    start, b_row, burst_row = (base[c][seg] for c in ("open_start", "b_open", "burst"))
+    for values, records in ((start, rec_pos), (b_row, rec_b), (burst_row, rec_burst)):
+        values[inside] = records[at[inside]]
     off = pos - start
     out = {
         "arrival_pos": pos + 1,
@@ -123,10 +146,14 @@ def _scan(key: np.ndarray, ts: np.ndarray | None, st: State | None, n: int, gap:
         "batch_num": b_row + off // n + 1,
         "pos_in_batch": off % n + 1,
     }
-    last = m - 1
-    exit_state = State(key[last], int(ts[last]) if ts is not None else 0,
-                       int(pos[last]) + 1, int(burst_row[last]), int(start[last]), int(b_row[last]))
-    return out, exit_state, newkey, flag
+    some = np.flatnonzero(np.diff(begin))
+    last = begin[some + 1] - 1
+    ends = base
+    for c, values in (("last_ts", ts), ("pos", pos + 1), ("burst", burst_row), ("open_start", start), ("b_open", b_row)):
+        if values is not None:
+            ends[c][some] = values[last]
+    exit_state = State(key[-1], *(int(ends[c][-1]) for c in NUMBERS))
+    return out, exit_state, newkey, flag, {"key": key[np.append(first_at[1:], m) - 1], **ends}
 
 
 def key_text(df: DataFrame, key_cols: Sequence[str]) -> Column:
@@ -154,7 +181,13 @@ def micros(times: pa.Array) -> np.ndarray:
 
 
 def _arrays(batch: pa.RecordBatch, ts_col: str | None):
-    return (batch.column(KEY).to_numpy(zero_copy_only=False), None if ts_col is None else micros(batch.column(ts_col)))
+    carry = None
+    if CARRIED in batch.schema.names:
+        told = batch.column(CARRIED)
+        carry = {"is": told.is_valid().to_numpy(zero_copy_only=False)}
+        for c in NUMBERS:
+            carry[c] = pc.struct_field(told, c).fill_null(0).to_numpy(zero_copy_only=False)
+    return (batch.column(KEY).to_numpy(zero_copy_only=False), None if ts_col is None else micros(batch.column(ts_col)), carry)
 
 
 SUMMARY_SCHEMA = T.StructType([
@@ -188,11 +221,13 @@ def _summaries(ts_col, n, gap):
                 continue
             if pid is None:
                 pid = batch.column(PID)[0].as_py()
-            key, ts = _arrays(batch, ts_col)
-            out, new_st, newkey, flag = _scan(key, ts, st, n, gap)
+            key, ts, carry = _arrays(batch, ts_col)
+            out, new_st, newkey, flag, _ = _scan(key, ts, st, n, gap, carry)
             if st is None:
                 first_key = key[0]
                 first_ts = int(ts[0]) if ts is not None else 0
+                if carry is not None and carry["is"][0]:  # the key starts here, from its carried state
+                    in_first, multi = False, True
                 nk = newkey.copy()
                 nk[0] = False
             else:
@@ -209,7 +244,7 @@ def _summaries(ts_col, n, gap):
                 if nk.any():
                     in_first = False
                     multi = True
-            rows += batch.num_rows
+            rows += len(flag)
             st = new_st
         if st is None:
             return
@@ -263,11 +298,29 @@ def _apply(ts_col, n, gap, entry_bc, cols):
                 t = entry_bc.value.get(batch.column(PID)[0].as_py())
                 st = State(*t) if t is not None else None
                 started = True
-            key, ts = _arrays(batch, ts_col)
-            out, st, _, _ = _scan(key, ts, st, n, gap)
+            key, ts, carry = _arrays(batch, ts_col)
+            out, st, _, _, _ = _scan(key, ts, st, n, gap, carry)
+            data = batch.select(cols) if carry is None else batch.select(cols).filter(pa.array(~carry["is"]))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in cols], *[pa.array(out[k], pa.int64()) for k in OUT_FIELDS]],
-                names=[*cols, *OUT_FIELDS])
+                [*data.columns, *[pa.array(out[k], pa.int64()) for k in OUT_FIELDS]], names=[*cols, *OUT_FIELDS])
+    return fn
+
+
+def _ends(ts_col, n, gap, entry_bc):
+    """Where each key stood at the end of each Arrow batch that holds rows of it."""
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        st, started = None, False
+        for batch in it:
+            if batch.num_rows == 0:
+                continue
+            if not started:
+                t = entry_bc.value.get(batch.column(PID)[0].as_py())
+                st = State(*t) if t is not None else None
+                started = True
+            key, ts, carry = _arrays(batch, ts_col)
+            _, st, _, _, ends = _scan(key, ts, st, n, gap, carry)
+            yield pa.RecordBatch.from_arrays([pa.array(ends["key"], pa.string()), *[pa.array(ends[c], pa.int64()) for c in NUMBERS]],
+                                             names=["key", *NUMBERS])
     return fn
 
 
@@ -304,31 +357,71 @@ def number_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence
 
     ``initial`` continues an earlier numbering (stream form, one key); when
     ``exit_state`` is a list, the state after the last row is appended to it."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(batch_size) if batch_size else UNBOUNDED
-    gap = None if gap_seconds is None else int(round(gap_seconds * 1_000_000))
-    if gap is not None and ts_col is None:
-        raise ValueError("gap_seconds needs ts_col")
+    n, gap = _limits(batch_size, gap_seconds, ts_col)
     sort_cols = [*key_cols, *order_cols]
     parts = num_partitions or target_partitions(df)
-    ranged = df.withColumn(KEY, key_text(df, key_cols)).repartitionByRange(parts, *sort_cols)
-    stable = ranged.sortWithinPartitions(*sort_cols).checkpoint(eager=True)
-    with_pid = stable.withColumn(PID, F.spark_partition_id())
+    stable, entry_bc, last = _stable(df.withColumn(KEY, key_text(df, key_cols)), parts, sort_cols, ts_col, n, gap, initial)
+    if exit_state is not None:
+        exit_state.append(last)
+    return stable.mapInArrow(_apply(ts_col, n, gap, entry_bc, df.columns), _numbered_schema(df))
+
+
+def _limits(batch_size, gap_seconds, ts_col):
+    if gap_seconds is not None and ts_col is None:
+        raise ValueError("gap_seconds needs ts_col")
+    return int(batch_size) if batch_size else UNBOUNDED, None if gap_seconds is None else int(round(gap_seconds * 1_000_000))
+
+
+def _numbered_schema(df: DataFrame) -> T.StructType:
+    return T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
+
 
-    needed = with_pid.select(KEY, PID, *([ts_col] if ts_col else []))
+def _stable(keyed: DataFrame, parts: int, sort_cols: Sequence[str], ts_col, n, gap, initial):
+    """(checkpointed ranges with their numbers, broadcast entry states, state after the last row)."""
+    spark = keyed.sparkSession
+    ensure_checkpoint_dir(spark)
+    stable = keyed.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols).checkpoint(eager=True)
+    with_pid = stable.withColumn(PID, F.spark_partition_id())
+    needed = with_pid.select(*[c for c in (KEY, PID, CARRIED, ts_col) if c in with_pid.columns])
     summ = needed.mapInArrow(_summaries(ts_col, n, gap), SUMMARY_SCHEMA).collect()
     entry, last = _fold([r.asDict() for r in summ], n, gap, initial)
-    if exit_state is not None:
-        exit_state.append(last)
     # one small state per partition: shipped once per executor, not per task
     # (plain tuples: broadcast values are unpickled without this package)
     entry_bc = spark.sparkContext.broadcast(
         {pid: (None if st is None else (st.key, st.last_ts, st.pos, st.burst, st.open_start, st.b_open))
          for pid, st in entry.items()})
+    return with_pid, entry_bc, last
 
-    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T.LongType(), False) for k in OUT_FIELDS])
-    return with_pid.mapInArrow(_apply(ts_col, n, gap, entry_bc, df.columns), out_schema)
+
+def continue_arrivals(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str], carry: DataFrame | None, *,
+                      batch_size: int | None = None, gap_seconds: float | None = None, ts_col: str | None = None,
+                      num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``number_arrivals`` of rows whose keys have earlier rows elsewhere.
+
+    ``carry`` (``CARRY_SCHEMA``, one row per key) says where each key stopped;
+    its rows are dealt out with the data, each before the rows of its key, so
+    every key's state meets its first row wherever the ranges are cut, and a
+    key that holds most of the rows is still split over many ranges.
+
+    Returns the numbered rows and the carry after them, for every key in
+    ``df`` or ``carry``."""
+    n, gap = _limits(batch_size, gap_seconds, ts_col)
+    spark = df.sparkSession
+    carry = spark.createDataFrame([], CARRY_SCHEMA) if carry is None else carry
+    numbers = F.struct(*[F.col(c) for c in NUMBERS])
+    told = carry.select(F.col("key").alias(KEY), numbers.alias(CARRIED))
+    data = df.withColumns({KEY: key_text(df, key_cols), CARRIED: F.lit(None).cast(told.schema[CARRIED].dataType)})
+    both = data.unionByName(told, allowMissingColumns=True).withColumn("__data", F.col(CARRIED).isNull())
+    stable, entry_bc, _ = _stable(both, num_partitions or target_partitions(df), [KEY, "__data", *order_cols], ts_col, n, gap, None)
+    numbered = stable.drop("__data").mapInArrow(_apply(ts_col, n, gap, entry_bc, df.columns), _numbered_schema(df))
+    needed = stable.select(*[c for c in (KEY, PID, CARRIED, ts_col) if c in stable.columns])
+    ends = needed.mapInArrow(_ends(ts_col, n, gap, entry_bc), CARRY_SCHEMA)
+    return numbered, latest(ends)
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """The furthest of several states of each key."""
+    return states.groupBy("key").agg(F.max_by(F.struct(*NUMBERS), "pos").alias("s")).select("key", "s.*")
 
 
 def batch_progress(numbered: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:

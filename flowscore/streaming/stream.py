@@ -11,10 +11,7 @@ overwrite, so replaying a batch after a failure replaces its own output
 from __future__ import annotations
 
 import math
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,29 +25,26 @@ from flowscore.sources.bundle import EnsembleBundle
 
 
 def land_in_time_order(df: DataFrame, ts_col: str, path: str, rows_per_file: int = 50_000) -> int:
-    """Test-fixture helper: write ``df`` as parquet files whose modification
-    order follows ``ts_col`` (one file per time slice, slices written one
-    after another), the way a producer appends to a landing folder. Slice
-    bounds come from approximate quantiles; rows without a time are in the
-    first slice; returns the number of slices."""
-    n = df.count()
-    k = max(2, math.ceil(n / rows_per_file))
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    qs = df.select(t.cast("double").alias("t")).approxQuantile("t", [i / k for i in range(1, k)], 0.001)
-    bounds = [None, *qs, None]
-    for i in range(k):
-        lo, hi = bounds[i], bounds[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t >= F.lit(int(lo)))
-        if hi is not None:
-            cond = cond & (t < F.lit(int(hi)))
-        if i == 0:
-            cond = cond | t.isNull()
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+    """Write ``df`` as parquet files whose modification order follows
+    ``ts_col``, the way a producer appends to a landing folder: one job deals
+    the rows out in ranges of time (rows without a time come first), then the
+    files get rising modification times. Returns the number of slices asked for."""
+    spark = df.sparkSession
+    k = max(2, math.ceil(df.count() / rows_per_file))
+    df.repartitionByRange(k, F.col(ts_col)).write.mode("append").parquet(path)
+    fs, folder = _file_system(spark, path)
+    files = sorted((f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")))
+    start = int(time.time()) - len(files)
+    for i, f in enumerate(files):  # part numbers follow the ranges
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f), (start + i) * 1000, -1)
     return k
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def _reader(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None):
     """``files_per_trigger`` bounds a micro-batch; None takes all files that wait."""
     reader = spark.readStream.schema(schema)
@@ -122,7 +116,7 @@ def stream_rate_mode(spark: SparkSession, landing: str, schema: T.StructType, ts
 
 def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType, order_cols, ts_col: str,
                          batch_size: int, gap_seconds: float, out: str, checkpoint: str,
-                         files_per_trigger: int | None = 1) -> DataFrame:
+                         files_per_trigger: int | None = None) -> DataFrame:
     """Count-or-idle batch numbering over a stream (one arrival order).
 
     Each micro-batch is numbered with the distributed scan, continuing from
@@ -160,44 +154,62 @@ def stream_micro_batches(spark: SparkSession, landing: str, schema: T.StructType
     return spark.read.parquet(out)
 
 
+COMPACT = 16  # batches between two full copies of the keys' states
+
+
+class CarryLog:
+    """Where each key stopped after each micro-batch, as a table.
+
+    A batch writes the states of its own keys (``delta=<id>``), every
+    ``COMPACT``-th also those of all keys (``base=<id>``). What a batch reads
+    depends on its id alone, so a replayed batch starts from the same states.
+    Deltas that a base has taken in go when the batch after it is done."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _base(self, batch_id: int) -> int:
+        return batch_id // COMPACT * COMPACT - 1
+
+    def before(self, batch_id: int) -> DataFrame:
+        """The states of all keys before a batch."""
+        base = self._base(batch_id)
+        parts = [f"{self.path}/delta={b}" for b in range(base + 1, batch_id)] + [f"{self.path}/base={base}"] * (base >= 0)
+        read = self.spark.read.schema(ARR.CARRY_SCHEMA)
+        return ARR.latest(read.parquet(*parts)) if parts else self.spark.createDataFrame([], ARR.CARRY_SCHEMA)
+
+    def save(self, batch_id: int, states: DataFrame) -> None:
+        states.write.mode("overwrite").parquet(f"{self.path}/delta={batch_id}")
+        if (batch_id + 1) % COMPACT == 0:
+            own = self.spark.read.schema(ARR.CARRY_SCHEMA).parquet(f"{self.path}/delta={batch_id}")
+            ARR.latest(self.before(batch_id).unionByName(own)).write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
+        elif batch_id % COMPACT == 0 and batch_id:
+            base = self._base(batch_id)
+            for old in [f"delta={b}" for b in range(base + 1 - COMPACT, base + 1)] + [f"base={base - COMPACT}"]:
+                fs, folder = _file_system(self.spark, f"{self.path}/{old}")
+                fs.delete(folder, True)
+
+
 def stream_micro_batches_keyed(spark: SparkSession, landing: str, schema: T.StructType, key: str,
                                order_cols, ts_col: str, batch_size: int, gap_seconds: float, out: str,
-                               checkpoint: str, files_per_trigger: int | None = 1) -> DataFrame:
-    """Per-key count-or-idle numbering over a stream with per-key state
-    (``applyInPandasWithState``): the state is the scan's carry (last time,
-    rows, bursts, open burst start, batches before it), so each key resumes
-    exactly where its previous rows stopped. A key's rows of one trigger are
-    one group, bounded by the trigger size (``maxFilesPerTrigger``)."""
-    n = int(batch_size)
-    gap = int(round(gap_seconds * 1_000_000))
-    out_fields = [T.StructField(f.name, f.dataType) for f in schema.fields] + \
-        [T.StructField(k, T.LongType()) for k in ARR.OUT_FIELDS]
-    out_schema = T.StructType(out_fields)
-    state_schema = "last_ts long, pos long, burst long, open_start long, b_open long"
-    cols = [f.name for f in schema.fields]
-
-    def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if len(pdf) == 0:
-            return
-        pdf = pdf.sort_values(list(order_cols), kind="mergesort").reset_index(drop=True)
-        st = None
-        if state.exists:
-            last_ts, pos, burst, open_start, b_open = state.get
-            st = ARR.State("", last_ts, pos, burst, open_start, b_open)
-        one_key = np.full(len(pdf), "", dtype=object)
-        res, new_st, _, _ = ARR._scan(one_key, ARR.micros(pa.Array.from_pandas(pdf[ts_col])), st, n, gap)
-        state.update((new_st.last_ts, new_st.pos, new_st.burst, new_st.open_start, new_st.b_open))
-        outp = pdf[cols].copy()
-        for f in ARR.OUT_FIELDS:
-            outp[f] = res[f].astype(np.int64)
-        yield outp
-
-    src = _reader(spark, landing, schema, files_per_trigger)
-    numbered = src.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout")
+                               checkpoint: str, files_per_trigger: int | None = None,
+                               num_partitions: int | None = None) -> DataFrame:
+    """Per-key count-or-idle numbering over a stream.
+
+    Each micro-batch is numbered by the distributed scan, whose ranges also
+    hold a row per key with the state its earlier rows left (``CarryLog``). A
+    key with most of the rows is split over many ranges; values never pass
+    through pandas, so long columns with nulls stay exact. Each micro-batch's
+    rows and states go to folders named by its id, so a replay rewrites them."""
+    log = CarryLog(spark, f"{checkpoint}/numbering-state")
 
     def per_batch(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
+        present = batch.select(ARR.key_text(batch, [key]).alias("key")).distinct()
+        carry = log.before(batch_id).join(present, "key", "left_semi")
+        numbered, states = ARR.continue_arrivals(batch, order_cols, [key], carry, batch_size=batch_size, gap_seconds=gap_seconds,
+                                                 ts_col=ts_col, num_partitions=num_partitions)
+        numbered.write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
+        log.save(batch_id, states)
 
-    _run(numbered.writeStream.outputMode("append").foreachBatch(per_batch), checkpoint)
+    _run(_reader(spark, landing, schema, files_per_trigger).writeStream.foreachBatch(per_batch), checkpoint)
     return spark.read.parquet(out)
