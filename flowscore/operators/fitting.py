@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowscore.operators.prep import q
 
-MAX_LITERAL_CLASSES = 4096
+LITERAL_CLASSES = 4096  # up to so many classes in all, a vocabulary is part of the scoring expression; beyond, a table
 
 
 def scaler_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -55,15 +55,25 @@ def encoder_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return numbered.select("column", "class", (F.col("arrival_pos") - 1).cast("int").alias("code"))
 
 
-def fit_encoders(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Vocabulary per column as literal lists, after checking their size."""
+def fit_encoders(df: DataFrame, columns: Sequence[str], directory: str | None = None) -> dict:
+    """Vocabulary per column, for ``EnsembleBundle.encoders``.
+
+    A column of at most ``LITERAL_CLASSES`` classes is a list; a larger one is
+    the path of its (value, code) table, written under ``directory`` (a shared
+    folder; a scratch one by default). No number of classes is too many, and
+    no large vocabulary reaches the driver."""
+    from flowscore.session import scratch_path
     t = encoder_table(df, columns)
-    n = t.limit(MAX_LITERAL_CLASSES * len(columns) + 1).count()
-    if n > MAX_LITERAL_CLASSES * len(columns):
-        raise ValueError("vocabulary too large for literal encoding; use prep.encode_with_table")
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in t.orderBy("column", "code").collect():
+    size = {r["column"]: r["n"] for r in t.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [c for c in columns if size.get(c, 0) <= LITERAL_CLASSES]
+    out: dict = {c: [] for c in few}
+    for r in t.where(F.col("column").isin(few)).orderBy("column", "code").collect():
         out[r["column"]].append(r["class"])
+    for i, c in enumerate(columns):
+        if c not in few:
+            path = f"{directory.rstrip('/')}/vocabulary-{i}" if directory else scratch_path(df.sparkSession, f"vocabulary-{i}")
+            t.where(F.col("column") == c).select(F.col("class").alias("value"), "code").write.mode("overwrite").parquet(path)
+            out[c] = path
     return out
 
 

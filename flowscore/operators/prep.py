@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowscore.constants import BENIGN_LABEL
-from flowscore.functions import cleaning as C
 from flowscore.functions import sqltext as ST
 from flowscore.sources.bundle import EnsembleBundle
 
@@ -37,22 +36,6 @@ def check_required(columns: Sequence[str], required: Sequence[str]) -> None:
         raise ValueError(f"Missing required columns: {missing}\nThe input must contain at least: {list(required)}")
 
 
-def label_expr(df: DataFrame, label_col: str | None, benign_label: str = BENIGN_LABEL,
-               source: Column | None = None) -> Column | None:
-    """y as an int column, or None when there is no label column.
-
-    Text labels are binarised against ``benign_label``; numeric labels are
-    truncated to int (the type decides, at plan time).
-    """
-    if not label_col or label_col not in df.columns:
-        return None
-    dtype = df.schema[label_col].dataType
-    src = q(label_col) if source is None else source
-    if isinstance(dtype, T.StringType):
-        return C.binarize_label(src, benign_label)
-    return C.numeric_label(src)
-
-
 def required_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Per required feature: present in the input, and how many of its values
     are null / NaN / infinite (0 when absent). One aggregate, partial per task."""
@@ -81,10 +64,39 @@ def required_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def feature_sql(sources: Mapping[str, str], bundle: EnsembleBundle) -> dict[str, str]:
+def with_codes(df: DataFrame, bundle: EnsembleBundle) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with a code column per encoded feature whose vocabulary is a
+    table, and the names of these columns by feature.
+
+    The (value, code) table is read and measured: under the session's broadcast
+    threshold it is broadcast and the rows stay where they are; above it both
+    sides are shuffled on the value, plain exchanges that AQE splits where one
+    value holds most rows. A value is looked up as text, a null one as "nan",
+    and an unknown one gets code 0, as with a literal vocabulary."""
+    spark, names = df.sparkSession, {}
+    for f, vocabulary in sorted((bundle.encoders or {}).items()):
+        if not isinstance(vocabulary, str) or f not in bundle.all_features or f not in df.columns:
+            continue
+        names[f] = f"__code_{len(names)}"
+        df = encode_with_table(df, f, spark.read.parquet(vocabulary), names[f])
+    return df, names
+
+
+def encode_with_table(df: DataFrame, column: str, classes: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``, the code of a column's value in a (value, code) table; see ``with_codes``."""
+    from flowscore.operators.routing import broadcast_limit
+    table = classes.select(F.col("value").alias("__enc_value"), F.col("code").alias("__enc_code"))
+    size = table.agg(F.sum(F.octet_length("__enc_value") + F.lit(64))).first()[0] or 0
+    text = F.coalesce(q(column).cast("string"), F.lit("nan"))
+    joined = df.join(F.broadcast(table) if size <= broadcast_limit(df.sparkSession) else table, text == F.col("__enc_value"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("__enc_code"), F.lit(0)).cast("int")).drop("__enc_value", "__enc_code")
+
+
+def feature_sql(sources: Mapping[str, str], bundle: EnsembleBundle, codes: Mapping[str, str] = {}) -> dict[str, str]:  # noqa: B006
     """Cleaned feature expressions (SQL text) in sorted feature order.
 
-    ``sources`` maps every input column name to the SQL text that reads it.
+    ``sources`` maps every input column name to the SQL text that reads it,
+    ``codes`` encoded features to the code column that ``with_codes`` has added.
     Order: inf -> missing, categorical encoding, cast to double, missing -> 0,
     then scaling.
     """
@@ -95,7 +107,9 @@ def feature_sql(sources: Mapping[str, str], bundle: EnsembleBundle) -> dict[str,
     out = {}
     for f in feats:
         x = sources[f]
-        if f in encoders:
+        if f in codes:
+            x = ST.ident(codes[f])
+        elif f in encoders:
             x = ST.encode(x, encoders[f])
         else:
             x = ST.clean_inf(x)
@@ -107,28 +121,13 @@ def feature_sql(sources: Mapping[str, str], bundle: EnsembleBundle) -> dict[str,
     return out
 
 
-def feature_exprs(sources: Mapping[str, Column], bundle: EnsembleBundle) -> dict[str, Column]:
-    """Column form of :func:`feature_sql` for callers holding Columns."""
-    feats = bundle.all_features
-    check_required(list(sources), feats)
-    encoders = bundle.encoders or {}
-    scaler = bundle.scaler or {}
-    out = {}
-    for f in feats:
-        c = C.clean_inf(sources[f]) if f not in encoders else sources[f]
-        if f in encoders:
-            c = C.encode_categorical(c, encoders[f])
-        c = C.fill_missing(C.to_feature(c))
-        if f in scaler:
-            mean, scale = scaler[f]
-            c = C.standard_scale(c, mean, scale)
-        out[f] = c
-    return out
-
-
 def label_sql(df: DataFrame, label_col: str | None, benign_label: str = BENIGN_LABEL,
               source: str | None = None) -> str | None:
-    """SQL-text twin of :func:`label_expr`."""
+    """y as SQL text, or None when there is no label column.
+
+    Text labels are binarised against ``benign_label``; numeric labels are
+    truncated to int (the type decides, at plan time).
+    """
     if not label_col or label_col not in df.columns:
         return None
     src = ST.ident(label_col) if source is None else source
@@ -146,18 +145,10 @@ def preprocess(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = No
     benign_label = bundle.benign_label if benign_label is None else benign_label
     y = label_sql(df, label_col, benign_label)
     sources = {c: ST.ident(c) for c in df.columns if c != label_col}
-    feats = feature_sql(sources, bundle)
+    df, codes = with_codes(df, bundle)
+    feats = feature_sql(sources, bundle, codes)
     cols = [ST.ident(k) for k in keep]
     if y is not None:
         cols.append(f"{y} AS y")
     cols += [f"{x} AS {ST.ident(f)}" for f, x in feats.items()]
     return df.selectExpr(*cols)
-
-
-def encode_with_table(df: DataFrame, column: str, classes: DataFrame, out: str) -> DataFrame:
-    """Large-vocabulary encoding: left join on the string value against a
-    (value, code) table; unseen -> 0. Spark broadcasts the table only when its
-    measured size is under the broadcast threshold (AQE), else shuffles."""
-    keyed = df.withColumn("__enc_key", F.coalesce(q(column).cast("string"), F.lit("nan")))
-    joined = keyed.join(classes.withColumnRenamed("value", "__enc_key"), on="__enc_key", how="left")
-    return joined.withColumn(out, F.coalesce(F.col("code"), F.lit(0)).cast("int")).drop("__enc_key", "code")

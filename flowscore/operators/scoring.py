@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from flowscore.constants import MODES
 from flowscore.functions import sqltext as ST
 from flowscore.functions.routing import mode_for_rate
-from flowscore.operators.prep import feature_sql, label_sql, q, trim_columns
+from flowscore.operators.prep import feature_sql, label_sql, q, trim_columns, with_codes
 from flowscore.sources.bundle import EnsembleBundle
 
 def _member_prob(bundle: EnsembleBundle, name: str, calibrated: bool) -> str:
@@ -56,7 +56,8 @@ def verdicts(df: DataFrame, bundle: EnsembleBundle, label_col: str | None = None
 
     y = label_sql(df, label_col, benign_label, source=src.get(label_col or ""))
     feat_src = {k: v for k, v in src.items() if k != label_col}
-    feats = feature_sql(feat_src, bundle)
+    df, codes = with_codes(df, bundle)
+    feats = feature_sql(feat_src, bundle, codes)
     step = df.selectExpr(*[f"{ST.ident(n)} AS {h}" for n, h in zip(names, hidden)],
                          *([f"{y} AS _y"] if y is not None else []),
                          *[f"{x} AS {ST.ident(f)}" for f, x in feats.items()])

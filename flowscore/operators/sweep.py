@@ -1,30 +1,29 @@
-"""Vote-threshold sweep: confusion counts for every candidate threshold.
+"""Threshold sweeps: what every candidate threshold would give.
 
-The vote data takes at most 2^members distinct values, so the reduction
-(group by vote value and label) leaves a tiny table; the cumulative sums
-over candidate thresholds run on that table only.
+Rows are reduced to one row per distinct value by a grouped count (partial in
+every task); the running counts over the values come from range totals, so any
+number of distinct values, up to one per row, is swept exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscore.operators.ranges import totals_before
 
-def threshold_sweep(v: DataFrame, vd_col: str, y_col: str = "_y") -> DataFrame:
-    """For each distinct vote value t: rows with VD >= t predicted malicious;
-    tp, fp, fn, tn and accuracy at that threshold."""
+
+def threshold_sweep(v: DataFrame, vd_col: str, y_col: str = "_y", num_partitions: int | None = None) -> DataFrame:
+    """For each distinct value t of a score (vote data, or any other number):
+    rows with a score >= t are predicted malicious; tp, fp, fn, tn and
+    accuracy at that threshold. A null score is never predicted malicious and
+    is no threshold; NaN is above all numbers."""
     g = v.groupBy(F.col(vd_col).alias("threshold")).agg(
         F.count_if(F.col(y_col) == 1).alias("pos"), F.count_if(F.col(y_col) == 0).alias("neg"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = g.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                 F.sum("pos").over(tot).alias("P"), F.sum("neg").over(tot).alias("N"))
-    return s.select("threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
-                    (F.col("P") - F.col("tp")).cast("bigint").alias("fn"),
-                    (F.col("N") - F.col("fp")).cast("bigint").alias("tn"),
-                    ((F.col("tp") + F.col("N") - F.col("fp")).cast("double")
-                     / (F.col("P") + F.col("N")).cast("double")).alias("accuracy"))
+    s = totals_before(g, "threshold", ["pos", "neg"], num_partitions).where(F.col("threshold").isNotNull())  # nulls sort first
+    tp, fp = F.col("pos_total") - F.col("pos_before"), F.col("neg_total") - F.col("neg_before")
+    return s.select("threshold", tp.alias("tp"), fp.alias("fp"), F.col("pos_before").alias("fn"), F.col("neg_before").alias("tn"),
+                    ((tp + F.col("neg_before")).cast("double") / (F.col("pos_total") + F.col("neg_total")).cast("double")).alias("accuracy"))
 
 
 # Fixed value: penalty per unit of warning rate (declared by the reference, never read there).
@@ -32,22 +31,19 @@ WARNING_PENALTY = 0.05
 
 
 def disagreement_sweep(v: DataFrame, mode: str = "FDM", y_col: str = "_y", penalty: float = WARNING_PENALTY,
-                       decimals: int = 2) -> DataFrame:
-    """Candidate disagreement thresholds (the row std rounded to ``decimals``):
-    for each, the warning rate, the confident accuracy of the rows left and
-    the score ``confident_accuracy - penalty * warning_rate``. One grouped
-    count by (std bin, correct), then running sums over the few bins."""
-    std_bin = F.bround(F.col(f"_std_{mode}"), decimals)
+                       decimals: int | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Candidate disagreement thresholds t, each distinct std of the members
+    (with ``decimals``: rounded to a grid). A row warns when its std >= t, as in
+    scoring; for each t the number of confident rows, the warning rate, the
+    accuracy of the confident rows (0 without any) and the score
+    ``confident_accuracy - penalty * warning_rate``."""
+    std: Column = F.col(f"_std_{mode}")
     pred = F.when(F.col(f"_mean_{mode}") >= 0.5, 1).otherwise(0)
-    g = v.groupBy(std_bin.alias("threshold")).agg(
+    g = v.groupBy((std if decimals is None else F.bround(std, decimals)).alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(pred == F.col(y_col)).alias("ok"))
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    tot = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = g.select("threshold", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("conf_n"),
-                 F.coalesce(F.sum("ok").over(below), F.lit(0)).alias("conf_ok"), F.sum("n").over(tot).alias("total"))
-    conf_acc = F.when(F.col("conf_n") > 0, F.col("conf_ok").cast("double") / F.col("conf_n").cast("double")) \
-        .otherwise(F.lit(0.0))
-    warn = (F.col("total") - F.col("conf_n")).cast("double") / F.col("total").cast("double")
-    return s.select("threshold", F.col("conf_n").cast("bigint").alias("n_confident"),
-                    F.bround(warn, 9).alias("warning_rate"), F.bround(conf_acc, 9).alias("confident_accuracy"),
-                    F.bround(conf_acc - F.lit(penalty) * warn, 9).alias("score"))
+    s = totals_before(g, "threshold", ["n", "ok"], num_partitions)
+    sure = F.col("n_before")
+    right = F.when(sure > 0, F.col("ok_before").cast("double") / sure.cast("double")).otherwise(F.lit(0.0))
+    warn = (F.col("n_total") - sure).cast("double") / F.col("n_total").cast("double")
+    return s.select("threshold", sure.alias("n_confident"), F.bround(warn, 9).alias("warning_rate"),
+                    F.bround(right, 9).alias("confident_accuracy"), F.bround(right - F.lit(penalty) * warn, 9).alias("score"))
