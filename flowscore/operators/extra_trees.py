@@ -1,246 +1,263 @@
-"""Extremely randomised trees fitted level by level on Spark.
-
-Per level, two passes over the training rows (``mapInPandas``): each Arrow
-batch routes its rows through every tree with numpy and emits statistics
-already aggregated per (tree, node[, candidate, side]) -- so the shuffle
-carries at most trees x open nodes x candidates rows per batch, whatever
-the row count or the skew. Spark combines them with a grouped aggregate and
-the small per-node table goes to the driver, which draws the random split
-candidates (seeded per tree and node, uniform threshold between the node's
-minimum and maximum of the feature, like extra-trees) and keeps the best
-Gini split. No bootstrap: every tree sees every training row.
-
-Scoring routes rows through the fitted node arrays inside a scalar
-``pandas_udf`` (vectorised per Arrow batch); the arrays are bounded by
-trees x 2^(depth+1) nodes.
+"""Extremely randomised trees, grown level by level until their leaves are pure.
+
+A forest is a sparse node table: nodes are numbered as they are made, over all
+trees, and only nodes that exist have a row (split feature and threshold, the
+two children, the class-1 share). Each level's new nodes are the frontier, a
+contiguous range of numbers; nothing is kept or sent for depths a tree does not
+reach, so there is no depth limit by default.
+
+Per level, two passes over the training rows (``mapInArrow``): each Arrow
+batch routes its rows through the node table with numpy and emits statistics
+already aggregated per frontier node -- class counts and feature ranges, then
+class counts per split candidate and side -- so the shuffle carries at most a
+row per frontier node and batch, whatever the skew. Spark combines them; the
+driver draws each node's candidates (features that still vary in the node, a
+uniform threshold between their smallest and largest value, both hashed from
+seed, tree and node) and keeps the best weighted Gini split. No bootstrap:
+every tree sees every row. The driver and the tasks hold the node table, i.e.
+the model, and the frontier's statistics; both grow with the model, not with
+the rows.
+
+Scoring routes rows through the node table inside a scalar ``pandas_udf``
+(vectorised per Arrow batch); the table is a broadcast variable.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from flowscore.operators.prep import q
 
+CHUNK_ROWS = 2048  # rows that are routed through all trees at once
+
 
 @dataclass
 class Forest:
+    """Node table; node ``t`` < ``trees`` is the root of tree t."""
+
     features: list[str]
-    feat: np.ndarray  # (trees, nodes) split feature, -1 when leaf / unused
-    thr: np.ndarray  # (trees, nodes) threshold: x > thr goes right
-    value: np.ndarray  # (trees, nodes) class-1 share at leaves
-    depth: int
+    trees: int
+    feat: np.ndarray  # split feature, -1 at a leaf
+    thr: np.ndarray  # x > thr goes right
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray  # class-1 share of the training weight in the node
 
     def to_dict(self) -> dict:
-        return {"features": self.features, "feat": self.feat.tolist(), "thr": self.thr.tolist(),
-                "value": self.value.tolist(), "depth": self.depth}
-
-
-def _route(X: np.ndarray, feat: np.ndarray, thr: np.ndarray, depth: int) -> np.ndarray:
-    """Node (heap numbering, root 1) of every row in every tree: (trees, rows)."""
-    t_count = feat.shape[0]
-    n = X.shape[0]
-    node = np.ones((t_count, n), dtype=np.int64)
-    rows = np.arange(n)
-    for _ in range(depth):
-        f = np.take_along_axis(feat, node, axis=1)
-        split = f >= 0
-        if not split.any():
-            break
-        th = np.take_along_axis(thr, node, axis=1)
-        xv = X[rows[None, :], np.maximum(f, 0)]
-        node = np.where(split, 2 * node + (xv > th), node)
-    return node
-
-
-def _level_nodes(level: int) -> tuple[int, int]:
-    return 1 << level, 1 << (level + 1)
-
-
-def _stats_pass(features, label, arrays_bc, depth, level):
-    fcount = len(features)
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = _level_nodes(level)
-        feat, thr, open_mask = arrays_bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = pdf[features].to_numpy(dtype=np.float64)
-            y = pdf[label].to_numpy(dtype=np.int64)
-            node = _route(X, feat, thr, level)
-            t_idx, r_idx = np.nonzero((node >= lo) & (node < hi) & open_mask[np.arange(feat.shape[0])[:, None], node])
-            if len(t_idx) == 0:
+        return {"features": self.features, "trees": self.trees, **{c: getattr(self, c).tolist() for c in ARRAYS}}
+
+    @property
+    def depth(self) -> int:
+        """Splits on the longest way from a root to a leaf."""
+        at, d = np.arange(self.trees), 0
+        while True:
+            at = at[self.feat[at] >= 0]
+            if not len(at):
+                return d
+            at, d = np.concatenate([self.left[at], self.right[at]]), d + 1
+
+
+ARRAYS = {"feat": np.int32, "thr": np.float64, "left": np.int32, "right": np.int32, "value": np.float64}
+
+
+def _route(X: np.ndarray, trees: int, feat, thr, left, right) -> np.ndarray:
+    """Last node that every row reaches in every tree: (trees, rows)."""
+    n = len(X)
+    node = np.repeat(np.arange(trees, dtype=np.int64), n)
+    row = np.tile(np.arange(n), trees)
+    live = np.flatnonzero(feat[node] >= 0)
+    while len(live):  # only the pairs that still move
+        at = node[live]
+        right_side = X[row[live], feat[at]] > thr[at]
+        at = np.where(right_side, right[at], left[at])
+        node[live] = at
+        live = live[feat[at] >= 0]
+    return node.reshape(trees, n)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], features, label, weight):
+    for b in batches:
+        for lo in range(0, b.num_rows, CHUNK_ROWS):
+            s = b.slice(lo, CHUNK_ROWS)
+            X = np.column_stack([s.column(f).to_numpy(zero_copy_only=False) for f in features])
+            yield X, s.column(label).to_numpy(zero_copy_only=False), s.column(weight).to_numpy(zero_copy_only=False)
+
+
+def _frontier(X, table, start):
+    """(node, row) pairs of the rows that stand in a frontier node, in node order."""
+    node = _route(X, *table)
+    flat = np.flatnonzero(node.ravel() >= start)
+    flat = flat[np.argsort(node.ravel()[flat], kind="stable")]
+    return node.ravel()[flat], flat % len(X)
+
+
+def _ranges(features, label, weight, shared, start):
+    """Per frontier node: weight, class-1 weight, rows of both kinds, smallest and largest value of each feature."""
+    k = len(features)
+
+    def fn(batches):
+        for X, y, w in _chunks(batches, features, label, weight):
+            node, row = _frontier(X, shared.value, start)
+            if not len(node):
                 continue
-            d = pd.DataFrame({"tree": t_idx, "node": node[t_idx, r_idx], "n": 1, "n1": y[r_idx]})
-            for j in range(fcount):
-                d[f"mn{j}"] = X[r_idx, j]
-                d[f"mx{j}"] = X[r_idx, j]
-            agg = {"n": "sum", "n1": "sum", **{f"mn{j}": "min" for j in range(fcount)},
-                   **{f"mx{j}": "max" for j in range(fcount)}}
-            yield d.groupby(["tree", "node"], as_index=False).agg(agg)
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            x, ones = X[row], (y[row] == 1).astype(np.float64)
+            cols = [node[first], np.add.reduceat(w[row], first), np.add.reduceat(w[row] * ones, first),
+                    np.diff(np.append(first, len(node))), np.add.reduceat(ones, first).astype(np.int64)]
+            lo, hi = np.minimum.reduceat(x, first, axis=0), np.maximum.reduceat(x, first, axis=0)
+            cols += [lo[:, j] for j in range(k)] + [hi[:, j] for j in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols],
+                                             names=["node", "w", "w1", "n", "n1", *[f"mn{j}" for j in range(k)], *[f"mx{j}" for j in range(k)]])
     return fn
 
 
-def _split_pass(features, label, arrays_bc, level):
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = _level_nodes(level)
-        feat, thr, cand_f, cand_t = arrays_bc.value
-        k = cand_f.shape[2]
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = pdf[features].to_numpy(dtype=np.float64)
-            y = pdf[label].to_numpy(dtype=np.int64)
-            node = _route(X, feat, thr, level)
-            tt = np.arange(feat.shape[0])[:, None]
-            inlevel = (node >= lo) & (node < hi)
-            nodec = np.where(inlevel, node, 0)
-            has = inlevel & (cand_f[tt, nodec, 0] >= 0)
-            t_idx, r_idx = np.nonzero(has)
-            if len(t_idx) == 0:
-                continue
-            nd = node[t_idx, r_idx]
-            parts = []
-            for c in range(k):
-                f = cand_f[t_idx, nd, c]
-                ok = f >= 0
-                side = (X[r_idx[ok], f[ok]] > cand_t[t_idx[ok], nd[ok], c]).astype(np.int64)
-                parts.append(pd.DataFrame({"tree": t_idx[ok], "node": nd[ok], "cand": c, "side": side,
-                                           "y": y[r_idx[ok]], "n": 1}))
-            d = pd.concat(parts, ignore_index=True)
-            yield d.groupby(["tree", "node", "cand", "side", "y"], as_index=False)["n"].sum()
+def _sides(features, label, weight, shared, start):
+    """Per frontier node, candidate, side and class: the weight that goes there."""
+    def fn(batches):
+        *table, cand_f, cand_t = shared.value
+        tries = cand_f.shape[1]
+        for X, y, w in _chunks(batches, features, label, weight):
+            node, row = _frontier(X, table, start)
+            slot = node - start
+            codes, weights = [], []
+            for c in range(tries):
+                f = cand_f[slot, c]
+                ok = np.flatnonzero(f >= 0)
+                right = X[row[ok], f[ok]] > cand_t[slot[ok], c]
+                codes.append(((slot[ok] * tries + c) * 2 + right) * 2 + (y[row[ok]] == 1))
+                weights.append(w[row[ok]])
+            code, at = np.unique(np.concatenate(codes), return_inverse=True)
+            if len(code):
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(at, np.concatenate(weights)))], names=["code", "w"])
     return fn
 
 
-def _gini(n1, n):
-    p = n1 / n if n else 0.0
-    return 2.0 * p * (1.0 - p)
+def _uniform(seed: int, draw: int, tree: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """(nodes, k) numbers in [0, 1), the same for a node whatever else is drawn."""
+    x = (tree.astype(np.uint64)[:, None] << np.uint64(40)) ^ (node.astype(np.uint64)[:, None] << np.uint64(8)) ^ np.arange(k, dtype=np.uint64)
+    x = x ^ np.uint64((seed * 1_000_003 + draw * 7_919) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+    x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
 def fit_extra_trees(train: DataFrame, features: Sequence[str], label: str = "y", n_estimators: int = 100,
-                    max_depth: int = 8, min_samples_split: int = 2, max_features: int | None = None,
-                    seed: int = 42) -> Forest:
+                    max_depth: int | None = None, min_samples_split: int = 2, max_features: int | None = None,
+                    seed: int = 42, weight_col: str | None = None) -> Forest:
+    """Fit on cleaned features. A node becomes a leaf when it is pure, has fewer
+    than ``min_samples_split`` rows, when no feature varies in it, or at
+    ``max_depth`` (None: no limit). ``max_features``: candidates per node, the
+    root of the number of features by default."""
     features = list(features)
-    fcount = len(features)
-    mtry = max_features or max(1, int(math.sqrt(fcount)))
-    size = 1 << (max_depth + 1)
-    feat = np.full((n_estimators, size), -1, dtype=np.int64)
-    thr = np.zeros((n_estimators, size), dtype=np.float64)
-    value = np.zeros((n_estimators, size), dtype=np.float64)
-    open_mask = np.zeros((n_estimators, size), dtype=bool)
-    open_mask[:, 1] = True
-    data = train.select(*[q(f).cast("double").alias(f) for f in features], q(label).cast("long").alias(label))
-    data = data.persist()
+    k = len(features)
+    tries = max_features or max(1, int(math.sqrt(k)))
+    data = train.select(*[q(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], q(label).cast("long").alias("y"),
+                        (q(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"))
+    par = train.sparkSession.sparkContext.defaultParallelism
+    # every level reads the rows twice: a scan of few splits is spread once
+    data = (data.repartition(par) if data.rdd.getNumPartitions() < par else data).persist()
+    cols = [f"x{i}" for i in range(k)]
     sc = train.sparkSession.sparkContext
-    stats_schema = ("tree long, node long, n long, n1 long, "
-                    + ", ".join(f"mn{j} double" for j in range(fcount)) + ", "
-                    + ", ".join(f"mx{j} double" for j in range(fcount)))
+    tree = np.arange(n_estimators)  # of each node
+    table = {c: np.full(n_estimators, -1 if c in ("feat", "left", "right") else 0, t) for c, t in ARRAYS.items()}
+    start, level = 0, 0
+    schema = "node long, w double, w1 double, n long, n1 long, " + ", ".join(f"{m}{j} double" for m in ("mn", "mx") for j in range(k))
     try:
-        for level in range(max_depth + 1):
-            if not open_mask.any():
+        while start < len(tree):
+            now = [n_estimators, *(table[c].copy() for c in ("feat", "thr", "left", "right"))]
+            shared = sc.broadcast(now)
+            got = data.mapInArrow(_ranges(cols, "y", "w", shared, start), schema).groupBy("node").agg(
+                *[F.sum(c).alias(c) for c in ("w", "w1", "n", "n1")], *[F.min(f"mn{j}").alias(f"mn{j}") for j in range(k)],
+                *[F.max(f"mx{j}").alias(f"mx{j}") for j in range(k)]).toArrow()
+            shared.unpersist()
+            got = got.sort_by("node")  # children are numbered in this order
+            stat = {c: got[c].to_numpy() for c in got.column_names}
+            node = stat["node"]
+            table["value"][node] = np.divide(stat["w1"], stat["w"], out=np.zeros(len(node)), where=stat["w"] > 0)
+            lo, hi = (np.column_stack([stat[f"{m}{j}"] for j in range(k)]) for m in ("mn", "mx"))
+            varies = hi > lo
+            split = (stat["n1"] > 0) & (stat["n1"] < stat["n"]) & (stat["n"] >= min_samples_split) & varies.any(1)
+            if max_depth is not None and level >= max_depth:
+                split[:] = False
+            if not split.any():
                 break
-            # node arrays go to executors once per level as a broadcast, not inside every task
-            bc = sc.broadcast((feat.copy(), thr.copy(), open_mask.copy()))
-            stats = data.mapInPandas(_stats_pass(features, label, bc, max_depth, level), stats_schema)
-            stats = stats.groupBy("tree", "node").agg(
-                F.sum("n").alias("n"), F.sum("n1").alias("n1"),
-                *[F.min(f"mn{j}").alias(f"mn{j}") for j in range(fcount)],
-                *[F.max(f"mx{j}").alias(f"mx{j}") for j in range(fcount)]).collect()
-            cand_f = np.full((n_estimators, size, mtry), -1, dtype=np.int64)
-            cand_t = np.zeros((n_estimators, size, mtry), dtype=np.float64)
-            node_counts = {}
-            any_cand = False
-            for r in stats:
-                t, nd, n, n1 = r["tree"], r["node"], r["n"], r["n1"]
-                value[t, nd] = n1 / n
-                open_mask[t, nd] = False
-                node_counts[(t, nd)] = (n, n1)
-                if level == max_depth or n < min_samples_split or n1 == 0 or n1 == n:
-                    continue
-                rng = np.random.default_rng([seed, t, nd])
-                usable = [j for j in range(fcount) if r[f"mx{j}"] > r[f"mn{j}"]]
-                if not usable:
-                    continue
-                picks = rng.permutation(usable)[:mtry]
-                for c, j in enumerate(picks):
-                    lo_, hi_ = r[f"mn{j}"], r[f"mx{j}"]
-                    cand_f[t, nd, c] = j
-                    cand_t[t, nd, c] = lo_ + rng.uniform() * (hi_ - lo_)
-                any_cand = True
-            if not any_cand:
-                break
-            bc2 = sc.broadcast((feat.copy(), thr.copy(), cand_f, cand_t))
-            counts = data.mapInPandas(_split_pass(features, label, bc2, level),
-                                      "tree long, node long, cand int, side long, y long, n long")
-            counts = counts.groupBy("tree", "node", "cand", "side", "y").agg(F.sum("n").alias("n")).collect()
-            bc.unpersist()
-            bc2.unpersist()
-            tab: dict = {}
-            for r in counts:
-                tab.setdefault((r["tree"], r["node"], r["cand"]), np.zeros((2, 2)))[r["side"], r["y"]] += r["n"]
-            best: dict = {}
-            for (t, nd, c), m in tab.items():
-                n_l, n_r = m[0].sum(), m[1].sum()
-                if n_l == 0 or n_r == 0:
-                    continue
-                score = n_l * _gini(m[0, 1], n_l) + n_r * _gini(m[1, 1], n_r)
-                if (t, nd) not in best or score < best[(t, nd)][0]:
-                    best[(t, nd)] = (score, c)
-            for (t, nd), (_, c) in best.items():
-                feat[t, nd] = cand_f[t, nd, c]
-                thr[t, nd] = cand_t[t, nd, c]
-                open_mask[t, 2 * nd] = True
-                open_mask[t, 2 * nd + 1] = True
+            node, lo, hi, varies = node[split], lo[split], hi[split], varies[split]
+            order = np.argsort(np.where(varies, _uniform(seed, 0, tree[node], node, k), 2.0), axis=1, kind="stable")[:, :tries]
+            width = np.take_along_axis(hi - lo, order, 1)
+            cut = np.take_along_axis(lo, order, 1) + _uniform(seed, 1, tree[node], node, k)[:, :order.shape[1]] * width
+            cut = np.minimum(cut, np.nextafter(np.take_along_axis(hi, order, 1), -np.inf))  # the largest value goes right
+            cand_f = np.full((len(tree) - start, order.shape[1]), -1, np.int64)
+            cand_t = np.zeros(cand_f.shape)
+            cand_f[node - start] = np.where(np.take_along_axis(varies, order, 1), order, -1)
+            cand_t[node - start] = cut
+            shared = sc.broadcast([*now, cand_f, cand_t])
+            got = data.mapInArrow(_sides(cols, "y", "w", shared, start), "code long, w double").groupBy("code").agg(F.sum("w").alias("w")).toArrow()
+            shared.unpersist()
+            w = np.zeros(cand_f.size * 4)
+            w[got["code"].to_numpy()] = got["w"].to_numpy()
+            w = w.reshape(*cand_f.shape, 2, 2)  # slot, candidate, side, class
+            side = w.sum(3)
+            gini = np.divide(2 * w[..., 0] * w[..., 1], side, out=np.zeros(side.shape), where=side > 0).sum(2)
+            gini[cand_f < 0] = np.inf
+            best = gini[node - start].argmin(1)
+            made = len(tree) + 2 * np.arange(len(node))
+            table["feat"][node], table["thr"][node] = cand_f[node - start, best], cand_t[node - start, best]
+            table["left"][node], table["right"][node] = made, made + 1
+            start, level = len(tree), level + 1
+            tree = np.append(tree, np.repeat(tree[node], 2))
+            for c in table:
+                table[c] = np.append(table[c], np.full(2 * len(node), -1 if c in ("feat", "left", "right") else 0, ARRAYS[c]))
     finally:
         data.unpersist()
-    return Forest(features, feat, thr, value, max_depth)
+    return Forest(features, n_estimators, **table)
 
 
 def save_forest(spark, forest: Forest, path: str) -> None:
     """One JSON row through Spark's writer (works on any shared file system)."""
-    import json
     spark.createDataFrame([(json.dumps(forest.to_dict()),)], "forest string").coalesce(1) \
         .write.mode("overwrite").json(path)
 
 
 def load_forest(spark, path: str) -> Forest:
-    import json
     d = json.loads(spark.read.schema("forest string").json(path).first()["forest"])
-    return Forest(d["features"], np.array(d["feat"], dtype=np.int64), np.array(d["thr"], dtype=np.float64),
-                  np.array(d["value"], dtype=np.float64), int(d["depth"]))
+    return Forest(d["features"], int(d["trees"]), **{c: np.array(d[c], dtype=t) for c, t in ARRAYS.items()})
 
 
 def forest_probability(forest: Forest, cols: Sequence[Column | str] | None = None, only: Column | None = None) -> Column:
     """Class-1 probability: mean of the trees' leaf shares (Arrow-batched).
-    The node arrays are a broadcast variable (fetched once per executor).
+    The node table is a broadcast variable (fetched once per executor).
     With ``only``, rows where it is not true are not routed and give null."""
     from pyspark.sql import SparkSession
-    bc = SparkSession.getActiveSession().sparkContext.broadcast((forest.feat, forest.thr, forest.value))
-    depth = forest.depth
+    bc = SparkSession.getActiveSession().sparkContext.broadcast(
+        (forest.trees, forest.feat, forest.thr, forest.left, forest.right, forest.value))
+
+    def score(X: np.ndarray) -> np.ndarray:
+        *table, value = bc.value
+        out = np.empty(len(X))
+        for lo in range(0, len(X), CHUNK_ROWS):
+            out[lo: lo + CHUNK_ROWS] = value[_route(X[lo: lo + CHUNK_ROWS], *table)].mean(axis=0)
+        return out
 
     @pandas_udf("double")
     def _score(*xs: pd.Series) -> pd.Series:
-        feat, thr, value = bc.value
-        X = np.column_stack([x.to_numpy(dtype=np.float64) for x in xs])
-        node = _route(X, feat, thr, depth)
-        leaf = np.take_along_axis(value, node, axis=1)
-        return pd.Series(leaf.mean(axis=0))
+        return pd.Series(score(np.column_stack([x.to_numpy(dtype=np.float64) for x in xs])))
 
     @pandas_udf("double")
     def _score_open(still: pd.Series, *xs: pd.Series) -> pd.Series:
-        feat, thr, value = bc.value
         rows = np.flatnonzero(still.to_numpy(dtype=bool))
         X = np.column_stack([x.to_numpy(dtype=np.float64)[rows] for x in xs])
-        leaf = np.take_along_axis(value, _route(X, feat, thr, depth), axis=1)
-        return pd.Series(leaf.mean(axis=0), index=rows).reindex(range(len(still)))
+        return pd.Series(score(X), index=rows).reindex(range(len(still)))
 
     cols = [q(c) if isinstance(c, str) else c for c in cols or [q(f) for f in forest.features]]
     return _score(*cols) if only is None else _score_open(F.coalesce(only, F.lit(False)), *cols)

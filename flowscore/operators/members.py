@@ -2,13 +2,14 @@
 
 * random forest, gradient-boosted trees and bagging (a forest that sees
   every feature at every split) are ``pyspark.ml`` estimators;
-* AdaBoost over decision stumps is written here: each round is ONE grouped
-  aggregate of (feature, bin) -> weighted class sums (partially aggregated
-  per task, so the shuffle holds a few hundred rows per task), the best
-  stump is picked from that small table, and the row weights are updated
-  as a column expression. The lineage is cut with ``checkpoint()`` every
-  few rounds. The fitted model is a SQL expression, i.e. an expression
-  member that scores inside whole-stage codegen.
+* AdaBoost over decision stumps is written here: one pass turns the rows into
+  weighted cells (bins of all features, label), and each round is ONE grouped
+  aggregate of (feature, bin) -> weighted class sums over the cells; the best
+  stump is picked from that small table. The lineage is cut with
+  ``checkpoint()`` every few rounds. The fitted model is a SQL expression, i.e.
+  an expression member that scores inside whole-stage codegen;
+* calibration maps a member's score by logistic regression or by isotonic
+  regression, fitted on out-of-fold scores.
 
 Fitted models are members of a bundle: Spark ML ones are saved with
 ``save()`` and scored through :func:`add_ml_probabilities`.
@@ -41,28 +42,30 @@ def _assembler(features: Sequence[str], out: str = "features") -> VectorAssemble
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
+def _weighted(estimator, weight_col: str | None):
+    return estimator.setWeightCol(weight_col) if weight_col else estimator
+
+
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str = "y", num_trees: int = 100,
                       max_depth: int = 8, seed: int = 42, weight_col: str | None = None) -> PipelineModel:
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 seed=seed)
-    if weight_col:
-        rf.setWeightCol(weight_col)
-    return Pipeline(stages=[_assembler(features), rf]).fit(train)
+    return Pipeline(stages=[_assembler(features), _weighted(rf, weight_col)]).fit(train)
 
 
 def fit_bagging(train: DataFrame, features: Sequence[str], label: str = "y", num_trees: int = 100,
-                max_depth: int = 8, seed: int = 42) -> PipelineModel:
+                max_depth: int = 8, seed: int = 42, weight_col: str | None = None) -> PipelineModel:
     """Bagged trees: bootstrap samples, every feature considered at every split."""
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 seed=seed, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
-    return Pipeline(stages=[_assembler(features), rf]).fit(train)
+    return Pipeline(stages=[_assembler(features), _weighted(rf, weight_col)]).fit(train)
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str = "y", max_iter: int = 100, max_depth: int = 3,
-            step_size: float = 0.1, seed: int = 42) -> PipelineModel:
+            step_size: float = 0.1, seed: int = 42, weight_col: str | None = None) -> PipelineModel:
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, seed=seed)
-    return Pipeline(stages=[_assembler(features), gbt]).fit(train)
+    return Pipeline(stages=[_assembler(features), _weighted(gbt, weight_col)]).fit(train)
 
 
 def ml_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
@@ -88,16 +91,34 @@ def add_ml_probabilities(df: DataFrame, bundle: EnsembleBundle, names: Sequence[
 
 # ------------------------------------------------------------------ AdaBoost
 
-def _edges(train: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """Candidate thresholds: approximate quantiles per feature (one pass)."""
-    probs = [i / bins for i in range(1, bins)]
-    qs = train.approxQuantile(list(features), probs, 0.001)
-    return {f: sorted(set(float(v) for v in qv)) for f, qv in zip(features, qs)}
-
-
-def _bin_expr(f: str, edges: list[float]):
-    """Number of edges <= x: the stump 'x >= edges[k]' is true iff bin > k."""
-    return sum((F.when(q(f) >= F.lit(e), F.lit(1)).otherwise(F.lit(0)) for e in edges), F.lit(0))
+def _cuts(train: DataFrame, features: Sequence[str], max_cuts: int) -> dict[str, list[float]]:
+    """Candidate thresholds of each feature: all its distinct values if there
+    are at most ``max_cuts`` of them (then no better stump exists), else that
+    many approximate quantiles. The lowest value cuts nothing off and is left out."""
+    rough = train.agg(*[F.approx_count_distinct(q(f), 0.02).alias(f"n{i}") for i, f in enumerate(features)]).first()
+    few = [f for i, f in enumerate(features) if rough[f"n{i}"] <= 1.1 * max_cuts]
+    out = {f: [] for f in features}
+    if few:
+        pairs = F.inline(F.array(*[F.struct(F.lit(f).alias("f"), q(f).cast("double").alias("v")) for f in few]))
+        values = train.select(pairs).distinct()  # about max_cuts rows a feature
+        for r in values.where(F.col("v").isNotNull()).groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
+            out[r["f"]] = [float(v) for v in r["v"]]
+    many = [f for f in features if f not in few or len(out[f]) > max_cuts + 1]
+    if many:
+        at = [i / max_cuts for i in range(max_cuts)]
+        for f, values in zip(many, train.approxQuantile(many, at, 0.2 / max_cuts)):
+            out[f] = sorted(set(float(v) for v in values))
+    return {f: v[1:] for f, v in out.items()}
+
+
+def _bin_sql(f: str, cuts: list[float]) -> str:
+    """Number of cuts <= x, by halving: a stump "x >= cuts[k]" is true iff the bin is above k."""
+    def part(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN `{f}` >= {cuts[mid]!r}D THEN {part(mid + 1, hi)} ELSE {part(lo, mid)} END"
+    return part(0, len(cuts))
 
 
 def _stump_sql(f: str, thr: float, polarity: int) -> str:
@@ -105,44 +126,47 @@ def _stump_sql(f: str, thr: float, polarity: int) -> str:
     return f"CASE WHEN `{f}` >= {thr!r} THEN {hi} ELSE {lo} END"
 
 
-def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", rounds: int = 100, bins: int = 32,
-                 learning_rate: float = 1.0, checkpoint_every: int = 10) -> list[dict]:
+def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", rounds: int = 100, max_cuts: int = 255,
+                 learning_rate: float = 1.0, checkpoint_every: int = 10, weight_col: str | None = None) -> list[dict]:
     """Discrete AdaBoost (SAMME, two classes) over decision stumps.
 
-    The binned training table is checkpointed (lineage cut). A row's weight
-    is ``exp(lw - shift)`` with log-weight ``lw = sum_t alpha_t * miss_t``:
-    the stumps of the last ``checkpoint_every`` rounds are a flat expression,
-    older ones are folded into a stored column when the table is
-    re-checkpointed; ``shift`` bounds the largest log-weight (carried from the
-    previous round) so ``exp`` never overflows. Each round is ONE grouped
-    aggregate of (feature, bin) -> weighted class sums.
+    One pass over the rows turns them into weighted cells: rows with the same
+    bin in every feature and the same label behave alike in every round, so
+    they are one cell with the number (or, with ``weight_col``, the total
+    weight) of its rows. All rounds run on the cells. A feature of at most
+    ``max_cuts`` + 1 distinct values is binned by all of them, so its stumps
+    are exact.
+
+    A cell's weight is ``n * exp(lw - shift)`` with ``lw = sum_t alpha_t *
+    miss_t``: the stumps of the last ``checkpoint_every`` rounds are a flat
+    expression, older ones are folded into a stored column; ``shift`` bounds the
+    largest log-weight, so ``exp`` never overflows. Each round is ONE grouped
+    aggregate of (feature, bin) -> weighted class sums. Ties go to the earlier
+    feature, the lower threshold and polarity +1.
 
     Returns the stumps: feature, threshold, polarity (+1: predict 1 when
     x >= threshold) and weight alpha."""
     ensure_checkpoint_dir(train.sparkSession)
-    edges = _edges(train, features, bins)
-    base = train.select(*[q(f) for f in features], F.col(label).cast("int").alias("__y"),
-                        *[_bin_expr(f, edges[f]).alias(f"__bin_{i}") for i, f in enumerate(features)])
-    par = train.sparkSession.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < par:  # every round rescans this table: spread it once
-        base = base.repartition(par)
-    base = base.withColumn("__lwb", F.lit(0.0)).checkpoint(eager=True)
+    cuts = _cuts(train, features, max_cuts)
+    bins = [f"__bin_{i}" for i in range(len(features))]
+    rows = train.select(*[F.expr(_bin_sql(f, cuts[f])).cast("int").alias(b) for f, b in zip(features, bins)], F.col(label).cast("int").alias("__y"),
+                        (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("__n"))
+    cells = rows.groupBy(*bins, "__y").agg(F.sum("__n").alias("__n")).where("__n > 0")
+    # small partitions of cells would be merged into a few: every round reads them all, so they stay spread
+    base = cells.withColumn("__lwb", F.lit(0.0)).repartition(train.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
     stumps: list[dict] = []
-    recent: list[dict] = []
+    recent: list[str] = []
     shift = 0.0
-    stack = F.inline(F.array(*[F.struct(F.lit(i).alias("fi"), F.col(f"__bin_{i}").alias("bin"))
-                               for i in range(len(features))]))
+    stack = F.inline(F.array(*[F.struct(F.lit(i).alias("fi"), F.col(b).alias("bin")) for i, b in enumerate(bins)]))
+
     def lw_expr():
-        terms = " + ".join(f"{s['alpha']!r} * CAST(({_stump_sql(s['feature'], s['threshold'], s['polarity'])}) "
-                           f"<> __y AS DOUBLE)" for s in recent)
-        return F.expr(f"__lwb + ({terms})" if terms else "__lwb")
+        return F.expr(" + ".join(["__lwb", *recent]))
 
     for r in range(rounds):
         if recent and r % checkpoint_every == 0:
             base = base.withColumn("__lwb", lw_expr()).checkpoint(eager=True)
             recent = []
-        lw = lw_expr()
-        data = base.select("__y", lw.alias("__lw"), stack).withColumn("__w", F.exp(F.col("__lw") - F.lit(shift)))
+        data = base.select("__y", "__n", lw_expr().alias("__lw"), stack).withColumn("__w", F.col("__n") * F.exp(F.col("__lw") - F.lit(shift)))
         table = data.groupBy("fi", "bin").agg(
             F.sum(F.when(F.col("__y") == 1, F.col("__w")).otherwise(0.0)).alias("w1"),
             F.sum(F.when(F.col("__y") == 1, 0.0).otherwise(F.col("__w"))).alias("w0"),
@@ -153,33 +177,30 @@ def fit_adaboost(train: DataFrame, features: Sequence[str], label: str = "y", ro
         if not per:
             break
         lw_max = max(row["lw_max"] for row in table)
-        fi0 = next(iter(per))
-        total1 = sum(v[0] for v in per[fi0].values())
-        total0 = sum(v[1] for v in per[fi0].values())
+        total1 = math.fsum(v[0] for v in per[0].values())
+        total0 = math.fsum(v[1] for v in per[0].values())
+        tot = total1 + total0
         best = None
-        for fi, bins_ in per.items():
-            f = features[fi]
-            e = edges[f]
+        for fi in sorted(per):
             below1 = below0 = 0.0
-            for k in range(len(e)):
-                b1, b0 = bins_.get(k, (0.0, 0.0))
-                below1 += b1
-                below0 += b0
-                # predict 1 when x >= e[k] (bin > k): errors = ones below + zeros above
+            for k, cut in enumerate(cuts[features[fi]]):
+                b1, b0 = per[fi].get(k, (0.0, 0.0))
+                below1, below0 = below1 + b1, below0 + b0
+                # predict 1 when x >= cut (bin > k): errors = ones below + zeros above
                 err_pos = below1 + (total0 - below0)
-                for pol, err in ((1, err_pos), (-1, (total1 + total0) - err_pos)):
-                    if best is None or err < best[0] - 1e-15:
-                        best = (err, f, e[k], pol)
-        tot = total1 + total0
+                for pol, err in ((1, err_pos), (-1, tot - err_pos)):
+                    if best is None or err < best[0] - 1e-12 * tot:
+                        best = (err, fi, k, pol)
         if best is None or tot <= 0:
             break
-        err = best[0] / tot
+        err = max(best[0], 0.0) / tot
         if err >= 0.5:
             break
         err = max(err, 1e-10)
         alpha = learning_rate * math.log((1.0 - err) / err)
-        stumps.append({"feature": best[1], "threshold": best[2], "polarity": best[3], "alpha": alpha})
-        recent.append(stumps[-1])
+        _, fi, k, pol = best
+        stumps.append({"feature": features[fi], "threshold": cuts[features[fi]][k], "polarity": pol, "alpha": alpha})
+        recent.append(f"{alpha!r}D * CAST((CASE WHEN {bins[fi]} > {k} THEN {1 if pol > 0 else 0} ELSE {0 if pol > 0 else 1} END) <> __y AS DOUBLE)")
         shift = lw_max + alpha  # bound on next round's largest log-weight
         if err <= 1e-10:
             break
@@ -197,6 +218,11 @@ def adaboost_sql(stumps: Sequence[dict]) -> str:
 
 # --------------------------------------------------------------- calibration
 
+def folds_of(key: str, folds: int = 5, seed: int = 7):
+    """Fold 0 .. folds - 1 of a row, by a hash of its key (a null key too)."""
+    return F.pmod(F.xxhash64(F.lit(seed), q(key)), F.lit(folds)).cast("int")
+
+
 def platt_calibration(df: DataFrame, score: str, label: str = "y", seed: int = 42) -> tuple[float, float]:
     """Platt scaling: logistic regression of y on the raw member score,
     fitted with Spark ML (distributed L-BFGS). Returns (a, b) for
@@ -211,3 +237,76 @@ def platt_calibration(df: DataFrame, score: str, label: str = "y", seed: int = 4
 
 def calibrated_sql(raw_expr: str, a: float, b: float) -> str:
     return f"(1.0D / (1.0D + exp(-({a!r} * ({raw_expr}) + {b!r}))))"
+
+
+def isotonic_blocks(scores: DataFrame, score: str = "score", label: str = "y", num_partitions: int | None = None) -> list[tuple[float, float, float]]:
+    """Isotonic regression of a 0/1 label on a score, by pool-adjacent-violators in two levels.
+
+    Rows are counted per distinct score, dealt out in ranges of the score, and
+    each range pools its own violators in one pass over Arrow batches. Pooling
+    is associative, so pooling what is left of all ranges, in order, gives the
+    blocks of one pass over everything. Returns (lowest score, highest score,
+    mean of y) per block, rising.
+
+    What leaves the ranges are blocks with rising means: on the driver there is
+    one per step of the fitted function (not one per score)."""
+    def pool(blocks):
+        out: list[list[float]] = []
+        for lo, hi, n, ones in blocks:
+            out.append([lo, hi, n, ones])
+            # equal means are one block, so the blocks do not depend on where the ranges were cut
+            while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+                lo2, hi2, n2, ones2 = out.pop()
+                out[-1][1], out[-1][2], out[-1][3] = hi2, out[-1][2] + n2, out[-1][3] + ones2
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+        blocks: list = []
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("s", "n", "ones")]
+            blocks = pool([*blocks, *((s, s, n, ones) for s, n, ones in zip(*cols))])
+        if blocks:
+            cols = list(zip(*blocks))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()),
+                                              pa.array(cols[3], pa.int64())], names=["lo", "hi", "n", "ones"])
+
+    per = scores.where(q(score).isNotNull() & q(label).isNotNull()).groupBy(q(score).cast("double").alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(q(label).cast("long")).alias("ones"))
+    parts = num_partitions or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = per.repartitionByRange(parts, "s").sortWithinPartitions("s")
+    got = ranged.mapInArrow(run, "lo double, hi double, n long, ones long").collect()
+    return [(lo, hi, ones / n) for lo, hi, n, ones in pool(sorted((r["lo"], r["hi"], r["n"], r["ones"]) for r in got))]
+
+
+def isotonic_sql(raw_expr: str, blocks: Sequence[tuple[float, float, float]]) -> str:
+    """The fitted step function as SQL, linear between blocks, by halving over the block borders."""
+    x = f"CAST(({raw_expr}) AS DOUBLE)"
+    points = [p for lo, hi, v in blocks for p in ([(lo, v)] if lo == hi else [(lo, v), (hi, v)])]
+
+    def part(i: int, j: int) -> str:  # x lies in [points[i], points[j]]
+        if j - i == 1:
+            (a, u), (b, v) = points[i], points[j]
+            return f"{u!r}D" if u == v else f"({u!r}D + ({v - u!r}D) * (({x}) - ({a!r}D)) / ({b - a!r}D))"
+        mid = (i + j) // 2
+        return f"CASE WHEN {x} < {points[mid][0]!r}D THEN {part(i, mid)} ELSE {part(mid, j)} END"
+
+    if not points:
+        return x
+    if len(points) == 1:
+        return f"{points[0][1]!r}D"
+    (a, u), (b, v) = points[0], points[-1]
+    return f"(CASE WHEN {x} <= {a!r}D THEN {u!r}D WHEN {x} >= {b!r}D THEN {v!r}D ELSE {part(0, len(points) - 1)} END)"
+
+
+def out_of_fold(train: DataFrame, key: str, fit, score, folds: int = 5) -> DataFrame:
+    """``train`` with ``score``: each row's score by a model that has not seen its fold.
+
+    ``fit(rows)`` gives a model, ``score(model, rows)`` adds the column. The
+    rows are read once per fold to fit and once to score."""
+    fold = folds_of(key, folds)
+    parts = [score(fit(train.where(fold != k)), train.where(fold == k)) for k in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
