@@ -122,6 +122,7 @@ def write_job_outputs(scored: DataFrame, path: str, row_key: str = "flow_id", fm
     w = scored.repartitionByRange("job_id", row_key).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy("job_id")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        from flowscore.sources.csv_io import DIALECT
+        w.options(**DIALECT).csv(path)
     else:
         w.parquet(path)

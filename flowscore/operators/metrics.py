@@ -124,8 +124,8 @@ def mode_rank(order: Sequence[str]) -> str:
     return "CAST(CASE mode " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(order)) + " END AS INT)"
 
 
-def mode_comparison(v: DataFrame, labelled: bool | None = None) -> DataFrame:
-    """Comparison table, one row per mode in HAM, FDM, DFDM order:
+def mode_comparison(v: DataFrame, labelled: bool | None = None, modes: Sequence[str] = MODES) -> DataFrame:
+    """Comparison table, one row per mode of ``modes``, in HAM, FDM, DFDM order:
     Malicious% (2 dp), binary metrics (6 dp), and for HAM/FDM the confident
     accuracy (6 dp), warning rate % (3 dp) and attacks missed. Rounding is
     half-even like Python's ``round``. Metrics only for labelled input
@@ -134,7 +134,7 @@ def mode_comparison(v: DataFrame, labelled: bool | None = None) -> DataFrame:
         labelled = "_y" in v.columns
     need = ["n", "n_pred_malicious", "tp", "tn", "fp", "fn", "n_warning", "ben_fp", "n_confident",
             "n_confident_correct"]
-    c = with_three_label_metrics(with_binary_metrics(mode_counts(v, MODES, fields=need)),
+    c = with_three_label_metrics(with_binary_metrics(mode_counts(v, modes, fields=need)),
                                  ["confident_accuracy", "warning_rate", "attacks_let_through"])
     cols = ["mode", f"{mode_rank(MODES)} AS position",
             f"bround({_r('n_pred_malicious', 'n')} * CAST(100.0 AS DOUBLE), 2) AS malicious_pct"]

@@ -1,4 +1,4 @@
-"""Feature and member diagnostics: mutual information and Shapley weights."""
+"""Feature and member diagnostics: mutual information, correlation, feature clusters, Shapley weights."""
 
 from __future__ import annotations
 
@@ -72,3 +72,49 @@ def shapley_weights(v: DataFrame, members: Sequence[str], y: str = "_y") -> Data
     norm = sum(phi)
     rows = [(m, phi[i], (phi[i] * k / norm) if norm else 1.0) for i, m in enumerate(members)]
     return v.sparkSession.createDataFrame(rows, "member string, shapley double, weight double")
+
+
+def correlation_matrix(x: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_a, feature_b, correlation) of every pair in order, one aggregate
+    over the table; null where a feature does not vary."""
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    value = [F.expr(ST.ident(f)).cast("double") for f in features]
+    one = x.agg(*[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(value)], *[F.covar_pop(value[i], value[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
+                              F.when(F.col(f"s{i}") * F.col(f"s{j}") > 0, F.col(f"c{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}"))).alias("correlation"))
+                     for i, j in pairs])
+    return one.select(F.inline(rows))
+
+
+def feature_clusters(x: DataFrame, features: Sequence[str], distance: float = 0.3) -> DataFrame:
+    """(feature, cluster, representative): average-linkage clusters of features
+    on the distance 1 - |correlation|.
+
+    The table enters as its correlation matrix (features x features numbers);
+    merging stops when the closest clusters are further apart than
+    ``distance``. Ties go to the earlier features; a feature that does not vary
+    is at distance 1 from all. Clusters are numbered by their first feature, and
+    the representative is the member closest to the others."""
+    k = len(features)
+    at = {f: i for i, f in enumerate(features)}
+    d = [[0.0 if i == j else 1.0 for j in range(k)] for i in range(k)]
+    for r in correlation_matrix(x, features).collect():
+        i, j = at[r["feature_a"]], at[r["feature_b"]]
+        if i != j and r["correlation"] is not None:
+            d[i][j] = d[j][i] = 1.0 - abs(r["correlation"])
+    clusters = [[i] for i in range(k)]
+
+    def apart(a, b):
+        return sum(d[i][j] for i in a for j in b) / (len(a) * len(b))
+
+    while len(clusters) > 1:
+        gap, i, j = min((apart(clusters[i], clusters[j]), i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters)))
+        if gap > distance:
+            break
+        clusters[i] = sorted(clusters[i] + clusters.pop(j))
+        clusters.sort()
+    rows = []
+    for c, members in enumerate(clusters, 1):
+        best = min(members, key=lambda i: (sum(d[i][j] for j in members), i))
+        rows += [(features[i], c, features[best]) for i in members]
+    return x.sparkSession.createDataFrame(rows, "feature string, cluster int, representative string")

@@ -120,6 +120,20 @@ def fill_missing(spark, sf_dir):
     return f.select("flow_id", *[C.fill_missing(C.to_feature(C.clean_inf(c))).alias(c) for c in FEATURES])
 
 
+@register("encode_large_vocabulary")
+def encode_large_vocabulary(spark, sf_dir):
+    """A categorical feature with about a class per order, encoded by its stored dictionary, through whole-table scoring."""
+    from flowscore.sources.bundle import Member, Voter
+    f = FX.flows(spark, sf_dir).withColumn("origin", F.concat(F.lit("host-"), F.split_part("flow_id", F.lit("-"), F.lit(1))))
+    b = _bundle()
+    ham = Voter("HAM", b.ham.members, (*b.ham.features, "origin"), b.ham.weights, b.ham.max_vote_index, b.ham.disagreement_threshold)
+    members = (*b.members[:4], Member("m5", expr="CASE WHEN origin % 2 = 0 THEN 0.6 ELSE 0.3 END"))
+    b = b.with_(members=members, ham=ham, encoders=FIT.fit_encoders(f, ["origin"]))
+    codes = P.preprocess(f, b, keep=["flow_id"]).select("flow_id", F.col("origin").cast("int").alias("code"))
+    scored = S.score_table(f, b, flow_rate=0).select("flow_id", "pred_binary")
+    return scored.join(codes, "flow_id")
+
+
 def _filled(spark, sf_dir):
     return fill_missing(spark, sf_dir)
 
@@ -202,6 +216,16 @@ def windowed_rate_mode(spark, sf_dir):
     return rate_mode(ev, "ts", "1 hour", 10, 20).select("event_id", "window_start", "rate", "mode")
 
 
+@register("windowed_rate_mode_hot")
+def windowed_rate_mode_hot(spark, sf_dir):
+    """Most events fall into one window, every eleventh has no time; its rate selects their mode."""
+    from flowscore.operators.routing import rate_mode
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    day = F.to_timestamp_ntz(F.lit("2024-01-05 12:00:00"))
+    ev = ev.withColumn("ts", F.when(F.col("event_id") % 11 != 0, F.when(F.col("event_id") % 10 == 0, F.col("ts")).otherwise(day)))
+    return rate_mode(ev, "ts", "1 hour", 10, 200).select("event_id", "window_start", "rate", "mode")
+
+
 @register("all_modes_long")
 def all_modes_long(spark, sf_dir):
     v = _verdicts(spark, sf_dir)
@@ -337,6 +361,13 @@ def chunked_score(spark, sf_dir):
     return S.score_chunked(FX.flows(spark, sf_dir), _bundle(), flow_rate=5000)
 
 
+@register("chunked_score_metrics")
+def chunked_score_metrics(spark, sf_dir):
+    """What the chunked mode reports of its one mode: binary and three-label metrics."""
+    v = S.verdicts(FX.flows(spark, sf_dir), _bundle(), modes=[S.modes_for(1000, _bundle())[0]])
+    return MET.mode_comparison(v, modes=["FDM"])
+
+
 @register("union_chunks")
 def union_chunks(spark, sf_dir):
     """Score hash-chunks of the table separately, then union them by name:
@@ -697,7 +728,8 @@ def stream_rate_mode(spark, sf_dir):
 def stream_micro_batches(spark, sf_dir):
     schema, landing = _landed_events(spark, sf_dir)
     n = STR.stream_micro_batches(spark, landing, schema, ["ts", "event_id"], "ts", BATCH_ROWS, IDLE_GAP_UNKEYED,
-                                 scratch_path(spark, "stream-batches-out"), scratch_path(spark, "stream-batches-ckpt"))
+                                 scratch_path(spark, "stream-batches-out"), scratch_path(spark, "stream-batches-ckpt"),
+                                 files_per_trigger=2)
     return n.select("event_id", "burst", "batch_num", "pos_in_batch")
 
 
@@ -705,6 +737,10 @@ def stream_micro_batches(spark, sf_dir):
 from flowscore.operators import members as MEM  # noqa: E402
 
 
+#: Registered fits grow trees without a depth limit of their own; 30 levels is the most that Spark ML's trees have.
+FIT_DEPTH = None
+
+
 def _train_frame(spark, sf_dir):
     x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=["flow_id"])
     return x.withColumn("split", MEM.split_column("flow_id"))
@@ -723,7 +759,7 @@ def train_test_split(spark, sf_dir):
 @register("member_random_forest")
 def member_random_forest(spark, sf_dir):
     x = _train_frame(spark, sf_dir)
-    model = MEM.fit_random_forest(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
+    model = MEM.fit_random_forest(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=30)
     s = MEM.ml_probability(model, x, "prob")
     return _member_output(s, F.col("prob"))
 
@@ -731,7 +767,7 @@ def member_random_forest(spark, sf_dir):
 @register("member_bagging")
 def member_bagging(spark, sf_dir):
     x = _train_frame(spark, sf_dir)
-    model = MEM.fit_bagging(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
+    model = MEM.fit_bagging(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=30)
     s = MEM.ml_probability(model, x, "prob")
     return _member_output(s, F.col("prob"))
 
@@ -767,7 +803,7 @@ def threshold_sweep(spark, sf_dir):
 def member_extra_trees(spark, sf_dir):
     from flowscore.operators.extra_trees import fit_extra_trees, forest_probability
     x = _train_frame(spark, sf_dir)
-    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100, max_depth=8)
+    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100, max_depth=FIT_DEPTH)
     return _member_output(x, forest_probability(forest))
 
 
@@ -786,13 +822,15 @@ def bundle_summary(spark, sf_dir):
 
 @register("fitted_ensemble")
 def fitted_ensemble(spark, sf_dir):
-    """Fit every member kind on the training split (20 estimators each),
-    save and reload the bundle, score the whole table in all modes and
-    compare the modes."""
+    """Fit both voters on the training split (100 estimators each, own members
+    and features, class weights, calibrated on out-of-fold scores), save and
+    reload the bundle, score the whole table in all modes and compare them."""
     from flowscore.sources.bundle import load_bundle, save_bundle
     x = _train_frame(spark, sf_dir)
     d = scratch_path(spark, "bundle")
-    b = ENS.fit_bundle(x.where("split = 'train'").select(*FEATURES, "y"), FEATURES, d, estimators=20, max_depth=6)
+    fixture = _bundle()
+    b = ENS.fit_bundle(x.where("split = 'train'"), fixture.fdm.features, d, ham_features=fixture.ham.features, max_depth=FIT_DEPTH,
+                       calibrate="isotonic", folds=2, key="flow_id")
     b = b.with_(label_col="label")
     b = ENS.weighted_by_accuracy(b, FX.flows(spark, sf_dir).where(MEM.split_column("flow_id") == "train"))
     save_bundle(b, d, spark=spark)
@@ -800,6 +838,43 @@ def fitted_ensemble(spark, sf_dir):
     return MET.mode_comparison(S.verdicts(FX.flows(spark, sf_dir), loaded))
 
 
+#: Nodes (feature, threshold, left, right, value) of three trees of uneven depth, roots first: a given forest to score.
+GIVEN_FOREST = (
+    ("fwd_packet_length_max", 29.5, 3, 4, 0.0), ("flow_iat_mean", 0.045, 5, 6, 0.0), (None, 0.0, -1, -1, 0.25),
+    (None, 0.0, -1, -1, 0.125), ("flow_iat_mean", 0.045, 7, 8, 0.0), ("avg_packet_size", 1500.0, 9, 10, 0.0), (None, 0.0, -1, -1, 0.75),
+    (None, 0.0, -1, -1, 0.0625), ("avg_packet_size", 1200.0, 11, 12, 0.0), (None, 0.0, -1, -1, 0.03125), (None, 0.0, -1, -1, 0.5),
+    (None, 0.0, -1, -1, 0.875), (None, 0.0, -1, -1, 1.0))
+
+
+@register("forest_scores")
+def forest_scores(spark, sf_dir):
+    """Every flow through a given node table."""
+    import numpy as np
+    from flowscore.operators.extra_trees import Forest, forest_probability
+    names = list(FEATURES)
+    cols = list(zip(*[(names.index(f) if f else -1, t, a, b, v) for f, t, a, b, v in GIVEN_FOREST]))
+    forest = Forest(names, 3, *[np.array(c, dtype=t) for c, t in zip(cols, (np.int32, np.float64, np.int32, np.int32, np.float64))])
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=["flow_id"])
+    return x.select("flow_id", F.bround(forest_probability(forest), 9).alias("p1"))
+
+
+@register("adaboost_stumps")
+def adaboost_stumps(spark, sf_dir):
+    """The first two boosting rounds on features whose every value is a cut."""
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    stumps = MEM.fit_adaboost(x, ["flow_iat_mean", "fwd_packet_length_max"], rounds=2)
+    rows = [(i + 1, s["feature"], float(s["threshold"]), s["polarity"], round(s["alpha"], 6)) for i, s in enumerate(stumps)]
+    return spark.createDataFrame(rows, "round int, feature string, threshold double, polarity int, alpha double")
+
+
+@register("isotonic_calibration")
+def isotonic_calibration(spark, sf_dir):
+    """Blocks of the isotonic regression of y on the mean probability of HAM's members."""
+    v = _verdicts(spark, sf_dir, modes=("HAM",)).select(F.col("_mean_HAM").alias("score"), F.col("_y").alias("y"))
+    rows = [(float(lo), float(hi), round(value, 9)) for lo, hi, value in MEM.isotonic_blocks(v, "score", "y", num_partitions=4)]
+    return spark.createDataFrame(rows, "lo double, hi double, value double")
+
+
 # ---------------------------------------------- 2.13 diagnostics and fits
 from flowscore.operators import selection as SEL  # noqa: E402
 from flowscore.operators import sweep as SW  # noqa: E402
@@ -807,7 +882,20 @@ from flowscore.operators import sweep as SW  # noqa: E402
 
 @register("disagreement_sweep")
 def disagreement_sweep(spark, sf_dir):
-    return SW.disagreement_sweep(_verdicts(spark, sf_dir, modes=("HAM", "FDM")), "FDM")
+    return SW.disagreement_sweep(_verdicts(spark, sf_dir, modes=("HAM", "FDM")), "FDM", decimals=2)
+
+
+@register("disagreement_sweep_exact")
+def disagreement_sweep_exact(spark, sf_dir):
+    """Every distinct std of the members is a candidate: a row warns when std >= t."""
+    return SW.disagreement_sweep(_verdicts(spark, sf_dir, modes=("HAM", "FDM")), "HAM")
+
+
+@register("threshold_sweep_continuous")
+def threshold_sweep_continuous(spark, sf_dir):
+    """A score with about as many thresholds as rows."""
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    return SW.threshold_sweep(x, "fwd_packets_length_total", "y")
 
 
 @register("mutual_information")
@@ -816,6 +904,100 @@ def mutual_information(spark, sf_dir):
     return SEL.mutual_information(x, FEATURES, "y")
 
 
+@register("feature_correlation")
+def feature_correlation(spark, sf_dir):
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    c = SEL.correlation_matrix(x, FEATURES)
+    return c.select("feature_a", "feature_b", F.bround("correlation", 6).alias("correlation"))
+
+
+@register("feature_clusters")
+def feature_clusters(spark, sf_dir):
+    x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=[])
+    return SEL.feature_clusters(x, FEATURES, distance=0.75)
+
+
+PACKETS_SQL = [
+    "event_id AS packet_id", "ts", "CAST(floor(value * 10) AS BIGINT) AS length",
+    "CASE WHEN event_id % 3 = 0 THEN '10.9.9.9' ELSE concat('10.0.0.', CAST(user_id % 200 AS STRING)) END AS client",
+    "concat('192.168.0.', CAST(length(event_type) AS STRING)) AS server", "CAST(CASE WHEN event_id % 3 = 0 THEN 40000 ELSE 40000 + user_id END AS INT) AS cport",
+    "CASE WHEN event_id % 2 = 0 THEN 6 ELSE 17 END AS protocol", "event_id % 5 IN (0, 3) AS back"]
+
+
+def _packets(spark, sf_dir):
+    """Packets from events: a third belong to one client, and two in five run from server to client."""
+    p = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*PACKETS_SQL)
+    return p.selectExpr("packet_id", "ts", "length", "protocol", "if(back, server, client) AS src_ip", "if(back, client, server) AS dst_ip",
+                        "if(back, 443, cport) AS src_port", "if(back, cport, 443) AS dst_port")
+
+
+@register("flow_build")
+def flow_build(spark, sf_dir):
+    """Bidirectional flows of the packets, cut at 6 idle hours."""
+    from flowscore.operators.flow_build import build_flows
+    f = build_flows(_packets(spark, sf_dir), 6 * 3600.0)
+    return f.select("flow_id", "start_time", "end_time", F.bround("duration", 3).alias("duration"), "packet_count", "fwd_packet_count",
+                    F.bround("avg_packet_size", 6).alias("avg_packet_size"), F.bround("flow_iat_mean", 3).alias("flow_iat_mean"),
+                    "fwd_packet_length_max", "fwd_packets_length_total")
+
+
+@register("flow_consistency")
+def flow_consistency(spark, sf_dir):
+    """The producer's invariants over built flows, some of them spoilt."""
+    from flowscore.operators.consistency import consistency_report, flow_checks
+    from flowscore.operators.flow_build import build_flows
+    f = build_flows(_packets(spark, sf_dir), 6 * 3600.0)
+    spoilt = F.col("packet_count") % 4 == 3
+    f = f.withColumn("duration", F.when(spoilt, F.col("duration") + 1).otherwise(F.col("duration"))).withColumn(
+        "flow_id", F.when(F.col("protocol") == 17, F.concat("flow_id", F.lit("x"))).otherwise(F.col("flow_id")))
+    return consistency_report(flow_checks(f, cols={"iat": "flow_iat_mean"}))
+
+
+@register("job_output")
+def job_output(spark, sf_dir):
+    """Per-job predictions, written as one folder per job and read back."""
+    from flowscore.operators import jobs as JOBS
+    f = FX.flows(spark, sf_dir, keep_order_key=True)
+    v = S.verdicts(f, _bundle())
+    out = v.select("flow_id", "label", "protocol", F.pmod("order_key", F.lit(40)).alias("job_id"), *S.prediction_columns(("HAM",)))
+    path = scratch_path(spark, "job-output")
+    JOBS.write_job_outputs(out, path)
+    return CSV.read_flows_csv(spark, path, {"pred_binary": "int", "job_id": "bigint"}).select(*out.columns)
+
+
+@register("csv_line_breaks")
+def csv_line_breaks(spark, sf_dir):
+    """Texts with quotes, blanks at the ends and line breaks through the CSV sink and scan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.concat(F.lit(' "'), "text", F.lit("\n ")).alias("text"))
+    path = scratch_path(spark, "texts-csv")
+    CSV.write_csv(docs, path)
+    back = CSV.read_flows_csv(spark, path, {"doc_id": "bigint"})
+    return back.select("doc_id", "lang", F.char_length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@register("archive_batch_index")
+def archive_batch_index(spark, sf_dir):
+    """One batch per order over two commits, the second one replayed: index of the archive."""
+    from flowscore.sources import archive as ARC
+    f = FX.flows(spark, sf_dir, keep_order_key=True).select("flow_id", F.col("order_key").alias("batch_num"))
+    path = scratch_path(spark, "bucketed-archive")
+    ARC.write_batches(f.where("batch_num % 2 = 0"), path, 0)
+    for _ in range(2):
+        ARC.write_batches(f.where("batch_num % 2 = 1 or batch_num % 10 = 0"), path, 1)
+    return ARC.batch_index(spark, path)
+
+
+@register("archive_rows")
+def archive_rows(spark, sf_dir):
+    """Rows of a range of batches, each from its latest commit."""
+    from flowscore.sources import archive as ARC
+    f = FX.flows(spark, sf_dir, keep_order_key=True).select("flow_id", F.col("order_key").alias("batch_num"))
+    path = scratch_path(spark, "bucketed-archive")
+    ARC.write_batches(f, path, 0)
+    ARC.write_batches(f.where("batch_num % 3 = 0").withColumn("flow_id", F.concat("flow_id", F.lit("*"))), path, 1)
+    return ARC.read_batches(spark, path, 50, 12_345)
+
+
 @register("shapley_weights")
 def shapley_weights(spark, sf_dir):
     b = _bundle()
@@ -843,5 +1025,32 @@ def stream_micro_batches_by_user(spark, sf_dir):
     schema, landing = _landed_events(spark, sf_dir)
     n = STR.stream_micro_batches_keyed(spark, landing, schema, "user_id", ["ts", "event_id"], "ts", BATCH_ROWS,
                                        IDLE_GAP_BY_USER, scratch_path(spark, "stream-user-out"),
-                                       scratch_path(spark, "stream-user-ckpt"))
+                                       scratch_path(spark, "stream-user-ckpt"), files_per_trigger=2)
     return n.select("user_id", "event_id", "burst", "batch_num", "pos_in_batch")
+
+
+HOT_USER = -1  # a third of all events, and the null key another seventh
+
+
+@register("stream_micro_batches_hot_key")
+def stream_micro_batches_hot_key(spark, sf_dir):
+    """Keyed stream numbering where one key holds a third of the rows and the null key a seventh."""
+    owner = F.when(F.col("event_id") % 3 == 0, HOT_USER).when(F.col("event_id") % 7 != 0, F.col("user_id")).cast("long")
+    ev = _events(spark, sf_dir).select("event_id", "ts", owner.alias("owner"))
+    landing = scratch_path(spark, "landing-hot")
+    STR.land_in_time_order(ev, "ts", landing, rows_per_file=2_500)
+    n = STR.stream_micro_batches_keyed(spark, landing, ev.schema, "owner", ["ts", "event_id"], "ts", BATCH_ROWS, IDLE_GAP_BY_USER,
+                                       scratch_path(spark, "stream-hot-out"), scratch_path(spark, "stream-hot-ckpt"), files_per_trigger=2)
+    return n.select("owner", "event_id", "burst", "batch_num", "pos_in_batch")
+
+
+@register("stream_open_batches")
+def stream_open_batches(spark, sf_dir):
+    """Batches as a live stream closes them, with the reason; those open at its stop are flushed."""
+    from flowscore.streaming import idle as IDLE
+    schema, landing = _landed_events(spark, sf_dir)
+    out, checkpoint = scratch_path(spark, "stream-open-out"), scratch_path(spark, "stream-open-ckpt")
+    IDLE.stream_open_batches(spark, landing, schema, ["user_id"], ["ts", "event_id"], "ts", BATCH_ROWS, IDLE_GAP_BY_USER, out, checkpoint,
+                             files_per_trigger=2)
+    both = IDLE.read_batches(spark, out, schema).unionByName(IDLE.flush_open(spark, checkpoint, schema, BATCH_ROWS))
+    return both.select("user_id", "event_id", "value", "batch_num", "pos_in_batch", "rows_seen", "reason")

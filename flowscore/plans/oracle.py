@@ -336,7 +336,8 @@ def _batches(key: str | None, gap_us: int | None, n: int | None) -> str:
     chunk = f"(pos_in_burst - 1) // {n}" if n else "0"
     inb = f"((pos_in_burst - 1) % {n}) + 1" if n else "pos_in_burst"
     return f"""
-ord AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day,
+ord AS (SELECT event_id, user_id, event_type, value,
+               CASE WHEN event_id % 3 = 0 THEN -1 WHEN event_id % 7 <> 0 THEN user_id END AS owner, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day,
                ts, epoch_us(ts) AS t FROM events),
 g AS (SELECT *, row_number() OVER {w} AS arrival_pos,
              CASE WHEN lag(t) OVER {w} IS NULL THEN 1 ELSE {gap} END AS flag FROM ord),
@@ -448,3 +449,119 @@ FROM c2 GROUP BY feature""")
 
 ORACLE["mutual_information"] = _mi_sql()
 ORACLE["stream_micro_batches_by_user"] = ORACLE["micro_batches_by_user"]
+ORACLE["stream_micro_batches_hot_key"] = with_ctes(_batches("owner", 6 * 3600 * 1_000_000, 5), body="""
+SELECT owner, event_id, burst, batch_num, pos_in_batch FROM nb""")
+ORACLE["stream_open_batches"] = with_ctes(_batches("user_id", 6 * 3600 * 1_000_000, 5), body="""
+SELECT user_id, event_id, value, batch_num, pos_in_batch, arrival_pos AS rows_seen,
+  CASE WHEN count(*) OVER (PARTITION BY user_id, batch_num) = 5 THEN 'count'
+       WHEN batch_num = max(batch_num) OVER (PARTITION BY user_id) THEN 'stop' ELSE 'idle' END AS reason FROM nb""")
+
+ORACLE["disagreement_sweep_exact"] = with_ctes(SCORED_CTES, """
+g AS (SELECT std_ham AS threshold, count(*) AS n, count_if(CASE WHEN mean_ham >= 0.5 THEN 1 ELSE 0 END = y) AS ok FROM scored GROUP BY 1),
+t AS (SELECT g.threshold, CAST(count_if(s.std_ham < g.threshold) AS BIGINT) AS conf_n,
+        count_if(s.std_ham < g.threshold AND CASE WHEN s.mean_ham >= 0.5 THEN 1 ELSE 0 END = s.y) AS conf_ok, count(*) AS total
+      FROM g CROSS JOIN scored s GROUP BY 1),
+m AS (SELECT threshold, conf_n, CAST(total - conf_n AS DOUBLE) / CAST(total AS DOUBLE) AS warn,
+        CASE WHEN conf_n > 0 THEN CAST(conf_ok AS DOUBLE) / CAST(conf_n AS DOUBLE) ELSE 0.0 END AS acc FROM t)""", body="""
+SELECT threshold, conf_n AS n_confident, round_even(warn, 9) AS warning_rate, round_even(acc, 9) AS confident_accuracy,
+  round_even(acc - 0.05 * warn, 9) AS score FROM m""")
+ORACLE["threshold_sweep_continuous"] = with_ctes(SCORED_CTES.replace("vd_ham >= 2.75", "vd_ham >= 2.75"), """
+g AS (SELECT x_fwd_packets_length_total AS threshold, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM xs GROUP BY 1),
+s AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)""", body="""
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(P - tp AS BIGINT) AS fn,
+  CAST(N - fp AS BIGINT) AS tn, CAST(tp + N - fp AS DOUBLE) / CAST(P + N AS DOUBLE) AS accuracy FROM s""")
+ORACLE["encode_large_vocabulary"] = with_ctes(SCORED_CTES, """
+o AS (SELECT *, concat('host-', split_part(flow_id, '-', 1)) AS origin FROM scored),
+d AS (SELECT origin, CAST(row_number() OVER (ORDER BY origin) - 1 AS INT) AS code FROM (SELECT DISTINCT origin FROM o) t)""", body="""
+SELECT o.flow_id, d.code, CASE WHEN v1 + v2 + 1.5 * v3 + v4 + CASE WHEN d.code % 2 = 0 THEN 1 ELSE 0 END >= 2.75 THEN 1 ELSE 0 END AS pred_binary
+FROM o JOIN d ON o.origin = d.origin""")
+ORACLE["windowed_rate_mode_hot"] = f"""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 10 = 0 THEN ts
+                                 ELSE TIMESTAMP '2024-01-05 12:00:00' END AS ts FROM events),
+h AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS rate FROM e WHERE ts IS NOT NULL GROUP BY 1)
+SELECT e.event_id, h.window_start, h.rate, {_mode('h.rate', 10, 200)} AS mode FROM e LEFT JOIN h ON date_trunc('hour', e.ts) = h.window_start"""
+ORACLE["chunked_score_metrics"] = "SELECT * FROM (" + ORACLE["mode_comparison"] + ") c WHERE mode = 'FDM'"
+
+
+def _given_forest_sql() -> str:
+    from flowscore.plans.catalog import GIVEN_FOREST
+
+    def node(i: int) -> str:
+        f, t, left, right, value = GIVEN_FOREST[i]
+        return repr(value) if f is None else f"CASE WHEN x_{f} > {t!r} THEN {node(right)} ELSE {node(left)} END"
+    return "SELECT flow_id, round_even((" + " + ".join(f"CAST({node(t)} AS DOUBLE)" for t in range(3)) + ") / 3.0, 9) AS p1 FROM xs"
+
+
+ORACLE["forest_scores"] = with_ctes(SCORED_CTES, body=_given_forest_sql())
+_STUMPS = """
+cells AS (SELECT x_flow_iat_mean AS a, x_fwd_packet_length_max AS b, y, CAST(count(*) AS DOUBLE) AS n FROM xs GROUP BY ALL),
+cuts AS (SELECT 1 AS fi, 'flow_iat_mean' AS feature, a AS cut FROM cells WHERE a > (SELECT min(a) FROM cells) GROUP BY a
+         UNION ALL SELECT 2, 'fwd_packet_length_max', b FROM cells WHERE b > (SELECT min(b) FROM cells) GROUP BY b),
+tries AS (SELECT fi, feature, cut, pol FROM cuts CROSS JOIN (SELECT unnest([1, -1]) AS pol) p)"""
+
+
+def _round(k: int, weights: str) -> str:
+    """One boosting round over the cells of ``weights``: the best stump, and the cells with their next weights."""
+    hit = "CASE WHEN CASE t.fi WHEN 1 THEN c.a ELSE c.b END >= t.cut THEN (t.pol + 1) // 2 ELSE (1 - t.pol) // 2 END"
+    return f"""
+e{k} AS (SELECT t.fi, t.feature, t.cut, t.pol, sum(CASE WHEN {hit} <> c.y THEN c.n ELSE 0.0 END) / sum(c.n) AS err
+         FROM tries t CROSS JOIN {weights} c GROUP BY ALL),
+s{k} AS (SELECT *, ln((1.0 - err) / err) AS alpha FROM e{k} ORDER BY round(err, 12), fi, cut, pol DESC LIMIT 1),
+w{k} AS (SELECT c.a, c.b, c.y, c.n * CASE WHEN {hit} <> c.y THEN exp(t.alpha) ELSE 1.0 END AS n FROM {weights} c CROSS JOIN s{k} t)"""
+
+
+ORACLE["adaboost_stumps"] = with_ctes(SCORED_CTES, _STUMPS, _round(1, "cells"), _round(2, "w1"), body=" UNION ALL ".join(
+    f"SELECT CAST({k} AS INT) AS round, feature, cut AS threshold, CAST(pol AS INT) AS polarity, round_even(alpha, 6) AS alpha FROM s{k}" for k in (1, 2)))
+# isotonic regression by its min-max form: the value at a score is the largest, over starts at or before it, of the
+# smallest mean from there to any end at or after it
+ORACLE["isotonic_calibration"] = with_ctes(SCORED_CTES, """
+g AS (SELECT mean_ham AS score, count(*) AS n, sum(y) AS ones, row_number() OVER (ORDER BY mean_ham) AS r FROM scored GROUP BY mean_ham),
+c AS (SELECT *, sum(n) OVER (ORDER BY r) AS cn, sum(ones) OVER (ORDER BY r) AS cy FROM g),
+m AS (SELECT a.r AS lo, b.r AS hi, CAST(b.cy - a.cy + a.ones AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON a.r <= b.r),
+f AS (SELECT c.r, c.score, s.lo, min(m.mean) AS least FROM c JOIN (SELECT DISTINCT lo FROM m) s ON s.lo <= c.r JOIN m ON m.lo = s.lo AND m.hi >= c.r
+      GROUP BY ALL),
+v AS (SELECT r, score, round_even(max(least), 9) AS value FROM f GROUP BY ALL)""", body="""
+SELECT min(score) AS lo, max(score) AS hi, value FROM v GROUP BY value""")
+ORACLE["feature_correlation"] = with_ctes(SCORED_CTES, body=" UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round_even(corr(x_{a}, x_{b}), 6) AS correlation FROM xs"
+    for i, a in enumerate(FEATURES) for b in FEATURES[i:]))
+_FLOWS_BUILT = """
+q AS (SELECT event_id, ts, epoch_us(ts) AS t, CAST(floor(value * 10) AS BIGINT) AS length,
+    CASE WHEN event_id % 3 = 0 THEN '10.9.9.9' ELSE concat('10.0.0.', CAST(user_id % 200 AS VARCHAR)) END AS client,
+    concat('192.168.0.', CAST(length(event_type) AS VARCHAR)) AS server,
+    CASE WHEN event_id % 3 = 0 THEN 40000 ELSE 40000 + user_id END AS cport,
+    CASE WHEN event_id % 2 = 0 THEN 6 ELSE 17 END AS protocol, event_id % 5 IN (0, 3) AS back FROM events),
+k AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 21600000000 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS cut
+      FROM q WINDOW w AS (PARTITION BY client, server, cport, protocol ORDER BY t, event_id)),
+b AS (SELECT *, sum(cut) OVER (PARTITION BY client, server, cport, protocol ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM k),
+d AS (SELECT *, first_value(back) OVER (PARTITION BY client, server, cport, protocol, burst ORDER BY t, event_id) AS turned FROM b),
+f AS (SELECT client, server, cport, protocol, burst, turned, min(t) / 1e6 AS start_time, max(t) / 1e6 AS end_time, count(*) AS packet_count,
+        count_if(back = turned) AS fwd_packet_count, CAST(sum(length) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_packet_size,
+        CAST(max(CASE WHEN back = turned THEN length END) AS DOUBLE) AS fwd_packet_length_max,
+        CAST(sum(CASE WHEN back = turned THEN length END) AS DOUBLE) AS fwd_packets_length_total FROM d GROUP BY ALL),
+built AS (SELECT CASE WHEN turned THEN concat_ws('-', server, client, '443', CAST(cport AS VARCHAR), CAST(protocol AS VARCHAR))
+                      ELSE concat_ws('-', client, server, CAST(cport AS VARCHAR), '443', CAST(protocol AS VARCHAR)) END AS flow_id,
+            *, end_time - start_time AS duration,
+            CASE WHEN packet_count > 1 THEN (end_time - start_time) / CAST(packet_count - 1 AS DOUBLE) ELSE 0.0 END AS flow_iat_mean FROM f)"""
+ORACLE["flow_build"] = with_ctes(_FLOWS_BUILT, body="""
+SELECT flow_id, start_time, end_time, round_even(duration, 3) AS duration, packet_count, CAST(fwd_packet_count AS BIGINT) AS fwd_packet_count,
+  round_even(avg_packet_size, 6) AS avg_packet_size, round_even(flow_iat_mean, 3) AS flow_iat_mean, fwd_packet_length_max, fwd_packets_length_total
+FROM built""")
+ORACLE["flow_consistency"] = with_ctes(_FLOWS_BUILT, body="""
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(protocol = 17) AS BIGINT) AS bad_flow_id,
+  CAST(count_if(packet_count % 4 = 3) AS BIGINT) AS bad_duration, CAST(count_if(packet_count > 1 AND packet_count % 4 = 3) AS BIGINT) AS bad_iat,
+  CAST(count_if(packet_count < 2) AS BIGINT) AS iat_not_applicable FROM built""")
+ORACLE["job_output"] = with_ctes(SCORED_CTES, body=f"""
+SELECT flow_id, label, protocol, CAST(order_key % 40 AS BIGINT) AS job_id, b_ham AS pred_binary, {l3_text('l3_ham')} AS pred_3label, 'HAM' AS mode
+FROM scored""")
+ORACLE["csv_line_breaks"] = """
+SELECT doc_id, lang, CAST(length(concat(' "', text, chr(10), ' ')) AS BIGINT) AS n_chars, md5(concat(' "', text, chr(10), ' ')) AS digest
+FROM documents"""
+ORACLE["archive_batch_index"] = """
+SELECT CAST(l_orderkey AS BIGINT) AS batch, CAST(l_orderkey // 10000 AS BIGINT) AS bucket, count(*) AS n_rows,
+  CAST(CASE WHEN l_orderkey % 2 = 1 OR l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS commit FROM lineitem GROUP BY l_orderkey"""
+ORACLE["archive_rows"] = with_ctes(_F, body="""
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN concat(flow_id, '*') ELSE flow_id END AS flow_id, l_orderkey AS batch_num
+FROM (SELECT flow_id, CAST(split_part(flow_id, '-', 1) AS BIGINT) AS l_orderkey FROM flows) t WHERE l_orderkey BETWEEN 50 AND 12345""")

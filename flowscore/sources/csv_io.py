@@ -13,38 +13,46 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowscore.constants import NA_TOKENS
 from flowscore.operators.prep import q, trim_columns
 
 
-#: Values go out unchanged: blanks kept, quotes doubled.
-_DIALECT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+#: Options of every CSV sink. Values go out unchanged: blanks kept, quotes doubled.
+DIALECT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
+
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
 
 
 def null_na_tokens(c):
     return F.when(c.isin(*[t for t in NA_TOKENS if t]), F.lit(None)).otherwise(c)
 
 
-def read_flows_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
+def read_flows_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, quoted_breaks: bool = True) -> DataFrame:
     """Scan a CSV file or directory with a header. ``types`` maps (trimmed)
-    column names to Spark SQL types; unlisted columns stay text. Every row is
-    kept; the scan is split by ``spark.sql.files.maxPartitionBytes``."""
+    column names to Spark SQL types; unlisted columns stay text, but for
+    partition columns of the folder names, whose type Spark finds. Every row is
+    kept. A quoted field may hold line breaks, so a file is read by one task;
+    where no field does, ``quoted_breaks=False`` lets files be split by
+    ``spark.sql.files.maxPartitionBytes``."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "") \
-        .option("emptyValue", "") \
+        .option("emptyValue", "").option("multiLine", quoted_breaks) \
         .option("escape", '"').csv(path)
     raw = trim_columns(raw)
     types = dict(types or {})
     cols = []
     for c in raw.columns:
-        v = null_na_tokens(q(c))
+        v = null_na_tokens(q(c)) if _is_text(raw, c) else q(c)
         cols.append((v.cast(types[c]) if c in types else v).alias(c))
     return raw.select(*cols)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, no index, overwrite; one file per task (no single-file funnel)."""
-    df.write.mode(mode).options(**_DIALECT).csv(path)
+    df.write.mode(mode).options(**DIALECT).csv(path)
 
 
 def write_by_batch(df: DataFrame, path: str, batch_col: str = "batch_num", fmt: str = "csv") -> None:
@@ -55,7 +63,7 @@ def write_by_batch(df: DataFrame, path: str, batch_col: str = "batch_num", fmt:
     by one task: one file per batch instead of one per task and batch."""
     w = df.repartitionByRange(batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
     if fmt == "csv":
-        w.options(**_DIALECT).csv(path)
+        w.options(**DIALECT).csv(path)
     else:
         w.parquet(path)
 
