@@ -33,9 +33,9 @@ from flowscore.sources.bundle import EnsembleBundle
 
 
 def split_column(key: str, train_pct: int = 80, seed: int = 42):
-    """Deterministic train/test split by a hash of the row key."""
-    return F.when(F.pmod(F.xxhash64(q(key), F.lit(seed)), F.lit(100)) < train_pct, F.lit("train")).otherwise(
-        F.lit("test"))
+    """Deterministic train/test split by a hash of the row key (a null key counts as an empty one)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(q(key).cast("string"), F.lit(""))).cast("binary"))
+    return F.when(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < train_pct, F.lit("train")).otherwise(F.lit("test"))
 
 
 def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:

@@ -1001,7 +1001,8 @@ def archive_rows(spark, sf_dir):
 @register("shapley_weights")
 def shapley_weights(spark, sf_dir):
     b = _bundle()
-    return SEL.shapley_weights(_verdicts(spark, sf_dir), list(b.ham.members))
+    s = SEL.shapley_weights(_verdicts(spark, sf_dir), list(b.ham.members))
+    return s.select("member", F.bround("shapley", 9).alias("shapley"), F.bround("weight", 9).alias("weight"))
 
 
 @register("calibrated_members")

@@ -565,3 +565,17 @@ SELECT CAST(l_orderkey AS BIGINT) AS batch, CAST(l_orderkey // 10000 AS BIGINT)
 ORACLE["archive_rows"] = with_ctes(_F, body="""
 SELECT CASE WHEN l_orderkey % 3 = 0 THEN concat(flow_id, '*') ELSE flow_id END AS flow_id, l_orderkey AS batch_num
 FROM (SELECT flow_id, CAST(split_part(flow_id, '-', 1) AS BIGINT) AS l_orderkey FROM flows) t WHERE l_orderkey BETWEEN 50 AND 12345""")
+ORACLE["train_test_split"] = with_ctes(_F, body="""
+SELECT flow_id, CASE WHEN CAST('0x' || substr(md5('42|' || flow_id), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM flows""")
+# every coalition of the five members as a bit mask; a member's value is its mean gain over all orders of joining
+ORACLE["shapley_weights"] = with_ctes(SCORED_CTES, """
+pat AS (SELECT v1, v2, v3, v4, v5, y, count(*) AS n FROM scored GROUP BY ALL),
+masks AS (SELECT m, bit_count(m) AS k FROM (SELECT unnest(range(32)) AS m) r),
+val AS (SELECT m, k, CASE WHEN k = 0 THEN 0.0 ELSE CAST(sum(CASE WHEN CASE WHEN 2 * ((m & 1) * v1 + ((m >> 1) & 1) * v2 + ((m >> 2) & 1) * v3
+            + ((m >> 3) & 1) * v4 + ((m >> 4) & 1) * v5) >= k THEN 1 ELSE 0 END = y THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) END AS acc
+        FROM masks CROSS JOIN pat GROUP BY m, k),
+fact AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([24.0, 6.0, 4.0, 6.0, 24.0]) / 120.0 AS w),
+phi AS (SELECT i, sum(f.w * (b.acc - a.acc)) AS shapley FROM (SELECT unnest(range(5)) AS i) r JOIN val a ON (a.m >> i) & 1 = 0
+        JOIN val b ON b.m = a.m + (1 << i) JOIN fact f ON f.k = a.k GROUP BY i)""", body="""
+SELECT 'm' || CAST(i + 1 AS VARCHAR) AS member, round_even(shapley, 9) AS shapley,
+  round_even(shapley * 5.0 / sum(shapley) OVER (), 9) AS weight FROM phi""")

@@ -94,8 +94,11 @@ class EnsembleBundle:
 BUNDLE_FILE_PATTERN = "*_bundle.json"
 
 
-def _is_local(path: str) -> bool:
-    return path.startswith("file:") or "://" not in path
+def _fs(spark, path: str):
+    """(file system, path object) of a path as Spark resolves it: without a scheme, on its default file system."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def _local(path: str) -> str:
@@ -120,32 +123,32 @@ def _doc(bundle: EnsembleBundle) -> dict:
 
 
 def save_bundle(bundle: EnsembleBundle, directory: str, prefix: str = "flowscore", spark=None) -> str:
-    """Write the bundle JSON. Local paths use plain files; other file systems
-    (``hdfs://``, object stores) go through Spark's writer (pass ``spark``)."""
-    if spark is None or _is_local(directory):
-        d = _local(directory)
-        os.makedirs(d, exist_ok=True)
-        path = os.path.join(d, f"{prefix}_bundle.json")
-        with open(path, "w") as fh:
-            json.dump(_doc(bundle), fh, indent=1, sort_keys=True)
-        return path
+    """Write the bundle JSON as one file. With ``spark`` the path is Spark's, as
+    are those of saved members, so a bundle lies together on a shared file
+    system; without it the path is a local one."""
     path = f"{directory.rstrip('/')}/{prefix}_bundle.json"
-    spark.createDataFrame([(json.dumps(_doc(bundle), sort_keys=True),)], "doc string").coalesce(1) \
-        .write.mode("overwrite").text(path)
+    doc = json.dumps(_doc(bundle), indent=1, sort_keys=True)
+    if spark is None:
+        os.makedirs(_local(directory), exist_ok=True)
+        with open(_local(path), "w") as fh:
+            fh.write(doc)
+        return _local(path)
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(doc.encode()))
+    out.close()
     return path
 
 
 def find_bundle_file(directory: str, spark=None) -> str:
     """Exactly one bundle file must match; none or several is an error."""
-    if spark is None or _is_local(directory):
+    if spark is None:
         d = _local(directory)
         hits = sorted(glob.glob(os.path.join(d, BUNDLE_FILE_PATTERN)))
         listing = sorted(os.listdir(d)) if os.path.isdir(d) else []
     else:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(directory)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{BUNDLE_FILE_PATTERN}")) or []
+        fs, root = _fs(spark, directory)
+        found = fs.globStatus(_fs(spark, f"{directory.rstrip('/')}/{BUNDLE_FILE_PATTERN}")[1]) or []
         hits = sorted(str(st.getPath()) for st in found)
         listing = [str(st.getPath().getName()) for st in (fs.listStatus(root) if fs.exists(root) else [])]
     if not hits:
@@ -157,11 +160,11 @@ def find_bundle_file(directory: str, spark=None) -> str:
 
 def load_bundle(directory: str, spark=None) -> EnsembleBundle:
     path = find_bundle_file(directory, spark)
-    if spark is None or _is_local(directory):
+    if spark is None:
         with open(path) as fh:
             doc = json.load(fh)
     else:
-        doc = json.loads("".join(r[0] for r in spark.read.text(path).collect()))
+        doc = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
 
     def voter(d):
         d = dict(d)
