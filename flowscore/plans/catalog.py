@@ -128,10 +128,11 @@ def encode_large_vocabulary(spark, sf_dir):
     b = _bundle()
     ham = Voter("HAM", b.ham.members, (*b.ham.features, "origin"), b.ham.weights, b.ham.max_vote_index, b.ham.disagreement_threshold)
     members = (*b.members[:4], Member("m5", expr="CASE WHEN origin % 2 = 0 THEN 0.6 ELSE 0.3 END"))
-    b = b.with_(members=members, ham=ham, encoders=FIT.fit_encoders(f, ["origin"]))
-    codes = P.preprocess(f, b, keep=["flow_id"]).select("flow_id", F.col("origin").cast("int").alias("code"))
-    scored = S.score_table(f, b, flow_rate=0).select("flow_id", "pred_binary")
-    return scored.join(codes, "flow_id")
+    known = FIT.fit_encoders(f, ["origin"])["origin"]
+    scored = S.score_table(f, b.with_(members=members, ham=ham, encoders={"origin": known}), flow_rate=0)
+    classes = spark.read.parquet(known) if isinstance(known, str) else spark.createDataFrame(
+        [(c, i) for i, c in enumerate(known)], "value string, code int")
+    return P.encode_with_table(scored, "origin", classes, "code").select("flow_id", "code", "pred_binary")
 
 
 def _filled(spark, sf_dir):
@@ -307,8 +308,8 @@ def dfdm_early_exit_fitted(spark, sf_dir):
     from flowscore.operators.extra_trees import Forest, save_forest
     from flowscore.session import scratch_path
     from flowscore.sources.bundle import Member, Voter
-    two = Forest(["fwd_packet_length_max", "flow_iat_mean"], np.array([[-1, 0, -1, -1], [-1, 1, -1, -1]]),
-                 np.array([[0, 29, 0, 0], [0, 0.045, 0, 0]]), np.array([[0, 0, 0.05, 0.9], [0, 0, 0.1, 0.7]]), 1)
+    two = Forest(["fwd_packet_length_max", "flow_iat_mean"], 2, np.array([0, 1, -1, -1, -1, -1]), np.array([29, 0.045, 0, 0, 0, 0]),
+                 np.array([2, 4, -1, -1, -1, -1]), np.array([3, 5, -1, -1, -1, -1]), np.array([0, 0, 0.05, 0.9, 0.1, 0.7]))
     path = scratch_path(spark, "early-exit-forest")
     save_forest(spark, two, path)
     b = _bundle()
@@ -822,14 +823,15 @@ def bundle_summary(spark, sf_dir):
 
 @register("fitted_ensemble")
 def fitted_ensemble(spark, sf_dir):
-    """Fit both voters on the training split (100 estimators each, own members
-    and features, class weights, calibrated on out-of-fold scores), save and
-    reload the bundle, score the whole table in all modes and compare them."""
+    """Fit both voters on the training split (own members and features, class
+    weights, trees without a depth limit, calibrated on out-of-fold scores),
+    save and reload the bundle, score the whole table in all modes and compare
+    them. 27 fits: each member has 20 estimators here, 100 by default."""
     from flowscore.sources.bundle import load_bundle, save_bundle
     x = _train_frame(spark, sf_dir)
     d = scratch_path(spark, "bundle")
     fixture = _bundle()
-    b = ENS.fit_bundle(x.where("split = 'train'"), fixture.fdm.features, d, ham_features=fixture.ham.features, max_depth=FIT_DEPTH,
+    b = ENS.fit_bundle(x.where("split = 'train'"), fixture.fdm.features, d, estimators=20, ham_features=fixture.ham.features, max_depth=FIT_DEPTH,
                        calibrate="isotonic", folds=2, key="flow_id")
     b = b.with_(label_col="label")
     b = ENS.weighted_by_accuracy(b, FX.flows(spark, sf_dir).where(MEM.split_column("flow_id") == "train"))
