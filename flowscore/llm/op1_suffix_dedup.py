@@ -19,14 +19,16 @@ count); all strings are judged on the input.
    whose neighbour shares ``length`` bytes. Two places with one context repeat
    in whole.
 4. For spread anchors, each shard also gives the sorted 128-bit keys of its
-   strings, cut into key ranges; a range merges the shards' runs by binary
-   search and marks the strings found in two of them.
+   strings, cut into key ranges (as many as the counted places ask for); a
+   range merges the shards' runs by binary search and marks the strings found
+   in two of them.
 
 Defined results: a null or empty text has 0 bytes; texts shorter than
-``length`` lose nothing; repeated rows (same doc_id) are two places, and their
-removed spans are the same since their texts are told apart by content only -
-doc_id must be unique if texts differ; extra columns are ignored; an empty
-table gives an empty result. Texts are whole, of any length.
+``length`` lose nothing; rows are told apart by a key of id and text, so rows
+with a null doc_id and rows that repeat an id with another text are places of
+their own; equal rows (id and text) are two places and lose the same bytes;
+extra columns of any name are ignored; an empty table gives an empty result.
+Texts are whole, of any length.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
-from flowscore.llm.common import filter_of, chosen, pick, written
+from flowscore.llm.common import KEY, chosen, filter_of, keyed, pick, written
 
-LENGTH, GRAM, SPLIT, SHARD_BYTES, RANGES = 400, 160, 4096, 1 << 20, 64
+LENGTH, GRAM, SPLIT, SHARD_BYTES = 400, 160, 4096, 1 << 20
+RANGE_STRINGS = 1 << 18  # strings that one key range is to hold
 SEEN = 1 << 17
 
 
@@ -81,8 +84,8 @@ def _anchors(length):
         for b in T.slices(batches, "text", 256 << 10):
             buf, offs = T.text_buffer(b.column("text"))
             row, a, z, h = anchors_of(buf, offs, length)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(a), pa.array(z), pa.array(h.view(np.int64))],
-                                             names=["doc_id", "a", "z", "h"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row)) for c in KEY], pa.array(a), pa.array(z), pa.array(h.view(np.int64))],
+                                             names=[*KEY, "a", "z", "h"])
     return run
 
 
@@ -117,9 +120,9 @@ def _contexts(length):
 
 def _context_batch(b, doc, a, h, shards, ctx, n, body):
     return pa.RecordBatch.from_arrays([
-        b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(shards, pa.int64()),
-        pa.array(ctx, pa.binary()), pa.array(n, pa.int64()), pa.array(body, pa.binary())],
-        names=["doc_id", "a", "h", "shards", "ctx", "n", "body"])
+        *[b.column(c).take(pa.array(doc, pa.int64())) for c in KEY], pa.array(a, pa.int64()), pa.array(h, pa.int64()),
+        pa.array(shards, pa.int64()), pa.array(ctx, pa.binary()), pa.array(n, pa.int64()), pa.array(body, pa.binary())],
+        names=[*KEY, "a", "h", "shards", "ctx", "n", "body"])
 
 
 def suffix_array(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +230,8 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"lo": int(x), "hi": int(y)} for x, y in zip(edge[::2], edge[1::2])]
 
 
-def _shard(length):
-    """Rows sorted by (h, part): marks of repeated starts per context, and key runs of spread anchors."""
+def _shard(length, bands):
+    """Rows sorted by (h, part): marks of repeated starts per context, and key runs of spread anchors in 2**bands ranges."""
     names = ["ctx", "marks", "band", "k1", "k2", "refs", "starts"]
     types = [pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.int64(), pa.binary(), pa.binary(),
              pa.list_(pa.binary()), pa.binary()]
@@ -258,12 +261,12 @@ def _shard(length):
             k1, k2, body, start = _string_keys([g[3] for g in spread], length)
             order = np.lexsort((k2, k1))
             k1, k2, body, start = k1[order], k2[order], body[order], start[order]
-            cut = np.searchsorted(k1, (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)))
-            for band, part in enumerate(np.split(np.arange(len(k1)), cut)):
-                if len(part):
-                    use, local = np.unique(body[part], return_inverse=True)
-                    rows.append([None, None, band, k1[part].tobytes(), k2[part].tobytes(), [spread[u][0] for u in use],
-                                 np.stack([local, start[part]]).astype(np.int64).tobytes()])
+            band = (k1 >> np.uint64(64 - bands)).astype(np.int64) if bands else np.zeros(len(k1), np.int64)
+            edge = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            for lo, hi in zip(edge, np.append(edge[1:], len(k1))):
+                use, local = np.unique(body[lo:hi], return_inverse=True)
+                rows.append([None, None, int(band[lo]), k1[lo:hi].tobytes(), k2[lo:hi].tobytes(), [spread[u][0] for u in use],
+                             np.stack([local, start[lo:hi]]).astype(np.int64).tobytes()])
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
     def run(batches):
@@ -327,21 +330,24 @@ MARKS = "ctx binary, marks array<struct<lo: long, hi: long>>"
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, split: int = SPLIT) -> DataFrame:
-    """doc_id, spans (array of merged [lo, hi) byte ranges to remove) for documents that lose bytes."""
-    docs = pick(docs, "doc_id", "text").filter(f"octet_length(text) >= {length}")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    anchors = written(docs.mapInArrow(_anchors(length), f"doc_id {kind}, a long, z long, h long"), "suffix-anchors")
+    """The rows' key and spans (array of merged [lo, hi) byte ranges to remove) for ``keyed`` rows that lose bytes."""
+    docs = pick(docs, *KEY, "text").filter(f"octet_length(text) >= {length}")
+    keys = f"{KEY[0]} long, {KEY[1]} long"
+    anchors = written(docs.mapInArrow(_anchors(length), keys + ", a long, z long, h long"), "suffix-anchors")
     shared = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select(
-        "h", F.ceil(F.col("places") / split).alias("shards")), "suffix-shared")
-    places = written(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("a", "z", "h", "shards")).alias("spans")),
-                     "suffix-places")
+        "h", "places", F.ceil(F.col("places") / split).alias("shards")), "suffix-shared")
+    spread = shared.filter("shards > 1").agg(F.sum("places")).first()[0] or 0
+    bands = int(spread * (length - GRAM + 1) // RANGE_STRINGS).bit_length()
+    # equal rows give equal places: each is kept once, in the partial aggregation already
+    places = written(anchors.join(shared.drop("places"), "h").groupBy(*KEY).agg(
+        F.collect_set(F.struct("a", "z", "h", "shards")).alias("spans")), "suffix-places")
     slot, wanted = filter_of(places)
     texts = docs.withColumn("slot", slot).mapInArrow(chosen(wanted), docs.withColumn("slot", slot).schema).drop("slot")
-    context = written(texts.join(places, "doc_id").mapInArrow(
-        _contexts(length), f"doc_id {kind}, a long, h long, shards long, ctx binary, n long, body binary"), "suffix-contexts")
+    context = written(texts.join(places, [*KEY]).mapInArrow(
+        _contexts(length), keys + ", a long, h long, shards long, ctx binary, n long, body binary"), "suffix-contexts")
     dealt = context.filter("body is not null").withColumn("part", F.pmod(F.xxhash64("ctx"), F.col("shards"))).repartition(
         "h", "part").sortWithinPartitions("h", "part").select("ctx", "h", "part", "shards", "body")
-    solved = written(dealt.mapInArrow(_shard(length), MARKS + ", band long, k1 binary, k2 binary, refs array<binary>, starts binary"),
+    solved = written(dealt.mapInArrow(_shard(length, bands), MARKS + ", band long, k1 binary, k2 binary, refs array<binary>, starts binary"),
                      "suffix-solved")
     merged = solved.filter("band is not null").select("band", "k1", "k2", "refs", "starts").repartition("band").sortWithinPartitions(
         "band").mapInArrow(_merge, MARKS)
@@ -349,12 +355,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, split: int = SPLIT)
     whole = context.groupBy("ctx").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n")).filter("times > 1").select(
         "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("marks"))
     marks = written(marks.unionByName(whole).groupBy("ctx").agg(F.flatten(F.collect_list("marks")).alias("marks")), "suffix-marks")
-    found = context.select("doc_id", "a", "ctx").join(marks, "ctx").select(
-        "doc_id", F.transform("marks", lambda m: F.struct((F.col("a") + m["lo"]).alias("lo"), (F.col("a") + m["hi"] + length - 1).alias("hi"))).alias("s"))
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # equal rows stand in ``context`` as often as they repeat, but lose one list of spans
+    found = context.select(*KEY, "a", "ctx").join(marks, "ctx").select(
+        *KEY, F.transform("marks", lambda m: F.struct((F.col("a") + m["lo"]).alias("lo"), (F.col("a") + m["hi"] + length - 1).alias("hi"))).alias("s"))
+    return found.groupBy(*KEY).agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
-def _removed(with_text):
+def _removed(as_text):
     def run(batches):
         for b in T.slices(batches, "text", 1 << 20):
             rows = []
@@ -366,10 +373,11 @@ def _removed(with_text):
                     kept.append(body[at:lo])
                     removed, n, at = removed + hi - lo, n + 1, hi
                 kept = b"".join([*kept, body[at:]])
-                rows.append((len(body), removed, n, hashlib.sha256(kept).hexdigest(), kept))
-            cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols[: 5 if with_text else 4]],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
+                kept_as = kept if not as_text else None if text.as_py() is None else kept.decode("utf-8", "ignore")
+                rows.append((len(body), removed, n, hashlib.sha256(kept).hexdigest(), kept_as))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
+            cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
     return run
 
 
@@ -383,20 +391,24 @@ def _merged(spans):
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, split: int = SPLIT, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, the kept bytes of every row."""
-    docs = pick(docs, "doc_id", "text")
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, split: int = SPLIT, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row.
+
+    ``kept`` holds the remaining bytes, with ``as_text`` as a string (bytes of a
+    character that a cut went through are left out; null for a null text).
+    """
+    docs = keyed(pick(docs, "doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = written(repeated_spans(docs, length=length, split=split), "suffix-spans")
     slot, wanted = filter_of(spans)
     marked = docs.withColumn("slot", slot)
     none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     rest = marked.mapInArrow(chosen(wanted, False), marked.schema).select("doc_id", "text", none)
-    some = marked.mapInArrow(chosen(wanted), marked.schema).drop("slot").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return rest.unionByName(some).mapInArrow(_removed(with_text), out)
+    some = marked.mapInArrow(chosen(wanted), marked.schema).join(spans, [*KEY], "left").select("doc_id", "text", "spans")
+    return rest.unionByName(some).mapInArrow(_removed(as_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept "
+                                             + ("string" if as_text else "binary"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from flowscore.llm.common import table
-    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return suffix_dedup(table(spark, sf_dir, "documents"), as_text=True).withColumnRenamed("kept", "text")
