@@ -19,15 +19,20 @@ reaches the least overlap the smallest sizes need. Class pairs that survive
 with their own bitmaps are verified exactly on the whole sets.
 
 Groups of near copies are not expanded into all pairs: in the first round a
-large bucket only proposes its medoid with every member; links found so far
-give components, and the second round skips node pairs that lie in one component,
-proposing all that is left, so no link between components is
-lost. A bucket above ``chunk`` classes is dealt out as pairs of chunks.
+bucket only proposes one member with every other one (its medoid, or in a leaf
+the one with the smallest key), so it proposes fewer pairs than it has members;
+links found so far give components, and the second round skips node pairs that
+lie in one component, proposing all that is left, so no link between components
+is lost. A bucket above ``chunk`` classes is dealt out as pairs of chunks.
 
 Defined results: null, empty and blank texts have 0 shingles and are their own
-component; a text with fewer than k words is one shingle; repeated rows are
-each returned; a component is named by its smallest doc_id; extra columns are
-ignored; an empty table gives an empty result.
+component; a text with fewer than k words is one shingle; very long texts are
+one set each; a component is named by its smallest doc_id, null only if none of
+its rows has one; rows are told apart by a key of id and text, so rows with a
+null doc_id and rows that repeat an id with another text link like any others;
+equal rows are each returned by ``ngram_components`` and one of them stays in
+``one_of_each``; extra columns of any name are ignored by the one and kept by
+the other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,14 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
-from flowscore.llm.common import filter_of, in_filter, pick, written
+from flowscore.llm.common import KEY, filter_of, in_filter, keyed, pick, written
 from flowscore.llm.components import components
 
 K, NUM, DEN = 4, 85, 100
 FREQUENT, MAX_FREQUENT = 200, 1 << 16  # order only: any set of frequent shingles gives the same links
 CHUNK, LEAF, FAN, WORDS = 2048, 32, 8, 16
 SEEN = 1 << 18
-SPREAD = 8
+ROUNDS = 3  # of labels after the first round of links: enough for stars of stars
+SPREAD_ROWS = 2048  # rows of buckets with one smallest member that meet in a task
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -81,8 +87,9 @@ def _bitmap(u: np.ndarray) -> bytes:
     return words.tobytes()
 
 
-def _keys(u: np.ndarray) -> tuple[int, int]:
-    both = np.array([T.mix(u).sum(dtype=np.uint64), T.mix(u ^ T.MIX2).sum(dtype=np.uint64)])
+def _keys(u: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's class number (unique in the table, see ``_classes``) and a second hash that proves it."""
+    both = np.array([T.mix(u + np.uint64(salt)).sum(dtype=np.uint64), T.mix(u ^ T.MIX2).sum(dtype=np.uint64)])
     return tuple(T.mix(both + np.uint64(len(u))).view(np.int64).tolist())
 
 
@@ -104,7 +111,7 @@ def _lists(heads: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
 
 
-def _scan(k, num, den):
+def _scan(k, num, den, salt):
     """Per document its class key and set size; for the first copy that a task
     meets also the prefix shingles and bitmaps (a partial aggregation: at most
     ``SEEN`` keys are remembered)."""
@@ -114,16 +121,16 @@ def _scan(k, num, den):
         for b in T.slices(batches, "text"):
             sets = shingle_sets(b.column("text"), k)
             n = np.array([len(u) for u in sets], np.int64)
-            keys = [_keys(u) if len(u) else (None, None) for u in sets]
+            keys = [_keys(u, salt) if len(u) else (None, None) for u in sets]
             if len(seen) > SEEN:
                 seen = set()
             new = [len(u) > 0 and not (key in seen or seen.add(key)) for u, key in zip(sets, keys)]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array(n), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()),
+                *[b.column(c) for c in KEY], b.column("doc_id"), pa.array(n), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()),
                 _lists([_head(u, none.view(np.uint64), num, den) if x else none for u, x in zip(sets, new)]),
                 pa.array([_bitmap(u) if x else None for u, x in zip(sets, new)], pa.binary()),
                 pa.array([_wide(u) if x else None for u, x in zip(sets, new)], pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "prefix", "bitmap", "wide"])
+                names=[*KEY, "doc_id", "n", "k1", "k2", "prefix", "bitmap", "wide"])
     return run
 
 
@@ -135,16 +142,16 @@ def _touched(frequent):
             p = b.column("prefix")
             hit = np.isin(p.flatten().to_numpy(), often)
             row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.unique(row[hit])))], names=["doc_id"])
+            yield b.select([*KEY]).take(pa.array(np.unique(row[hit])))
     return run
 
 
-def _reordered(k, num, den, wanted, frequent):
+def _reordered(k, num, den, wanted, frequent, salt):
     """(k1, n, prefix) under the order that puts frequent shingles last, for the wanted documents."""
     def run(batches):
         for b in T.slices(batches, "text"):
             sets = shingle_sets(in_filter(b, wanted).column("text"), k)
-            keys = [_keys(u)[0] for u in sets if len(u)]
+            keys = [_keys(u, salt)[0] for u in sets if len(u)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([len(u) for u in sets if len(u)], pa.int64()),
                 _lists([_head(u, frequent.value, num, den) for u in sets if len(u)])], names=["k1", "n", "prefix"])
@@ -274,8 +281,17 @@ def _propose(num, den, star):
             yield from ((ids[i], ids[j]) for i, j in bucket.traverse(m))
 
     def small(ids, n, bits, comp, ends):
-        """All surviving pairs of many small buckets at once; ends: end of the own bucket of each row."""
+        """Surviving pairs of many small buckets at once; ends: end of the own bucket of each row."""
         bucket = _Bucket(n, bits, comp, num, den)
+        if star:
+            first = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.flatnonzero(ids == np.repeat(np.minimum.reduceat(ids, first), size))  # one a bucket: its members differ
+            i, j = np.repeat(least, size), np.arange(len(ids))
+            i, j = i[i != j], j[i != j]
+            got = bucket.alike(i, j)
+            yield ids[i[got]], ids[j[got]]
+            return
         per = ends - np.arange(len(ids)) - 1
         total = np.cumsum(per)
         lo = 0
@@ -336,13 +352,15 @@ def _propose(num, den, star):
     return run
 
 
-def _sets_of(k, wanted):
-    """(doc_id, set) of the documents whose hashed id is in the fixed-size filter."""
+def _sets_of(k, wanted, salt):
+    """(k1, set) of the documents whose row key is in the fixed-size filter."""
     def run(batches):
         for b in T.slices(batches, "text"):
             b = in_filter(b, wanted)
             sets = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], names=["doc_id", "set"])
+            sets = [u for u in sets if len(u)]
+            yield pa.RecordBatch.from_arrays([pa.array([_keys(u, salt)[0] for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())],
+                                             names=["k1", "set"])
     return run
 
 
@@ -375,7 +393,7 @@ def _verify(num, den):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, salt: int) -> DataFrame:
     """The pairs of classes that link: first by wide bitmaps, then by their whole sets."""
     def side(c, *cols):
         return [F.col("k1").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols]]
@@ -383,72 +401,101 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     wide = pairs.join(classes.select(*side("b", "n", "wide")), "b").join(classes.select(*side("a", "n", "wide")), "a")
     left = written(wide.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_wide_check(num, den), "a long, b long"), "join-left")
     ids = left.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = written(ids.join(classes, "k1").select("k1", F.col("rep").alias("doc_id")), "join-wanted")
+    wanted = written(ids.join(classes, "k1").select("k1", F.col("rep").alias(KEY[0])), "join-wanted")
     slot, bitmap = filter_of(wanted)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.withColumn("slot", slot).mapInArrow(_sets_of(k, bitmap), f"doc_id {kind}, set binary")
-    sets = written(sets.join(wanted, "doc_id").dropDuplicates(["k1"]).select("k1", "set"), "join-sets")
+    sets = docs.withColumn("slot", slot).mapInArrow(_sets_of(k, bitmap, salt), "k1 long, set binary")
+    sets = written(sets.join(wanted.select("k1"), "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")  # one class has one set
     both = left.join(sets.select(*side("b", "set")), "b").join(sets.select(*side("a", "set")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def ngram_components(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = DEN, chunk: int = CHUNK,
-                     frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text")
+def _classes(docs: DataFrame, k: int, num: int, den: int):
+    """(written rows, their written classes, salt): a class number stands for one set only.
+
+    Class numbers are 64-bit hashes; should two sets share one, which the
+    second hash tells, the next salt is taken.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    all_docs = written(docs.mapInArrow(_scan(k, num, den), f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, "
-                                       "bitmap binary, wide binary"), "join-docs")
+    salt = 0
+    while True:
+        rows = written(docs.mapInArrow(_scan(k, num, den, salt), f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, n long, k1 long, k2 long, "
+                                       "prefix array<long>, bitmap binary, wide binary"), "join-docs")
+        classes = written(rows.filter("n > 0").groupBy("k1").agg(
+            F.min("k2").alias("lo"), F.max("k2").alias("hi"), F.min(KEY[0]).alias("rep"), F.max("n").alias("n"),
+            F.max("bitmap").alias("bitmap"), F.max("wide").alias("wide")), "join-classes")
+        if classes.filter("lo <> hi").isEmpty():
+            return rows, classes.drop("lo", "hi"), salt
+        salt += 1
+
+
+def _grouped(docs: DataFrame, *, k: int = K, num: int = NUM, den: int = DEN, chunk: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
+    """Key, doc_id, n and comp (the component's number, null without shingles) of every ``keyed`` row."""
+    spark = docs.sparkSession
+    docs = pick(docs, *KEY, "doc_id", "text")
+    all_docs, classes, salt = _classes(docs, k, num, den)
     some = all_docs.filter("n > 0")
     often = some.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(
         F.col("df") > frequent).orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toArrow()["token"].to_numpy()
     order = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))  # at most MAX_FREQUENT values
-    classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"),
-                                                   F.max("wide").alias("wide")), "join-classes")
-    rows = some.select("doc_id", "k1", "n", "prefix")
+    rows = some.select(*KEY, "k1", "n", "prefix")
     if len(often):
-        touched = written(rows.select("doc_id", "prefix").mapInArrow(_touched(order), f"doc_id {kind}"), "join-touched")
+        touched = written(rows.select(*KEY, "prefix").mapInArrow(_touched(order), f"{KEY[0]} long, {KEY[1]} long"), "join-touched")
         slot, wanted = filter_of(touched)
-        rows = rows.join(touched, "doc_id", "left_anti").select("k1", "n", "prefix").unionByName(
-            docs.withColumn("slot", slot).mapInArrow(_reordered(k, num, den, wanted, order), "k1 long, n long, prefix array<long>"))
+        rows = rows.join(touched, [*KEY], "left_anti").select("k1", "n", "prefix").unionByName(
+            docs.withColumn("slot", slot).mapInArrow(_reordered(k, num, den, wanted, order, salt), "k1 long, n long, prefix array<long>"))
     rows = rows.select(F.explode("prefix").alias("token"), "k1", "n")
     member = written(rows.repartition("token").sortWithinPartitions("token", "k1").mapInArrow(
         _shared_only, "token long, k1 long, n long, df long"), "join-members")
     links, comp = None, None
     for step in ("star", "all"):
-        part = member if comp is None else member.filter(F.col("df") > LEAF).join(comp, member["k1"] == comp["id"], "left")
+        part = member if comp is None else member.filter("df > 2").join(comp, member["k1"] == comp["id"], "left")
         part = part.withColumn("comp", F.coalesce("comp", "k1") if comp is not None else F.col("k1"))
+        deal = F.xxhash64("token", "part")
         if comp is not None:  # buckets that lie in one component are done
-            mixed = written(part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("k1").alias("lead")).filter(
-                "x <> y").select("token", "lead"), "join-mixed")
-            part = part.join(mixed, "token")
+            mixed = written(part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("k1").alias("lead"),
+                                                      F.count(F.lit(1)).alias("size")).filter("x <> y"), "join-mixed")
+            # near copies share many buckets: those with one smallest member meet in few tasks, where repeated pairs go
+            tasks = mixed.groupBy("lead").agg(F.ceil(F.sum("size") / SPREAD_ROWS).alias("tasks"))
+            part = part.join(mixed.join(tasks, "lead").select("token", "lead", "tasks"), "token")
+            deal = F.xxhash64("lead", F.pmod(F.xxhash64("token"), F.col("tasks")), "part")
         pieces = F.ceil(F.col("df") / chunk)
         mine = F.pmod(F.xxhash64("k1"), pieces)
         part = part.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1),
                                                              lambda c: F.least(c, mine) * 1000003 + F.greatest(c, mine))))
-        # near copies share many buckets: those with one smallest member meet in SPREAD tasks, where repeated pairs go
-        deal = F.xxhash64("token", "part") if comp is None else F.xxhash64("lead", F.pmod(F.xxhash64("token"), F.lit(SPREAD)), "part")
         part = part.withColumn("deal", deal).join(classes.select("k1", "bitmap"), "k1").select(
             "deal", "token", "part", "k1", "n", "comp", "bitmap")
         dealt = part.repartition("deal").drop("deal").sortWithinPartitions("token", "part", "n", "k1")
         pairs = written(dealt.mapInArrow(_propose(num, den, step == "star"), "a long, b long").distinct(), "join-pairs")
-        found = written(_verified(pairs, docs, classes, k, num, den).distinct(), "join-links")
+        found = written(_verified(pairs, docs, classes, k, num, den, salt).distinct(), "join-links")
         if comp is None or not found.isEmpty():  # later rounds only find links between components
             links = found if links is None else links.unionByName(found)
-            comp = components(links, "join-comp", rounds=None if step == "all" else 1)
+            comp = components(links, "join-comp", rounds=None if step == "all" else ROUNDS)
         elif step == "all":
             comp = components(links, "join-comp")
-    of = all_docs.select("doc_id", "n", "k1").join(comp.withColumnRenamed("id", "k1"), "k1", "left").select(
-        "doc_id", "n", F.coalesce("comp", "k1").alias("comp"))
+    return all_docs.select(*KEY, "doc_id", "n", "k1").join(comp.withColumnRenamed("id", "k1"), "k1", "left").select(
+        *KEY, "doc_id", "n", F.coalesce("comp", "k1").alias("comp"))
+
+
+def ngram_components(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``; parameters as in ``_grouped``."""
+    of = _grouped(keyed(pick(docs, "doc_id", "text")), **params)
     first = written(of.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("first")), "join-first")
     return of.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component."""
-    gone = ngram_components(docs, **params).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component, that with the smallest doc_id (a null one last)."""
+    rows = keyed(docs)
+    of = written(_grouped(rows, **params).filter("n > 0"), "join-rows")
+    best = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"))
+    judged = of.groupBy("comp", *KEY).agg(F.count(F.lit(1)).alias("copies")).join(best, "comp").select(
+        *KEY, "copies", ((F.col(KEY[0]) == F.col(f"best.{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"best.{KEY[1]}"))).alias("stays"))
+    judged = written(judged.filter("not stays or copies > 1"), "join-judged")
+    kept = rows.join(judged.filter("not stays").select(*KEY), [*KEY], "left_anti")
+    twice = judged.filter("stays").select(*KEY)
+    if not twice.isEmpty():  # equal rows
+        kept = kept.join(twice, [*KEY], "left_anti").unionByName(kept.join(twice, [*KEY], "left_semi").dropDuplicates([*KEY]))
+    return kept.drop(*KEY)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
