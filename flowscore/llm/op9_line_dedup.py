@@ -6,13 +6,16 @@ Result: every unit that lies in a window whose content already occurs at an
 earlier place (smaller doc_id, or the same document and an earlier line) is
 deleted, i.e. the later copies of repeated runs go and the first copy stays.
 
-How: each window selects its minimal line hash (the last one on ties) as a
-fingerprint; equal windows select the same line, so a repeated run of window
-length is certain to share a fingerprint. Fingerprints that stand at two or
-more positions are joined back to the windows that chose them; the windows
-around a shared fingerprint are compared on both sides through their whole
-128-bit content, each with the first place of that content, and neighbouring
-matched windows merge into the maximal run.
+How: each window selects its minimal line hash (the last one on ties), and only
+the selected positions are kept, as fingerprints; equal windows select the same
+line of theirs, so two copies of a run are certain to share fingerprints. A
+position carries how its windows extend from it: how many lines to the left,
+and a 128-bit hash of the neighbouring lines on both sides. Positions are
+joined by fingerprint; those that share theirs with another position are
+extended: a match is two positions of one fingerprint whose neighbours agree
+both ways, and every position but the first of those that agree deletes the
+lines it extends over. Every window of a longer run has a fingerprint, so the
+matches of neighbouring positions add up to the maximal run.
 
 A line that a third of all documents hold is one row per key and task in the
 two aggregates (partial aggregation), and the joins probe a written table, so
@@ -20,9 +23,13 @@ both sides are plain exchanges that AQE splits. No pair of documents is made.
 
 Defined results: a null or empty text stays as it is (no units, nothing
 removed); lines without a word are never units and never removed; a document
-with fewer units than ``run_lines`` only has its long lines as windows;
-repeated doc_ids: rows are told apart by nothing, so doc_id must be unique;
-rows with a null doc_id are returned unchanged.
+with fewer units than ``run_lines`` only has its long lines as windows; very
+long texts and lines are whole; rows are told apart by a key of id and text, so
+rows that repeat an id with another text are documents of their own (in the
+order of their keys), and rows with a null doc_id come after all others; equal
+rows are one place and keep the same lines; extra columns stay, and those named
+like a result column of ``line_dedup`` give way to it; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,70 +37,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.llm.common import has_word, let, pick, words, written
+from flowscore.llm.common import KEY, has_word, keyed, let, pick, words, written
 
 RUN_LINES, LONG_LINE = 2, 50
+COUNTS = ("n_lines", "n_removed", "n_runs")
 
 
 def _units(text: Column) -> Column:
-    """array<struct<at, h, g, n>>: line index, two hashes and word count of each unit."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("x")))
-    return F.transform(F.filter(lines, lambda s: has_word(s["x"])), lambda s: F.struct(
-        s["at"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit("second"), s["x"]).alias("g"),
-        F.size(words(s["x"])).alias("n")))
+    """array<struct<h, g, n>>: two hashes and word count of each unit."""
+    return F.transform(F.filter(F.split(text, "\n"), has_word), lambda x: F.struct(
+        F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"), F.size(words(x)).alias("n")))
 
 
-def _windows(u: Column, run: int, long_line: int) -> Column:
-    """array<struct<i, k, h, g, fp, at>> of a document's windows.
+def _positions(u: Column, run: int, long_line: int) -> Column:
+    """array<struct<at, fp, ways>> of the units that some window selects.
 
-    i: first unit, k: units, (h, g): content, fp and at: the fingerprint chosen
-    and its unit (the last minimal line hash of the window).
+    ways: array<struct<l, k, h, g>>, one per window that selects the unit: it
+    starts ``l`` units to the left, has ``k`` units, and (h, g) is the content
+    of its other units.
     """
     n = F.size(u)
 
-    def of(i):
-        return let(F.slice(u, i + 1, run), lambda part: let(F.array_min(F.transform(part, lambda s: s["h"])), lambda low: F.struct(
-            i.alias("i"), F.lit(run).alias("k"), F.xxhash64(F.transform(part, lambda s: s["h"])).alias("h"),
-            F.xxhash64(F.transform(part, lambda s: s["g"])).alias("g"), low.alias("fp"),
-            (i + F.array_max(F.transform(part, lambda s, j: F.when(s["h"] == low, j).otherwise(-1)))).alias("at"))))
+    def unit(p):
+        return F.get(u, p)
 
-    runs = F.when(n >= run, F.transform(F.sequence(F.lit(0), F.greatest(n - run, F.lit(0))), of))
-    alone = F.filter(F.transform(u, lambda s, i: F.struct(
-        i.alias("i"), F.lit(1).alias("k"), F.xxhash64(F.lit("one"), s["h"]).alias("h"), F.xxhash64(F.lit("one"), s["g"]).alias("g"),
-        s["h"].alias("fp"), F.when(s["n"] >= long_line, i).otherwise(-1).alias("at"))), lambda s: s["at"] >= 0)
-    empty = F.filter(alone, lambda s: F.lit(False))
-    return F.concat(F.coalesce(runs, empty), alone)
+    def ways(p):
+        out = []
+        for left in range(run):  # the window that starts ``left`` units before p
+            around = [unit(p + d) for d in range(-left, run - left) if d]
+            least = [x["h"] >= unit(p)["h"] for x in around[:left]] + [x["h"] > unit(p)["h"] for x in around[left:]]
+            picked = (p >= left) & (p + (run - left) <= n)
+            for c in least:
+                picked = picked & c
+            out.append(F.when(picked, _way(left, run, *([x[c] for x in around] for c in "hg"))))
+        out.append(F.when(unit(p)["n"] >= long_line, _way(0, 1, [], [unit(p)["g"]])))
+        return F.filter(F.array(*out), lambda w: w.isNotNull())
 
+    found = F.transform(u, lambda x, p: F.struct(p.alias("at"), x["h"].alias("fp"), ways(p).alias("ways")))
+    return F.filter(found, lambda s: F.size(s["ways"]) > 0)
 
-def windows(docs: DataFrame, run_lines: int, long_line: int) -> DataFrame:
-    """One row per window: doc_id, i, k, (h, g), fp, at."""
-    return pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null").select(
-        "doc_id", F.inline(let(_units(F.col("text")), lambda u: _windows(u, run_lines, long_line))))
 
+def _way(left: int, size: int, h: list[Column], g: list[Column]) -> Column:
+    return F.struct(F.lit(left).alias("l"), F.lit(size).alias("k"), F.xxhash64(F.lit("h"), *h).alias("h"), F.xxhash64(F.lit("g"), *g).alias("g"))
 
-def removed_units(docs: DataFrame, run_lines: int, long_line: int) -> DataFrame:
-    """Per document with something to delete: doc_id, ``gone`` (array of unit numbers)."""
-    win = written(windows(docs, run_lines, long_line), "line-windows")
-    place = F.struct("doc_id", "at")
-    prints = win.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    shared = written(prints.filter("lo <> hi").select("fp"), "line-fingerprints")
-    near = win.join(shared, "fp")  # the windows around shared fingerprints
-    here = F.struct("doc_id", "i")
-    first = written(near.groupBy("h", "g").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).filter("lo <> hi").select(
-        "h", "g", F.col("lo.doc_id").alias("first_doc"), F.col("lo.i").alias("first_i")), "line-first")
-    later = win.join(first, ["h", "g"]).filter("doc_id <> first_doc or i <> first_i")
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-        F.sequence(F.col("i"), F.col("i") + F.col("k") - 1))))).alias("gone"))
 
+def positions(rows: DataFrame, run_lines: int, long_line: int) -> DataFrame:
+    """One row per selected position of ``keyed`` rows: ``doc`` (orders the documents), at, fp, ways."""
+    doc = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY).alias("doc")
+    return pick(rows, "doc_id", "text", *KEY).filter("text is not null").select(
+        doc, F.inline(let(_units(F.col("text")), lambda u: _positions(u, run_lines, long_line))))
 
-def line_dedup(docs: DataFrame, *, run_lines: int = RUN_LINES, long_line: int = LONG_LINE) -> DataFrame:
-    """``docs`` with the text after deletion and n_lines, n_removed, n_runs.
+
+def removed_units(rows: DataFrame, run_lines: int, long_line: int) -> DataFrame:
+    """Per ``keyed`` row with something to delete: its key and ``gone`` (array of unit numbers)."""
+    pos = written(positions(rows, run_lines, long_line), "line-positions")
+    place = F.struct("doc", "at")
+    prints = pos.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    shared = prints.filter("lo <> hi").select("fp")
+    near = written(pos.join(shared, "fp").select("doc", "at", "fp", F.inline("ways")), "line-matches")
+    same = ["fp", "l", "k", "h", "g"]  # one fingerprint, and neighbours that agree on both sides
+    first = written(near.groupBy(*same).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select(
+        *same, F.col("lo").alias("first")), "line-first")
+    later = near.join(first, same).filter(place != F.col("first"))
+    start = F.col("at") - F.col("l")
+    return later.groupBy(*[F.col(f"doc.{c}").alias(c) for c in KEY]).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(
+        F.sequence(start, start + F.col("k") - 1))))).alias("gone"))
+
+
+def rewritten(docs: DataFrame, *, run_lines: int = RUN_LINES, long_line: int = LONG_LINE) -> DataFrame:
+    """``docs`` with the text after deletion and a struct ``__lines`` of n_lines, n_removed, n_runs.
 
     n_lines counts the units, n_removed the deleted ones and n_runs the maximal
     deleted runs; all other columns of ``docs`` stay as they are.
     """
-    gone = removed_units(docs, run_lines, long_line).withColumnRenamed("doc_id", "__doc").withColumnRenamed("gone", "__gone")
-    marked = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left")
+    rows = keyed(docs)
+    gone = removed_units(rows, run_lines, long_line).withColumnRenamed("gone", "__gone")
+    marked = rows.join(gone, [*KEY], "left")
 
     def rebuilt(lines):  # the line numbers of the units, those of the deleted units, then the lines of all others
         at = F.filter(F.transform(lines, lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull())
@@ -103,11 +122,16 @@ def line_dedup(docs: DataFrame, *, run_lines: int = RUN_LINES, long_line: int =
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(let(F.split(F.col("text"), "\n"), rebuilt))
     units = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), has_word))
     runs = F.size(F.filter(F.col("__gone"), lambda k, j: (j == 0) | (F.col("__gone")[F.greatest(j - 1, F.lit(0))] != k - 1)))
-    named = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
-    return marked.select(
-        *named, units.cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"))
+    none = F.col("__gone").isNull()
+    counts = (units, F.when(none, 0).otherwise(F.size("__gone")), F.when(none, 0).otherwise(runs))
+    lines = F.struct(*[c.cast("long").alias(name) for name, c in zip(COUNTS, counts)])
+    return marked.withColumns({"__lines": lines, "text": text}).drop("__gone", *KEY)
+
+
+def line_dedup(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with the text after deletion and n_lines, n_removed, n_runs; parameters as in ``rewritten``."""
+    out = rewritten(docs, **params)
+    return out.withColumns({c: F.col(f"__lines.{c}") for c in COUNTS}).drop("__lines")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
