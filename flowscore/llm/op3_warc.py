@@ -19,8 +19,10 @@ payload with a magic inside are read again and joined to their record.
 Defined results: a null html is an empty payload; empty payloads count as
 equal when ``min_bytes`` is 0; line breaks and blanks in a url are written as
 %XX; a null url leaves the header field out; rows with a null page_id are
-written as responses of their own; repeated page_ids are each a record; extra
-columns are ignored; an empty table gives empty archives and an empty result.
+written as responses of their own; a repeated page_id is a record per row and
+each is judged by its own payload (equal rows are alike: all responses or all
+revisits); payloads of any length are whole; extra columns of any name are
+ignored; an empty table gives empty archives and an empty result.
 A chain that breaks (a damaged file) ends there, later records are not kept.
 """
 
@@ -77,13 +79,15 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, date:
     """Archive ``pages`` (page_id, url, html) under ``path``, one file per task."""
     pages = pick(pages, "page_id", "url", "html")
     html = F.coalesce("html", F.lit(""))
-    sums = written(pages.select("page_id", F.sha1(html.cast("binary")).alias("sum"), F.octet_length(html).alias("n")).filter(
+    payload = {"sum": F.sha1(html.cast("binary")), "n": F.octet_length(html)}
+    sums = written(pages.select("page_id", *[v.alias(k) for k, v in payload.items()]).filter(
         (F.col("n") >= min_bytes) & F.col("page_id").isNotNull()), "warc-sums")
     first = written(sums.groupBy("sum", "n").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least")).filter(
         "last <> least").drop("least"), "warc-equal")
+    # a row is its page_id and payload: rows of one page_id may hold different payloads
     again = written(sums.join(first, ["sum", "n"]).filter("page_id <> last").select(
-        F.col("page_id").alias("id"), F.col("last").alias("refers_to")).distinct(), "warc-revisits")
-    rows = pages.join(again, pages["page_id"] == F.col("id"), "left").select("page_id", "url", "html", "refers_to")
+        "page_id", "sum", "n", F.col("last").alias("refers_to")).distinct(), "warc-revisits")
+    rows = pages.withColumns(payload).join(again, ["page_id", "sum", "n"], "left").select("page_id", "url", "html", "refers_to")
     rows.mapInArrow(_records(date), "value binary").select(F.col("value").cast("string")).write.option(
         "lineSep", END.decode()).text(path)
 
