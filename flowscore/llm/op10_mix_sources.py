@@ -11,14 +11,22 @@ The weights are realised as budgeted block permutations: the rows of a source
 fall into ``blocks`` hash blocks; every pass over the source visits the blocks
 in a new order (a hash of block and pass), whole passes first, and the last
 pass takes blocks in its order until the source's word budget is met, cutting
-the block on the boundary row by row in hash order. Block sizes are summed
-before any window, so a window holds at most ``blocks`` rows, or the rows of
-the one block that is cut.
+the block on the boundary row by row in hash order. The cut block's rows are
+summed by the leading ``DIGITS`` hex digits of that order first, and only the
+part on the boundary is put in order row by row: 1 of 16**DIGITS x ``blocks``
+parts of a source. Sizes are summed before any window, so a window holds at
+most ``blocks`` or 16**DIGITS rows, or the rows of that part.
+
+The rows themselves go through: a row joins the plan by source and block, never
+by its id, so each drawn copy is the row it was.
 
 Defined results: rows with a null or empty text count 0 words and are drawn
-with their block; a null source is a source of its own; a source without any
-word has weight 0 and is not drawn; repeated rows are drawn as often as they
-stand there; an empty table gives an empty mix; extra columns are ignored.
+with their block; very long texts are counted whole; a null source is a source
+of its own; a source without any word has weight 0 and is not drawn; a null
+doc_id is replaced by a hash of the text in all orders, rows that repeat an id
+share a block, and equal rows are drawn as often as they stand there (on the
+boundary in any order, they are alike); an empty table gives an empty mix;
+extra columns are ignored by ``mix_sources`` and kept by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -26,21 +34,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowscore.llm.common import written
+from flowscore.llm.common import pick, written
 
 ENTROPY_SHARE, MAX_REPEAT, BLOCKS, SEED = 0.95, 4.0, 256, 7
 STEPS, INNER = 8, 15
+DIGITS = 4
 
 
 def _hash(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def sized(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """doc_id, source, n_words, block: all that the schedule needs of a row."""
-    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", n.alias("n_words"),
-                       F.pmod(F.conv(F.substring(_hash(seed, F.col("doc_id")), 1, 7), 16, 10).cast("long"), F.lit(blocks)).alias("block"))
+def _id(prefix: str = "") -> Column:
+    return F.coalesce(F.col(f"{prefix}doc_id").cast("string"), F.md5(F.coalesce(F.col(f"{prefix}text"), F.lit("")).cast("binary")))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def _block(row_id: Column, blocks: int, seed: int) -> Column:
+    return F.pmod(F.conv(F.substring(_hash(seed, row_id), 1, 7), 16, 10).cast("long"), F.lit(blocks))
 
 
 def exponent(totals: DataFrame, entropy_share: float, max_repeat: float, budget: int | None) -> tuple[float, float, int, int]:
@@ -93,15 +107,15 @@ def _ln(x: float) -> float:
     return math.log(x)
 
 
-def schedule(rows: DataFrame, *, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, blocks: int = BLOCKS,
-             seed: int = SEED, budget: int | None = None) -> DataFrame:
-    """One row per drawn copy: doc_id, source, copy, block, words_before, source_budget.
+def planned(per_block: DataFrame, *, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, seed: int = SEED,
+            budget: int | None = None) -> DataFrame:
+    """The blocks to draw, from their sizes (source, block, words), written.
 
-    ``copy`` counts passes over the source from 0; ``words_before`` is the
-    number of words of the source's schedule before this block, so
-    ``words_before / source_budget`` orders the blocks of all sources evenly.
+    Columns: s, b (source and block), copy, source_budget, rest (words of the
+    last pass), inside (words of the pass before this block), words_before
+    (words of the source's schedule before it), cut (whether only its first
+    rows are drawn).
     """
-    per_block = rows.groupBy("source", "block").agg(F.sum("n_words").alias("words"))
     per_block = written(per_block, "mix-blocks")
     totals = written(per_block.groupBy("source").agg(F.sum("words").alias("words")).filter("words > 0"), "mix-sources")
     a, z, all_words, budget = exponent(totals, entropy_share, max_repeat, budget)
@@ -119,20 +133,44 @@ def schedule(rows: DataFrame, *, entropy_share: float = ENTROPY_SHARE, max_repea
         F.col("source").alias("s"), F.col("block").alias("b"), "copy", "source_budget", "rest", "inside",
         (F.col("copy") * F.col("source_words") + F.col("inside")).alias("words_before"),
         ((F.col("copy") == F.col("passes")) & (F.col("inside") + F.col("words") > F.col("rest"))).alias("cut"))
-    plan = written(plan, "mix-plan")
-    on = rows["source"].eqNullSafe(F.col("s")) & (rows["block"] == F.col("b"))
-    out = ["doc_id", "source", "copy", "block", "words_before", "source_budget"]
+    return written(plan, "mix-plan")
+
+
+def mixed_rows(docs: DataFrame, *, blocks: int = BLOCKS, seed: int = SEED, digits: int = DIGITS, **params) -> DataFrame:
+    """Every drawn copy of a row of ``docs``, with a struct ``__mix`` of copy, block, words_before, source_budget.
+
+    ``copy`` counts passes over the source from 0; ``words_before`` is the
+    number of words of the source's schedule before the row's block, so
+    ``words_before / source_budget`` orders the blocks of all sources evenly.
+    """
+    rows = docs.select(F.struct("*").alias("__row")).withColumn("__source", F.col("__row.source")).withColumn(
+        "__block", _block(_id("__row."), blocks, seed))
+    sizes = rows.groupBy(F.col("__source").alias("source"), F.col("__block").alias("block")).agg(F.sum(_words(F.col("__row.text"))).alias("words"))
+    plan = planned(sizes, seed=seed, **params)
+    on = F.col("__source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("b"))
+    out = [F.col("__row.*"), F.struct("copy", F.col("__block").alias("block"), "words_before", "source_budget").alias("__mix")]
     whole = rows.join(plan.filter("not cut"), on).select(*out)
-    within = Window.partitionBy("source", "block", "copy").orderBy(
-        _hash(seed, F.col("copy"), F.col("doc_id")), "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, -1)
-    part = rows.join(plan.filter("cut"), on).withColumn("sofar", F.coalesce(F.sum("n_words").over(within), F.lit(0)))
-    return whole.unionByName(part.filter("inside + sofar < rest").select(*out))
+
+    # the rows of cut blocks, in hash order; ``part`` are the leading digits of that order
+    cut = rows.join(plan.filter("cut"), on).withColumn("__order", _hash(seed, F.col("copy"), _id("__row.")))
+    cut = cut.withColumn("__part", F.substring("__order", 1, digits))
+    part_of = ["s", "b", "copy", "__part"]
+    upto = Window.partitionBy("s", "b", "copy").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*part_of, "rest", "inside").agg(F.sum(_words(F.col("__row.text"))).alias("words")).withColumn(
+        "before", F.col("inside") + F.coalesce(F.sum("words").over(upto), F.lit(0))).filter("before < rest")
+    parts = written(parts.select(*[F.col(c).alias(f"p_{c}") for c in part_of], "before", (F.col("before") + F.col("words") > F.col("rest")).alias("edge")),
+                    "mix-parts")
+    here = F.col("s").eqNullSafe(F.col("p_s")) & (F.col("b") == F.col("p_b")) & (F.col("copy") == F.col("p_copy")) & (F.col("__part") == F.col("p___part"))
+    inner = cut.join(parts.filter("not edge"), here).select(*out)
+    n = _words(F.col("__row.text"))
+    row = Window.partitionBy(*part_of).orderBy("__order", _id("__row."), n).rowsBetween(Window.unboundedPreceding, -1)
+    edge = cut.join(parts.filter("edge"), here).withColumn("__sofar", F.coalesce(F.sum(n).over(row), F.lit(0)))
+    return whole.unionByName(inner).unionByName(edge.filter("before + __sofar < rest").select(*out))
 
 
 def mix_sources(docs: DataFrame, **params) -> DataFrame:
-    """The schedule of ``docs`` (doc_id, text, source); see ``schedule``."""
-    rows = written(sized(docs, params.get("blocks", BLOCKS), params.get("seed", SEED)), "mix-rows")
-    return schedule(rows, **params)
+    """doc_id, source, copy, block, words_before, source_budget of every drawn copy; parameters as in ``mixed_rows`` and ``planned``."""
+    return mixed_rows(pick(docs, "doc_id", "source", "text"), **params).select("doc_id", "source", "__mix.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
