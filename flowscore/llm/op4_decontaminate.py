@@ -106,7 +106,7 @@ CELLS = 1 << 18
 def _diagonals(ga: np.ndarray, gb: np.ndarray):
     """(diagonal, first, end) of the runs of equal windows: ga[j + diagonal] == gb[j] for first <= j < end.
 
-    Cells are listed for some windows of b at a time, about ``CELLS`` of them, and joined to runs at once.
+    Cells are listed for some windows of b at a time, about ``CELLS`` of them, and joined to runs again and again.
     """
     order = np.argsort(ga, kind="stable")
     lo = np.searchsorted(ga[order], gb, "left")
@@ -119,6 +119,8 @@ def _diagonals(ga: np.ndarray, gb: np.ndarray):
         j = np.repeat(np.arange(at, to), many)
         i = order[np.repeat(lo[at:to] - (total[at:to] - total[at]), many) + np.arange(len(j))] if len(j) else j
         runs.append(_joined(i - j, j, j + 1))
+        if sum(len(r[0]) for r in runs) > 4 * CELLS:
+            runs = [_joined(*(np.concatenate(x) for x in zip(*runs)))]
         at = to
     if not runs:
         return (np.zeros(0, np.int64),) * 3
