@@ -1,21 +1,30 @@
 """License scans: TF-IDF cosine to templates, then inheritance along the path.
 
-The vector space is spanned by the words (letters and digits, lower-cased) of
-the templates; a word outside them weighs as one that no line has. Inverse
-frequencies of the template words are counted over the lines of all files. A
-line, a block of lines between blank ones and the whole file are each compared
-with every template by the cosine of their sparse vectors; the best line or
-block is the file's header licence, and a file that is as a whole like a
-template (or is named like a licence file and holds one) is the licence file
-of its directory. A file without a licence of its own takes that of the
-nearest directory above it (its own included) that has one, by an equi-join of
-its ancestor directories.
+The templates (``licences.py``) are full texts, notices and short statements,
+several per licence. The vector space is spanned by their words (letters and
+digits, lower-cased); a word outside them weighs as one that no line has.
+Inverse frequencies are counted over the lines of all files. Compared with
+every template, by the cosine of their sparse vectors, are a file's lines, its
+blocks between blank ones, the whole file, and windows of a template's length:
+wherever one of the ``ANCHORS`` rarest words of a template stands, the words
+around it that the template would cover. So a text is found inside a longer
+comment, behind a copyright line or among code. An SPDX tag names its licence
+itself and goes before all others.
+
+The best match is the file's header licence; ``cosine`` is 0 for a file in which
+no part can reach the threshold. A file that is as a whole like a
+template, or is named like a licence file and holds one, is the licence file of
+its directory. A file without a licence of its own takes that of the nearest
+directory above it (its own included) that has one, by an equi-join of its
+ancestor directories.
 
 Defined results: null and empty texts have no licence of their own and may
-inherit; a null path has no directory; ties go to the earlier template name;
+inherit; a null path has no directory; of equal cosines (to three digits) the
+longer template wins, then the earlier name;
 several licence files in a directory: the most similar, then the smallest
-name; repeated rows are each returned; extra columns are ignored; empty tables
-give an empty result.
+name; very long texts are compared whole (windows a million words at a time);
+repeated rows, null and repeated ids are each judged by their own text and
+path; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,18 +36,13 @@ from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
 from flowscore.llm.common import written
+from flowscore.llm.licences import TEMPLATES
 
-#: Short license statements, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-}
 COSINE = 0.85
+ANCHORS = 3
+WINDOW_WORDS = 1 << 20
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 
 
 def _words(col):
@@ -62,13 +66,40 @@ def _blanks(buf, offs):
     return np.cumsum(out)
 
 
-def _vocabulary(templates: dict[str, str]):
-    names = sorted(templates)
-    h, row, _, _ = _words(pa.array([templates[n] for n in names]))
+def _vocabulary(templates):
+    """(name of each template, its words in order as places in the vocabulary, vocabulary, term counts)."""
+    pairs = [(n, t) for n in sorted(templates) for t in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
+    h, row, _, _ = _words(pa.array([t for _, t in pairs]))
     vocab, at = np.unique(h, return_inverse=True)
-    tf = np.zeros((len(names), len(vocab)))
+    tf = np.zeros((len(pairs), len(vocab)))
     np.add.at(tf, (row, at), 1)
-    return names, vocab, tf
+    return [n for n, _ in pairs], [at[row == i] for i in range(len(pairs))], vocab, tf
+
+
+def _anchors(orders, df) -> dict[int, list[tuple[int, int]]]:
+    """Word -> (its place in a template, length of that template), for the rarest words of each that occur at all."""
+    out: dict[int, list] = {}
+    for order in orders:
+        first = {int(w): i for i, w in reversed(list(enumerate(order)))}
+        for w in sorted((w for w in first if df[w]), key=lambda w: (df[w], first[w]))[:ANCHORS]:
+            out.setdefault(w, []).append((first[w], len(order)))
+    return out
+
+
+def _windows(k, hit, row, anchors):
+    """(first word, end) of the distinct windows around anchors, cut to their text."""
+    at = np.flatnonzero(hit)
+    at = at[np.isin(k[at], list(anchors))] if anchors else at[:0]
+    spans = []
+    for w, places in anchors.items():
+        here = at[k[at] == w]
+        for place, size in places:
+            spans.append(np.stack([here - place, here - place + size, row[here]]))
+    if not spans:
+        return np.zeros((2, 0), np.int64)
+    first, end, doc = np.concatenate(spans, axis=1)
+    lo, hi = np.searchsorted(row, doc, "left"), np.searchsorted(row, doc, "right")
+    return np.unique(np.stack([np.maximum(first, lo), np.minimum(end, hi)]), axis=1)
 
 
 def _line_counts(vocab):
@@ -93,8 +124,11 @@ def _units(row, part):
     return np.cumsum(np.append(0, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
 
 
-def cosines(h, unit, vocab, weights, other) -> np.ndarray:
-    """Cosine of every unit (its words in h) with every template; ``weights``: template vectors, unit length."""
+def cosines(h, unit, vocab, weights, other, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(units that may reach ``least``, their cosines with every template).
+
+    A cosine is at most the share of the unit's vector that lies in the space
+    of the templates' words (Cauchy and Schwarz), so other units are left out."""
     idf, vectors = weights
     n = int(unit[-1]) + 1 if len(unit) else 0
     k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
@@ -107,54 +141,83 @@ def cosines(h, unit, vocab, weights, other) -> np.ndarray:
     tf = np.diff(np.append(first, len(u)))
     u, inside, term = u[first], hit[order][first], k[order][first]
     x = tf * np.where(inside, idf[term], other)
-    norm = np.sqrt(np.bincount(u, x * x, n))
-    dots = np.stack([np.bincount(u[inside], (x * v[term])[inside], n) for v in vectors]) if n else np.zeros((len(vectors), 0))
-    return dots / np.maximum(norm, 1e-12)
+    norm = np.bincount(u, x * x, n)
+    u, x, term = u[inside], x[inside], term[inside]
+    may = np.bincount(u, x * x, n) >= (least * least - 1e-9) * norm
+    may &= norm > 0
+    place = np.cumsum(may) - 1
+    u, x, term = place[u[may[u]]], x[may[u]], term[may[u]]
+    n = int(may.sum())
+    dots = np.stack([np.bincount(u, x * v[term], n) for v in vectors])
+    return np.flatnonzero(may), dots / np.sqrt(norm[may])
+
 
+def _matches(names, sizes, vocab, weights, other, least, anchors):
+    prefer = np.array(sizes) * 1e-7 - np.arange(len(names)) * 1e-10
 
-def _matches(names, vocab, weights, other, least):
     def run(batches):
         for b in T.slices(batches, "text"):
             h, row, line, blank = _words(b.column("text"))
-            best = np.zeros(b.num_rows)
-            which = np.full(b.num_rows, -1)
-            whole, whole_at = np.zeros(b.num_rows), np.full(b.num_rows, -1)
+            best, score, which = np.zeros(b.num_rows), np.zeros(b.num_rows), np.full(b.num_rows, -1)
+            whole_at = np.full(b.num_rows, -1)
+
+            def judge(words, unit, doc):
+                """Take the best template of every unit over to its file; returns the cosine and template of the unit that won."""
+                may, c = cosines(words, unit, vocab, weights, other, least)
+                doc = doc[may]
+                rank = np.round(c, 3) + prefer[:, None]  # equally alike: the longer template, then the earlier name
+                at = rank.argmax(0)
+                top, cos = rank.max(0), c[at, np.arange(c.shape[1])]
+                order = np.argsort(top, kind="stable")  # the best comes last
+                win, won, won_at = np.zeros(b.num_rows), np.zeros(b.num_rows), np.full(b.num_rows, -1)
+                win[doc[order]], won[doc[order]], won_at[doc[order]] = top[order], cos[order], at[order]
+                better = win > score
+                best[better], score[better], which[better] = won[better], win[better], won_at[better]
+                return won, won_at
+
             for part in (line, blank, np.zeros(len(row), np.int64)):
                 unit = _units(row, part)
-                if not len(unit):
-                    continue
-                c = cosines(h, unit, vocab, weights, other)
-                top, at = c.max(0), c.argmax(0)
-                doc = row[np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))]
-                order = np.lexsort((-at, top))  # the best and, of equals, the earliest name comes last
-                win, pick_at = np.zeros(b.num_rows), np.full(b.num_rows, -1)
-                win[doc[order]], pick_at[doc[order]] = top[order], at[order]
-                if part is not line and part is not blank:
-                    whole, whole_at = win, pick_at
-                better = win > best + 1e-12
-                best[better], which[better] = win[better], pick_at[better]
+                if len(unit):
+                    win, at = judge(h, unit, row[np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))])
+                    whole_at = np.where(win >= least, at, -1)  # of the last part, the whole file
+            k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+            first, end = _windows(k, vocab[k] == h if len(h) else np.zeros(0, bool), row, anchors)
+            total = np.append(0, np.cumsum(end - first))
+            lo = 0
+            while lo < len(first):
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + WINDOW_WORDS, "right")) - 1)
+                size = (end - first)[lo:hi]
+                unit = np.repeat(np.arange(hi - lo), size)
+                place = first[lo:hi][unit] + np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+                judge(h[place], unit, row[first[lo:hi]])
+                lo = hi
             own = [names[w] if s >= least else None for w, s in zip(which, best)]
-            file = [names[w] if s >= least else None for w, s in zip(whole_at, whole)]
+            file = [names[w] if w >= 0 else None for w in whole_at]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array(own, pa.string()), pa.array(best),
-                                              pa.array(file, pa.string())], names=["doc_id", "path", "own", "cosine", "whole"])
+                                              pa.array(file, pa.string()), b.column("tag")], names=["doc_id", "path", "own", "cosine", "whole", "tag"])
     return run
 
 
-def scan(docs: DataFrame, path: Column, templates: dict[str, str] | None = None, *, cosine: float = COSINE) -> DataFrame:
-    """doc_id, path, license, cosine, license_from ("header", "directory" or null), directory."""
+def scan(docs: DataFrame, path: Column, templates: dict | None = None, *, cosine: float = COSINE) -> DataFrame:
+    """doc_id, path, license, cosine, license_from ("header", "directory" or null), directory.
+
+    ``templates``: name -> text or texts."""
     spark = docs.sparkSession
-    names, vocab, tf = _vocabulary(templates or TEMPLATES)
-    base = docs.select("doc_id", "text", path.alias("path"))
+    names, orders, vocab, tf = _vocabulary(templates or TEMPLATES)
+    tag = F.when(F.contains("text", F.lit("SPDX-License-Identifier:")), F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")))
+    base = docs.select("doc_id", "text", path.alias("path"), tag.alias("tag"))
     kind = base.schema["doc_id"].dataType.simpleString()
     # at most one number per template word comes back
     counts = {r["term"]: r["n"] for r in base.select("text").mapInArrow(_line_counts(vocab), "term long, n long").groupBy("term").agg(
         F.sum("n").alias("n")).collect()}
     lines = counts.get(-1, 0)
-    idf = np.log((1 + lines) / (1 + np.array([counts.get(i, 0) for i in range(len(vocab))]))) + 1
+    df = np.array([counts.get(i, 0) for i in range(len(vocab))])
+    idf = np.log((1 + lines) / (1 + df)) + 1
     vectors = tf * idf
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    found = written(base.mapInArrow(_matches(names, vocab, (idf, vectors), float(np.log(1 + lines) + 1), cosine),
-                                    f"doc_id {kind}, path string, own string, cosine double, whole string"), "license-own")
+    found = base.mapInArrow(_matches(names, [len(o) for o in orders], vocab, (idf, vectors), float(np.log(1 + lines) + 1), cosine, _anchors(orders, df)),
+                            f"doc_id {kind}, path string, own string, cosine double, whole string, tag string")
+    found = written(found.withColumn("own", F.coalesce("tag", "own")).drop("tag"), "license-own")
     name = F.element_at(F.split("path", "/"), -1)
     is_file = F.col("whole").isNotNull() | (F.col("own").isNotNull() & name.rlike(LICENSE_FILE))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), ""))
