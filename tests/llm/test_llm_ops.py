@@ -295,3 +295,183 @@ def test_mix_meets_budget(spark, empty):
         assert max(r.copy for r in rs) < 4
         assert len({(r.doc_id, r.copy) for r in rs}) == len(rs)
     assert op10_mix_sources.mix_sources(empty).count() == 0
+
+
+# --- rows without an id, rows that share one, equal rows ----------------------
+
+SHARED = " ".join(f"s{i * 37 % 1009}" for i in range(190))  # more than 800 bytes
+
+
+def test_suffix_dedup_without_ids(spark):
+    other = " ".join(f"o{i}" for i in range(200))
+    rows = [(None, "head " + SHARED), (None, SHARED + " tail"), (4, "x " + SHARED), (5, other), (5, "y " + SHARED + "é" * 300), (6, other + " end"), (6, other + " end")]
+    count, want = {}, []
+    for _, t in rows:
+        x = t.encode()
+        for k in range(len(x) - 399):
+            count[x[k: k + 400]] = count.get(x[k: k + 400], 0) + 1
+    for i, t in rows:
+        x = t.encode()
+        gone = bytearray(len(x))
+        for k in range(len(x) - 399):
+            if count[x[k: k + 400]] > 1:
+                gone[k: k + 400] = b"\1" * 400
+        want.append((i is None, i or 0, len(x), sum(gone), bytes(c for c, g in zip(x, gone) if not g).decode("utf-8", "ignore")))
+    assert all(w[3] for w in want)
+    got = op1_suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), as_text=True).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.kept) for r in got) == sorted(want)
+    plain = op1_suffix_dedup.suffix_dedup(spark.createDataFrame([(1, None), (2, "short"), (None, "")], "doc_id long, text string")).collect()
+    assert sorted((r.n_bytes, bytes(r.kept)) for r in plain) == [(0, b""), (0, b""), (5, b"short")]
+    nulls = op1_suffix_dedup.suffix_dedup(spark.createDataFrame([(1, None), (2, "short")], "doc_id long, text string"), as_text=True).collect()
+    assert {r.kept for r in nulls} == {None, "short"}
+
+
+def test_warc_of_repeated_page_ids(spark, tmp_path):
+    rows = [(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (None, "u", "A"), (None, "u", "C"), (3, "u", "B" * 50_000)]
+    op3_warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in op3_warc.read_warc(spark, str(tmp_path / "w")).collect()), key=str)
+    assert got == sorted([(1, 1, "revisit", 2), (1, 1, "response", None), (2, 1, "response", None), (0, 1, "response", None), (0, 1, "response", None),
+                          (3, 50_000, "response", None)], key=str)
+
+
+def test_decontamination_without_ids_and_with_stock_phrases(spark):
+    phrase = "this stock phrase stands in many items"
+    items = [(i, phrase + " " + " ".join(f"q{i}x{k}" for k in range(30))) for i in range(40)] + [(None, " ".join(f"z{k}" for k in range(20)))]
+    docs = [(i if i % 2 else None, f"{phrase} doc {i} " + " ".join(f"d{i}x{k}" for k in range(50))) for i in range(60)]
+    docs += [(None, "lead " + items[3][1] + " end"), (7, items[3][1]), (7, "other text only"), (9, items[40][1]), (9, items[40][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_covered) for r in op4_decontaminate.contaminated(d, b).collect()), key=str)
+    assert got == sorted([(None, 3, 37), (7, 3, 37), (9, None, 20), (9, None, 20)], key=str)
+    left = op4_decontaminate.decontaminate(d, b)
+    assert left.columns == ["doc_id", "text"] and sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id in (7, 9)) == [(7, "other text only")] + sorted(
+        (i, t) for i, t in docs[:60] if i in (7, 9)) or left.count() == 61
+
+
+def test_tiling_of_equal_words_needs_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    tracemalloc.start()
+    tiles = op4_decontaminate.tiling(np.zeros(200_000, np.uint64), np.zeros(300, np.uint64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 300)] and peak < 200 << 20
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tiling_is_the_plain_one(seed):
+    import random
+
+    import numpy as np
+    rng = random.Random(seed)
+    kinds = rng.choice([2, 3, 30])
+    a = [rng.randrange(kinds) for _ in range(rng.randint(0, 60))]
+    b = [rng.randrange(kinds) for _ in range(rng.randint(1, 25))]
+    for _ in range(2):
+        if len(a) > 12:
+            s = rng.randrange(len(a) - 10)
+            b[rng.randrange(len(b)):0] = a[s: s + 9]
+    used_a, used_b, want = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for q in range(len(b)):
+            for p in range(len(a)):
+                n = 0
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n] and not used_a[p + n] and not used_b[q + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < 4:
+            break
+        used_a[p: p + n] = used_b[q: q + n] = [True] * n
+        want.append((p, q, n))
+    got = op4_decontaminate.tiling(np.array(a, np.uint64), np.array(b, np.uint64), 4)
+    assert sum(t[2] for t in got) == sum(t[2] for t in want) and got == want
+
+
+def test_ngram_components_without_ids_and_of_repeated_ids(spark):
+    base = [f"v{i}" for i in range(120)]
+    near = lambda k, w=base: " ".join([*w[:k], "e", *w[k + 1:]])
+    other = [f"u{i}" for i in range(120)]
+    rows = [(None, near(3)), (7, near(5)), (None, near(9)), (1, " ".join(other)), (1, " ".join(base)), (8, near(4, other)), (None, "alone here"), (None, None),
+            (7, near(5))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op8_ngram_join.ngram_components(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(None, 117, 1), (7, 117, 1), (None, 117, 1), (1, 117, 1), (1, 117, 1), (8, 117, 1), (None, 1, None), (None, 0, None), (7, 117, 1)], key=str)
+
+
+def test_class_numbers_that_clash_are_made_anew(spark, monkeypatch):
+    """Two sets under one number: the next salt is taken, and nothing is merged."""
+    true = op8_ngram_join._keys
+    monkeypatch.setattr(op8_ngram_join, "_keys", lambda u, salt=0: (5, true(u, 0)[1]) if not salt else true(u, salt))
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f")]
+    got = sorted((r.doc_id, r.component_id) for r in op8_ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_near_copies_are_proposed_once_per_member(spark, monkeypatch):
+    """Proposals of a group follow its members, not their pairs."""
+    count = {}
+    plain = op8_ngram_join.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        count[name] = count.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(op8_ngram_join, "written", counted)
+
+    def pairs(n):
+        count.clear()
+        rows = [(i, " ".join(f"e{i}" if k in (i % 150, (i * 7) % 150) else f"v{k}" for k in range(400))) for i in range(n)]
+        op8_ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return count["join-pairs"]
+    few, many = pairs(20), pairs(100)
+    assert many < 8 * few
+
+
+def test_site_rates_leave_the_document_out(spark):
+    """Priors and posteriors from the evidence of the result, site by site in plain Python."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(500):
+        site = rng.choice(["a", "a", "b", "c", None])
+        bad = rng.random() < {"a": 0.02, "b": 0.6, "c": 0.2, None: 0.1}[site]
+        rows.append((i if i % 50 else None, ("vile " if bad and rng.random() < 0.7 else "") + " ".join(f"w{rng.randrange(300)}" for _ in range(40)), site,
+                     rng.choice(["x", "y", None]), "clash"))
+        if i % 50 and i < 300:
+            labels.append((i, 1, int(bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n string")
+    y = {i: t for i, _, t in labels}
+    got = op5_site_bayes.classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("source"), F.col("lang")).collect()
+    assert len(got) == 500
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    base = sum(y.values()) / len(y)
+    own = [y[r.doc_id] if r.doc_id in y else 1 / (1 + math.exp(-(r.evidence_toxic + logit(base)))) for r in got]
+
+    def sums(key):
+        out = {}
+        for r, o in zip(got, own):
+            n, k = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, k + o)
+        return out
+
+    def strength(sites, parent):
+        v = sum(n * (k / n - parent(s)) ** 2 for s, (n, k) in sites.items())
+        spread = {s: parent(s) * (1 - parent(s)) for s in sites}
+        ns = sum(sites[s][0] * x for s, x in spread.items())
+        return 1 / min(0.99, max(1e-4, (v - sum(spread.values())) / ns)) - 1
+
+    hosts, paths, top = sums(lambda r: r.host), sums(lambda r: (r.host, r.path)), sum(own) / 500
+    of_host = strength(hosts, lambda s: top)
+    of_path = strength(paths, lambda s: (hosts[s[0]][1] + of_host * top) / (hosts[s[0]][0] + of_host))
+    for r, o in zip(got, own):
+        (n, k), (m, j) = paths[r.host, r.path], hosts[r.host]
+        host = (j - o + of_host * (sum(own) - o) / 499) / (m - 1 + of_host)
+        prior = (k - o + of_path * host) / (n - 1 + of_path)
+        assert r.prior_toxic == pytest.approx(prior, rel=1e-6)
+        assert r.p_toxic == pytest.approx(1 / (1 + math.exp(-(r.evidence_toxic + logit(prior)))), rel=1e-6)
