@@ -738,10 +738,6 @@ def stream_micro_batches(spark, sf_dir):
 from flowscore.operators import members as MEM  # noqa: E402
 
 
-#: Registered fits grow trees without a depth limit of their own; 30 levels is the most that Spark ML's trees have.
-FIT_DEPTH = None
-
-
 def _train_frame(spark, sf_dir):
     x = P.preprocess(FX.flows(spark, sf_dir), _bundle(), keep=["flow_id"])
     return x.withColumn("split", MEM.split_column("flow_id"))
@@ -760,7 +756,7 @@ def train_test_split(spark, sf_dir):
 @register("member_random_forest")
 def member_random_forest(spark, sf_dir):
     x = _train_frame(spark, sf_dir)
-    model = MEM.fit_random_forest(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=30)
+    model = MEM.fit_random_forest(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
     s = MEM.ml_probability(model, x, "prob")
     return _member_output(s, F.col("prob"))
 
@@ -768,7 +764,7 @@ def member_random_forest(spark, sf_dir):
 @register("member_bagging")
 def member_bagging(spark, sf_dir):
     x = _train_frame(spark, sf_dir)
-    model = MEM.fit_bagging(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=30)
+    model = MEM.fit_bagging(x.where("split = 'train'"), FEATURES, num_trees=100, max_depth=8)
     s = MEM.ml_probability(model, x, "prob")
     return _member_output(s, F.col("prob"))
 
@@ -804,7 +800,7 @@ def threshold_sweep(spark, sf_dir):
 def member_extra_trees(spark, sf_dir):
     from flowscore.operators.extra_trees import fit_extra_trees, forest_probability
     x = _train_frame(spark, sf_dir)
-    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100, max_depth=FIT_DEPTH)
+    forest = fit_extra_trees(x.where("split = 'train'"), FEATURES, n_estimators=100)
     return _member_output(x, forest_probability(forest))
 
 
@@ -824,14 +820,14 @@ def bundle_summary(spark, sf_dir):
 @register("fitted_ensemble")
 def fitted_ensemble(spark, sf_dir):
     """Fit both voters on the training split (own members and features, class
-    weights, trees without a depth limit, calibrated on out-of-fold scores),
-    save and reload the bundle, score the whole table in all modes and compare
-    them. 27 fits: each member has 20 estimators here, 100 by default."""
+    weights, calibrated on out-of-fold scores), save and reload the bundle,
+    score the whole table in all modes and compare them. 27 fits: a member has
+    10 estimators of 6 levels here, by default 100 without a depth limit."""
     from flowscore.sources.bundle import load_bundle, save_bundle
     x = _train_frame(spark, sf_dir)
     d = scratch_path(spark, "bundle")
     fixture = _bundle()
-    b = ENS.fit_bundle(x.where("split = 'train'"), fixture.fdm.features, d, estimators=20, ham_features=fixture.ham.features, max_depth=FIT_DEPTH,
+    b = ENS.fit_bundle(x.where("split = 'train'"), fixture.fdm.features, d, estimators=10, ham_features=fixture.ham.features, max_depth=6,
                        calibrate="isotonic", folds=2, key="flow_id")
     b = b.with_(label_col="label")
     b = ENS.weighted_by_accuracy(b, FX.flows(spark, sf_dir).where(MEM.split_column("flow_id") == "train"))
