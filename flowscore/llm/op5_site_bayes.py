@@ -12,8 +12,10 @@ two levels, host and path. Grouped aggregates of labels and of the document
 probabilities (all documents, labelled or not) give each host a rate shrunk
 toward the global one and each path a rate shrunk toward its host; the
 strength of the shrinkage is estimated by moments from the spread of rates, so
-sparse sites stay near their parent. The posterior log odds of a document are
-its evidence plus those of its path; ``kept`` needs both targets below 0.5.
+sparse sites stay near their parent. A document's own label or probability is
+taken out of all three rates before they judge it, so nothing is counted twice.
+The posterior log odds of a document are its evidence plus those of its path;
+``kept`` needs both targets below 0.5.
 
 Defined results: null and empty texts have no features and get their site's
 prior; a null host or path is a site of its own; labels that are null or
@@ -157,15 +159,19 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _shrunk(sites: DataFrame, n: str, k: str, parent: Column, name: str) -> DataFrame:
-    """(k + m * parent) / (n + m): m from the moments of the site rates around their parents."""
+def _strength(sites: DataFrame, n: str, k: str, parent: Column) -> float:
+    """Pseudo-count of the parent's rate, from the moments of the site rates around their parents."""
     rate, spread = F.col(k) / F.col(n), parent * (1 - parent)
     got = sites.agg(F.sum(F.col(n) * F.pow(rate - parent, 2)).alias("v"), F.sum(spread).alias("s"), F.sum(F.col(n) * spread).alias("ns")).first()
     # E[n (rate - parent)^2] = spread * (1 + (n - 1) * rho): rho is the share of variance between sites
     between = (got["v"] or 0.0) - (got["s"] or 0.0)
     rho = min(0.99, max(1e-4, between / got["ns"])) if got["ns"] else 1e-4
-    m = 1 / rho - 1
-    return sites.withColumn(name, (F.col(k) + m * parent) / (F.col(n) + m))
+    return 1 / rho - 1
+
+
+def _rate(n: Column, k: Column, own: Column, strength: float, parent: Column) -> Column:
+    """A site's shrunk rate without the document whose share of k is ``own``."""
+    return (k - own + F.lit(strength) * parent) / (n - 1 + F.lit(strength))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -185,21 +191,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *,
         F.when(F.col(f"s_{t}") >= MIN_ODDS, F.col(f"s_{t}")).otherwise(model[t][3]).alias(t) for t in TARGETS]), "site-evidence")
     known = scored.join(y.select("doc_id", *[F.col(t).alias(f"y_{t}") for t in TARGETS]), "doc_id", "left")
     # a labelled document counts with its label, another one with its probability under the global prior
-    soft = known.select("host", "path", *[
-        F.coalesce(F.col(f"y_{t}").cast("double"), 1 / (1 + F.exp(-(F.col(t) + _logit(F.lit(model[t][2])))))).alias(t) for t in TARGETS])
-    paths = written(soft.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]), "site-paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]), "site-hosts")
-    whole = hosts.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
-    for t in TARGETS:
-        top = (whole[t] or 0.0) / whole["n"] if whole["n"] else 0.0
-        hosts = _shrunk(hosts, "n", t, F.lit(top), f"host_{t}")
-    hosts = hosts.select(F.col("host").alias("h"), *[f"host_{t}" for t in TARGETS])
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    for t in TARGETS:
-        paths = _shrunk(paths, "n", t, F.col(f"host_{t}"), f"path_{t}")
-    paths = written(paths.select("h", F.col("path").alias("p"), *[f"path_{t}" for t in TARGETS]), "site-priors")
-    out = scored.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    known = written(known.select("doc_id", "host", "path", *TARGETS, *[
+        F.coalesce(F.col(f"y_{t}").cast("double"), 1 / (1 + F.exp(-(F.col(t) + _logit(F.lit(model[t][2])))))).alias(f"own_{t}") for t in TARGETS]), "site-known")
+    paths = written(known.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"own_{t}").alias(f"k_{t}") for t in TARGETS]),
+                    "site-paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(f"k_{t}").alias(f"host_k_{t}") for t in TARGETS]), "site-hosts")
+    whole = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"host_k_{t}").alias(t) for t in TARGETS]).first()
+    sites = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
+    sites = written(sites.select("h", F.col("path").alias("p"), "n", "host_n", *[f"{k}_{t}" for k in ("k", "host_k") for t in TARGETS]), "site-sites")
+    out = known.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     for t in TARGETS:
+        total, n = whole[t] or 0.0, whole["n"] or 0.0
+        top = F.lit(total / n if n else 0.0)
+        of_host = _strength(hosts, "host_n", f"host_k_{t}", top)
+        shrunk = (F.col(f"host_k_{t}") + F.lit(of_host) * top) / (F.col("host_n") + F.lit(of_host))
+        of_path = _strength(sites, "n", f"k_{t}", shrunk)
+        own = F.col(f"own_{t}")
+        rest = (F.lit(total) - own) / F.lit(n - 1) if n > 1 else F.lit(float(model[t][2]))
+        host_rate = _rate(F.col("host_n"), F.col(f"host_k_{t}"), own, of_host, rest)
+        out = out.withColumn(f"path_{t}", _rate(F.col("n"), F.col(f"k_{t}"), own, of_path, host_rate))
         out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(t) + _logit(F.col(f"path_{t}"))))))
     return out.select("doc_id", "host", "path", *[F.col(t).alias(f"evidence_{t}") for t in TARGETS], *[F.col(f"path_{t}").alias(f"prior_{t}") for t in TARGETS],
                       *[f"p_{t}" for t in TARGETS], ((F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
