@@ -172,9 +172,8 @@ def test_default_vote_threshold_is_half_total_weight():
     assert b.all_features == tuple(sorted(b.all_features))
 
 
-def test_bundle_roundtrip_through_spark_io(spark, tmp_path, monkeypatch):
-    """The non-local branch (Hadoop file systems) exercised on a file: URI."""
-    monkeypatch.setattr(B, "_is_local", lambda p: False)
+def test_bundle_roundtrip_through_spark_io(spark, tmp_path):
+    """With a session, paths are those of Spark's file systems."""
     b = B.fixture_bundle()
     d = f"file://{tmp_path}/remote-bundle"
     B.save_bundle(b, d, spark=spark)
