@@ -164,7 +164,7 @@ def load_bundle(directory: str, spark=None) -> EnsembleBundle:
         with open(path) as fh:
             doc = json.load(fh)
     else:
-        doc = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+        doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
 
     def voter(d):
         d = dict(d)
