@@ -35,9 +35,9 @@ More than 2**32 word numbers raise an error.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm import textnum as T
-from flowscore.llm.common import pick, written
+from flowscore.llm.common import discard, pick
+from flowscore.llm.common import written as _written
 
 BURN, SAMPLES, SEED, FOLDS = 2, 3, 11, 10
 THETA = 1.0
@@ -57,6 +58,9 @@ BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 EDGE = (1 << 32) - 1
 
 
+written = partial(_written, tidy=True)  # the tables here are as large as the corpus: no step leaves shuffle files behind
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == 0
 
@@ -79,12 +83,6 @@ def _unpack_steps(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=np.uint32)
 
 
-def _free(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps: it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _blocks(bits):
     """Per block of documents: ids, token numbers, and per shard the distinct words with training counts."""
     def run(batches):
@@ -482,8 +480,7 @@ def score_texts(docs: DataFrame, *, burn: int = BURN, samples: int = SAMPLES) ->
     meet = blocks.select("block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("shard"), *own).unionByName(
         shards.filter("block is not null").select("block", F.lit(1).alias("kind"), "shard", "asked", "counts"), allowMissingColumns=True)
     if ends:
-        answers = written(_pair_answers(spark, meet, vocab, bits, ends, _discount(got["once"], got["twice"]), burn, samples), "lm-answers")
-        _free(spark)
+        answers = _pair_answers(spark, meet, vocab, bits, ends, _discount(got["once"], got["twice"]), burn, samples)
         meet = meet.unionByName(answers.select("block", F.lit(2).alias("kind"), "shard", "lp"), allowMissingColumns=True)
     else:
         meet = meet.withColumn("lp", null.cast("binary"))
@@ -499,7 +496,6 @@ def _pair_answers(spark, meet: DataFrame, vocab: DataFrame, bits: int, ends: int
     pairs = written(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         _pair_shards(bits), "shard long, u binary, w binary, n binary, once long, twice long, ask array<struct<shard: long, at: binary>>, "
         "blocks array<struct<block: string, at: binary>>"), "lm-pairs")
-    _free(spark)
     asks = _listed(pairs.select(F.col("shard").alias("pairs"), F.inline("ask")).select("pairs", F.col("shard").alias("of"), "at"), "of",
                    F.col("pairs").alias("shard"), "at").withColumnRenamed("told", "asks")
     words = written(_with(vocab, asks), "lm-words")
@@ -524,7 +520,7 @@ def _pair_answers(spark, meet: DataFrame, vocab: DataFrame, bits: int, ends: int
         sent = out.mapInArrow(_tell(spark.sparkContext.broadcast(models), last), message)
         return _listed(sent, "pairs", "shard", "logs", "contexts", "counts")
 
-    state, kept = none, []
+    state, kept = none, []  # of each kept sweep: states, model, the border, tables of the pairs
     for sweep in range(burn + samples):
         seats = written(_with(pairs.select("shard", "u", "w", "n", "ask"), told([state], [(speller, n, tables, d)], False)).mapInArrow(
             _seat_pairs(edge_now(), d_pair, sweep), "shard long, tables binary, edge_customers long, edge_tables long, "
@@ -547,15 +543,19 @@ def _pair_answers(spark, meet: DataFrame, vocab: DataFrame, bits: int, ends: int
         if sweep == 0:  # the tables of a first seating count contexts, as the word restaurant's customers do from here on
             d = _discount(sums["once"], sums["twice"])
         speller = speller.sweep(np.random.default_rng([SEED, sweep, 0, 2]), codes, counts)
-        _free(spark)
-        state = result.select("shard", F.struct("customers", "tables", "contexts").alias("s"))
+        before, state = state, written(result.select("shard", F.struct("customers", "tables", "contexts").alias("s")), "lm-state")
         if sweep >= burn:
-            kept.append((state, (speller, n, tables, d), edge_now(), seats.select("shard", F.col("tables").alias(f"t{sweep}"))))
+            kept.append((state, (speller, n, tables, d), edge_now(), written(seats.select("shard", F.col("tables").alias(f"t{sweep}")), "lm-tables")))
+        discard(result, seats)
+        if 0 < sweep <= burn:  # the states of a kept sweep are needed once more
+            discard(before)
     out = _with(pairs, told([x[0] for x in kept], [x[1] for x in kept], True))
     for _, _, _, seats in kept:
         out = out.join(seats, "shard")
     out = out.select("shard", "u", "w", "n", "blocks", "told", F.array(*[c for c in out.columns if c.startswith("t") and c[1:].isdigit()]).alias("tables"))
-    return out.mapInArrow(_answers([x[2] for x in kept], d_pair, ends), "block string, shard long, lp binary")
+    answers = written(out.mapInArrow(_answers([x[2] for x in kept], d_pair, ends), "block string, shard long, lp binary"), "lm-answers")
+    discard(pairs, words, *[x[0] for x in kept], *[x[3] for x in kept])
+    return answers
 
 
 def _spelling(state: DataFrame):
