@@ -87,6 +87,33 @@ def test_landing_is_one_ordered_write(spark, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(known, known[1:]))
 
 
+def test_more_rows_land_in_larger_files_not_in_more(spark, tmp_path):
+    counts = []
+    for n in (200, 2000):
+        path = str(tmp_path / f"in{n}")
+        STR.land_in_time_order(frame(spark, rows(n, 1)), "ts", path, rows_per_file=10, slices=12)
+        counts.append(len(list((tmp_path / f"in{n}").glob("part-*.parquet"))))
+        assert spark.read.parquet(path).count() == n
+    assert max(counts) <= 12
+
+
+def test_ranges_of_a_micro_batch_follow_its_rows(spark, tmp_path, monkeypatch):
+    data = rows(900, 7)
+    land(spark, data, str(tmp_path / "in"))
+    seen, whole = [], ARR.continue_arrivals
+
+    def spy(*args, num_partitions, **named):
+        seen.append(num_partitions)
+        return whole(*args, num_partitions=num_partitions, **named)
+    monkeypatch.setattr(ARR, "continue_arrivals", spy)
+    for i, per in enumerate((50_000, 100)):
+        monkeypatch.setattr(STR, "ROWS_PER_RANGE", per)
+        got = STR.stream_micro_batches_keyed(spark, str(tmp_path / "in"), frame(spark, []).schema, "k", ["ts", "id"], "ts", 4, 5.0,
+                                             str(tmp_path / f"out{i}"), str(tmp_path / f"ckpt{i}"))
+        assert {(r.k, r.id): (r.burst, r.batch_num, r.pos_in_batch) for r in got.collect()} == plain(data, 4, 5)
+    assert seen == [1, 9]
+
+
 def test_keyed_stream_restarts_compacts_and_keeps_longs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(STR, "COMPACT", 3)
     data = rows(1200, 5)
