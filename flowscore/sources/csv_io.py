@@ -58,10 +58,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_by_batch(df: DataFrame, path: str, batch_col: str = "batch_num", fmt: str = "csv") -> None:
     """Numbered archive: one folder per batch (``batch_num=<n>``). Dynamic
     partition overwrite replaces only the batches present in ``df``, so
-    re-running a batch is idempotent. Rows are range-partitioned on the
-    batch number first (batches are contiguous), so each folder is written
-    by one task: one file per batch instead of one per task and batch."""
-    w = df.repartitionByRange(batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
+    re-running a batch is idempotent. Rows are dealt out by the batch number
+    first, so each folder is written by one task: one file per batch instead
+    of one per task and batch. By its hash: ranges would have to be found by
+    computing ``df`` once more."""
+    w = df.repartition(batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
     if fmt == "csv":
         w.options(**DIALECT).csv(path)
     else:

@@ -53,6 +53,19 @@ def test_adaboost_is_the_plain_stump_search(spark):
     assert all(abs(s["alpha"] - t["alpha"]) < 1e-9 for s, t in zip(got, twice))
 
 
+def test_archive_computes_its_rows_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return v
+    df = spark.range(400).select((F.col("id") % 20).alias("batch_num"), F.udf(seen, "long")("id").alias("v"))
+    CSV.write_by_batch(df, str(tmp_path / "a"), fmt="parquet")
+    assert reads.value == 400  # ranges would be found by a pass of their own
+    assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "a").glob("batch_num=*"))
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 400
+
+
 def test_trees_grow_until_their_leaves_are_pure(spark):
     rng = np.random.default_rng(5)
     X = rng.random((600, 3))
