@@ -53,6 +53,21 @@ def test_adaboost_is_the_plain_stump_search(spark):
     assert all(abs(s["alpha"] - t["alpha"]) < 1e-9 for s, t in zip(got, twice))
 
 
+def test_calibrations_of_all_members_read_the_rows_once(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.random(), rng.random(), int(rng.random() < 0.4)) for _ in range(300)], "a double, b double, y int").coalesce(1)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return v
+    marked = df.withColumn("a", F.udf(seen, "double")("a"))
+    got = MEM.platt_calibrations(marked, ["a", "b", "a * b"])
+    assert reads.value == 300
+    for expr, pair in zip(["a", "b", "a * b"], got):
+        assert pair == pytest.approx(MEM.platt_calibration(df.withColumn("s", F.expr(expr)), "s"), abs=1e-9)
+
+
 def test_archive_computes_its_rows_once(spark, tmp_path):
     reads = spark.sparkContext.accumulator(0)
 
