@@ -53,6 +53,30 @@ def test_adaboost_is_the_plain_stump_search(spark):
     assert all(abs(s["alpha"] - t["alpha"]) < 1e-9 for s, t in zip(got, twice))
 
 
+def test_adaboost_rounds_read_blocks_of_cells(spark, monkeypatch):
+    """Many features' bins, a null label and several blocks per task; the rounds get blocks, not a row per cell and feature."""
+    rng = np.random.default_rng(4)
+    X = np.column_stack([rng.random(3000), rng.integers(0, 300, 3000)]).round(3).astype(float)
+    y = (X[:, 0] > 0.4) ^ (X[:, 1] > 120)
+    df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(X, y)], "a double, b double, y int").repartition(3)
+    sizes, whole = [], MEM._stump_sums
+
+    def spy(k, width, recent, shift, boosted):
+        sizes.append((k, width, len(recent)))
+        return whole(k, width, recent, shift, boosted)
+    monkeypatch.setattr(MEM, "_stump_sums", spy)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = MEM.fit_adaboost(df, ["a", "b"], rounds=7, max_cuts=1100, checkpoint_every=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = plain_adaboost(X, y, 7)
+    assert [("ab"[f], cut, pol) for f, cut, pol, _ in want] == [(s["feature"], s["threshold"], s["polarity"]) for s in got]
+    assert all(abs(s["alpha"] - a) < 1e-9 for s, (*_, a) in zip(got, want))
+    assert sizes == [(2, "uint32", r % 3 if r % 3 or not r else 0) for r in range(7)]
+
+
 def test_calibrations_of_all_members_read_the_rows_once(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(rng.random(), rng.random(), int(rng.random() < 0.4)) for _ in range(300)], "a double, b double, y int").coalesce(1)
