@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,45 @@ def test_csv_keeps_line_breaks_blanks_and_typed_folders(spark, tmp_path):
     flat = str(tmp_path / "flat")
     CSV.write_csv(df.drop("label"), flat)
     assert CSV.read_flows_csv(spark, flat, quoted_breaks=False).count() == 4
+
+
+def _plain_walk(x, node, feat, thr, left, right):
+    while feat[node] >= 0:
+        node = right[node] if x[feat[node]] > thr[node] else left[node]
+    return node
+
+
+def test_walks_reach_the_leaf_of_every_row():
+    rng = np.random.default_rng(3)
+    feat, thr, left, right, depth = [-1, -1, -1], [0.0] * 3, [-1] * 3, [-1] * 3, [0, 0, 0]
+    for node in range(400):  # uneven: one tree keeps a single leaf, others go deep
+        if node < len(feat) and node != 1 and (node < 3 or rng.random() < 0.7):
+            feat[node], thr[node], left[node], right[node] = int(rng.integers(4)), float(rng.normal()), len(feat) + 1, len(feat)
+            for column, v in ((feat, -1), (thr, 0.0), (left, -1), (right, -1), (depth, depth[node] + 1)):
+                column += [v, v]
+    table = [np.array(c) for c in (feat, thr, left, right)]
+    X = rng.normal(size=(700, 4))
+    X[::7, 0], X[::11, 1], X[::13, 2] = np.nan, np.inf, -np.inf
+    assert max(depth) > 8
+    want = [[_plain_walk(x, t, *table) for x in X] for t in range(3)]
+    assert (ET._route(X, 3, ET._steps(*table)) == want).all()
+    assert ET._route(X[:0], 3, ET._steps(*table)).shape == (3, 0)
+
+
+def test_a_task_adds_up_its_batches(spark):
+    rng = np.random.default_rng(4)
+    X, y, w = rng.random((5000, 2)), rng.integers(0, 2, 5000), rng.random(5000)
+    names = ["x0", "x1", "y", "w"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[lo:lo + 1000]) for c in (X[:, 0], X[:, 1], y, w)], names=names) for lo in range(0, 5000, 1000)]
+    table = [np.array(c) for c in ([0, -1, -1, -1], [0.25, 0.0, 0.0, 0.0], [2, -1, -1, -1], [3, -1, -1, -1])]  # the second root is done
+    shared = type("Shared", (), {"value": (table, np.array([0, 2, 2]))})
+    got = pa.Table.from_batches(ET._ranges(["x0", "x1"], "y", "w", shared, 2, 1, True)(iter(batches)))
+    assert got.num_rows == 2  # a row per node of the level, however many batches
+    right = X[:, 0] > 0.25
+    for r, at in zip(got.to_pylist(), (~right, right)):
+        assert (r["n"], r["n1"]) == (at.sum(), y[at].sum()) and np.isclose([r["w"], r["w1"]], [w[at].sum(), w[at & (y == 1)].sum()]).all()
+        assert [r["mn0"], r["mn1"], r["mx0"], r["mx1"]] == [*X[at].min(0), *X[at].max(0)]
+    shared.value = (*shared.value, np.array([[1, 0], [-1, -1]]), np.array([[0.5, 0.125], [0.0, 0.0]]))
+    got = pa.Table.from_batches(ET._sides(["x0", "x1"], "y", "w", shared, 2, 1)(iter(batches)))
+    want = [w[~right & ((X[:, f] > t) == side) & (y == c)].sum() for f, t in ((1, 0.5), (0, 0.125)) for side in (0, 1) for c in (0, 1)]
+    assert got["code"].to_pylist() == list(range(8)) and np.isclose(got["w"].to_numpy(), want).all()
