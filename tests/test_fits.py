@@ -334,3 +334,15 @@ def test_a_task_adds_up_its_batches(spark):
     got = pa.Table.from_batches(ET._sides(["x0", "x1"], "y", "w", shared, 2, 1)(iter(batches)))
     want = [w[~right & ((X[:, f] > t) == side) & (y == c)].sum() for f, t in ((1, 0.5), (0, 0.125)) for side in (0, 1) for c in (0, 1)]
     assert got["code"].to_pylist() == list(range(8)) and np.isclose(got["w"].to_numpy(), want).all()
+
+
+def test_a_bundle_computes_its_training_rows_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return float(v % 10)
+    df = spark.range(300).select("id", F.udf(seen, "double")("id").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                 (F.col("id") % 10 > 4).cast("int").alias("y"))
+    ENS.fit_bundle(df, ["a", "b"], str(tmp_path / "bundle"), estimators=2, max_depth=2, calibrate=None, class_weights=False, key="id")
+    assert reads.value == 300  # nine fits of several passes read the kept rows
