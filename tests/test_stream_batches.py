@@ -198,3 +198,37 @@ def test_timer_closes_an_idle_batch_and_forgets_a_dead_key(spark, tmp_path):
     got = {(r.k, r.id): r for r in IDLE.read_batches(spark, out, schema).collect()}
     assert (got["a", 4].batch_num, got["a", 4].rows_seen) == (2, 3)
     assert (got["a", 5].batch_num, got["a", 5].rows_seen) == (1, 1) and got["a", 5].since > got["a", 4].since
+
+
+def test_few_store_calls_for_the_rows_of_a_key():
+    import pandas as pd
+    calls = []
+
+    class Fake:
+        def __init__(self, name, value=None):
+            self.name, self.value = name, value
+
+        def __getattr__(self, what):
+            def call(*args):
+                calls.append(f"{self.name}.{what}")
+                if what in ("put", "update"):
+                    self.value = args[0]
+                if what == "clear":
+                    self.value = [] if self.name == "open" else None
+                return self.value is not None if what == "exists" else iter(self.value or []) if self.name == "open" else self.value
+            return call
+
+    def took(p, ids):
+        calls.clear()
+        new = pd.DataFrame({"ts": ids, "o0s": 1, "o0": ids, "row": [f"r{i}" for i in ids]})
+        clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 9})()
+        return [tuple(r) for f in p.handleInputRows(("k",), iter([new]), clock) for r in f[["batch_num", "pos_in_batch", "rows_seen", "reason", "row"]].to_numpy()]
+
+    p = IDLE.OpenBatches(3, 100, None, ["o0s", "o0"])
+    p.handle, p.open, p.carry = Fake("timers", []), Fake("open", []), Fake("carry")
+    assert took(p, [2, 1]) == [] and p.open.value == [(1, "r1"), (2, "r2")]
+    assert sorted(calls) == ["carry.get", "carry.update", "open.put", "timers.registerTimer"]
+    assert took(p, [3]) == [(1, 1, 1, "count", "r1"), (1, 2, 2, "count", "r2"), (1, 3, 3, "count", "r3")] and p.open.value == []
+    assert took(p, [4, 200]) == [(2, 1, 4, "idle", "r4")] and p.open.value == [(1, "r200")]
+    assert "open.get" not in calls  # nothing was open
+    assert took(p, [201, 202, 203]) == [(3, 1, 5, "count", "r200"), (3, 2, 6, "count", "r201"), (3, 3, 7, "count", "r202")]
