@@ -430,6 +430,33 @@ def test_near_copies_are_proposed_once_per_member(spark, monkeypatch):
     assert many < 8 * few
 
 
+def test_buckets_of_near_copies_meet_in_few_tasks(spark, monkeypatch):
+    """A pair of the first round is not proposed again by every task that holds one of the shingles it shares."""
+    made, plain = {}, op8_ngram_join._propose
+
+    def counted(num, den, star):
+        rows, run = made.setdefault(star, spark.sparkContext.accumulator(0)), plain(num, den, star)
+
+        def count(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+        return count
+    monkeypatch.setattr(op8_ngram_join, "_propose", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = [(i, " ".join(f"e{i}" if k == i * 7 else f"v{k}" for k in range(400))) for i in range(20)]
+        got = op8_ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.component_id for r in got} == {0}
+    assert made[True].value < 4 * len(rows)
+
+
 def test_site_rates_leave_the_document_out(spark):
     """Priors and posteriors from the evidence of the result, site by site in plain Python."""
     import math
