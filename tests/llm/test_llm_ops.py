@@ -430,30 +430,25 @@ def test_near_copies_are_proposed_once_per_member(spark, monkeypatch):
     assert many < 8 * few
 
 
-def test_word_messages_hold_one_sweep_at_a_time(spark, monkeypatch):
-    """However many sweeps are kept, no step tells the pair shards more than one of them, and their mean is still a probability."""
-    import random
-    steps, plain = [], op6_pitman_yor._tell
-
-    def counted(*args):
-        size, run = spark.sparkContext.accumulator(0), plain(*args)
-        steps.append(size)
-
-        def count(batches):
-            for b in run(batches):
-                size.add(b.nbytes)
-                yield b
-        return count
-    monkeypatch.setattr(op6_pitman_yor, "_tell", counted)
-    rng = random.Random(3)
-    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(300))) for i in range(60)], "doc_id long, text string")
-
-    def most(samples):
-        steps.clear()
-        rows = op6_pitman_yor.score_texts(docs, burn=1, samples=samples).collect()
-        assert len(rows) == 60 and all(r.score < 0 for r in rows)
-        return max(x.value for x in steps)
-    assert most(4) < 1.5 * most(1)
+def test_messages_are_gone_when_the_blocks_are_answered(spark, monkeypatch):
+    """The step that answers the blocks reads no messages, and lists of words go once the shards have them."""
+    import glob
+    plain, plans, left = op6_pitman_yor.written, {}, {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        left[name] = [f for t in made for f in glob.glob(f"{t}/*.parquet")] if name == "lm-pairs" else []
+        out = plain(df, name)
+        if name == "lm-blocks":
+            made.extend({f.rpartition("/")[0].removeprefix("file:").replace("//", "/") for f in out.inputFiles()})
+            assert glob.glob(f"{made[0]}/*.parquet")
+        return out
+    made = []
+    monkeypatch.setattr(op6_pitman_yor, "written", seen)
+    docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(30)], "doc_id long, text string")
+    assert op6_pitman_yor.score_texts(docs, burn=1, samples=2).count() == 30
+    assert "told" in plans["lm-means"] and "told" not in plans["lm-answers"]
+    assert left["lm-pairs"] == []
 
 
 def test_buckets_of_near_copies_meet_in_few_tasks(spark, monkeypatch):
