@@ -523,3 +523,45 @@ def test_site_rates_leave_the_document_out(spark):
         prior = (k - o + of_path * host) / (n - 1 + of_path)
         assert r.prior_toxic == pytest.approx(prior, rel=1e-6)
         assert r.p_toxic == pytest.approx(1 / (1 + math.exp(-(r.evidence_toxic + logit(prior)))), rel=1e-6)
+
+
+def test_sweeps_leave_no_shuffle_files(spark):
+    """Counting the spellings of a sweep leaves no shuffle files: they would add up, sweep after sweep."""
+    import glob
+    jvm = spark._jvm
+    root = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    state = spark.range(40).selectExpr("array(named_struct('code', id % 7, 'n', id)) as spelling").repartition(4)
+
+    def files():
+        return {f for d in root for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before = files()
+    got = op6_pitman_yor._spelling(state)
+    assert got["code"].to_pylist() == list(range(7)) and sum(got["n"].to_pylist()) == sum(range(40))
+    assert files() <= before
+
+
+def test_distinct_numbers_and_samples_are_exact():
+    """The packed sorts give what numpy's unique gives, hashes that differ in their lowest bits included; steps lose nothing."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for top in (2, 1000, 1 << 40, (1 << 63) - 1):
+        for n in (0, 1, 2, 1000):
+            x = rng.integers(0, top, n).astype(np.uint64)
+            for got, want in zip(op6_pitman_yor.distinct(x), np.unique(x, return_inverse=True)):
+                assert got.dtype == want.dtype and got.tolist() == want.tolist()
+            for got, want in zip(op6_pitman_yor.distinct_hashes(x), np.unique(x, return_index=True, return_inverse=True)):
+                assert got.tolist() == want.tolist()
+    logs = [np.array(v, np.float32) for v in ([-1.5, -np.inf, 0, -7], [-1.25, 0, -np.inf, -7], [-30, -1e30, -0.0, -7])]
+    assert [x.tobytes() for x in op6_pitman_yor._unpack_logs(op6_pitman_yor._pack_logs(logs))] == [x.tobytes() for x in logs]
+    buf = np.frombuffer(b"ab c  def", np.uint8)
+    assert op6_pitman_yor.word_list(buf, np.array([6, 0, 3]), np.array([9, 2, 4]))[0] == b"def ab c "
+
+
+def test_models_of_a_sweep_are_let_go(spark):
+    """Each sweep broadcasts its model as a file on the driver and on every executor; none is left when the scores are there."""
+    import os
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(30)], "doc_id long, text string")
+    assert op6_pitman_yor.score_texts(docs, burn=1, samples=2).count() == 30
+    assert set(os.listdir(folder)) <= before
