@@ -232,3 +232,125 @@ def test_few_store_calls_for_the_rows_of_a_key():
     assert took(p, [4, 200]) == [(2, 1, 4, "idle", "r4")] and p.open.value == [(1, "r200")]
     assert "open.get" not in calls  # nothing was open
     assert took(p, [201, 202, 203]) == [(3, 1, 5, "count", "r200"), (3, 2, 6, "count", "r201"), (3, 3, 7, "count", "r202")]
+
+
+class Store:
+    """A state variable, and the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, []
+
+    def __getattr__(self, what):
+        def call(*args):
+            self.calls.append(what)
+            if what in ("put", "clear"):
+                self.value = list(args[0]) if args else []
+            if what == "appendValue":
+                self.value.append(args[0])
+            if what == "update":
+                self.value = [args[0]]
+            return bool(self.value) if what == "exists" else (self.value[0] if self.value else None) if what == "valueGet" else iter(list(self.value))
+        return call
+
+
+class Timers:
+    def __init__(self):
+        self.at = set()
+
+    def listTimers(self):
+        return iter(sorted(self.at))
+
+    def registerTimer(self, t):
+        self.at.add(t)
+
+    def deleteTimer(self, t):
+        self.at.discard(t)
+
+
+def clock(now):
+    return type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: now})()
+
+
+def arriving(data):
+    import pandas as pd
+    keys, ts, ids = zip(*data)
+    return pd.DataFrame({"key": keys, "ts": ts, "o0s": 1, "o0": ids, "row": [f"r{i}" for i in ids]})
+
+
+def told(frames):
+    return sorted(tuple(r) for f in frames for r in f[["key", "since", "batch_num", "pos_in_batch", "rows_seen", "reason", "row"]].to_numpy().tolist())
+
+
+def fire(p, key, now):
+    """What the timers that are over give; a timer goes once it was handled."""
+    out = []
+    for t in [t for t in p.handle.listTimers() if t <= now]:
+        out += list(p.handleExpiredTimer((key,), clock(now), None))
+        p.handle.deleteTimer(t)
+    return out
+
+
+@pytest.mark.parametrize("expire_ms, log_parts", [(None, 64), (700, 64), (700, 2)])
+def test_a_bucket_closes_what_its_keys_would_close_alone(monkeypatch, expire_ms, log_parts):
+    monkeypatch.setattr(IDLE, "LOG_PARTS", log_parts)
+    rng = random.Random(4)
+    args = 3, 100_000, expire_ms, ["o0s", "o0"]
+    bucket = IDLE.OpenBuckets(*args)
+    bucket.handle, bucket.log = Timers(), Store([])
+    alone = {}
+    now = ids = ts = closed = 0
+    for trigger in range(120):
+        now += rng.choice([1, 30, 90, 400, 900])
+        hot = rng.choice([3, 40])  # few of the keys get rows in some triggers
+        data = []
+        for _ in range(rng.choice([0, 1, 4, 60])):
+            ids, ts = ids + 1, ts + rng.choice([0, 10, 5_000, 120_000])
+            data.append((f"k{rng.randrange(hot)}", IDLE.ARR.NO_TIME if rng.random() < 0.1 else ts, ids))
+        rng.shuffle(data)
+        want, got = [], []
+        if data:
+            got += list(bucket.handleInputRows((1,), iter([arriving(d) for d in (data[:3], data[3:]) if d]), clock(now)))
+        for k in sorted({k for k, *_ in data}):
+            if k not in alone:
+                p = alone[k] = IDLE.OpenBatches(*args)
+                p.handle, p.open, p.carry = Timers(), Store([]), Store([])
+                p.carry.get = lambda c=p.carry: c.value[0] if c.value else None
+            want += list(alone[k].handleInputRows((k,), iter([arriving([r for r in data if r[0] == k]).drop(columns="key")]), clock(now)))
+        got += fire(bucket, 1, now)
+        for k, p in alone.items():
+            want += fire(p, k, now)
+        assert told(got) == told(want)
+        closed += len(told(got))
+        known = {k: IDLE.ARR.State(k, *p.carry.value[0][1:]) for k, p in alone.items() if p.carry.value}
+        states = bucket._read()[2].to_pylist()
+        assert {s["key"]: tuple(s[c] for c in IDLE.ARR.NUMBERS) for s in states} == {k: tuple(getattr(s, c) for c in IDLE.ARR.NUMBERS) for k, s in known.items()}
+        assert {s["key"]: s["row"] for s in states} == {k: [r for _, r in p.open.value] for k, p in alone.items() if k in known}
+        assert len(bucket.log.value) <= log_parts and len(bucket.handle.at) <= 1
+    assert closed > 500
+
+
+def test_the_keys_of_a_bucket_share_the_calls_to_the_store():
+    def calls_for(keys):
+        calls = []
+        p = IDLE.OpenBuckets(3, 100, None, ["o0s", "o0"])
+        p.handle, p.log = Timers(), Store(calls)
+        for trigger in range(3):
+            list(p.handleInputRows((1,), iter([arriving([(f"k{i}", trigger, trigger * keys + i) for i in range(keys)])]), clock(trigger)))
+        return len(calls)
+    assert calls_for(2000) == calls_for(1) <= 9
+
+
+def test_the_number_of_buckets_changes_nothing_that_closes(spark, tmp_path):
+    data = rows(400, 11)
+    landing, schema = str(tmp_path / "in"), frame(spark, []).schema
+    got = {}
+    for buckets in (None, 1, 7):
+        for lo in (0, 200):
+            if buckets is None:
+                land(spark, data[lo: lo + 200], f"{landing}{lo}", unit=1000)
+            out, ckpt = str(tmp_path / f"out{buckets}-{lo}"), str(tmp_path / f"ckpt{buckets}-{lo}")
+            IDLE.stream_open_batches(spark, f"{landing}{lo}", schema, ["k"], ["ts", "id"], "ts", 4, 5000.0, out, ckpt, files_per_trigger=1, buckets=buckets)
+            both = IDLE.read_batches(spark, out, schema).unionByName(IDLE.flush_open(spark, ckpt, schema, 4)).collect()
+            got.setdefault(buckets, []).append({(r.k, r.id): (r.batch_num, r.pos_in_batch, r.rows_seen, r.reason) for r in both})
+            assert len(both) == 200
+    assert got[None] == got[1] == got[7]
