@@ -1,12 +1,14 @@
-"""Boosted trees fitted on cells of rows."""
+"""Boosted trees and forests fitted on cells of rows."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from flowscore.operators import bagged as BAG
 from flowscore.operators import boosting as BOOST
 from flowscore.operators import members as MEM
 
@@ -69,3 +71,64 @@ def test_boosting_refuses_features_that_are_no_numbers(spark):
     for bad in (None, float("nan"), float("-inf")):
         with pytest.raises(ValueError):
             MEM.fit_gbt(noisy(spark, 60).withColumn("a", F.when(F.col("id") == 7, F.lit(bad).cast("double")).otherwise(F.col("a"))), ["a", "b"], max_iter=1)
+
+
+@pytest.mark.parametrize("weight, table_bytes", [(None, 256 << 20), ("w", 3000)])
+def test_a_forest_without_chance_is_spark_mls(spark, monkeypatch, weight, table_bytes):
+    monkeypatch.setattr(BAG, "TABLE_BYTES", table_bytes)  # one node a pass in the second case
+    df, features = noisy(spark, 1200), ["a", "b", "c", "same"]
+    plain = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=2, maxDepth=4, featureSubsetStrategy="all", bootstrap=False)
+    was = Pipeline(stages=[MEM._assembler(features), MEM._weighted(plain.copy(), weight)]).fit(df)
+    cuts, table = BAG.fit_trees(df, features, "y", 2, 4, 42, weight, len(features), bootstrap=False)
+    now = PipelineModel([MEM._assembler(features), BAG.as_model(spark, plain, cuts, table, 2, len(features))])
+    both = MEM.ml_probability(now, MEM.ml_probability(was, df, "was"), "now")
+    assert both.where(F.abs(F.col("was") - F.col("now")) > 1e-9).count() == 0
+    assert now.stages[-1].totalNumNodes == was.stages[-1].totalNumNodes > 10
+
+
+def test_draws_of_cells_are_poisson():
+    ids = np.random.default_rng(1).integers(0, 1 << 63, 40_000).astype(np.uint64)
+    for n in (1, 6, 1000):
+        draws = BAG._draws(ids, BAG._bits(np.full(len(ids), float(n))), 42, 3)
+        assert abs(draws.mean() - n) < 5 * (n / len(ids)) ** 0.5 and abs(draws.var() / n - 1) < 0.05
+    assert abs((BAG._draws(ids, BAG._bits(np.ones(len(ids))), 42, 3) == 0).mean() - np.exp(-1)) < 0.01
+    mixed = BAG._draws(ids, BAG._bits(np.arange(len(ids)) % 5), 42, 3)
+    assert not mixed[::5].any() and abs(mixed[4::5].mean() - 4) < 0.1
+    other = BAG._draws(ids, BAG._bits(np.ones(len(ids))), 42, 4)
+    assert abs(np.corrcoef(other, BAG._draws(ids, BAG._bits(np.ones(len(ids))), 42, 3))[0, 1]) < 0.03
+
+
+def test_forests_do_not_depend_on_partitions_and_differ_by_tree(spark, tmp_path):
+    df, features = noisy(spark, 900), ["a", "b", "c"]
+    for fit in (MEM.fit_random_forest, MEM.fit_bagging):
+        one = fit(df, features, num_trees=6, max_depth=5, weight_col="w")
+        one.write().overwrite().save(str(tmp_path / "model"))
+        other = fit(df.orderBy("a").coalesce(1), features, num_trees=6, max_depth=5, weight_col="w")
+        both = MEM.ml_probability(other, MEM.ml_probability(PipelineModel.load(str(tmp_path / "model")), df, "one"), "other")
+        assert both.where("abs(one - other) > 1e-9").count() == 0
+        assert both.where((F.col("one") > 0.5) == (F.col("y") == 1)).count() > 750
+        trees = {t.toDebugString.split("\n", 1)[1] for t in one.stages[-1].trees}
+        assert len(trees) == 6 and one.stages[-1].getNumTrees == 6
+
+
+def test_a_forest_reads_the_rows_a_bounded_number_of_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def spy(x):
+        seen.add(1)
+        return x
+    df = noisy(spark, 300).withColumn("a", spy("a")).where("a is not null")
+    counts = []
+    for depth in (1, 6):
+        seen.value = 0
+        MEM.fit_random_forest(df, ["a", "b"], num_trees=3, max_depth=depth)
+        counts.append(seen.value)
+    assert counts[0] == counts[1]
+
+
+def test_a_forest_of_one_class(spark):
+    df = noisy(spark, 60)
+    for y in (0, 1):
+        p = MEM.ml_probability(MEM.fit_bagging(df.withColumn("y", F.lit(y)), ["a", "b"], num_trees=3), df, "p")
+        assert [r.p for r in p.select("p").distinct().collect()] == [float(y)]
