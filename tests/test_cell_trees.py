@@ -132,3 +132,12 @@ def test_a_forest_of_one_class(spark):
     for y in (0, 1):
         p = MEM.ml_probability(MEM.fit_bagging(df.withColumn("y", F.lit(y)), ["a", "b"], num_trees=3), df, "p")
         assert [r.p for r in p.select("p").distinct().collect()] == [float(y)]
+
+
+def test_a_class_without_rows_weighs_nothing_exactly(spark):
+    rows = [(i / 700, (i * 37 % 101) / 7, int(i > 350), 0.1 + i % 3 / 7) for i in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, w double")
+    _, table = BAG.fit_trees(df, ["a", "b"], "y", 8, 6, 42, "w", 1)
+    assert (table["w0"] >= 0).all() and (table["w1"] >= 0).all() and ((table["w0"] == 0) & (table["w1"] > 0)).any()
+    p = MEM.ml_probability(MEM.fit_bagging(df, ["a", "b"], num_trees=8, max_depth=6, weight_col="w"), df, "p")
+    assert p.where("p >= 0 and p <= 1").count() == 700
