@@ -140,3 +140,13 @@ def test_a_class_without_rows_weighs_nothing_exactly(spark):
     assert (table["w0"] >= 0).all() and (table["w1"] >= 0).all() and ((table["w0"] == 0) & (table["w1"] > 0)).any()
     p = MEM.ml_probability(MEM.fit_bagging(df, ["a", "b"], num_trees=8, max_depth=6, weight_col="w"), df, "p")
     assert p.where("p >= 0 and p <= 1").count() == 700
+
+
+def test_a_threshold_more_than_asked_for(spark, monkeypatch):
+    df = noisy(spark, 400)
+    monkeypatch.setattr(BOOST, "thresholds", lambda *a: [[i / 34 for i in range(1, 34)], [0.5]])
+    for fit in (MEM.fit_gbt, MEM.fit_random_forest):
+        p = MEM.ml_probability(fit(df, ["b", "a"], **({"max_iter": 2} if fit is MEM.fit_gbt else {"num_trees": 3})), df, "p")
+        assert p.where("p between 0 and 1").count() == 400
+    high = df.withColumn("y", (F.col("b") > 33 / 34).cast("int"))
+    assert MEM.ml_probability(MEM.fit_gbt(high, ["b", "a"], max_iter=20), high, "p").where("(p > 0.5) != (y = 1)").count() == 0
